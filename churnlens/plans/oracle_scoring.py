@@ -95,7 +95,7 @@ def _cmp(feat: str, op: str, bound: float) -> str:
 _actions = ", ".join(f"CASE WHEN {_cmp(f, o, b)} THEN '{t}' END" for f, o, b, t in S.ACTION_LIST_RULES)
 q("action_list", f"""WITH {SCORED_CTE},
 a AS (SELECT loyalty_number, clv, churn_probability,
-             list_filter([{_actions}], x -> x IS NOT NULL) AS items
+             list_filter([{_actions}], lambda x: x IS NOT NULL) AS items
       FROM scored WHERE risk_level = 'High')
 SELECT loyalty_number AS customer_id, {R6('clv', 'clv')}, {R6('churn_probability', 'churn_probability')},
        CASE WHEN len(items) > 0 THEN array_to_string(items[1:2], '; ') ELSE '{S.ACTION_LIST_DEFAULT}' END
