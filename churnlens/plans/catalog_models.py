@@ -105,3 +105,24 @@ def q_trials_table(spark, d):
 @query("gbt_threshold_sweep")
 def q_gbt_threshold_sweep(spark, d):
     return EV.threshold_sweep(AR.scored_split(spark, d, "gbt"))
+
+
+@query("stream_scoring")
+def q_stream_scoring(spark, d):
+    """IO9 → SC2 as a stream: the feature table is written as upload files under the
+    shared checkpoint directory, scored by a file-stream query (available-now
+    trigger) into a Parquet sink, and the sink is returned."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources import sinks
+    from ..streaming import start_scoring
+
+    a = AR.models(spark, d)
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/churnlens-stream/{uuid.uuid4().hex}"
+    uploads = model_matrix(TB.features(spark, d), label=None)
+    sinks.write_csv(uploads, f"{root}/uploads")
+    q = start_scoring(spark, f"{root}/uploads", f"{root}/scored", f"{root}/chk", a["gbt"], a["thresholds"]["gbt"])
+    q.awaitTermination()
+    return spark.read.parquet(f"{root}/scored").select("loyalty_number", "churn_probability", "risk_level",
+                                                        "predicted_churn")

@@ -37,17 +37,31 @@ def get_spark(master: str | None = None, app: str = "churnlens",
     return spark
 
 
+_BASE: dict[int, str] = {}
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; set a scratch one only if unset."""
+    """The shared folder named by ``spark.checkpoint.dir`` (a scratch one only if unset).
+
+    Returns the configured *base* directory — stable across applications, so
+    persisted artifacts can be found again — and makes sure RDD/DataFrame
+    checkpoints of this context go below it.
+    """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if id(sc) in _BASE:
+        return _BASE[id(sc)]
+    configured = sc.getConf().get("spark.checkpoint.dir", None)
+    if not configured:
+        try:
+            configured = spark.conf.get("spark.checkpoint.dir", None)
+        except Exception:  # noqa: BLE001
+            configured = None
     if not configured:
         configured = tempfile.mkdtemp(prefix="churnlens-ckpt-")
-    sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir() or configured
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(configured)
+    _BASE[id(sc)] = configured
+    return configured
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
