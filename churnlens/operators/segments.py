@@ -276,11 +276,12 @@ def customer_lookup(df: DataFrame, key_value: int, key: str = "loyalty_number")
 
 def balanced_sample(df: DataFrame, n: int, seed: int = S.SPLIT_SEED, label: str = "churn",
                     key: str = "loyalty_number") -> DataFrame:
-    """SA1 — up to n/2 rows per class, chosen by a seeded hash of the key.
+    """SA1 — up to n/2 rows per class, chosen by a seeded hash of the key
+    (md5 of "<key>-<seed>", portable to SQL), shuffled by the same hash.
 
     Each class is a distributed top-k over the hash, not a per-class window.
     """
-    h = F.xxhash64(F.col(key), F.lit(seed))
+    h = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-{seed}")))
     parts = [df.where(F.col(label) == c).withColumn("_h", h).orderBy("_h").limit(n // 2)
              for c in (1, 0)]
     return parts[0].unionByName(parts[1]).orderBy("_h").drop("_h")

@@ -153,7 +153,7 @@ def q_hist_recency(spark, d):
 
 def all_queries() -> dict[str, QueryFn]:
     # Import the modules that register the remaining plans.
-    from . import catalog_models, catalog_scoring  # noqa: F401
+    from . import catalog_io, catalog_models, catalog_scoring  # noqa: F401
     return dict(QUERIES)
 
 

@@ -301,5 +301,5 @@ q("hist_recency", hist_sql("recency_last_flight", 20))
 
 
 def all_oracle() -> dict[str, str]:
-    from . import oracle_scoring  # noqa: F401
+    from . import oracle_io, oracle_scoring  # noqa: F401
     return dict(ORACLE)
