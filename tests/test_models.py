@@ -110,3 +110,25 @@ def test_split_is_disjoint_complete_and_near_fractions(spark):
         total = sum(v for (sp, ch), v in counts.items() if ch == c)
         assert abs(counts[("test", c)] / total - 0.15) < 0.02                # stratified in expectation
         assert abs(counts[("validation", c)] / total - 0.85 * 0.176) < 0.02
+
+
+def test_stream_scoring_equals_batch(spark, tmp_path):
+    from churnlens import schemas as S
+    from churnlens.operators import train as TR
+    from churnlens.operators.features import model_matrix
+    from churnlens.sources import sinks
+    from churnlens.streaming import start_scoring
+
+    rng = np.random.default_rng(3)
+    rows = [(i, *map(float, rng.normal(size=31)), int(rng.integers(0, 2))) for i in range(120)]
+    df = spark.createDataFrame(rows, ["loyalty_number", *S.FEATURES, "churn"])
+    model = TR.fit_gbt(TR.with_weight(df, 2.0), dict(S.STORED_PARAMS, n_estimators=3))
+    up = str(tmp_path / "uploads")
+    # uploads may carry only some feature columns: the rest are aligned to 0
+    sinks.write_csv(df.select("loyalty_number", *S.FEATURES[:20]).repartition(3), up)
+    q = start_scoring(spark, up, str(tmp_path / "out"), str(tmp_path / "chk"), model, 0.5)
+    q.awaitTermination()
+    got = {r["loyalty_number"]: r["churn_probability"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    batch = TR.predict(model, model_matrix(df.select("loyalty_number", *S.FEATURES[:20]), label=None))
+    exp = {r["loyalty_number"]: r["churn_probability"] for r in batch.collect()}
+    assert got.keys() == exp.keys() and all(abs(got[k] - exp[k]) < 1e-12 for k in exp)
