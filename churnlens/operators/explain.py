@@ -31,8 +31,9 @@ def long_features(matrix: DataFrame, key: str = "loyalty_number",
 def feature_table_df(spark, values: dict[str, float], features: list[str] = S.FEATURES,
                      name: str = "weight") -> DataFrame:
     """(feature, feature_index, <name>) for every model feature (missing → 0)."""
-    return spark.createDataFrame([(f, i, float(values.get(f, 0.0))) for i, f in enumerate(features)],
-                                 f"feature string, feature_index int, {name} double")
+    return spark.range(1).select(F.inline(F.array(*[F.struct(
+        F.lit(f).alias("feature"), F.lit(i).alias("feature_index"), F.lit(float(values.get(f, 0.0))).alias(name))
+        for i, f in enumerate(features)])))
 
 
 def linear_attribution(matrix: DataFrame, background: DataFrame, weights: dict[str, float],

@@ -71,7 +71,8 @@ def roi_grid(scored: DataFrame, segments=S.ROI_SEGMENTS, costs=S.ROI_COSTS,
     """AG20 — campaign ROI for every (segment, cost, success rate) of the calculator.
 
     The scored table is reduced to one aggregate row (count + mean CLV per
-    segment); the parameter grid is a fixed 600-row table joined on the segment.
+    segment, stacked to three rows); each segment row generates its 200
+    (cost, success) grid points.
     saved = int(n × rate) with rate = pct / 100, as the calculator computes it.
     """
     aggs = []
@@ -80,10 +81,9 @@ def roi_grid(scored: DataFrame, segments=S.ROI_SEGMENTS, costs=S.ROI_COSTS,
         aggs += [F.count_if(hit).alias(f"n{i}"), F.avg(F.when(hit, F.col("clv"))).alias(f"c{i}")]
     stats = scored.agg(*aggs).select(_stack([(name, [f"n{i}", f"c{i}"]) for i, (name, _) in enumerate(segments)],
                                             ["segment", "target_count", "avg_clv"]))
-    spark = scored.sparkSession
-    grid = spark.createDataFrame([(name, c, p) for name, _ in segments for c in costs for p in success_pcts],
-                                 "segment string, cost_per_customer int, success_pct int")
-    g = grid.join(F.broadcast(stats), "segment")
+    # The parameter grid is generated from the three segment rows (no join, no driver data).
+    g = (stats.withColumn("cost_per_customer", F.explode(F.array(*[F.lit(int(c)) for c in costs])))
+              .withColumn("success_pct", F.explode(F.array(*[F.lit(int(p)) for p in success_pcts]))))
     n = F.col("target_count")
     total_cost = (n * F.col("cost_per_customer")).cast("long")
     saved = (n * (F.col("success_pct") / F.lit(100.0))).cast("long")
@@ -108,10 +108,11 @@ def strategy_impact(scored: DataFrame, matrix=S.STRATEGY_MATRIX) -> DataFrame:
                  F.sum(F.when(hit, F.col("clv"))).alias(f"v{i}")]
         pairs.append((driver, [f"n{i}", f"h{i}", f"v{i}"]))
     stats = scored.agg(*aggs).select(_stack(pairs, ["driver", "customers", "high_risk_customers", "total_clv"]))
-    spark = scored.sparkSession
-    dim = spark.createDataFrame([(d, a, p, c, s, f"{f} {o} {b:g}") for d, a, p, c, s, f, o, b in matrix],
-                                "driver string, action string, priority string, cost_per_customer int, "
-                                "est_save_per_customer int, target_segment string")
+    dim = scored.sparkSession.range(1).select(F.inline(F.array(*[F.struct(
+        F.lit(d).alias("driver"), F.lit(a).alias("action"), F.lit(p).alias("priority"),
+        F.lit(int(c)).alias("cost_per_customer"), F.lit(int(sv)).alias("est_save_per_customer"),
+        F.lit(f"{f} {o} {b:g}").alias("target_segment")) for d, a, p, c, sv, f, o, b in matrix])))
+    # both sides have one row per driver (5 rows)
     out = dim.join(F.broadcast(stats), "driver")
     cost = (F.col("customers") * F.col("cost_per_customer")).cast("long")
     save = (F.col("customers") * F.col("est_save_per_customer")).cast("long")

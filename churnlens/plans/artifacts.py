@@ -45,7 +45,7 @@ def models(spark: SparkSession, sf_dir: str, params: dict = S.STORED_PARAMS) ->
         return _MEM[k]
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/churnlens-artifacts/{k}"
     if not _exists(spark, f"{root}/_SUCCESS_ALL"):
-        TR.train_job(TB.features(spark, sf_dir), out_dir=root, params=params)
+        TR.train_job(TB.feature_store(spark, sf_dir), out_dir=root, params=params)
         spark.createDataFrame([(1,)], "ok int").coalesce(1).write.mode("overwrite").json(f"{root}/_SUCCESS_ALL")
     thresholds = {r["model"]: r["threshold"] for r in spark.read.json(f"{root}/thresholds").collect()}
     _MEM[k] = {"spark": spark, "root": root, "gbt": PipelineModel.load(f"{root}/gbt"),
@@ -55,7 +55,7 @@ def models(spark: SparkSession, sf_dir: str, params: dict = S.STORED_PARAMS) ->
 
 
 def split_matrix(spark: SparkSession, sf_dir: str):
-    return SP.assign_split(model_matrix(TB.features(spark, sf_dir)))
+    return SP.assign_split(model_matrix(TB.feature_store(spark, sf_dir)))
 
 
 def scored_split(spark: SparkSession, sf_dir: str, model: str, split: str = "test"):

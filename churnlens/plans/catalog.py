@@ -65,90 +65,90 @@ def q_feature_table(spark, d):
 
 @query("model_matrix")
 def q_model_matrix(spark, d):
-    return R(FT.model_matrix(TB.features(spark, d)))
+    return R(FT.model_matrix(TB.feature_store(spark, d)))
 
 
 # ----------------------------------------------------------------- segment reports
 @query("portfolio_kpis")
 def q_portfolio_kpis(spark, d):
-    return R(SG.portfolio_kpis(TB.features(spark, d)))
+    return R(SG.portfolio_kpis(TB.feature_store(spark, d)))
 
 
 @query("tier_kpis")
 def q_tier_kpis(spark, d):
-    return R(SG.tier_kpis(TB.features(spark, d)))
+    return R(SG.tier_kpis(TB.feature_store(spark, d)))
 
 
 @query("churn_by_tier")
 def q_churn_by_tier(spark, d):
-    return R(SG.churn_by_tier(TB.features(spark, d)))
+    return R(SG.churn_by_tier(TB.feature_store(spark, d)))
 
 
 @query("churn_by_enrollment")
 def q_churn_by_enrollment(spark, d):
-    return R(SG.churn_by_enrollment(TB.features(spark, d)))
+    return R(SG.churn_by_enrollment(TB.feature_store(spark, d)))
 
 
 @query("churn_by_gender")
 def q_churn_by_gender(spark, d):
-    return R(SG.churn_by(TB.features(spark, d), "gender", "gender", with_clv=False))
+    return R(SG.churn_by(TB.feature_store(spark, d), "gender", "gender", with_clv=False))
 
 
 @query("churn_by_education")
 def q_churn_by_education(spark, d):
-    return R(SG.churn_by_education(TB.features(spark, d)))
+    return R(SG.churn_by_education(TB.feature_store(spark, d)))
 
 
 @query("churn_by_marital")
 def q_churn_by_marital(spark, d):
-    return R(SG.churn_by(TB.features(spark, d), "marital_status", "marital_status", with_clv=False))
+    return R(SG.churn_by(TB.feature_store(spark, d), "marital_status", "marital_status", with_clv=False))
 
 
 @query("churn_by_province_top10")
 def q_churn_by_province_top10(spark, d):
-    return R(SG.province_report(TB.features(spark, d)))
+    return R(SG.province_report(TB.feature_store(spark, d)))
 
 
 @query("segment_grouping_sets")
 def q_segment_grouping_sets(spark, d):
-    return R(SG.segment_grouping_sets(TB.features(spark, d)))
+    return R(SG.segment_grouping_sets(TB.feature_store(spark, d)))
 
 
 @query("segment_filtered_kpis")
 def q_segment_filtered_kpis(spark, d):
     # Sidebar state: Star + Nova tiers, all enrollment types, no province, default ranges.
-    return R(SG.segment_filtered_kpis(TB.features(spark, d), tiers=["Star", "Nova"]))
+    return R(SG.segment_filtered_kpis(TB.feature_store(spark, d), tiers=["Star", "Nova"]))
 
 
 @query("filter_domains")
 def q_filter_domains(spark, d):
-    return SG.filter_domains(TB.features(spark, d))
+    return SG.filter_domains(TB.feature_store(spark, d))
 
 
 @query("monthly_trend")
 def q_monthly_trend(spark, d):
-    f = TB.features(spark, d)
-    return R(SG.monthly_trend(TB.activity(spark, d), f.select("loyalty_number", "churn")))
+    f = TB.feature_store(spark, d)
+    return R(SG.monthly_trend(TB.activity_store(spark, d), f.select("loyalty_number", "churn")))
 
 
 @query("hist_flights")
 def q_hist_flights(spark, d):
-    return R(SG.histogram(TB.features(spark, d), "total_flights_24m", 30))
+    return R(SG.histogram(TB.feature_store(spark, d), "total_flights_24m", 30))
 
 
 @query("hist_trend")
 def q_hist_trend(spark, d):
-    return R(SG.histogram(TB.features(spark, d), "flight_trend_yoy", 30))
+    return R(SG.histogram(TB.feature_store(spark, d), "flight_trend_yoy", 30))
 
 
 @query("hist_utilization")
 def q_hist_utilization(spark, d):
-    return R(SG.histogram(TB.features(spark, d), "points_utilization", 20))
+    return R(SG.histogram(TB.feature_store(spark, d), "points_utilization", 20))
 
 
 @query("hist_recency")
 def q_hist_recency(spark, d):
-    return R(SG.histogram(TB.features(spark, d), "recency_last_flight", 20))
+    return R(SG.histogram(TB.feature_store(spark, d), "recency_last_flight", 20))
 
 
 def all_queries() -> dict[str, QueryFn]:

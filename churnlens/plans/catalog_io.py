@@ -27,7 +27,7 @@ def q_activity_csv_round_trip(spark, d):
     explicit schema."""
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/churnlens-io/{uuid.uuid4().hex}/activity"
     inverse = {v: k for k, v in S.ACTIVITY_HEADERS.items()}
-    a = TB.activity(spark, d)
+    a = TB.activity_store(spark, d)
     sinks.write_csv(a.select([F.col(c).alias(inverse[c]) for c in a.columns]), path)
     return readers.read_activity(spark, path, fmt="csv")
 
@@ -63,4 +63,4 @@ def q_customer_view(spark, d):
 @query("showcase_ids")
 def q_showcase_ids(spark, d):
     """SA2 / SE2 — top 5 customers by CLV ∪ up to 5 seeded churned customers."""
-    return SG.showcase_ids(TB.features(spark, d))
+    return SG.showcase_ids(TB.feature_store(spark, d))

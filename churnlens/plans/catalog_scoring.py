@@ -25,7 +25,7 @@ R = TB.round_doubles
 
 
 def scored(spark, d):
-    return SC.score_fixture(TB.features(spark, d))
+    return SC.score_fixture(TB.feature_store(spark, d))
 
 
 def scored_split(spark, d):
@@ -43,7 +43,7 @@ def test_rows(spark, d):
 
 
 def linear_attr(spark, d):
-    m = SP.assign_split(model_matrix(TB.features(spark, d)))
+    m = SP.assign_split(model_matrix(TB.feature_store(spark, d)))
     return EX.linear_attribution(m.where(F.col("split") == "test"), m.where(F.col("split") == "train"),
                                  S.FIXTURE_WEIGHTS, S.FIXTURE_INTERCEPT)
 
@@ -107,12 +107,12 @@ def q_hist_probability(spark, d):
 # ----------------------------------------------------------------- split / evaluation
 @query("split_assignment")
 def q_split_assignment(spark, d):
-    return SP.assign_split(TB.features(spark, d)).select("loyalty_number", "churn", "split")
+    return SP.assign_split(TB.feature_store(spark, d)).select("loyalty_number", "churn", "split")
 
 
 @query("class_weights")
 def q_class_weights(spark, d):
-    f = SP.assign_split(TB.features(spark, d))
+    f = SP.assign_split(TB.feature_store(spark, d))
     return R(SP.class_weights(f.where(F.col("split") == "train")))
 
 
