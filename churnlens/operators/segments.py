@@ -3,7 +3,7 @@
 Every report is a single aggregate (partial + final hash aggregate) whose
 output is bounded by the number of segments, never by the number of rows.
 Whole-table scalars (totals, min/max bounds) are one-row aggregates attached
-through a keyed broadcast join — a one-row side is a proven size bound.
+as a scalar subquery — evaluated once, no join and no row fan-out.
 """
 
 from __future__ import annotations
@@ -16,14 +16,19 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions import col, rate_band, status_label, year_month_key
 
-_ONE = "__one"
+_SCALAR = "__scalar"
 
 
 def attach_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row DataFrame to every row (keyed broadcast join)."""
-    return (df.withColumn(_ONE, F.lit(1))
-            .join(F.broadcast(one_row.withColumn(_ONE, F.lit(1))), _ONE)
-            .drop(_ONE))
+    """Attach the columns of a one-row DataFrame (a global aggregate) to every row.
+
+    The row is a scalar subquery (``DataFrame.scalar``) of one struct: Spark
+    evaluates it once and inlines the value — no join, no cross product.
+    """
+    cols = one_row.columns
+    s = one_row.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias(_SCALAR)).scalar()
+    return (df.withColumn(_SCALAR, s)
+            .select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(_SCALAR)[c].alias(c) for c in cols]))
 
 
 def _stack(pairs: Sequence[tuple[str, Sequence[str]]], names: Sequence[str]) -> Column:
