@@ -239,12 +239,15 @@ def segment_filtered_kpis(df: DataFrame, **options) -> DataFrame:
 
 # ---------------------------------------------------------------- AG15 / AG16
 def histogram(df: DataFrame, value: str, bins: int, by: str | None = "churn",
-              domain: tuple[float, float] | None = None) -> DataFrame:
-    """Exact equal-width histogram (per status when ``by`` is given).
+              domain: tuple[float, float] | None = None, marker: float | None = None) -> DataFrame:
+    """AG15 / AG16 — exact equal-width histogram (per status when ``by`` is given),
+    with the mean of the values (the chart's mean line) and an optional fixed
+    marker (e.g. the decision threshold on a probability histogram).
 
     Bounds come from a one-row min/max aggregate unless a fixed ``domain`` is
     given; the top edge is closed.  Output is bounded by ``bins`` × statuses.
     """
+    from pyspark.sql import Window
     v = F.col(value).cast("double")
     base = df.where(v.isNotNull())
     if domain is None:
@@ -258,12 +261,16 @@ def histogram(df: DataFrame, value: str, bins: int, by: str | None = "churn",
     keys = [b.alias("bin")]
     if by:
         keys = [status_label(by).alias("status")] + keys
-    g = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"),
+    g = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"), F.sum(v).alias("_sum"),
                                 F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"))
     w = (F.col("_hi") - F.col("_lo")) / bins
-    return g.select(*(["status"] if by else []), "bin",
-                    (F.col("_lo") + (F.col("bin") - 1) * w).alias("bin_lo"),
-                    (F.col("_lo") + F.col("bin") * w).alias("bin_hi"), "count")
+    # the mean comes from the per-bin sums: a window over ≤ bins rows per status
+    per = Window.partitionBy("status") if by else Window.partitionBy()
+    out = g.select(*(["status"] if by else []), "bin",
+                   (F.col("_lo") + (F.col("bin") - 1) * w).alias("bin_lo"),
+                   (F.col("_lo") + F.col("bin") * w).alias("bin_hi"), "count",
+                   (F.sum("_sum").over(per) / F.sum("count").over(per)).alias("mean"))
+    return out.withColumn("marker", F.lit(float(marker))) if marker is not None else out
 
 
 # ---------------------------------------------------------------- SO / SA

@@ -101,7 +101,8 @@ def q_strategy_impact(spark, d):
 
 @query("hist_probability")
 def q_hist_probability(spark, d):
-    return R(SG.histogram(scored(spark, d), "churn_probability", 30, by=None, domain=(0.0, 1.0)))
+    return R(SG.histogram(scored(spark, d), "churn_probability", 30, by=None, domain=(0.0, 1.0),
+                          marker=S.DEFAULT_THRESHOLD))
 
 
 # ----------------------------------------------------------------- split / evaluation

@@ -275,7 +275,8 @@ FROM g, ann""")
 
 
 def hist_sql(value: str, bins: int, source: str = "features", by_status: bool = True,
-             domain: tuple[float, float] | None = None, ctes: str = FEATURES_CTE) -> str:
+             domain: tuple[float, float] | None = None, ctes: str = FEATURES_CTE,
+             marker: float | None = None) -> str:
     if domain is None:
         bounds = f"b AS (SELECT min({value}::DOUBLE) AS lo, max({value}::DOUBLE) AS hi FROM {source})"
     else:
@@ -283,15 +284,19 @@ def hist_sql(value: str, bins: int, source: str = "features", by_status: bool =
     status = ("CASE WHEN churn = 0 THEN 'Active' WHEN churn = 1 THEN 'Churned' END AS status, "
               if by_status else "")
     group = "status, bin" if by_status else "bin"
+    part = "PARTITION BY status" if by_status else ""
+    mark = f", '{float(marker)!r}'::DOUBLE AS marker" if marker is not None else ""
     return f"""WITH {ctes}, {bounds},
 x AS (SELECT {status}
              CAST(greatest(CASE WHEN hi - lo > 0
                   THEN least(floor(({value}::DOUBLE - lo) / (hi - lo) * {bins}) + 1, {bins}) ELSE 1 END, 1) AS BIGINT) AS bin,
-             lo, hi
-      FROM {source}, b WHERE {value} IS NOT NULL)
-SELECT {group}, round(min(lo) + (bin - 1) * (min(hi) - min(lo)) / {bins}, 6)::DOUBLE AS bin_lo,
-       round(min(lo) + bin * (min(hi) - min(lo)) / {bins}, 6)::DOUBLE AS bin_hi, COUNT(*) AS count
-FROM x GROUP BY {group}"""
+             lo, hi, {value}::DOUBLE AS v
+      FROM {source}, b WHERE {value} IS NOT NULL),
+g AS (SELECT {group}, min(lo) AS lo, min(hi) AS hi, COUNT(*) AS count, SUM(v) AS s FROM x GROUP BY {group})
+SELECT {group}, (round(lo + (bin - 1) * (hi - lo) / {bins}, 6) + 0.0)::DOUBLE AS bin_lo,
+       (round(lo + bin * (hi - lo) / {bins}, 6) + 0.0)::DOUBLE AS bin_hi, count,
+       (round(SUM(s) OVER ({part}) / SUM(count) OVER ({part}), 6) + 0.0)::DOUBLE AS mean{mark}
+FROM g"""
 
 
 q("hist_flights", hist_sql("total_flights_24m", 30))

@@ -133,7 +133,7 @@ SELECT driver, action, priority, CAST(cost_per_customer AS INTEGER) AS cost_per_
 FROM dim JOIN st USING (i)""")
 
 q("hist_probability", hist_sql("churn_probability", 30, source="scored", by_status=False,
-                               domain=(0.0, 1.0), ctes=SCORED_CTE))
+                               domain=(0.0, 1.0), ctes=SCORED_CTE, marker=S.DEFAULT_THRESHOLD))
 
 # ----------------------------------------------------------------- split / evaluation
 q("split_assignment", f"""WITH {FEATURES_CTE} SELECT loyalty_number, churn, {_SPLIT} AS split FROM features""")
