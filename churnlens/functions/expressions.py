@@ -68,9 +68,22 @@ def rate_band(rate, high: float, elevated: float) -> Column:
     return F.when(r > high, "High").when(r > elevated, "Elevated").otherwise("Normal")
 
 
+def model_input_sql(name: str) -> str:
+    """SQL text of the model guard (NULL, NaN, ±inf → 0) for column ``name``.
+
+    Wide projections are built from SQL text: one JVM call parses all of them
+    instead of one py4j round trip per expression node.
+    """
+    x = f"CAST(`{name}` AS DOUBLE)"
+    return (f"CASE WHEN {x} IS NULL OR isnan({x}) OR {x} = CAST('Infinity' AS DOUBLE) "
+            f"OR {x} = CAST('-Infinity' AS DOUBLE) THEN 0D ELSE {x} END")
+
+
 def model_input(c) -> Column:
     """Model guard: NULL → 0, NaN → 0, ±inf → 0."""
-    c = col(c).cast("double")
+    if isinstance(c, str):
+        return F.expr(model_input_sql(c))
+    c = c.cast("double")
     bad = F.isnan(c) | (c == float("inf")) | (c == float("-inf"))
     return F.when(c.isNull() | bad, F.lit(0.0)).otherwise(c)
 

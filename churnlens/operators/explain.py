@@ -22,18 +22,17 @@ from .segments import attach_scalar
 def long_features(matrix: DataFrame, key: str = "loyalty_number",
                   features: list[str] = S.FEATURES) -> DataFrame:
     """Wide model matrix → (key, feature, feature_index, feature_value)."""
-    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(i).alias("feature_index"),
-                               F.col(f).cast("double").alias("feature_value"))
-                      for i, f in enumerate(features)])
-    return matrix.select(key, F.inline(pairs))
+    pairs = ", ".join(f"named_struct('feature', '{f}', 'feature_index', {i}, "
+                      f"'feature_value', CAST(`{f}` AS DOUBLE))" for i, f in enumerate(features))
+    return matrix.selectExpr(f"`{key}`", f"inline(array({pairs}))")
 
 
 def feature_table_df(spark, values: dict[str, float], features: list[str] = S.FEATURES,
                      name: str = "weight") -> DataFrame:
     """(feature, feature_index, <name>) for every model feature (missing → 0)."""
-    return spark.range(1).select(F.inline(F.array(*[F.struct(
-        F.lit(f).alias("feature"), F.lit(i).alias("feature_index"), F.lit(float(values.get(f, 0.0))).alias(name))
-        for i, f in enumerate(features)])))
+    rows = ", ".join(f"named_struct('feature', '{f}', 'feature_index', {i}, "
+                     f"'{name}', CAST({float(values.get(f, 0.0))!r} AS DOUBLE))" for i, f in enumerate(features))
+    return spark.range(1).selectExpr(f"inline(array({rows}))")
 
 
 def linear_attribution(matrix: DataFrame, background: DataFrame, weights: dict[str, float],
@@ -46,9 +45,9 @@ def linear_attribution(matrix: DataFrame, background: DataFrame, weights: dict[s
     base = b + Σ w·mean, so base + Σ φ = margin for every row.
     """
     spark = matrix.sparkSession
-    means = background.agg(*[F.avg(f).alias(f) for f in features])
-    mean_long = means.select(F.inline(F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.col(f).alias("mean")) for f in features])))
+    means = background.selectExpr(*[f"avg(`{f}`) AS `{f}`" for f in features])
+    mean_long = means.selectExpr("inline(array(" + ", ".join(
+        f"named_struct('feature', '{f}', 'mean', `{f}`)" for f in features) + "))")
     w = feature_table_df(spark, weights, features).join(mean_long, "feature")
     # ``w`` has one row per model feature: a bounded broadcast side.
     longf = long_features(matrix, key, features).join(F.broadcast(w.drop("feature_index")), "feature")

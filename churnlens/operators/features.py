@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions import lookup, model_input, month_index, null_safe_flag, safe_div
+from ..functions import lookup, month_index, null_safe_flag, safe_div
+from ..functions.expressions import model_input_sql
 
 
 def flight_features(activity: DataFrame, base_year: int = S.BASE_YEAR) -> DataFrame:
@@ -123,12 +124,12 @@ def model_matrix(features: DataFrame, key: str = "loyalty_number", label: str |
     A feature column absent from the input is added as 0.
     """
     present = set(features.columns)
-    cols = [F.col(key)]
+    cols = [f"`{key}`"]
     for c in feature_cols:
-        cols.append((model_input(c) if c in present else F.lit(0.0)).alias(c))
+        cols.append(f"{model_input_sql(c) if c in present else '0D'} AS `{c}`")
     if label and label in present:
-        cols.append(F.col(label).cast("int").alias(label))
-    return features.select(cols)
+        cols.append(f"CAST(`{label}` AS INT) AS `{label}`")
+    return features.selectExpr(*cols)
 
 
 def missing_features(columns: list[str], feature_cols: list[str] = S.FEATURES) -> list[str]:

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions import decision, model_input, risk_band
+from ..functions import decision, risk_band
+from ..functions.expressions import model_input_sql
 from .ranking import exact_median
 from .segments import attach_scalar, _stack
 
@@ -21,11 +22,8 @@ PROBABILITY = "churn_probability"
 
 def linear_margin(weights: dict[str, float], intercept: float) -> Column:
     """w·x + b over guarded model inputs, summed in the weights' order."""
-    z = None
-    for f, w in weights.items():
-        term = F.lit(float(w)) * model_input(f)
-        z = term if z is None else z + term
-    return z + F.lit(float(intercept))
+    terms = [f"(CAST({float(w)!r} AS DOUBLE) * ({model_input_sql(f)}))" for f, w in weights.items()]
+    return F.expr(" + ".join(terms) + f" + CAST({float(intercept)!r} AS DOUBLE)")
 
 
 def fixture_probability(weights: dict[str, float] = S.FIXTURE_WEIGHTS,
