@@ -12,71 +12,84 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions import lookup, month_index, null_safe_flag, safe_div
+from ..functions import null_safe_flag
 from ..functions.expressions import model_input_sql
 
 
+def _case_map(col: str, mapping: dict, dtype: str = "DOUBLE") -> str:
+    """SQL dictionary map: unknown or missing keys give NULL (pandas ``Series.map``)."""
+    whens = " ".join(f"WHEN '{k}' THEN {v}" for k, v in mapping.items())
+    return f"CAST(CASE `{col}` {whens} END AS {dtype})"
+
+
+def _flag(col: str, value: str) -> str:
+    """1 when ``col == value``; 0 for other values and for NULL (pandas ``==``)."""
+    return f"coalesce(CAST(`{col}` = '{value}' AS INT), 0)"
+
+
+def _ratio(num: str, den: str, cond: str | None = None) -> str:
+    return f"CASE WHEN {cond or f'{den} > 0'} THEN {num} / {den} ELSE 0D END"
+
+
 def flight_features(activity: DataFrame, base_year: int = S.BASE_YEAR) -> DataFrame:
     """16 per-customer flight features from customer-month rows.
 
     Rows outside the two observed years are ignored (the original fails on them).
+    Expressions are SQL text (one JVM parse instead of a py4j call per node).
     """
-    months = S.OBSERVATION_MONTHS
-    fl = F.col("total_flights")
+    months = float(S.OBSERVATION_MONTHS)
+    peak = ", ".join(str(m) for m in S.PEAK_MONTHS)
     a = activity.where(F.col("year").isin(base_year, base_year + 1))
-    agg = (a.groupBy("loyalty_number").agg(
-        F.sum(fl).alias("total_flights_24m"),
-        F.avg(fl).alias("avg_monthly_flights"),
-        F.coalesce(F.stddev_samp(fl), F.lit(0.0)).alias("flight_consistency"),
-        F.sum("flights_booked").alias("total_flights_booked"),
-        F.sum("companion_flights").alias("_companions"),
-        F.sum("distance").alias("total_distance_24m"),
-        F.sum("points_accumulated").alias("points_accumulated_24m"),
-        F.sum("points_redeemed").alias("points_redeemed_24m"),
-        F.sum("dollar_points_redeemed").alias("dollar_points_redeemed_24m"),
-        F.avg(F.when(F.col("year") == base_year, fl)).alias("_avg_y1"),
-        F.avg(F.when(F.col("year") == base_year + 1, fl)).alias("_avg_y2"),
-        F.count_if(fl > 0).alias("_months_active"),
-        F.max(F.when(fl > 0, month_index("year", "month", base_year))).alias("_last_flight"),
-        F.count_if(F.col("points_redeemed") > 0).alias("_redemption_months"),
-        F.sum(F.when(F.col("month").isin(S.PEAK_MONTHS), fl)).alias("_peak"),
-    ))
-    tf = F.col("total_flights_24m")
-    return agg.select(
-        "loyalty_number",
-        "total_flights_24m", "avg_monthly_flights", "flight_consistency",
+    aggs = [
+        "sum(total_flights) AS total_flights_24m",
+        "avg(total_flights) AS avg_monthly_flights",
+        "coalesce(stddev_samp(total_flights), 0D) AS flight_consistency",
+        "sum(flights_booked) AS total_flights_booked",
+        "sum(companion_flights) AS _companions",
+        "sum(distance) AS total_distance_24m",
+        "sum(points_accumulated) AS points_accumulated_24m",
+        "sum(points_redeemed) AS points_redeemed_24m",
+        "sum(dollar_points_redeemed) AS dollar_points_redeemed_24m",
+        f"avg(CASE WHEN year = {base_year} THEN total_flights END) AS _avg_y1",
+        f"avg(CASE WHEN year = {base_year + 1} THEN total_flights END) AS _avg_y2",
+        "count_if(total_flights > 0) AS _months_active",
+        f"max(CASE WHEN total_flights > 0 THEN CASE WHEN year = {base_year} THEN month ELSE month + 12 END END)"
+        " AS _last_flight",
+        "count_if(points_redeemed > 0) AS _redemption_months",
+        f"sum(CASE WHEN month IN ({peak}) THEN total_flights END) AS _peak",
+    ]
+    agg = a.groupBy("loyalty_number").agg(*[F.expr(x) for x in aggs])
+    tf = "total_flights_24m"
+    return agg.selectExpr(
+        "loyalty_number", "total_flights_24m", "avg_monthly_flights", "flight_consistency",
         "total_flights_booked", "total_distance_24m", "points_accumulated_24m",
         "points_redeemed_24m", "dollar_points_redeemed_24m",
-        (F.coalesce("_avg_y2", F.lit(0.0)) - F.coalesce("_avg_y1", F.lit(0.0))).alias("flight_trend_yoy"),
-        safe_div("_companions", tf).alias("companion_ratio"),
-        safe_div("total_distance_24m", tf).alias("avg_distance_per_flight"),
-        F.when(F.col("points_accumulated_24m") > 0,
-               F.least(F.col("points_redeemed_24m") / F.col("points_accumulated_24m"), F.lit(1.0)))
-         .otherwise(F.lit(0.0)).alias("points_utilization"),
-        F.col("_months_active").cast("double").alias("months_active"),
-        (F.lit(float(months)) - F.coalesce(F.col("_last_flight").cast("double"), F.lit(0.0))).alias("recency_last_flight"),
-        (F.col("_redemption_months") / F.lit(float(months))).alias("redemption_frequency"),
-        safe_div(F.coalesce("_peak", F.lit(0.0)), tf).alias("seasonal_peak_ratio"),
+        "coalesce(_avg_y2, 0D) - coalesce(_avg_y1, 0D) AS flight_trend_yoy",
+        f"{_ratio('_companions', tf)} AS companion_ratio",
+        f"{_ratio('total_distance_24m', tf)} AS avg_distance_per_flight",
+        "CASE WHEN points_accumulated_24m > 0 THEN least(points_redeemed_24m / points_accumulated_24m, 1D)"
+        " ELSE 0D END AS points_utilization",
+        "CAST(_months_active AS DOUBLE) AS months_active",
+        f"{months}D - coalesce(CAST(_last_flight AS DOUBLE), 0D) AS recency_last_flight",
+        f"_redemption_months / {months}D AS redemption_frequency",
+        f"{_ratio('coalesce(_peak, 0D)', tf)} AS seasonal_peak_ratio",
     )
 
 
 def loyalty_features(loyalty: DataFrame, end_year: int = S.BASE_YEAR + 1) -> DataFrame:
     """Loyalty columns + label + encoded loyalty features."""
-    tenure = ((F.lit(end_year) - F.col("enrollment_year")) * 12
-              + (F.lit(12) - F.col("enrollment_month")) + 12)
-    out = loyalty.select(
+    out = loyalty.selectExpr(
         "*",
-        F.col("cancellation_year").isNotNull().cast("int").alias("churn"),
-        tenure.cast("double").alias("tenure_months"),
-        lookup("loyalty_card", S.TIER_LEVELS).alias("loyalty_tier_numeric"),
-        null_safe_flag("enrollment_type", S.PROMOTION_ENROLLMENT).alias("is_promotion_enrollee"),
-        null_safe_flag("gender", S.MALE).alias("gender_encoded"),
-        lookup("education", S.EDUCATION_LEVELS).alias("education_encoded"),
-        *[null_safe_flag("marital_status", v).alias(k) for k, v in S.MARITAL_DUMMIES.items()],
-        *[null_safe_flag("country", v).alias(k) for k, v in S.COUNTRY_DUMMIES.items()],
+        "CAST(cancellation_year IS NOT NULL AS INT) AS churn",
+        f"CAST(({end_year} - enrollment_year) * 12 + (12 - enrollment_month) + 12 AS DOUBLE) AS tenure_months",
+        f"{_case_map('loyalty_card', S.TIER_LEVELS)} AS loyalty_tier_numeric",
+        f"{_flag('enrollment_type', S.PROMOTION_ENROLLMENT)} AS is_promotion_enrollee",
+        f"{_flag('gender', S.MALE)} AS gender_encoded",
+        f"{_case_map('education', S.EDUCATION_LEVELS)} AS education_encoded",
+        *[f"{_flag('marital_status', v)} AS {k}" for k, v in S.MARITAL_DUMMIES.items()],
+        *[f"{_flag('country', v)} AS {k}" for k, v in S.COUNTRY_DUMMIES.items()],
     )
-    return out.withColumn("clv_per_year", safe_div(F.col("clv"), F.col("tenure_months") / 12,
-                                                    cond=F.col("tenure_months") > 0))
+    return out.selectExpr("*", f"{_ratio('clv', '(tenure_months / 12)', 'tenure_months > 0')} AS clv_per_year")
 
 
 def one_hot_drop_first(df: DataFrame, column: str, prefix: str, levels: list[str]) -> DataFrame:
@@ -107,13 +120,13 @@ def feature_table(activity: DataFrame, loyalty: DataFrame, base_year: int = S.BA
     flights = flight_features(activity, base_year)
     lf = loyalty_features(loyalty, base_year + 1)
     df = lf.join(flights, "loyalty_number", "left").fillna(0.0, subset=S.FLIGHT_FEATURES)
-    tf = F.col("total_flights_24m")
-    return df.select(
+    tf = "total_flights_24m"
+    return df.selectExpr(
         "*",
-        safe_div("clv", tf, cond=tf > 0).alias("clv_per_flight"),
-        safe_div("total_distance_24m", "salary").alias("distance_per_salary"),
-        safe_div("points_accumulated_24m", tf).alias("points_per_flight"),
-        safe_div("total_distance_24m", "clv").alias("miles_per_dollar_clv"),
+        f"{_ratio('clv', tf)} AS clv_per_flight",
+        f"{_ratio('total_distance_24m', 'salary')} AS distance_per_salary",
+        f"{_ratio('points_accumulated_24m', tf)} AS points_per_flight",
+        f"{_ratio('total_distance_24m', 'clv')} AS miles_per_dollar_clv",
     )
 
 

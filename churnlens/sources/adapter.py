@@ -102,33 +102,30 @@ def loyalty_from_tpch(customer: DataFrame, nation: DataFrame, region: DataFrame,
          .join(F.broadcast(geo), F.col("c_nationkey") == F.col("n_nationkey"), "left")
          .join(first_last, F.col("c_custkey") == F.col("o_custkey"), "left"))
 
-    k = F.col("c_custkey")
-    promo = (k % 20) == 0
-    edu = F.when(k % 6 == 1, EDUCATION_BY_MOD6[1])
-    for i in range(2, 6):
-        edu = edu.when(k % 6 == i, EDUCATION_BY_MOD6[i])
-    first_year = F.year("first_order") + year_shift
-    cutoff = _typed_literal(orders, "o_orderdate", churn_cutoff)
-    return c.select(
-        k.cast("long").alias("loyalty_number"),
-        F.when(F.col("r_name") == "AMERICA", "United States").otherwise("Canada").alias("country"),
-        F.col("n_name").alias("province"),
-        F.when(k % 2 == 0, "Female").otherwise("Male").alias("gender"),
-        edu.alias("education"),
-        F.when(k % 4 == 0, F.lit(None)).otherwise((k * 7919) % 100000 + 15000).cast("double").alias("salary"),
-        F.when(k % 3 == 0, MARITAL_BY_MOD3[0]).when(k % 3 == 1, MARITAL_BY_MOD3[1])
-         .otherwise(MARITAL_BY_MOD3[2]).alias("marital_status"),
-        F.when(k % 10 < 5, "Star").when(k % 10 < 8, "Nova").otherwise("Aurora").alias("loyalty_card"),
-        F.col("c_acctbal").cast("double").alias("clv"),
-        F.when(promo, S.PROMOTION_ENROLLMENT).otherwise("Standard").alias("enrollment_type"),
-        F.when(promo, F.lit(end_year))
-         .when(F.col("first_order").isNull(), F.lit(end_year - 1))
-         .otherwise(F.least(first_year, F.lit(end_year))).cast("int").alias("enrollment_year"),
-        F.when(promo, k % 12 + 1)
-         .when(F.col("first_order").isNull(), F.lit(1))
-         .otherwise(F.month("first_order")).cast("int").alias("enrollment_month"),
-        F.when(F.col("last_order") < cutoff, F.year("last_order") + year_shift)
-         .cast("int").alias("cancellation_year"),
+    cutoff = f"CAST('{churn_cutoff}' AS {orders.schema['o_orderdate'].dataType.simpleString()})"
+    edu = " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(EDUCATION_BY_MOD6) if v is not None)
+    m0, m1, m2 = MARITAL_BY_MOD3
+    # SQL text: one JVM parse for the whole projection (instead of a py4j call per node).
+    return c.selectExpr(
+        "CAST(c_custkey AS BIGINT) AS loyalty_number",
+        "CASE WHEN r_name = 'AMERICA' THEN 'United States' ELSE 'Canada' END AS country",
+        "n_name AS province",
+        "CASE WHEN c_custkey % 2 = 0 THEN 'Female' ELSE 'Male' END AS gender",
+        f"CASE c_custkey % 6 {edu} END AS education",
+        "CAST(CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE (c_custkey * 7919) % 100000 + 15000 END AS DOUBLE)"
+        " AS salary",
+        f"CASE WHEN c_custkey % 3 = 0 THEN '{m0}' WHEN c_custkey % 3 = 1 THEN '{m1}' ELSE '{m2}' END"
+        " AS marital_status",
+        "CASE WHEN c_custkey % 10 < 5 THEN 'Star' WHEN c_custkey % 10 < 8 THEN 'Nova' ELSE 'Aurora' END"
+        " AS loyalty_card",
+        "CAST(c_acctbal AS DOUBLE) AS clv",
+        f"CASE WHEN c_custkey % 20 = 0 THEN '{S.PROMOTION_ENROLLMENT}' ELSE 'Standard' END AS enrollment_type",
+        f"CAST(CASE WHEN c_custkey % 20 = 0 THEN {end_year} WHEN first_order IS NULL THEN {end_year - 1}"
+        f" ELSE least(year(first_order) + {year_shift}, {end_year}) END AS INT) AS enrollment_year",
+        "CAST(CASE WHEN c_custkey % 20 = 0 THEN c_custkey % 12 + 1 WHEN first_order IS NULL THEN 1"
+        " ELSE month(first_order) END AS INT) AS enrollment_month",
+        f"CAST(CASE WHEN last_order < {cutoff} THEN year(last_order) + {year_shift} END AS INT)"
+        " AS cancellation_year",
     )
 
 
