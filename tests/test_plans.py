@@ -25,3 +25,13 @@ def test_feature_job_pushes_filters_and_prunes_columns(spark):
     assert "l_shipdate" not in line and "l_partkey" not in line                  # pruned
     orders = [ln for ln in scans if "orders" in ln and "o_orderdate" in ln and "1999-01-01" in ln]
     assert orders                                                                # window pushed to the scan
+
+
+def test_feature_store_equals_feature_job(spark):
+    from churnlens.plans import tables as TB
+    stored = TB.feature_store(spark, SF_SMALL)
+    fresh = TB.features(spark, SF_SMALL)
+    cols = sorted(fresh.columns)
+    assert sorted(stored.columns) == cols
+    assert stored.select(cols).exceptAll(fresh.select(cols)).count() == 0
+    assert fresh.select(cols).exceptAll(stored.select(cols)).count() == 0
