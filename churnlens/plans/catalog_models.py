@@ -83,8 +83,7 @@ def q_bulk_scoring(spark, d):
     a = AR.models(spark, d)
     f = TB.feature_store(spark, d)
     scored = SC.add_bands(TR.predict(a["gbt"], model_matrix(f)), a["thresholds"]["gbt"])
-    values, _ = TS.tree_attribution(a["gbt"], model_matrix(f, label=None))
-    return (scored.join(EX.top_factor(values), "loyalty_number")
+    return (TS.add_top_factor(a["gbt"], scored)
             .select("loyalty_number", "churn", "churn_probability", "risk_level", "predicted_churn",
                     "top_risk_factor"))
 

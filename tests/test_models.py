@@ -132,3 +132,14 @@ def test_stream_scoring_equals_batch(spark, tmp_path):
     batch = TR.predict(model, model_matrix(df.select("loyalty_number", *S.FEATURES[:20]), label=None))
     exp = {r["loyalty_number"]: r["churn_probability"] for r in batch.collect()}
     assert got.keys() == exp.keys() and all(abs(got[k] - exp[k]) < 1e-12 for k in exp)
+
+
+def test_top_factor_in_pass_equals_long_table(spark):
+    from churnlens.operators import explain as EX
+    df = _toy(spark)
+    vec = VectorAssembler(inputCols=FEATS, outputCol="features").transform(df)
+    model = GBTClassifier(labelCol="churn", maxIter=3, maxDepth=3, seed=2).fit(vec)
+    values, _ = TS.tree_attribution(model, df, features=FEATS)
+    ref = {r["loyalty_number"]: r["top_risk_factor"] for r in EX.top_factor(values).collect()}
+    got = {r["loyalty_number"]: r["top_risk_factor"] for r in TS.add_top_factor(model, df, FEATS).collect()}
+    assert got == ref
