@@ -125,4 +125,4 @@ def q_stream_scoring(spark, d):
     q = start_scoring(spark, f"{root}/uploads", f"{root}/scored", f"{root}/chk", a["gbt"], a["thresholds"]["gbt"])
     q.awaitTermination()
     return spark.read.parquet(f"{root}/scored").select("loyalty_number", "churn_probability", "risk_level",
-                                                        "predicted_churn")
+                                                        "predicted_churn", "top_risk_factor")

@@ -2,9 +2,9 @@
 
 The original scores customer files uploaded one at a time.  Here a directory
 of such files is a file-stream source: every new CSV is aligned to the model's
-31 inputs (absent columns → 0), scored by the persisted model, banded, and
-appended to a Parquet sink.  Scoring is stateless per row, so the stream needs
-no watermark; progress and exactly-once file bookkeeping live in the
+31 inputs (absent columns → 0), scored by the persisted model, banded, given
+its top attribution factor, and appended to a Parquet sink.  Scoring is
+stateless per row, so the stream needs no watermark; progress and exactly-once file bookkeeping live in the
 checkpoint location (under ``spark.checkpoint.dir``), so a restarted or
 executor-lost job resumes where it stopped.
 """
@@ -26,12 +26,14 @@ UPLOAD_SCHEMA = T.StructType([T.StructField("loyalty_number", T.LongType())]
 
 def scoring_stream(spark: SparkSession, upload_dir: str, model, threshold: float,
                    schema: T.StructType = UPLOAD_SCHEMA, max_files_per_trigger: int = 16) -> DataFrame:
-    """Streaming DataFrame: uploads → aligned features → probability, band, decision."""
+    """Streaming DataFrame: uploads → aligned features → probability, band,
+    decision and top attribution factor (one Arrow pass per micro-batch)."""
+    from ..operators.treeshap import add_top_factor
     raw = (spark.readStream.schema(schema).option("header", True)
            .option("maxFilesPerTrigger", max_files_per_trigger).csv(upload_dir))
     aligned = model_matrix(raw, label=None)
-    scored = TR.predict(model, aligned)
-    return SC.add_bands(scored, threshold)
+    scored = SC.add_bands(TR.predict(model, aligned), threshold)
+    return add_top_factor(model, scored)
 
 
 def start_scoring(spark: SparkSession, upload_dir: str, out_dir: str, checkpoint_dir: str, model,
