@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def get_spark(master: str | None = None, app: str = "churnlens",
@@ -37,7 +37,7 @@ def get_spark(master: str | None = None, app: str = "churnlens",
     return spark
 
 
-_BASE: dict[int, str] = {}
+_BASE: dict[str, str] = {}
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -48,8 +48,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     checkpoints of this context go below it.
     """
     sc = spark.sparkContext
-    if id(sc) in _BASE:
-        return _BASE[id(sc)]
+    app = sc.applicationId
+    if app in _BASE:
+        return _BASE[app]
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
         try:
@@ -57,20 +58,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         except Exception:  # noqa: BLE001
             configured = None
     if not configured:
+        configured = sc.getCheckpointDir()
+    if not configured:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="churnlens-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(configured)
-    _BASE[id(sc)] = configured
+    _BASE[app] = configured
     return configured
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint directory (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-_SHIPPED: set[int] = set()
+_SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -81,7 +80,7 @@ def ship_package(spark: SparkSession) -> None:
     import zipfile
 
     sc = spark.sparkContext
-    if id(sc) in _SHIPPED:
+    if sc.applicationId in _SHIPPED:
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg_dir)
@@ -93,4 +92,4 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(base, f)
                     z.write(full, os.path.relpath(full, root))
     sc.addPyFile(out)
-    _SHIPPED.add(id(sc))
+    _SHIPPED.add(sc.applicationId)
