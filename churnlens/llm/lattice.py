@@ -23,7 +23,7 @@ from .common import materialize, prepare_python, text_key
 
 #: Most frequent words kept by every worker (the others meet their counts by a join), rounds of fitting,
 #: and words a worker counts before it hands them on.
-HEAD, ROUNDS, FLUSH = 150_000, 1, 400_000
+HEAD, ROUNDS, FLUSH = 150_000, 2, 400_000
 MARK, END = b" ", b"\n"
 LOG10 = log(10.0)
 
