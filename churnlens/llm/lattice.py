@@ -222,8 +222,16 @@ def score(docs: DataFrame, model_path: str, rounds: int = ROUNDS) -> DataFrame:
     scored = materialize(counts.mapInArrow(partial(_score_batches, names=names, weights=weights), "word binary, c long, lp double")
                          .select("word", F.log10(F.col("c") + 1.0).alias("lc"), "lp", (F.col("c") > 0).cast("int").alias("seen"), "c"),
                          "words")
+    # frequent words by size class of their count: whole classes, from the top, while HEAD words hold them
+    grade = F.floor(F.log2(F.col("c") + 1.0) * 16).cast("int")
+    classes = sorted(scored.where("c > 0").groupBy(grade.alias("g")).count().collect(), reverse=True)
+    lowest, room = 1 << 30, HEAD
+    for g, n in classes:
+        if n > room:
+            break
+        lowest, room = g, room - n
     head = {bytes(r["word"]): (r["lc"], r["lp"], r["seen"]) for r in
-            scored.orderBy(F.col("c").desc(), "word").limit(HEAD).select("word", "lc", "lp", "seen").collect()}
+            scored.where((F.col("c") > 0) & (grade >= lowest)).select("word", "lc", "lp", "seen").collect()}
     head = spark.sparkContext.broadcast(head)
     split = rows.mapInArrow(partial(_split_batches, head=head), "doc_id long, key long, word binary, tf long, n long, "
                                                                 "known long, base double, model double")
