@@ -154,8 +154,10 @@ def spans(docs: DataFrame, window: int = 50) -> DataFrame:
              .agg(F.count("*").alias("n"), F.min("block").alias("b0"), F.max("block").alias("b1"),
                   F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"))
              .where("n > 1 and d0 < d1").select("anchor", (F.col("b0") != F.col("b1")).alias("differ")))
-    met = materialize(found.join(often, "anchor"), "met")
-    first = met.groupBy("anchor", "block").agg(F.min("doc_id").alias("first"), F.first("differ").alias("differ"))
+    # stored before the join: both sides are then plain exchanges, and a hot anchor's rows can be split
+    met = materialize(found.join(materialize(often, "often"), "anchor"), "met")
+    first = materialize(met.groupBy("anchor", "block").agg(F.min("doc_id").alias("first"), F.first("differ").alias("differ")),
+                        "first")
     tied = met.drop("differ").join(first, ["anchor", "block"])
     place = F.shiftright("at", 32)
     key = F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))
@@ -170,7 +172,7 @@ def spans(docs: DataFrame, window: int = 50) -> DataFrame:
         .select("doc_id", "text_key", "text", "wanted")
         .mapInArrow(partial(_window_batches, window=window), "anchor long, win long, doc_id long, at long"), "windows")
     early = windows.groupBy("anchor", "win").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    inner = (windows.join(early.where("first < last"), ["anchor", "win"]).where("doc_id > first")
+    inner = (windows.join(materialize(early.where("first < last"), "early"), ["anchor", "win"]).where("doc_id > first")
              .select("doc_id", key.alias("key"), place.alias("a"), (place + window).alias("b")))
     return whole.unionByName(inner)
 
