@@ -107,6 +107,7 @@ def assign_components(prints: DataFrame, max_bits: int = 2) -> DataFrame:
     of = (fps.join(linked, "fp", "left")
           .select("fp", F.coalesce("root", "fp").alias("root"),
                   F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component_id")))
+    of = materialize(of, "of")         # a plain table on this side lets a hot fingerprint's rows be split
     return prints.join(of, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
 
 
