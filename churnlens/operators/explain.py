@@ -57,6 +57,57 @@ def linear_attribution(matrix: DataFrame, background: DataFrame, weights: dict[s
     return values, base
 
 
+def linear_factors(matrix: DataFrame, background: DataFrame, weights: dict[str, float], intercept: float,
+                   key: str = "loyalty_number", features: list[str] = S.FEATURES) -> DataFrame:
+    """One row per customer: ``factors`` (feature structs, largest |φ| first) and ``base_value``.
+
+    The attributions of :func:`linear_attribution` in the row they belong to: consumers slice the
+    array, so nothing is exploded or shuffled by customer.
+    """
+    w = {f: float(weights.get(f, 0.0)) for f in features}
+    means = background.selectExpr(
+        *[f"avg(`{f}`) AS `_m_{f}`" for f in features],
+        " + ".join([f"{float(intercept)!r}D"] + [f"{w[f]!r}D * avg(`{f}`)" for f in features]) + " AS base_value")
+    phi = {f: f"{w[f]!r}D * (`{f}` - `_m_{f}`)" for f in features}
+    structs = ", ".join(f"named_struct('o', -abs({phi[f]}), 'feature_index', {i}, 'feature', '{f}', "
+                        f"'feature_value', CAST(`{f}` AS DOUBLE), 'shap_value', {phi[f]})" for i, f in enumerate(features))
+    return attach_scalar(matrix.select(key, *features), means).selectExpr(
+        key, f"sort_array(array({structs})) AS factors", "base_value")
+
+
+def top_of(factors: DataFrame, n: int = 5, key: str = "loyalty_number") -> DataFrame:
+    """EX2 / SO7 from :func:`linear_factors`: the first n of each customer's sorted factors."""
+    r = factors.select(key, F.posexplode(F.slice("factors", 1, n)).alias("pos", "r"))
+    return r.select(key, "r.feature", "r.feature_index", "r.feature_value", "r.shap_value",
+                    (F.col("pos") + 1).alias("rank"),
+                    F.when(F.col("r.shap_value") > 0, "increases").otherwise("decreases").alias("direction"))
+
+
+def explanations_of(factors: DataFrame, n: int = 5, key: str = "loyalty_number") -> DataFrame:
+    """EX3 from :func:`linear_factors`."""
+    return top_of(factors, n, key).select(
+        key, "rank", "feature", explanation_text().alias("text"),
+        F.when(F.col("shap_value") > 0, "risk factor").otherwise("retention factor").alias("impact"), "shap_value")
+
+
+def waterfall_of(factors: DataFrame, max_display: int = 10, key: str = "loyalty_number") -> DataFrame:
+    """EX4 from :func:`linear_factors`: bars of the first features and one for the rest."""
+    k = max_display - 1
+    total = "aggregate({}, 0D, (s, x) -> s + x.shap_value)"
+    bars = factors.selectExpr(
+        key, "base_value", "factors", f"size(factors) - {k} AS n_rest",
+        f"posexplode(slice(factors, 1, {max_display})) AS (pos, r)").withColumn("position", F.col("pos") + 1)
+    last = F.col("position") == max_display
+    bars = bars.withColumn("value", F.when(last, F.expr(total.format(f"slice(factors, {max_display}, size(factors))")))
+                           .otherwise(F.col("r.shap_value")))
+    bars = bars.withColumn("end", F.col("base_value") + F.expr(total.format("slice(factors, position, size(factors))")))
+    return bars.select(key, "position",
+                       F.when(last, F.concat(F.col("n_rest").cast("string"), F.lit(" other features")))
+                       .otherwise(F.col("r.feature")).alias("label"),
+                       F.when(~last, F.col("r.feature_value")).alias("feature_value"), "value",
+                       (F.col("end") - F.col("value")).alias("start"), "end")
+
+
 def top_factors(attr: DataFrame, n: int = 5, key: str = "loyalty_number") -> DataFrame:
     """EX2 / SO7 — top n features per row by |attribution| (feature order breaks ties)."""
     w = Window.partitionBy(key).orderBy(F.desc(F.abs("shap_value")), F.asc("feature_index"))
@@ -73,6 +124,9 @@ def top_factor(attr: DataFrame, key: str = "loyalty_number") -> DataFrame:
 def explanation_text(feature: str = "feature", v: str = "feature_value"):
     """EX3 — plain-language text per feature (12 templates, generic fallback)."""
     f, x = F.col(feature), F.col(v)
+    header = f                                        # features that the original names otherwise
+    for name, own in S.FEATURE_HEADERS.items():
+        header = F.when(f == own, name).otherwise(header)
     whole = x.cast("long").cast("string")
     tier = F.when(x == 1, "Star").when(x == 2, "Nova").otherwise("Aurora")
     return (F.when(f == "flight_trend_yoy", F.concat(
@@ -96,7 +150,7 @@ def explanation_text(feature: str = "feature", v: str = "feature_value"):
             .when(f == "loyalty_tier_numeric", F.concat(tier, F.lit(" tier member")))
             .when(f == "redemption_frequency", F.concat(F.lit("Redeems points "), py_percent(x, 0),
                                                          F.lit(" of months")))
-            .otherwise(F.concat(f, F.lit(": "), py_fixed(x, 2))))
+            .otherwise(F.concat(header, F.lit(": "), py_fixed(x, 2))))
 
 
 def factor_explanations(attr: DataFrame, n: int = 5, key: str = "loyalty_number") -> DataFrame:

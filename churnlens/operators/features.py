@@ -31,15 +31,20 @@ def _ratio(num: str, den: str, cond: str | None = None) -> str:
     return f"CASE WHEN {cond or f'{den} > 0'} THEN {num} / {den} ELSE 0D END"
 
 
-def flight_features(activity: DataFrame, base_year: int = S.BASE_YEAR) -> DataFrame:
+def flight_features(activity: DataFrame, base_year: int = S.BASE_YEAR, outside: str = "fail") -> DataFrame:
     """16 per-customer flight features from customer-month rows.
 
-    Rows outside the two observed years are ignored (the original fails on them).
+    A row outside the two observed years fails the job; ``outside="ignore"`` leaves such rows out.
     Expressions are SQL text (one JVM parse instead of a py4j call per node).
     """
     months = float(S.OBSERVATION_MONTHS)
     peak = ", ".join(str(m) for m in S.PEAK_MONTHS)
-    a = activity.where(F.col("year").isin(base_year, base_year + 1))
+    within = F.col("year").isin(base_year, base_year + 1)
+    if outside == "ignore":
+        a = activity.where(within)
+    else:
+        a = activity.withColumn("year", F.when(within, F.col("year")).otherwise(
+            F.raise_error(F.concat(F.lit("activity row outside the observed years: "), F.coalesce(F.col("year").cast("string"), F.lit("null"))))))
     aggs = [
         "sum(total_flights) AS total_flights_24m",
         "avg(total_flights) AS avg_monthly_flights",
@@ -101,15 +106,6 @@ def one_hot_drop_first(df: DataFrame, column: str, prefix: str, levels: list[str
     return df.select("*", *[null_safe_flag(column, v).alias(f"{prefix}_{v}") for v in lv])
 
 
-def category_levels(df: DataFrame, column: str, max_levels: int = 1000) -> list[str]:
-    """Distinct non-null categories of a low-cardinality column (checked bound)."""
-    rows = (df.where(F.col(column).isNotNull()).select(column).distinct()
-            .limit(max_levels + 1).collect())
-    if len(rows) > max_levels:
-        raise ValueError(f"{column} has more than {max_levels} levels; not a categorical column")
-    return sorted(r[0] for r in rows)
-
-
 def feature_table(activity: DataFrame, loyalty: DataFrame, base_year: int = S.BASE_YEAR) -> DataFrame:
     """Loyalty ⟕ flight features, flight columns zero-filled, + 4 interactions.
 

@@ -24,7 +24,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -43,16 +43,19 @@ def _knn_pair_fn(k: int, n_feat: int):
         xr = np.stack(r["rx"].to_numpy()).astype(float)
         kq = q["key"].to_numpy()
         kr = r["rkey"].to_numpy()
-        d = ((xq[:, None, :] - xr[None, :, :]) ** 2).sum(axis=2)
-        d[kq[:, None] == kr[None, :]] = np.inf          # a row is not its own neighbour
         kk = min(k, xr.shape[0])
-        idx = np.argpartition(d, kk - 1, axis=1)[:, :kk] if kk < xr.shape[0] else \
-            np.tile(np.arange(xr.shape[0]), (xq.shape[0], 1))
-        rows = np.repeat(np.arange(xq.shape[0]), idx.shape[1])
-        cols = idx.ravel()
-        dist = d[rows, cols]
-        keep = np.isfinite(dist)
-        return pd.DataFrame({"key": kq[rows][keep], "nb": kr[cols][keep], "dist": np.sqrt(dist[keep])})
+        out = []
+        for start in range(0, len(xq), 64):              # 64 queries at once bound the temporaries
+            q64, k64 = xq[start:start + 64], kq[start:start + 64]
+            d = ((q64[:, None, :] - xr[None, :, :]) ** 2).sum(axis=2)
+            d[k64[:, None] == kr[None, :]] = np.inf      # a row is not its own neighbour
+            idx = (np.argpartition(d, kk - 1, axis=1)[:, :kk] if kk < xr.shape[0]
+                   else np.tile(np.arange(xr.shape[0]), (len(q64), 1)))
+            rows, cols = np.repeat(np.arange(len(q64)), idx.shape[1]), idx.ravel()
+            dist = d[rows, cols]
+            keep = np.isfinite(dist)
+            out.append(pd.DataFrame({"key": k64[rows][keep], "nb": kr[cols][keep], "dist": np.sqrt(dist[keep])}))
+        return pd.concat(out, ignore_index=True)
     return fn
 
 
@@ -62,6 +65,8 @@ def nearest_neighbors(minority: DataFrame, features: list[str] = S.FEATURES, k:
     from ..session import ship_package
     ship_package(minority.sparkSession)
     n = minority.count()
+    if n == 1:
+        raise ValueError("oversampling needs two minority rows or more")
     blocks = max(1, math.ceil(n / block_rows))
     x = minority.select(F.col(key).alias("key"), F.array(*[F.col(f).cast("double") for f in features]).alias("x"),
                         F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(blocks)).alias("block"))
@@ -72,8 +77,9 @@ def nearest_neighbors(minority: DataFrame, features: list[str] = S.FEATURES, k:
                  F.explode(others).alias("qb"))
     cand = (q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb"))
             .applyInPandas(_knn_pair_fn(k, len(features)), "key long, nb long, dist double"))
-    # k candidates per block per row → the overall k (bounded by blocks · k per key).
-    best = cand.groupBy("key").agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", "nb"))), 1, k).alias("c"))
+    # k candidates per block per row → the overall k: ranked first, so only k are ever listed.
+    w = Window.partitionBy("key").orderBy("dist", "nb")
+    best = (cand.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("dist", "nb"))).alias("c")))
     return best.select(F.col("key").alias(key), F.transform("c", lambda s: s["nb"]).alias("neighbors"))
 
 
@@ -96,8 +102,7 @@ def oversample(train: DataFrame, label: str = "churn", features: list[str] = S.F
     h = minority.select(key, F.xxhash64(F.col(key), F.lit(seed + 1)).alias("_h"))
     ranked = running_totals(h.withColumn("_one", F.lit(1)), "_h", ["_one"]).withColumn("_rank", F.col("cum__one") - 1)
     ranked = attach_scalar(ranked, counts.select("n_pos", "n_syn"))
-    kids = (F.floor((F.col("_rank") + 1) * F.col("n_syn") / F.col("n_pos"))
-            - F.floor(F.col("_rank") * F.col("n_syn") / F.col("n_pos")))
+    kids = F.expr("((_rank + 1) * n_syn) div n_pos - (_rank * n_syn) div n_pos")
     children = (ranked.select(key, kids.cast("int").alias("_kids")).where(F.col("_kids") > 0)
                 .select(key, F.explode(F.sequence(F.lit(1), F.col("_kids"))).alias("child")))
     children = children.join(nbrs, key)

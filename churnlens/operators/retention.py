@@ -16,10 +16,10 @@ from .segments import _stack, attach_scalar
 P = "churn_probability"
 
 
-def _rule_condition(df: DataFrame, feature: str, op: str, bound: float):
-    # A rule on an absent feature never fires; a NULL value compares false.
+def _rule_condition(df: DataFrame, feature: str, op: str, bound: float, absent: float | None = None):
+    # A rule on an absent feature sees ``absent``, or never fires; a NULL value compares false.
     if feature not in df.columns:
-        return F.lit(False)
+        return F.lit(False) if absent is None else compare(F.lit(float(absent)), op, bound)
     return F.coalesce(compare(feature, op, bound), F.lit(False))
 
 
@@ -46,9 +46,10 @@ def recommendations(scored: DataFrame, key: str = "loyalty_number",
 
 
 def action_list(scored: DataFrame, key: str = "loyalty_number") -> DataFrame:
-    """RE2 — High band: first two of four short actions joined by '; ', else a default."""
+    """RE2 — High band: first two of four short actions joined by '; ', else a default.
+    A column that the table lacks counts as 0."""
     items = F.array_compact(F.array(*[
-        F.when(_rule_condition(scored, feat, op, bound), F.lit(text))
+        F.when(_rule_condition(scored, feat, op, bound, absent=0.0), F.lit(text))
         for feat, op, bound, text in S.ACTION_LIST_RULES]))
     actions = F.when(F.size(items) > 0, F.array_join(F.slice(items, 1, 2), "; ")) \
                .otherwise(F.lit(S.ACTION_LIST_DEFAULT))

@@ -94,18 +94,3 @@ def top_risk(scored: DataFrame, k: int = 20, p: str = PROBABILITY, key: str = "l
     """SO3 — the k riskiest customers with optional tier / CLV / top factor columns."""
     cols = [key] + [c for c in extra if c in scored.columns] + [p, "risk_level"]
     return scored.orderBy(F.desc(p), F.asc(key)).limit(k).select(*cols)
-
-
-def score_with_model(model, features: DataFrame, threshold=S.DEFAULT_THRESHOLD,
-                     key: str = "loyalty_number") -> DataFrame:
-    """SC1 / SC2 — align features (PR5), apply a fitted pipeline, keep P(churn)."""
-    from pyspark.ml.functions import vector_to_array
-
-    from .features import model_matrix
-    m = model_matrix(features, key=key, label=None)
-    keep = [c for c in features.columns if c not in S.FEATURES]
-    aligned = m.join(features.select(*keep), key) if len(keep) > 1 else m
-    out = model.transform(aligned)
-    out = out.withColumn(PROBABILITY, vector_to_array("probability")[1])
-    drop = [c for c in ("features", "scaled", "rawPrediction", "probability", "prediction") if c in out.columns]
-    return add_bands(out.drop(*drop), threshold)

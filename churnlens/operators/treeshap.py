@@ -4,16 +4,15 @@ For a leaf L with value v, distinct path features F and, per feature j,
 ``z_j`` = product of child/parent covers over the splits on j along the path
 and ``o_j(x)`` = 1 if x satisfies all of those splits, the path-dependent
 conditional expectation is a sum of leaf games
-``v_L(S) = v · Π_{j∈S} o_j · Π_{j∈F∖S} z_j``.  A game's Shapley values depend
-on x only through the 0/1 pattern o, so each leaf gets a table
-(pattern → contribution per path feature), computed once from the model:
+``v_L(S) = v · Π_{j∈S} o_j · Π_{j∈F∖S} z_j``.  With m path features, a game's
+Shapley values are
 
     φ_i(o) = v · (o_i − z_i) · Σ_s  s!(m−s−1)!/m! · [t^s] Π_{j≠i} (z_j + o_j·t)
 
-Scoring is a ``mapInPandas`` pass: per Arrow batch, for every leaf, the
-pattern code of each row indexes the table (numpy, vectorised over rows).
-The broadcast leaf tables are bounded by the model (trees × leaves ×
-2^depth), never by the data; their size is checked before shipping.
+Scoring is a ``mapInPandas`` pass: per Arrow batch, for every leaf, the products
+before and after each feature are built once and combined (numpy, vectorised over
+rows), O(m³) for any depth.  Covers are plain row counts, whatever weights the model was
+fitted with.  The broadcast leaves are bounded by the model, never by the data.
 Attributions are in log-odds (Spark's P = σ(2·margin)); base + Σφ = log-odds.
 """
 
@@ -30,34 +29,52 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 
-MAX_TABLE_ENTRIES = 20_000_000
-
 
 @dataclass
 class Leaf:
     features: np.ndarray     # distinct path features (m,)
     lo: np.ndarray           # o_j = lo_j < x_j <= hi_j
     hi: np.ndarray
-    table: np.ndarray        # (2^m, m) contributions, log-odds
-
-
-def _shapley_table(v: float, z: np.ndarray) -> np.ndarray:
-    m = len(z)
-    w = np.array([math.factorial(s) * math.factorial(m - s - 1) / math.factorial(m) for s in range(m)])
-    out = np.zeros((1 << m, m))
-    for code in range(1 << m):
-        o = np.array([(code >> j) & 1 for j in range(m)], dtype=float)
-        for i in range(m):
-            poly = np.array([1.0])
-            for j in range(m):
-                if j != i:
-                    poly = np.convolve(poly, np.array([z[j], o[j]]))
-            out[code, i] = v * (o[i] - z[i]) * float(np.dot(w[:len(poly)], poly))
-    return out
+    share: np.ndarray        # z_j, the covers' product over the splits on j
+    value: float             # log-odds
+
+
+def leaf_contributions(value: float, z: np.ndarray, o: np.ndarray) -> np.ndarray:
+    """Shapley values (rows, m) of one leaf game for the 0/1 patterns ``o`` (rows, m)."""
+    n, m = o.shape
+    weight = np.array([math.factorial(s) * math.factorial(m - s - 1) / math.factorial(m) for s in range(m)])
+
+    def times(poly: np.ndarray, j: int) -> np.ndarray:
+        out = np.zeros((n, poly.shape[1] + 1))
+        out[:, :-1] = poly * z[j]
+        out[:, 1:] += poly * o[:, j:j + 1]
+        return out
+
+    before, after = [np.ones((n, 1))], [np.ones((n, 1))]
+    for j in range(m - 1):
+        before.append(times(before[-1], j))
+        after.append(times(after[-1], m - 1 - j))
+    phi = np.empty((n, m))
+    for i in range(m):
+        a, b = before[i], after[m - 1 - i]
+        w = weight[np.add.outer(np.arange(a.shape[1]), np.arange(b.shape[1]))]
+        phi[:, i] = value * (o[:, i] - z[i]) * np.einsum("na,ab,nb->n", a, w, b)
+    return phi
+
+
+def attributions(leaves: list[Leaf], x: np.ndarray) -> np.ndarray:
+    """Contributions (rows, features) of all leaves."""
+    phi = np.zeros_like(x)
+    for leaf in leaves:
+        xs = x[:, leaf.features]
+        o = ((xs > leaf.lo) & (xs <= leaf.hi)).astype(float)
+        pattern, row = np.unique(o, axis=0, return_inverse=True)      # few patterns, whatever the rows
+        phi[:, leaf.features] += leaf_contributions(leaf.value, leaf.share, pattern)[row.ravel()]
+    return phi
 
 
 def extract_leaves(gbt_model, spark, scale: float = 2.0) -> tuple[list[Leaf], float]:
-    """Leaf tables and base value (log-odds) of a fitted ``GBTClassificationModel``.
+    """Leaves and base value (log-odds) of a fitted ``GBTClassificationModel``.
 
     The model is written to the shared checkpoint directory and its node table
     read back with Spark; the node table is bounded by the model size.
@@ -66,14 +83,14 @@ def extract_leaves(gbt_model, spark, scale: float = 2.0) -> tuple[list[Leaf], fl
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/treeshap-{uuid.uuid4().hex}"
     gbt_model.write().overwrite().save(path)
     nodes = spark.read.parquet(f"{path}/data").select(
-        "treeID", "nodeData.id", "nodeData.prediction", F.get(F.col("nodeData.impurityStats"), 0).alias("cover"),
+        "treeID", "nodeData.id", "nodeData.prediction", F.col("nodeData.rawCount").alias("cover"),
         "nodeData.leftChild", "nodeData.rightChild", "nodeData.split.featureIndex",
         F.get(F.col("nodeData.split.leftCategoriesOrThreshold"), 0).alias("threshold")).collect()
     weights = list(gbt_model.treeWeights)
     trees: dict[int, dict[int, object]] = {}
     for r in nodes:
         trees.setdefault(r["treeID"], {})[r["id"]] = r
-    leaves, base, entries = [], 0.0, 0
+    leaves, base = [], 0.0
     for tid, t in trees.items():
         tw = scale * weights[tid]
         stack = [(0, {})]          # node id, {feature: [lo, hi, z]}
@@ -86,11 +103,8 @@ def extract_leaves(gbt_model, spark, scale: float = 2.0) -> tuple[list[Leaf], fl
                 v = tw * n["prediction"]
                 base += v * float(np.prod(z)) if len(z) else v
                 if feats:
-                    entries += (1 << len(feats)) * len(feats)
-                    if entries > MAX_TABLE_ENTRIES:
-                        raise ValueError("leaf tables exceed the broadcast bound; use shallower trees")
                     leaves.append(Leaf(np.array(feats), np.array([path[f][0] for f in feats]),
-                                       np.array([path[f][1] for f in feats]), _shapley_table(v, z)))
+                                       np.array([path[f][1] for f in feats]), z, v))
                 continue
             f, thr, cover = n["featureIndex"], n["threshold"], n["cover"]
             for child, left in ((n["leftChild"], True), (n["rightChild"], False)):
@@ -106,12 +120,7 @@ def _attribute_fn(leaves: list[Leaf], features: list[str], key: str):
     def fn(batches):
         for pdf in batches:
             x = pdf[features].to_numpy(dtype=float)
-            phi = np.zeros_like(x)
-            for leaf in leaves:
-                xs = x[:, leaf.features]
-                o = (xs > leaf.lo) & (xs <= leaf.hi)
-                code = o.astype(np.int64) @ (1 << np.arange(len(leaf.features), dtype=np.int64))
-                phi[:, leaf.features] += leaf.table[code]
+            phi = attributions(leaves, x)
             n, m = x.shape
             yield pd.DataFrame({
                 key: np.repeat(pdf[key].to_numpy(), m),
@@ -132,7 +141,7 @@ def tree_attribution(model, matrix: DataFrame, key: str = "loyalty_number",
     ship_package(spark)
     leaves, base = extract_leaves(gbt, spark)
     sc = spark.sparkContext
-    bc = sc.broadcast(leaves)           # bounded by the model (checked in extract_leaves)
+    bc = sc.broadcast(leaves)           # bounded by the model
 
     def run(batches):
         yield from _attribute_fn(bc.value, features, key)(batches)
@@ -149,12 +158,7 @@ def _top_factor_fn(leaves: list[Leaf], features: list[str]):
     def fn(batches):
         for pdf in batches:
             x = pdf[features].to_numpy(dtype=float)
-            phi = np.zeros_like(x)
-            for leaf in leaves:
-                xs = x[:, leaf.features]
-                o = (xs > leaf.lo) & (xs <= leaf.hi)
-                code = o.astype(np.int64) @ (1 << np.arange(len(leaf.features), dtype=np.int64))
-                phi[:, leaf.features] += leaf.table[code]
+            phi = attributions(leaves, x)
             # largest |φ|; the first (lowest-index) feature wins a tie
             yield pdf.assign(top_risk_factor=names[np.argmax(np.abs(phi), axis=1)] if len(pdf) else [])
     return fn

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
@@ -27,8 +26,13 @@ from . import tables as TB
 _MEM: dict = {}
 
 
-def _key(sf_dir: str, params: dict) -> str:
-    text = json.dumps([os.path.abspath(sf_dir), sorted(params.items()), S.FEATURES], default=str)
+_CODE = ("operators/train.py", "operators/resample.py", "operators/split.py", "operators/evaluate.py")
+
+
+def _key(spark: SparkSession, sf_dir: str, params: dict) -> str:
+    """Names a model by its input files, the code that fits it, and its parameters."""
+    data = TB.fingerprint(spark, sf_dir, code=(*TB._CODE, *_CODE))
+    text = json.dumps([data, sorted(params.items()), S.FEATURES], default=str)
     return hashlib.sha1(text.encode()).hexdigest()[:16]
 
 
@@ -40,7 +44,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def models(spark: SparkSession, sf_dir: str, params: dict = S.STORED_PARAMS) -> dict:
     """GBT + logistic models and their validation thresholds for ``sf_dir``."""
-    k = _key(sf_dir, params)
+    k = _key(spark, sf_dir, params)
     if k in _MEM and _MEM[k]["spark"] is spark:
         return _MEM[k]
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/churnlens-artifacts/{k}"

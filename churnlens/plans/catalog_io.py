@@ -53,7 +53,7 @@ def q_customer_view(spark, d):
     one = SG.attach_scalar(s, first).where(F.col("loyalty_number") == F.col("_k"))
     return R(one.select(
         "loyalty_number",
-        F.coalesce("loyalty_card", F.lit("Star")).alias("tier"),
+        F.col("loyalty_card").alias("tier"),
         "clv", "tenure_months",
         F.when(F.col("is_promotion_enrollee") == 1, "Promotion").otherwise("Standard").alias("enrollment"),
         "churn_probability", "risk_level", "predicted_churn",

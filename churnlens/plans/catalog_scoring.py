@@ -48,6 +48,13 @@ def linear_attr(spark, d):
                                  S.FIXTURE_WEIGHTS, S.FIXTURE_INTERCEPT)
 
 
+def linear_rows(spark, d):
+    """Every customer's factors, against the training split as background."""
+    m = model_matrix(TB.feature_store(spark, d))
+    train = SP.assign_split(m).where(F.col("split") == "train")
+    return EX.linear_factors(m, train, S.FIXTURE_WEIGHTS, S.FIXTURE_INTERCEPT)
+
+
 @query("fixture_scores")
 def q_fixture_scores(spark, d):
     return R(scored(spark, d).select("loyalty_number", "churn", "churn_probability", "risk_level",
@@ -167,20 +174,17 @@ def q_linear_attribution(spark, d):
 
 @query("linear_top_factors")
 def q_linear_top_factors(spark, d):
-    values, _ = linear_attr(spark, d)
-    return R(EX.top_factors(values, 5))
+    return R(EX.top_of(linear_rows(spark, d), 5))
 
 
 @query("factor_explanations")
 def q_factor_explanations(spark, d):
-    values, _ = linear_attr(spark, d)
-    return R(EX.factor_explanations(values, 5))
+    return R(EX.explanations_of(linear_rows(spark, d), 5))
 
 
 @query("waterfall_rows")
 def q_waterfall_rows(spark, d):
-    values, base = linear_attr(spark, d)
-    return R(EX.waterfall_rows(values, base))
+    return R(EX.waterfall_of(linear_rows(spark, d)))
 
 
 @query("global_importance")

@@ -38,7 +38,7 @@ SELECT loyalty_number AS "Customer ID", '$' || format('{{:,.2f}}', clv) AS "CLV"
 FROM a""")
 
 q("customer_view", f"""WITH {SCORED_CTE}
-SELECT loyalty_number, COALESCE(loyalty_card, 'Star') AS tier, (round(clv, 6) + 0.0)::DOUBLE AS clv,
+SELECT loyalty_number, loyalty_card AS tier, (round(clv, 6) + 0.0)::DOUBLE AS clv,
        (round(tenure_months, 6) + 0.0)::DOUBLE AS tenure_months,
        CASE WHEN is_promotion_enrollee = 1 THEN 'Promotion' ELSE 'Standard' END AS enrollment,
        (round(churn_probability, 6) + 0.0)::DOUBLE AS churn_probability, risk_level, predicted_churn,

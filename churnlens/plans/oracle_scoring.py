@@ -268,7 +268,9 @@ base AS (SELECT SUM(weight * mean) + '{S.FIXTURE_INTERCEPT!r}'::DOUBLE AS base_v
 _ATTR_COLS = f"loyalty_number, feature, feature_index, {R6('feature_value', 'feature_value')}, {R6('shap_value', 'shap_value')}"
 q("linear_attribution", f"WITH {ATTR_CTE} SELECT {_ATTR_COLS} FROM attr")
 
-TOP_CTE = f"""{ATTR_CTE},
+# factors, texts and waterfalls are given for every customer
+_ALL_CTE = ATTR_CTE.replace("mt AS (SELECT * FROM mx WHERE split = 'test')", "mt AS (SELECT * FROM mx)")
+TOP_CTE = f"""{_ALL_CTE},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY loyalty_number ORDER BY abs(shap_value) DESC, feature_index ASC)
                   AS rank FROM attr)"""
 q("linear_top_factors", f"""WITH {TOP_CTE}
@@ -301,6 +303,10 @@ _text = f"""CASE feature
   WHEN 'loyalty_tier_numeric' THEN CASE WHEN feature_value = 1 THEN 'Star' WHEN feature_value = 2 THEN 'Nova'
        ELSE 'Aurora' END || ' tier member'
   WHEN 'redemption_frequency' THEN 'Redeems points ' || {_pct0('feature_value')} || ' of months'
+  WHEN 'salary' THEN 'Salary: ' || format('{{:.2f}}', feature_value)
+  WHEN 'marital_married' THEN 'marital_Married: ' || format('{{:.2f}}', feature_value)
+  WHEN 'marital_single' THEN 'marital_Single: ' || format('{{:.2f}}', feature_value)
+  WHEN 'country_united_states' THEN 'country_United States: ' || format('{{:.2f}}', feature_value)
   ELSE feature || ': ' || format('{{:.2f}}', feature_value) END"""
 q("factor_explanations", f"""WITH {TOP_CTE}
 SELECT loyalty_number, CAST(rank AS INTEGER) AS rank, feature, {_text} AS text,

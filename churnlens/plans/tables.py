@@ -41,14 +41,19 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FT.feature_table(activity(spark, sf_dir), loyalty(spark, sf_dir))
 
 
-def _fingerprint(sf_dir: str) -> str:
+def fingerprint(spark: SparkSession, sf_dir: str, tables=_INPUTS, code=_CODE) -> str:
+    """Digest of every input file (path, length, time; from the store that Spark reads) and of the code."""
     pkg = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     parts = []
-    for t in _INPUTS:
-        p = os.path.join(sf_dir, f"{t}.parquet")
-        st = os.stat(p) if os.path.exists(p) else None
-        parts.append([os.path.abspath(p), st.st_size if st else None, st.st_mtime_ns if st else None])
-    for c in _CODE:
+    for t in tables:
+        fs, p = _fs(spark, f"{sf_dir.rstrip('/')}/{t}.parquet")
+        found = fs.listFiles(p, True)
+        files = []
+        while found.hasNext():
+            f = found.next()
+            files.append([f.getPath().toString(), f.getLen(), f.getModificationTime()])
+        parts.append(sorted(files))
+    for c in code:
         with open(os.path.join(pkg, c), "rb") as fh:
             parts.append(hashlib.sha1(fh.read()).hexdigest())
     return hashlib.sha1(json.dumps(parts).encode()).hexdigest()[:16]
@@ -64,10 +69,11 @@ _STORE: dict = {}
 
 
 def _materialized(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    key = (id(spark.sparkContext), os.path.abspath(sf_dir), name)
+    print_of = fingerprint(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, print_of, name)
     if key in _STORE:
         return spark.read.parquet(_STORE[key])
-    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/churnlens-tables/{_fingerprint(sf_dir)}"
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/churnlens-tables/{print_of}"
     final = f"{root}/{name}"
     fs, p = _fs(spark, f"{final}/_SUCCESS")
     if not fs.exists(p):
@@ -75,8 +81,10 @@ def _materialized(spark: SparkSession, sf_dir: str, name: str, build) -> DataFra
         build().write.mode("overwrite").parquet(tmp)
         fs_t, pt = _fs(spark, tmp)
         _, pf = _fs(spark, final)
-        if not fs.exists(p):                       # another writer may have finished first
-            fs_t.rename(pt, pf)
+        if fs.exists(pf) and not fs.exists(p):      # left by a writer that did not finish
+            fs.delete(pf, True)
+        if not fs.exists(p) and not fs_t.rename(pt, pf) and not fs.exists(p):
+            raise RuntimeError(f"could not move {tmp} to {final}")
     _STORE[key] = final
     return spark.read.parquet(final)
 
@@ -108,7 +116,7 @@ def build_tables(spark: SparkSession, sf_dir: str, root: str | None = None) -> s
     activity(spark, sf_dir).write.mode("overwrite").parquet(f"{root}/activity")
     a = spark.read.parquet(f"{root}/activity")
     FT.feature_table(a, loyalty(spark, sf_dir)).write.mode("overwrite").parquet(f"{root}/features")
-    sc = id(spark.sparkContext)
-    _STORE[(sc, os.path.abspath(sf_dir), "activity")] = f"{root}/activity"
-    _STORE[(sc, os.path.abspath(sf_dir), "features")] = f"{root}/features"
+    own = (spark.sparkContext.applicationId, sf_dir, fingerprint(spark, sf_dir))
+    _STORE[(*own, "activity")] = f"{root}/activity"
+    _STORE[(*own, "features")] = f"{root}/features"
     return root

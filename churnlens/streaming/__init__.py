@@ -1 +1 @@
-from .score_stream import band_counts_per_batch, scoring_stream, start_scoring  # noqa: F401
+from .score_stream import start_scoring  # noqa: F401

@@ -1,53 +1,48 @@
 """Bulk scoring as a Structured Streaming job.
 
-The original scores customer files uploaded one at a time.  Here a directory
-of such files is a file-stream source: every new CSV is aligned to the model's
-31 inputs (absent columns → 0), scored by the persisted model, banded, given
-its top attribution factor, and appended to a Parquet sink.  Scoring is
-stateless per row, so the stream needs no watermark; progress and exactly-once file bookkeeping live in the
-checkpoint location (under ``spark.checkpoint.dir``), so a restarted or
-executor-lost job resumes where it stopped.
+The original scores customer files uploaded one at a time.  Here a directory of such files is a file
+stream of paths; each micro-batch reads its files (at most ``max_files_per_trigger``) by their own
+headers, so any subset of the columns may come in any order and under the original names.  Rows are aligned to the
+model's 31 inputs (absent columns → 0), scored by the persisted model, banded, given their top
+attribution factor, and written as the batch's part of a Parquet table.  A batch that is repeated after a
+failure overwrites its own part; progress lives in the checkpoint location (under
+``spark.checkpoint.dir``).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .. import schemas as S
 from ..operators import scoring as SC
 from ..operators import train as TR
 from ..operators.features import model_matrix
-
-UPLOAD_SCHEMA = T.StructType([T.StructField("loyalty_number", T.LongType())]
-                             + [T.StructField(f, T.DoubleType()) for f in S.FEATURES])
+from ..sources.readers import read_scoring_input
 
 
-def scoring_stream(spark: SparkSession, upload_dir: str, model, threshold: float,
-                   schema: T.StructType = UPLOAD_SCHEMA, max_files_per_trigger: int = 16) -> DataFrame:
-    """Streaming DataFrame: uploads → aligned features → probability, band,
-    decision and top attribution factor (one Arrow pass per micro-batch)."""
+def score_uploads(spark: SparkSession, paths: list[str], model, threshold: float) -> DataFrame:
+    """Files with any columns → aligned features, probability, band, decision and top factor."""
     from ..operators.treeshap import add_top_factor
-    raw = (spark.readStream.schema(schema).option("header", True)
-           .option("maxFilesPerTrigger", max_files_per_trigger).csv(upload_dir))
-    aligned = model_matrix(raw, label=None)
-    scored = SC.add_bands(TR.predict(model, aligned), threshold)
+    aligned = [model_matrix(read_scoring_input(spark, p), label=None) for p in paths]
+    scored = SC.add_bands(TR.predict(model, reduce(DataFrame.unionByName, aligned)), threshold)
     return add_top_factor(model, scored)
 
 
 def start_scoring(spark: SparkSession, upload_dir: str, out_dir: str, checkpoint_dir: str, model,
-                  threshold: float, available_now: bool = True):
-    """Start the stream into a Parquet sink; ``available_now`` processes what is
+                  threshold: float, available_now: bool = True, max_files_per_trigger: int = 16):
+    """Start the stream into ``out_dir/batch_id=…``; ``available_now`` processes what is
     there and stops (batch-like), otherwise it keeps polling for new uploads."""
-    q = (scoring_stream(spark, upload_dir, model, threshold)
-         .writeStream.format("parquet").outputMode("append")
-         .option("path", out_dir).option("checkpointLocation", checkpoint_dir))
-    q = q.trigger(availableNow=True) if available_now else q.trigger(processingTime="10 seconds")
-    return q.start()
+    files = (spark.readStream.format("binaryFile")
+             .schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", max_files_per_trigger)
+             .load(upload_dir).select("path"))       # only the names: the contents are not read here
 
+    def score_batch(batch: DataFrame, batch_id: int) -> None:
+        paths = [r["path"] for r in batch.collect()]
+        if paths:
+            score_uploads(batch.sparkSession, paths, model, threshold).write.mode("overwrite").parquet(
+                f"{out_dir}/batch_id={batch_id}")
 
-def band_counts_per_batch(batch: DataFrame, batch_id: int, out_dir: str) -> None:
-    """``foreachBatch`` sink: risk band counts of each micro-batch (idempotent by batch id)."""
-    (SC.risk_band_counts(batch).withColumn("batch_id", F.lit(batch_id))
-     .write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}"))
+    q = files.writeStream.foreachBatch(score_batch).option("checkpointLocation", checkpoint_dir)
+    q = q.trigger(availableNow=True) if available_now else q.trigger(processingTime="10 seconds")
+    return q.start()
