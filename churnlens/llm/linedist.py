@@ -91,7 +91,8 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
                 continue
         if not end and name not in VOID and _aside(name, attrs, state["article"] > 0):
             flush()
-            out.extend(gap)
+            if not state["article"] and (name in SKIP or name == "header"):   # an advert amid the text doesn't end it
+                out.extend(gap)
             skip, depth = name, 1
         elif name in ("article", "main"):
             flush()

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .sample import MAX_LABELLED, labelled_sample
 
-#: Words that the models look at, the rows such a word must occur in, and the folds.
-TERMS, MIN_ROWS, FOLDS = 256, 3, 2
+#: Words that the models look at, at most; the rows such a word must occur in and the chi-squared it must
+#: reach, so that wrong labels bring in no chance words; and the folds.
+TERMS, MIN_ROWS, MIN_CHI2, FOLDS = 256, 5, 30.0, 2
 
 # ---- FIXED VALUES: seed words that name the category of a text labelled toxic ----
 SEEDS = {
@@ -44,7 +45,7 @@ def choose_terms(labelled: DataFrame, categories: list[str]) -> list[str]:
         return F.when(gap > 0, gap * gap / (F.col("d") * (1 - F.col("d") / (n + 1)) * max(pos * (n - pos), 1.0) / (n * n)))
     best = F.greatest(*[F.coalesce(chi2(c, float(p or 0)), F.lit(0.0)) for c, p in zip(categories, sums[1:])],
                       F.lit(0.0))
-    return [r["term"] for r in df.orderBy(best.desc(), "term").limit(TERMS).collect()]
+    return [r["term"] for r in df.where(best >= MIN_CHI2).orderBy(best.desc(), "term").limit(TERMS).collect()]
 
 
 def featurise(df: DataFrame, terms: list[str]) -> DataFrame:
