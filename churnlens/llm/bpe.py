@@ -11,6 +11,8 @@ words share, in one batch or in later ones, is encoded once.
 from __future__ import annotations
 
 import json
+import re
+from array import array
 from functools import lru_cache, partial
 from itertools import chain
 
@@ -24,7 +26,7 @@ from tokenizers import pre_tokenizers
 from .common import prepare_python
 
 #: Nodes kept by a worker before it starts a new trie; bounds memory, never what is encoded.
-MAX_NODES = 400_000
+MAX_NODES = 150_000
 
 # ---- FIXED VALUES: the pre-token pattern of byte-level vocabularies ----
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -40,6 +42,16 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def token_bytes(vocabulary: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All tokens' bytes in one array, and where each id's begin and how many they are."""
+    spec, letters = json.loads(vocabulary), _byte_letters()
+    table = {i: bytes(letters[c] for c in t) for t, i in spec["model"]["vocab"].items()}
+    table |= {t["id"]: t["content"].encode() for t in spec.get("added_tokens", [])}
+    parts = [table.get(i, b"") for i in range(max(table) + 1)]
+    size = np.array([len(p) for p in parts])
+    return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(size) - size, size
+
+
 class Codec:
     """A byte-level BPE vocabulary with the trie of the prefixes met so far."""
 
@@ -66,13 +78,15 @@ class Codec:
         self.pattern = regex.compile(PRETOKEN)
         self.splitter = pre_tokenizers.ByteLevel(add_prefix_space=False)
         self.plain = regex.compile(PLAIN)
+        self.odd = re.compile(r"\A\s|\s\Z| \s|\s ", re.A)
+        self.odd_any = re.compile(r"\A\s|\s\Z| \s|\s |\A\Z")
         self.beside: dict[tuple[int, int], bool] = {}
         self.clear()
 
     def clear(self) -> None:
         self.child: dict[int, int] = {}
         self.last, self.start = [-1], [0]          # by node; node 0 is the empty prefix
-        self.of_unit: dict[str, tuple[int, ...]] = {}
+        self.of_unit: dict[str, bytes] = {}        # ids as little-endian 32-bit numbers
 
     def tail(self, token: int) -> tuple[int, ...]:
         """The tokens that end ``token`` while it is merged, from its last byte to itself."""
@@ -127,7 +141,7 @@ class Codec:
             self.beside[left, right] = ok
         return ok
 
-    def learn(self, pieces) -> dict[str, tuple[int, ...]]:
+    def learn(self, pieces) -> dict[str, bytes]:
         """Insert the distinct ``pieces``, depth first; the encoding of each."""
         known = {}
         child, last, start, ids = self.child, self.last, self.start, self.ids
@@ -149,7 +163,7 @@ class Codec:
             while node:
                 out.append(last[node])
                 node = start[node]
-            known[piece] = tuple(out[::-1])
+            known[piece] = array("i", out[::-1]).tobytes()
         return known
 
     def split(self, text: str) -> list[str]:
@@ -162,34 +176,33 @@ class Codec:
     def units(self, text: str) -> list[str]:
         """Pieces that split apart whatever surrounds them: where one blank parts two words.
 
-        A pre-token never runs across a blank with no white space on either side.
+        A pre-token never runs across a blank with no white space on either side.  Such pieces go without
+        their blank; the first one, which has none, is marked by a line feed, and so are the
+        pre-tokens of a text with other white space.
         """
-        out = text.split(" ")
-        if all(out) and not any(u[0].isspace() or u[-1].isspace() for u in out):
-            return [out[0], *(" " + u for u in out[1:])]
-        return self.split(text)
+        if text.isascii() and not self.odd.search(text) or not self.odd_any.search(text):
+            out = text.split(" ")
+            out[0] = "\n" + out[0]
+            return out
+        return ["\n" + p for p in self.split(text)]
+
+    def _encode(self, text: str) -> bytes:
+        of, units = self.of_unit, self.units(text)
+        new = [u for u in set(units) if u not in of]
+        if new:
+            if len(self.last) > MAX_NODES or len(of) > MAX_NODES:
+                self.clear()
+                of, new = self.of_unit, set(units)
+            pieces = {u: self.split(u[1:] if u[0] == "\n" else " " + u) for u in new}
+            known = self.learn(set(chain.from_iterable(pieces.values())))
+            for u, parts in pieces.items():
+                of[u] = b"".join(map(known.__getitem__, parts))
+        return b"".join(map(of.__getitem__, units))
 
     def encode(self, text: str) -> np.ndarray:
-        out, of = [], self.of_unit
-        for part in (self.split_special.split(text) if self.split_special else [text]):
-            if part in self.special:
-                out.append(np.array([self.special[part]], np.int32))
-                continue
-            units = self.units(part) if part else []
-            new = [u for u in set(units) if u not in of]
-            if new:
-                if len(self.last) > MAX_NODES or len(of) > MAX_NODES:
-                    self.clear()
-                    of, new = self.of_unit, set(units)
-                pieces = {u: self.split(u) for u in new}
-                known = self.learn(set(chain.from_iterable(pieces.values())))
-                for u, parts in pieces.items():
-                    of[u] = tuple(chain.from_iterable(map(known.__getitem__, parts)))
-            out.append(np.fromiter(chain.from_iterable(map(of.__getitem__, units)), np.int32))
-        return np.concatenate(out) if out else np.empty(0, np.int32)
-
-    def decode(self, ids) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+        parts = self.split_special.split(text) if self.split_special else [text]
+        return np.frombuffer(b"".join(self.special[p].to_bytes(4, "little") if p in self.special else self._encode(p)
+                                      for p in parts if p), "<i4")
 
 
 @lru_cache(maxsize=2)
@@ -197,6 +210,23 @@ def _codec(vocabulary: str) -> Codec:
     return Codec(vocabulary)
 
 
+@lru_cache(maxsize=2)
+def _tokens(vocabulary: str):
+    return token_bytes(vocabulary)
+
+
+def decode_lists(ids: pa.ListArray, tokens) -> pa.Array:
+    """The text of each list of ids; bytes that are no UTF-8 become U+FFFD, null ids the empty text."""
+    blob, start, size = tokens
+    at = ids.offsets.to_numpy()
+    flat = ids.values.to_numpy()[at[0]:at[-1]]
+    length = size[flat]
+    ends = np.concatenate([[0], np.cumsum(length)])
+    out = blob[np.arange(ends[-1]) + np.repeat(start[flat] - ends[:-1], length)].tobytes()
+    cuts = ends[at - at[0]]
+    return pa.array([out[a:b].decode("utf-8", "replace") for a, b in zip(cuts[:-1], cuts[1:])], pa.string())
+
+
 def _encode_batches(batches, vocabulary):
     codec = _codec(vocabulary.value)
     for b in batches:
@@ -209,10 +239,9 @@ def _encode_batches(batches, vocabulary):
 
 
 def _decode_batches(batches, vocabulary):
-    codec = _codec(vocabulary.value)
+    tokens = _tokens(vocabulary.value)
     for b in batches:
-        texts = [codec.decode(ids or ()) for ids in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())],
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), decode_lists(b.column(1), tokens)],
                                          names=["doc_id", "ids", "decoded"])
 
 
