@@ -42,14 +42,12 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-def token_bytes(vocabulary: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All tokens' bytes in one array, and where each id's begin and how many they are."""
+def token_bytes(vocabulary: str) -> list[bytes]:
+    """The bytes of every id."""
     spec, letters = json.loads(vocabulary), _byte_letters()
     table = {i: bytes(letters[c] for c in t) for t, i in spec["model"]["vocab"].items()}
     table |= {t["id"]: t["content"].encode() for t in spec.get("added_tokens", [])}
-    parts = [table.get(i, b"") for i in range(max(table) + 1)]
-    size = np.array([len(p) for p in parts])
-    return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(size) - size, size
+    return [table.get(i, b"") for i in range(max(table) + 1)]
 
 
 class Codec:
@@ -129,37 +127,42 @@ class Codec:
 
     def fits(self, left: int, right: int) -> bool:
         """Whether ``right`` can follow ``left`` (-1: nothing) in an encoding."""
-        if not self.whole(right):
-            return False
-        if left < 0:
-            return True
-        ok = self.beside.get((left, right))
-        if ok is None:
-            ok = (left, right) not in self.rank and self.apart(left, right)
-            if len(self.beside) > MAX_NODES:
-                self.beside.clear()
-            self.beside[left, right] = ok
+        ok = self.whole(right) and (left < 0 or (left, right) not in self.rank and self.apart(left, right))
+        if len(self.beside) > MAX_NODES:
+            self.beside.clear()
+        self.beside[left, right] = ok
         return ok
 
     def learn(self, pieces) -> dict[str, bytes]:
         """Insert the distinct ``pieces``, depth first; the encoding of each."""
         known = {}
-        child, last, start, ids = self.child, self.last, self.start, self.ids
+        child, last, start, ids, beside, longest = self.child, self.last, self.start, self.ids, self.beside, self.longest
+        path: list[int] = [0]
+        before = b""
         for piece in sorted(pieces):
-            word, path = piece.encode(), [0]
-            for d in range(1, len(word) + 1):
-                edge = path[-1] << 8 | word[d - 1]
+            word = piece.encode()
+            d, end = 0, min(len(word), len(before))
+            while d < end and word[d] == before[d]:      # the way that the word before went as well
+                d += 1
+            before = word
+            del path[d + 1:]
+            node = path[d]
+            for d in range(d + 1, len(word) + 1):
+                edge = node << 8 | word[d - 1]
                 node = child.get(edge)
                 if node is None:
-                    for size in range(1, min(d, self.longest) + 1):   # one size fits; most tokens are short
+                    for size in range(1, min(d, longest) + 1):        # one size fits; most tokens are short
                         token = ids.get(word[d - size:d])
-                        if token is not None and self.fits(last[path[d - size]], token):
-                            break
+                        if token is not None:
+                            left = last[path[d - size]]
+                            ok = beside.get((left, token))
+                            if ok if ok is not None else self.fits(left, token):
+                                break
                     node = child[edge] = len(last)
                     last.append(token)
                     start.append(path[d - size])
                 path.append(node)
-            out, node = [], path[-1]
+            out = []
             while node:
                 out.append(last[node])
                 node = start[node]
@@ -215,16 +218,12 @@ def _tokens(vocabulary: str):
     return token_bytes(vocabulary)
 
 
-def decode_lists(ids: pa.ListArray, tokens) -> pa.Array:
+def decode_lists(ids: pa.ListArray, tokens: list[bytes]) -> pa.Array:
     """The text of each list of ids; bytes that are no UTF-8 become U+FFFD, null ids the empty text."""
-    blob, start, size = tokens
-    at = ids.offsets.to_numpy()
-    flat = ids.values.to_numpy()[at[0]:at[-1]]
-    length = size[flat]
-    ends = np.concatenate([[0], np.cumsum(length)])
-    out = blob[np.arange(ends[-1]) + np.repeat(start[flat] - ends[:-1], length)].tobytes()
-    cuts = ends[at - at[0]]
-    return pa.array([out[a:b].decode("utf-8", "replace") for a, b in zip(cuts[:-1], cuts[1:])], pa.string())
+    at, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
+    token = tokens.__getitem__
+    return pa.array([b"".join(map(token, flat[a:b].tolist())).decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:])],
+                    pa.string())
 
 
 def _encode_batches(batches, vocabulary):
