@@ -1,11 +1,12 @@
 """Byte-level BPE encoding by prefix-sharing trie traversal, and decoding.
 
-The distinct pre-tokens of each Arrow batch are inserted into a trie in sorted order, which is its
-depth-first order.  A node stands for a prefix and holds the last token of that prefix's encoding;
-its state comes from the states of shorter prefixes on the same path: the last token is the vocabulary
-entry that ends the prefix and can stand after the last token of what precedes it.  Two tokens can
-stand side by side if merging their bytes alone gives those two tokens again.  A prefix that several
-words share, in one batch or in later ones, is encoded once.
+The distinct new pre-tokens of each Arrow batch form a trie, laid out in sorted order, which is its
+depth-first order: where two neighbours part, the walk goes back to that node.  A node stands for a
+prefix and holds the last token of that prefix's encoding; its state comes from the states of shorter
+prefixes on the same path: the last token is the vocabulary entry that ends the prefix and can stand
+after the last token of what precedes it.  Two tokens can stand side by side if merging their bytes
+alone gives those two tokens again.  A prefix that several words of a batch share is encoded once; only
+the path to the present node is held, and the words encoded so far are known to later batches.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ import json
 import re
 from array import array
 from functools import lru_cache, partial
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +25,9 @@ from tokenizers import pre_tokenizers
 
 from .common import prepare_python
 
-#: Nodes kept by a worker before it starts a new trie; bounds memory, never what is encoded.
-MAX_NODES = 150_000
+#: Words, and checked pairs of tokens, that a worker keeps from earlier batches; bounds memory, never what
+#: is encoded: beyond it the words that the present batch lacks are forgotten.
+MAX_KNOWN = 300_000
 
 # ---- FIXED VALUES: the pre-token pattern of byte-level vocabularies ----
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -50,6 +51,10 @@ def token_bytes(vocabulary: str) -> list[bytes]:
     return [table.get(i, b"") for i in range(max(table) + 1)]
 
 
+#: Key of a token's own id among the ids of those that it can follow; -1 there is "nothing".
+SELF = -2
+
+
 class Codec:
     """A byte-level BPE vocabulary with the trie of the prefixes met so far."""
 
@@ -71,20 +76,19 @@ class Codec:
             self.bytes_of[i] = t
         for t, i in self.special.items():
             self.bytes_of[i] = t.encode()
-        self.longest = max(map(len, self.ids))
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.pattern = regex.compile(PRETOKEN)
         self.splitter = pre_tokenizers.ByteLevel(add_prefix_space=False)
         self.plain = regex.compile(PLAIN)
         self.odd = re.compile(r"\A\s|\s\Z| \s|\s ", re.A)
         self.odd_any = re.compile(r"\A\s|\s\Z| \s|\s |\A\Z")
-        self.beside: dict[tuple[int, int], bool] = {}
-        self.clear()
+        self.known: dict[str, bytes] = {}          # by unit: its ids as little-endian 32-bit numbers
+        self.forget_pairs()
 
-    def clear(self) -> None:
-        self.child: dict[int, int] = {}
-        self.last, self.start = [-1], [0]          # by node; node 0 is the empty prefix
-        self.of_unit: dict[str, bytes] = {}        # ids as little-endian 32-bit numbers
+    def forget_pairs(self) -> None:
+        """By a token's bytes: which tokens it can follow, as far as checked, and at ``SELF`` its id."""
+        self.after: dict[bytes, dict[int, int | bool]] = {t: {SELF: i} for t, i in self.ids.items()}
+        self.pairs = 0
 
     def tail(self, token: int) -> tuple[int, ...]:
         """The tokens that end ``token`` while it is merged, from its last byte to itself."""
@@ -127,17 +131,15 @@ class Codec:
 
     def fits(self, left: int, right: int) -> bool:
         """Whether ``right`` can follow ``left`` (-1: nothing) in an encoding."""
-        ok = self.whole(right) and (left < 0 or (left, right) not in self.rank and self.apart(left, right))
-        if len(self.beside) > MAX_NODES:
-            self.beside.clear()
-        self.beside[left, right] = ok
-        return ok
+        return self.whole(right) and (left < 0 or (left, right) not in self.rank and self.apart(left, right))
 
     def learn(self, pieces) -> dict[str, bytes]:
-        """Insert the distinct ``pieces``, depth first; the encoding of each."""
-        known = {}
-        child, last, start, ids, beside, longest = self.child, self.last, self.start, self.ids, self.beside, self.longest
-        path: list[int] = [0]
+        """The encoding of each of the distinct ``pieces``, whose trie is walked depth first."""
+        encoded = {}
+        if self.pairs > MAX_KNOWN:
+            self.forget_pairs()
+        after = self.after
+        last, start = [-1], [0]         # of each prefix on the path: its last token, and where that token starts
         before = b""
         for piece in sorted(pieces):
             word = piece.encode()
@@ -145,29 +147,25 @@ class Codec:
             while d < end and word[d] == before[d]:      # the way that the word before went as well
                 d += 1
             before = word
-            del path[d + 1:]
-            node = path[d]
+            del last[d + 1:], start[d + 1:]
             for d in range(d + 1, len(word) + 1):
-                edge = node << 8 | word[d - 1]
-                node = child.get(edge)
-                if node is None:
-                    for size in range(1, min(d, longest) + 1):        # one size fits; most tokens are short
-                        token = ids.get(word[d - size:d])
-                        if token is not None:
-                            left = last[path[d - size]]
-                            ok = beside.get((left, token))
-                            if ok if ok is not None else self.fits(left, token):
-                                break
-                    node = child[edge] = len(last)
-                    last.append(token)
-                    start.append(path[d - size])
-                path.append(node)
-            out = []
-            while node:
-                out.append(last[node])
-                node = start[node]
-            known[piece] = array("i", out[::-1]).tobytes()
-        return known
+                for i in range(d - 1, -1, -1):           # one start fits; most tokens are short
+                    token = after.get(word[i:d])
+                    if token is not None:
+                        ok = token.get(last[i])
+                        if ok is None:
+                            ok = token[last[i]] = self.fits(last[i], token[SELF])
+                            self.pairs += 1
+                        if ok:
+                            break
+                last.append(token[SELF])
+                start.append(i)
+            out, d = [], len(word)
+            while d:
+                out.append(last[d])
+                d = start[d]
+            encoded[piece] = array("i", out[::-1]).tobytes()
+        return encoded
 
     def split(self, text: str) -> list[str]:
         """The pre-tokens of a text.  Characters that the pattern library's newer tables class
@@ -180,32 +178,48 @@ class Codec:
         """Pieces that split apart whatever surrounds them: where one blank parts two words.
 
         A pre-token never runs across a blank with no white space on either side.  Such pieces go without
-        their blank; the first one, which has none, is marked by a line feed, and so are the
-        pre-tokens of a text with other white space.
+        their blank; the first one, which has none, is marked by a line feed.  A text with other white
+        space gives its pre-tokens, marked the same way.
         """
         if text.isascii() and not self.odd.search(text) or not self.odd_any.search(text):
             out = text.split(" ")
             out[0] = "\n" + out[0]
             return out
-        return ["\n" + p for p in self.split(text)]
-
-    def _encode(self, text: str) -> bytes:
-        of, units = self.of_unit, self.units(text)
-        new = [u for u in set(units) if u not in of]
-        if new:
-            if len(self.last) > MAX_NODES or len(of) > MAX_NODES:
-                self.clear()
-                of, new = self.of_unit, set(units)
-            pieces = {u: self.split(u[1:] if u[0] == "\n" else " " + u) for u in new}
-            known = self.learn(set(chain.from_iterable(pieces.values())))
-            for u, parts in pieces.items():
-                of[u] = b"".join(map(known.__getitem__, parts))
-        return b"".join(map(of.__getitem__, units))
+        return [_unit(p) for p in self.split(text)]
+
+    def meet(self, units: set[str]) -> None:
+        """Make the encoding of each unit known."""
+        known = self.known
+        if len(known) > MAX_KNOWN:
+            known = self.known = {u: known[u] for u in units if u in known}
+        parts = {u: self.split(_piece(u)) for u in units if u not in known}
+        pieces = {p for ps in parts.values() for p in ps}
+        known.update((_unit(p), ids) for p, ids in self.learn({p for p in pieces if _unit(p) not in known}).items())
+        for u, ps in parts.items():
+            if len(ps) > 1:
+                known[u] = b"".join([known[_unit(p)] for p in ps])
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of every text; null as empty."""
+        special = self.special
+        cut = self.split_special.split if self.split_special else lambda t: [t]
+        rows = [[p if p in special else self.units(p) for p in cut(t or "") if p] for t in texts]
+        self.meet({u for row in rows for part in row if not isinstance(part, str) for u in part})
+        of = self.known.__getitem__
+        return [np.frombuffer(b"".join([special[p].to_bytes(4, "little") if isinstance(p, str) else b"".join(map(of, p))
+                                        for p in row]), "<i4") for row in rows]
 
     def encode(self, text: str) -> np.ndarray:
-        parts = self.split_special.split(text) if self.split_special else [text]
-        return np.frombuffer(b"".join(self.special[p].to_bytes(4, "little") if p in self.special else self._encode(p)
-                                      for p in parts if p), "<i4")
+        return self.encode_all([text])[0]
+
+
+def _unit(piece: str) -> str:
+    """A pre-token without its blank, or marked by a line feed if it has none or is white space."""
+    return piece[1:] if piece[0] == " " and not piece.isspace() else "\n" + piece
+
+
+def _piece(unit: str) -> str:
+    return unit[1:] if unit[0] == "\n" else " " + unit
 
 
 @lru_cache(maxsize=2)
@@ -229,8 +243,7 @@ def decode_lists(ids: pa.ListArray, tokens: list[bytes]) -> pa.Array:
 def _encode_batches(batches, vocabulary):
     codec = _codec(vocabulary.value)
     for b in batches:
-        texts = b.column(1).to_pylist()
-        ids = [codec.encode(t or "") for t in texts]
+        ids = codec.encode_all(b.column(1).to_pylist())
         ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
         flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
@@ -244,27 +257,38 @@ def _decode_batches(batches, vocabulary):
                                          names=["doc_id", "ids", "decoded"])
 
 
+def _round_trip_batches(batches, vocabulary):
+    return _decode_batches(_encode_batches(batches, vocabulary), vocabulary)
+
+
 def _vocabulary(spark, path: str):
     """The vocabulary file's text, read on the driver and sent once to each executor (a fixed file)."""
     with open(path, encoding="utf-8") as f:
         return spark.sparkContext.broadcast(f.read())
 
 
+def _map(rows: DataFrame, work, vocabulary_path: str, schema: str) -> DataFrame:
+    prepare_python(rows.sparkSession)
+    return rows.mapInArrow(partial(work, vocabulary=_vocabulary(rows.sparkSession, vocabulary_path)), schema)
+
+
 def encode(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """``(doc_id, ids array<int>)`` for every row of ``docs``.
 
     A null or empty text gives no ids; special tokens written in a text get their own id, as the
     tokenizers library does by default; repeated rows each give a row; other columns are not read.
     """
-    prepare_python(docs.sparkSession)
-    vocabulary = _vocabulary(docs.sparkSession, vocabulary_path)
-    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-            .mapInArrow(partial(_encode_batches, vocabulary=vocabulary), "doc_id long, ids array<int>"))
+    return _map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _encode_batches, vocabulary_path,
+                "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
     """``(doc_id, ids)`` → ``(doc_id, ids, decoded)``; null ids give the empty text."""
-    prepare_python(encoded.sparkSession)
-    vocabulary = _vocabulary(encoded.sparkSession, vocabulary_path)
-    return encoded.select("doc_id", "ids").mapInArrow(
-        partial(_decode_batches, vocabulary=vocabulary), "doc_id long, ids array<int>, decoded string")
+    return _map(encoded.select("doc_id", "ids"), _decode_batches, vocabulary_path,
+                "doc_id long, ids array<int>, decoded string")
+
+
+def round_trip(docs: DataFrame, vocabulary_path: str) -> DataFrame:
+    """:func:`encode` and then :func:`decode`, in one pass of one Python worker per task."""
+    return _map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _round_trip_batches,
+                vocabulary_path, "doc_id long, ids array<int>, decoded string")

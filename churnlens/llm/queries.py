@@ -31,7 +31,7 @@ def vocabulary(name: str) -> str:
 @query
 def op2_bpe(spark, sf_dir):
     path = vocabulary("byte_bpe_50k.json")
-    full = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    full = bpe.round_trip(table(spark, sf_dir, "documents"), path)
     return full.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -39,7 +39,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the text they decode to."""
     path = vocabulary("byte_bpe_50k.json")
-    return (bpe.decode(bpe.encode(docs, path), path)
+    return (bpe.round_trip(docs, path)
             .select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").alias("text")))
 
 

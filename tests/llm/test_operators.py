@@ -105,6 +105,18 @@ def test_bpe_equals_the_library(spark, docs, empty):
         want[r["doc_id"], tuple(ids), lib.decode(ids, skip_special_tokens=False)] += 1
     assert Counter((r["doc_id"], tuple(r["ids"]), r["decoded"]) for r in got) == want
     assert bpe.encode(empty, VOCAB).count() == 0
+    assert bpe.round_trip(empty, VOCAB).count() == 0
+    both = bpe.round_trip(docs, VOCAB).collect()
+    assert sorted(map(str, both)) == sorted(map(str, got))
+
+
+def test_bpe_forgets_words_but_not_results(monkeypatch):
+    lib, codec = Tokenizer.from_file(VOCAB), bpe.Codec(open(VOCAB, encoding="utf-8").read())
+    monkeypatch.setattr(bpe, "MAX_KNOWN", 3)
+    texts = ["one two  three", "two four.\nfive", " ", None, "one\tsix two", "\x1c x", "five five"] * 3
+    got = [codec.encode_all(texts[i:i + 2]) for i in range(0, len(texts), 2)]
+    want = [e.ids for e in lib.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert [g.tolist() for part in got for g in part] == want
 
 
 def test_bpe_on_random_text():
