@@ -56,7 +56,9 @@ def featurise(df: DataFrame, terms: list[str]) -> DataFrame:
 
 def _model(train: DataFrame, target: str, before: list[str]):
     x = VectorAssembler(inputCols=["__x", *before], outputCol="__in").transform(train)
-    return LogisticRegression(featuresCol="__in", labelCol=target, regParam=0.01, maxIter=15).fit(x.coalesce(1))
+    # one order of the bounded sample's rows, so that its sums, and with them the model, are the same in each run
+    x = x.coalesce(1).sortWithinPartitions("__id", "__key")
+    return LogisticRegression(featuresCol="__in", labelCol=target, regParam=0.01, maxIter=15).fit(x)
 
 
 def _predict(model, df: DataFrame, before: list[str], out: str) -> DataFrame:
@@ -71,7 +73,8 @@ def fit_chain(labelled: DataFrame, categories: list[str]):
     """``labelled`` (``doc_id``, ``text``, 0/1 columns ``categories``) → the words and the models in chain order."""
     terms = choose_terms(labelled, categories)
     train = (featurise(labelled, terms)
-             .select("__x", F.pmod(F.xxhash64("doc_id", "text"), F.lit(FOLDS)).alias("__fold"), *categories))
+             .select("__x", F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__key"),
+                     F.pmod(F.xxhash64("doc_id", "text"), F.lit(FOLDS)).alias("__fold"), *categories))
     train = materialize(train, "chain")
     models, before = [], []
     for i, target in enumerate(categories):
@@ -108,8 +111,11 @@ def score(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Data
     terms = _terms("text")
     for name, seeds in SEEDS.items():
         rows = rows.withColumn(name, (F.arrays_overlap(terms, F.array(*map(F.lit, seeds))) & (F.col("toxic") == 1)).cast("int"))
-    rows = materialize(rows.dropDuplicates(["text"]), "labelled")     # copies would outvote single texts
     categories = [*SEEDS, "toxic"]
+    # copies would outvote single texts: of those with one text the smallest id counts
+    rows = (rows.groupBy("text").agg(F.min(F.struct("doc_id", *categories)).alias("__row"))
+            .select("text", "__row.*"))
+    rows = materialize(rows, "labelled")
     if rows.agg(F.countDistinct("toxic")).first()[0] < 2:       # nothing to learn a border from
         return docs.withColumns({f"__p_{c}": F.lit(0.0) for c in categories})
     return apply_chain(docs, fit_chain(rows, categories))

@@ -331,3 +331,12 @@ def test_pipeline_runs_and_keeps_clean_rows(spark, tmp_path, docs):
     assert {r["doc_id"] for r in out} >= {0, 3, 4, 5, 8, 9, 10, 13, 14, 15}
     assert all(list(r["ids"]) == lib.encode(r["text"], add_special_tokens=False).ids for r in out)
     assert [hashlib.md5(r["text"].encode()).hexdigest() for r in out if r["doc_id"] == 5] == [hashlib.md5(_texts()[5].encode()).hexdigest()]
+
+
+def test_toxicity_does_not_depend_on_the_order_of_rows(spark):
+    rows = [(i, ("you idiot trash " if i % 3 == 0 else "a calm text ") + f"word{i % 40}") for i in range(240)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0 or i % 50 == 7)) for i in range(240)], "doc_id long, toxic int")
+    def run(order):
+        docs = spark.createDataFrame(order, "doc_id long, text string").repartition(len(order) % 5 + 2)
+        return sorted(tuple(r) for r in toxicity.score(docs, labels).select("doc_id", "__p_toxic").collect())
+    assert run(rows) == run(rows[::-1]) == run(rows[100:] + rows[:100])
