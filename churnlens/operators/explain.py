@@ -206,3 +206,15 @@ def dependence_data(attr: DataFrame, importance: DataFrame, top: int = 3, bins:
     return (a.withColumn("bin", b).groupBy("feature", "rank", "bin")
             .agg(F.min("feature_value").alias("value_min"), F.max("feature_value").alias("value_max"),
                  F.avg("shap_value").alias("mean_shap"), F.count(F.lit(1)).alias("count")))
+
+
+def beeswarm_data(attr: DataFrame, importance: DataFrame, top: int = 15, key: str = "loyalty_number") -> DataFrame:
+    """EX6 — every row's attribution of the top features, with the place of its value between the feature's
+    smallest and largest one (0 to 1, the colour of the plot; 0.5 where all are equal)."""
+    bounds = attr.groupBy("feature").agg(F.min("feature_value").alias("_lo"), F.max("feature_value").alias("_hi"))
+    top_f = importance.where(F.col("rank") <= top).select("feature", "rank").join(bounds, "feature")
+    width = F.col("_hi") - F.col("_lo")
+    # ``top_f`` has one row per top feature: a bounded broadcast side.
+    return attr.join(F.broadcast(top_f), "feature").select(
+        key, "feature", "rank", "feature_value", "shap_value",
+        F.when(width > 0, (F.col("feature_value") - F.col("_lo")) / width).otherwise(F.lit(0.5)).alias("value_place"))

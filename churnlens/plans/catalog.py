@@ -120,6 +120,18 @@ def q_segment_filtered_kpis(spark, d):
     return R(SG.segment_filtered_kpis(TB.feature_store(spark, d), tiers=["Star", "Nova"]))
 
 
+@query("segment_filtered_provinces")
+def q_segment_filtered_provinces(spark, d):
+    """FI5 — two provinces chosen, the other options at their defaults."""
+    return R(SG.segment_filtered_kpis(TB.feature_store(spark, d), provinces=["NATION_0", "NATION_3"]))
+
+
+@query("balanced_sample")
+def q_balanced_sample(spark, d):
+    """SA1 — up to 100 rows of each class."""
+    return SG.balanced_sample(TB.feature_store(spark, d), 200).select("loyalty_number", "churn")
+
+
 @query("filter_domains")
 def q_filter_domains(spark, d):
     return SG.filter_domains(TB.feature_store(spark, d))

@@ -15,7 +15,7 @@ from ..session import ensure_checkpoint_dir
 from ..sources import readers, sinks
 from . import tables as TB
 from .catalog import query
-from .catalog_scoring import scored
+from .catalog_scoring import linear_attr, scored
 
 R = TB.round_doubles
 
@@ -44,6 +44,63 @@ def q_action_list_export(spark, d):
     return sinks.format_action_list(RT.action_list(scored(spark, d)))
 
 
+@query("action_list_preview")
+def q_action_list_preview(spark, d):
+    """SO6 — the first ten rows of the export: largest probability first, ties by key."""
+    return sinks.format_action_list(SG.top_k(RT.action_list(scored(spark, d)), "churn_probability", 10, "customer_id"))
+
+
+def _io_path(spark, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/churnlens-io/{uuid.uuid4().hex}/{name}"
+
+
+@query("loyalty_csv_round_trip")
+def q_loyalty_csv_round_trip(spark, d):
+    """IO2 — the loyalty table as header CSV (original headers), read with the explicit schema."""
+    path = _io_path(spark, "loyalty")
+    inverse = {v: k for k, v in S.LOYALTY_HEADERS.items()}
+    table = TB.loyalty(spark, d)
+    sinks.write_csv(table.select([F.col(c).alias(inverse.get(c, c)) for c in table.columns]), path)
+    back = readers.read_loyalty(spark, path)
+    return back.withColumn("cancellation_year", F.col("cancellation_year").cast("double"))
+
+
+_EXPORTED = ["loyalty_number", "clv", "churn_probability", "risk_level", "predicted_churn"]
+
+
+def _exported(spark, path: str):
+    types = dict(churn_probability="double", predicted_churn="int")
+    back = readers.read_scoring_input(spark, path)
+    return R(back.select(*[F.col(c).cast(types[c]).alias(c) if c in types else c for c in _EXPORTED]))
+
+
+@query("scored_export_round_trip")
+def q_scored_export_round_trip(spark, d):
+    """IO11 — the whole scored table exported as CSV and read back as an upload is (IO9)."""
+    path = _io_path(spark, "scored")
+    sinks.export_scored(scored(spark, d).select(*_EXPORTED), path)
+    return _exported(spark, path)
+
+
+@query("high_risk_export_round_trip")
+def q_high_risk_export_round_trip(spark, d):
+    """IO12 — the High band alone."""
+    path = _io_path(spark, "high-risk")
+    sinks.export_high_risk(scored(spark, d).select(*_EXPORTED), path)
+    return _exported(spark, path)
+
+
+@query("attribution_store_round_trip")
+def q_attribution_store_round_trip(spark, d):
+    """IO8 — attributions and their base value stored and read back: each customer's margin."""
+    path = _io_path(spark, "attributions")
+    sinks.write_attributions(*linear_attr(spark, d), path)
+    values, base = readers.read_attributions(spark, path)
+    sums = values.groupBy("loyalty_number").agg(F.sum("shap_value").alias("_phi"))
+    return R(SG.attach_scalar(sums, base).select("loyalty_number", "base_value",
+                                                 (F.col("base_value") + F.col("_phi")).alias("margin")))
+
+
 @query("customer_view")
 def q_customer_view(spark, d):
     """FI8 + SC4 — one customer (the first key, the view's default) with profile,

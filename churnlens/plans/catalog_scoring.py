@@ -191,3 +191,9 @@ def q_waterfall_rows(spark, d):
 def q_global_importance(spark, d):
     values, _ = linear_attr(spark, d)
     return R(EX.global_importance(values))
+
+
+@query("beeswarm_data")
+def q_beeswarm_data(spark, d):
+    values, _ = linear_attr(spark, d)
+    return R(EX.beeswarm_data(values, EX.global_importance(values)))

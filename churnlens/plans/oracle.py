@@ -254,6 +254,24 @@ SELECT COUNT(*) FILTER (WHERE keep) AS filtered_customers, COUNT(*) AS total_cus
        round(AVG(CASE WHEN keep THEN total_flights_24m END), 6)::DOUBLE AS avg_flights
 FROM x""")
 
+q("segment_filtered_provinces", f"""WITH {FEATURES_CTE},
+b AS (SELECT CAST(trunc(min(salary)) AS BIGINT) AS s_lo, CAST(trunc(max(salary)) AS BIGINT) AS s_hi,
+             CAST(trunc(min(tenure_months)) AS BIGINT) AS t_lo, CAST(trunc(max(tenure_months)) AS BIGINT) AS t_hi
+      FROM features),
+x AS (SELECT f.*, COALESCE(province IN ('NATION_0', 'NATION_3') AND salary >= s_lo AND salary <= s_hi
+                           AND tenure_months >= t_lo AND tenure_months <= t_hi, false) AS keep
+      FROM features f, b)
+SELECT COUNT(*) FILTER (WHERE keep) AS filtered_customers, COUNT(*) AS total_customers,
+       round(AVG(CASE WHEN keep THEN churn END) * 100, 6)::DOUBLE AS churn_rate,
+       round(AVG(CASE WHEN keep THEN clv END), 6)::DOUBLE AS avg_clv,
+       round(AVG(CASE WHEN keep THEN total_flights_24m END), 6)::DOUBLE AS avg_flights
+FROM x""")
+
+q("balanced_sample", f"""WITH {FEATURES_CTE},
+r AS (SELECT loyalty_number, churn, row_number() OVER (PARTITION BY churn
+             ORDER BY md5(CAST(loyalty_number AS VARCHAR) || '-42')) AS n FROM features)
+SELECT loyalty_number, churn FROM r WHERE n <= 100""")
+
 q("filter_domains", f"""WITH {FEATURES_CTE}
 SELECT string_agg(DISTINCT loyalty_card, '|' ORDER BY loyalty_card) AS tiers,
        string_agg(DISTINCT enrollment_type, '|' ORDER BY enrollment_type) AS enrollment_types,

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from .. import schemas as S
-from .oracle import ACTIVITY_CTE, FEATURES_CTE, q
-from .oracle_scoring import SCORED_CTE
+from .oracle import ACTIVITY_CTE, FEATURES_CTE, LOYALTY_CTE, q
+from .oracle_scoring import ATTR_CTE, SCORED_CTE
 
 q("activity_csv_round_trip", f"WITH {ACTIVITY_CTE} SELECT * FROM activity")
 
@@ -50,3 +50,25 @@ top AS (SELECT loyalty_number FROM features ORDER BY clv DESC, loyalty_number AS
 ch AS (SELECT loyalty_number FROM features WHERE churn = 1
        ORDER BY md5(CAST(loyalty_number AS VARCHAR) || '-42') LIMIT 5)
 SELECT DISTINCT loyalty_number FROM (SELECT * FROM top UNION ALL SELECT * FROM ch)""")
+
+q("action_list_preview", f"""WITH {SCORED_CTE},
+a AS (SELECT loyalty_number, clv, churn_probability, list_filter([{_conds}], lambda x: x IS NOT NULL) AS items
+      FROM scored WHERE risk_level = 'High' ORDER BY churn_probability DESC, loyalty_number LIMIT 10)
+SELECT loyalty_number AS "Customer ID", '$' || format('{{:,.2f}}', clv) AS "CLV",
+       format('{{:.1f}}', churn_probability * 100.0::DOUBLE) || '%' AS "Churn Risk",
+       CASE WHEN len(items) > 0 THEN array_to_string(items[1:2], '; ') ELSE '{S.ACTION_LIST_DEFAULT}' END
+         AS "Recommended Actions"
+FROM a""")
+
+q("loyalty_csv_round_trip", f"""WITH {LOYALTY_CTE}
+SELECT * REPLACE (CAST(cancellation_year AS DOUBLE) AS cancellation_year) FROM loyalty""")
+
+_exported = """SELECT loyalty_number, (round(clv, 6) + 0.0)::DOUBLE AS clv,
+       (round(churn_probability, 6) + 0.0)::DOUBLE AS churn_probability, risk_level, predicted_churn FROM scored"""
+q("scored_export_round_trip", f"WITH {SCORED_CTE} {_exported}")
+q("high_risk_export_round_trip", f"WITH {SCORED_CTE} {_exported} WHERE churn_probability >= 0.6")
+
+q("attribution_store_round_trip", f"""WITH {ATTR_CTE}
+SELECT loyalty_number, (round(MIN(base_value), 6) + 0.0)::DOUBLE AS base_value,
+       (round(MIN(base_value) + SUM(shap_value), 6) + 0.0)::DOUBLE AS margin
+FROM attr, base GROUP BY loyalty_number""")

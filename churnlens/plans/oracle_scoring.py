@@ -334,3 +334,11 @@ g AS (SELECT feature, feature_index, AVG(abs(shap_value)) AS importance FROM att
 SELECT feature, feature_index, {_display} AS display_name, {R6('importance', 'importance')},
        CAST(row_number() OVER (ORDER BY importance DESC, feature_index ASC) AS INTEGER) AS rank
 FROM g""")
+
+q("beeswarm_data", f"""WITH {ATTR_CTE},
+g AS (SELECT feature, row_number() OVER (ORDER BY AVG(abs(shap_value)) DESC, MIN(feature_index)) AS rank,
+             MIN(feature_value) AS lo, MAX(feature_value) AS hi FROM attr GROUP BY feature)
+SELECT loyalty_number, feature, CAST(rank AS INTEGER) AS rank, {R6('feature_value', 'feature_value')},
+       {R6('shap_value', 'shap_value')},
+       {R6('CASE WHEN hi > lo THEN (feature_value - lo) / (hi - lo) ELSE 0.5 END', 'value_place')}
+FROM attr JOIN g USING (feature) WHERE rank <= 15""")
