@@ -2,9 +2,11 @@
 
 An existing vocabulary gives the pieces and, by its scores, first weights.  A text is the sequence of its
 words, each opened by the vocabulary's word mark, and one end; every way to segment it into pieces counts.
-The weights are fitted to the training documents by expectation-maximisation over the distinct words, and
-a document's score is its marginal log10 probability over all segmentations.  Pieces never cross a word
-mark, so that is a sum over words, each computed once by a forward recursion in log space.
+The pieces' weights are fitted to the distinct training words by expectation-maximisation.  Each training
+word is also one arc across its lattice, weighted by its own count less a discount; the discounts are the
+weight with which the paths over pieces are entered, so the weights of all words and the end add up to one.
+A document's score is its marginal log10 probability over all paths.  None crosses a word mark, so that is
+a sum over words, each computed once by a forward recursion in log space.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 from collections import Counter
 from functools import partial
 from math import exp, inf, log, log1p
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +27,7 @@ from .common import materialize, prepare_python, text_key
 #: Most frequent words kept by every worker (the others meet their counts by a join), rounds of fitting,
 #: and words a worker counts before it hands them on.
 HEAD, ROUNDS, FLUSH = 150_000, 2, 400_000
-MARK, END = b" ", b"\n"
+MARK = b" "
 LOG10 = log(10.0)
 
 
@@ -33,7 +36,7 @@ def held_out(doc_id="doc_id"):
 
 
 def pieces(model_path: str) -> list[tuple[bytes, float]]:
-    """The vocabulary's pieces as bytes with log weights from its scores, the end piece last.
+    """The vocabulary's pieces as bytes with log weights from its scores.
 
     The file's scores are negative ranks, so weights follow Zipf's law; single bytes rank last.  Pieces
     with a mark after their first character can't occur in a word and are left out.
@@ -49,9 +52,8 @@ def pieces(model_path: str) -> list[tuple[bytes, float]]:
             continue
         else:
             raw, rank = m.id_to_piece(i).replace("▁", " ").encode(), -m.get_score(i)
-        if MARK not in raw[1:] and END not in raw:
+        if MARK not in raw[1:]:
             out[raw] = out.get(raw, 0.0) + 1.0 / (rank + 2.0)
-    out[END] = 0.01 * sum(out.values())
     total = sum(out.values())
     return [(p, log(w / total)) for p, w in out.items()]
 
@@ -96,16 +98,19 @@ class Lattice:
             alpha[b] = total
         return alpha
 
-    def log10(self, word: bytes) -> float:
-        """Marginal log10 weight of a word, its mark in front."""
-        return self.forward(self.edges(MARK + word))[-1] / LOG10
+    def log10(self, word: bytes, arc: float = 0.0, enter: float = 1.0) -> float:
+        """Marginal log10 weight of a word, its mark in front: its own arc, and the paths over pieces."""
+        paths = log(enter) + self.forward(self.edges(MARK + word))[-1]
+        if arc <= 0.0:
+            return paths / LOG10
+        return (log(arc) + log1p(exp(min(paths - log(arc), 700.0)))) / LOG10
 
-    def expect(self, word: bytes, times: float, into: np.ndarray) -> None:
-        """Adds the expected uses of each piece in ``times`` copies of a word."""
+    def expect(self, word: bytes, into: np.ndarray) -> None:
+        """Adds the expected uses of each piece in a word."""
         ends = self.edges(MARK + word)
         alpha = self.forward(ends)
         n = len(ends) - 1
-        share = [0.0] * n + [times]                     # expected segmentations through each position
+        share = [0.0] * n + [1.0]                       # expected segmentations through each position
         for b in range(n, 0, -1):
             here = share[b]
             if here > 0.0:
@@ -145,17 +150,17 @@ def _count_batches(batches):
 def _expect_batches(batches, names, weights):
     lattice, into = Lattice(names.value, weights), np.zeros(len(names.value))
     for b in batches:
-        for word, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            lattice.expect(word, float(c), into)
+        for word in b.column(0).to_pylist():
+            lattice.expect(word, into)
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(into), dtype=np.int32)), pa.array(into)], names=["piece", "uses"])
 
 
-def _score_batches(batches, names, weights):
+def _score_batches(batches, names, weights, rates):
     lattice = Lattice(names.value, weights)
     for b in batches:
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(1), pa.array([lattice.log10(w) for w in b.column(0).to_pylist()], pa.float64())],
-            names=["word", "c", "lp"])
+        lp = [lattice.log10(w, (c - rates.discount) / rates.total if c else 0.0, rates.enter)
+              for w, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lp, pa.float64())], names=["word", "c", "lp"])
 
 
 def _split_batches(batches, head):
@@ -184,22 +189,40 @@ def _split_batches(batches, head):
                                          names=["doc_id", "key", "word", "tf", "n", "known", "base", "model"])
 
 
-def fit(counts: DataFrame, n_train: int, model_path: str, rounds: int = ROUNDS):
+class Rates(NamedTuple):
+    """Share of a word's count that its arc gives up, the sum of all counts (two added), and the weights
+    of the paths over pieces and of the end."""
+
+    discount: float
+    total: float
+    enter: float
+    end: float
+
+
+def rates(tokens: int, words: int, once: int, twice: int, ends: int) -> Rates:
+    """Absolute discounting, the discount estimated from the numbers of words seen once and twice.
+
+    One added to the paths' and to the end's count keeps both possible without training text.
+    """
+    discount = min(once / (once + 2.0 * twice), 0.95) if once else 0.0
+    return Rates(discount, tokens + 2.0, (discount * words + 1.0) / (tokens + 2.0), (ends + 1.0) / (tokens + 2.0))
+
+
+def fit(counts: DataFrame, model_path: str, rounds: int = ROUNDS):
     """``counts(word, c)`` of the training text → the pieces (broadcast) and their log weights.
 
-    The E-step runs over the distinct words in tasks; one row for each piece of the fixed vocabulary
-    reaches the driver.
+    Each distinct word counts once: the pieces stand for words yet unseen.  The E-step runs over the words
+    in tasks; one row for each piece of the fixed vocabulary reaches the driver.
     """
     start = pieces(model_path)
     names = counts.sparkSession.sparkContext.broadcast([p for p, _ in start])
     weights = np.array([w for _, w in start])
-    for _ in range(rounds if n_train else 0):
+    for _ in range(rounds):
         uses = np.full(len(weights), 0.01)             # keeps unseen pieces possible
-        rows = (counts.where("c > 0").mapInArrow(partial(_expect_batches, names=names, weights=weights), "piece int, uses double")
+        rows = (counts.where("c > 0").select("word").mapInArrow(partial(_expect_batches, names=names, weights=weights), "piece int, uses double")
                 .groupBy("piece").agg(F.sum("uses").alias("uses")).collect())
         for r in rows:
             uses[r["piece"]] += r["uses"]
-        uses[len(uses) - 1] += n_train
         weights = np.log(uses / uses.sum())
     return names, weights
 
@@ -207,7 +230,8 @@ def fit(counts: DataFrame, n_train: int, model_path: str, rounds: int = ROUNDS):
 def score(docs: DataFrame, model_path: str, rounds: int = ROUNDS) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row.
 
-    A null or empty text has the end as its one token.  A null id counts as training.  Rows that repeat
+    A null or empty text has the end as its one token.  Without training text the pieces keep their first
+    weights and the end has one half.  A null id counts as training.  Rows that repeat
     id and text each get a row; an empty table gives an empty table; other columns are not read.
     """
     spark = docs.sparkSession
@@ -216,10 +240,12 @@ def score(docs: DataFrame, model_path: str, rounds: int = ROUNDS) -> DataFrame:
     counts = materialize(rows.select("text", held_out().alias("held")).mapInArrow(_count_batches, "word binary, c long")
                          .groupBy("word").agg(F.sum("c").alias("c")), "counts")
     n_train = docs.select(held_out().alias("h")).where("not h").count()
-    total, distinct = counts.agg(F.sum("c"), F.count(F.when(F.col("c") > 0, 1))).first()
-    total, distinct = (total or 0) + n_train, distinct + (n_train > 0)
-    names, weights = fit(counts, n_train, model_path, rounds)
-    scored = materialize(counts.mapInArrow(partial(_score_batches, names=names, weights=weights), "word binary, c long, lp double")
+    seen = [F.count(F.when(x, 1)) for x in (F.col("c") > 0, F.col("c") == 1, F.col("c") == 2)]
+    total, n_words, once, twice = counts.agg(F.sum("c"), *seen).first()
+    total, distinct = (total or 0) + n_train, n_words + (n_train > 0)
+    names, weights = fit(counts, model_path, rounds if n_words else 0)
+    rate = rates(total, n_words, once, twice, n_train)
+    scored = materialize(counts.mapInArrow(partial(_score_batches, names=names, weights=weights, rates=rate), "word binary, c long, lp double")
                          .select("word", F.log10(F.col("c") + 1.0).alias("lc"), "lp", (F.col("c") > 0).cast("int").alias("seen"), "c"),
                          "words")
     # frequent words by size class of their count: whole classes, from the top, while HEAD words hold them
@@ -245,7 +271,7 @@ def score(docs: DataFrame, model_path: str, rounds: int = ROUNDS) -> DataFrame:
                  F.sum(F.when(own, F.col("model")).otherwise(F.col("tf") * F.coalesce("lp", F.lit(0.0)))).alias("model")))
     end_base = float(np.log10(n_train + 1.0))
     norm = float(np.log10(total + distinct + 1.0))
-    end_model = float(weights[-1]) / LOG10
+    end_model = float(np.log10(rate.end))
     each = lambda c: F.col(c) / F.col("copies")
     n_tokens = each("n").cast("long")
     return (parts.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
