@@ -59,7 +59,11 @@ def pieces(model_path: str) -> list[tuple[bytes, float]]:
 
 
 class Lattice:
-    """Pieces with their log weights, and every prefix of a piece (to end a search early)."""
+    """Pieces with their log weights, and every prefix of a piece (to end a search early).
+
+    What a word's lattice holds up to a position depends on the characters before it alone, so the part
+    that a word shares with the one before is kept; words in sorted order share most.
+    """
 
     def __init__(self, names: list[bytes], weights):
         self.table: dict[bytes, tuple[int, float] | None] = {}
@@ -67,57 +71,71 @@ class Lattice:
             for n in range(1, len(p)):
                 self.table.setdefault(p[:n], None)
             self.table[p] = (i, float(w))
-
-    def edges(self, word: bytes) -> list[list[tuple[int, int, float]]]:
-        """By end position: start, piece and weight of the pieces that end there."""
-        n, get = len(word), self.table.get
-        ends: list[list[tuple[int, int, float]]] = [[] for _ in range(n + 1)]
-        for a in range(n):
-            for b in range(a + 1, n + 1):
+        self.word = b""
+        #: by position: log of the summed weights of all segmentations up to it; the pieces that end there, as
+        #: start, piece and log weight of the paths through it; the starts from which a piece may go on
+        self.alpha: list[float] = [0.0]
+        self.ends: list[list[tuple[int, int, float]]] = [[]]
+        self.live: list[list[int]] = [[]]
+
+    def forward(self, word: bytes) -> float:
+        """Log of the summed weights of all segmentations of a word, its mark in front."""
+        word, last, get = MARK + word, self.word, self.table.get
+        alpha, ends, live = self.alpha, self.ends, self.live
+        same = 0
+        for x, y in zip(word, last):
+            if x != y:
+                break
+            same += 1
+        del alpha[same + 1:], ends[same + 1:], live[same + 1:]
+        for b in range(same + 1, len(word) + 1):
+            on, here, total = [], [], -inf
+            for a in (*live[b - 1], b - 1):
                 hit = get(word[a:b], 0)
                 if hit == 0:
-                    break
+                    continue
+                on.append(a)
                 if hit is not None:
-                    ends[b].append((a, hit[0], hit[1]))
-        return ends
-
-    @staticmethod
-    def forward(ends) -> list[float]:
-        """Log of the summed weights of all segmentations of each prefix."""
-        alpha = [0.0] + [-inf] * (len(ends) - 1)
-        for b in range(1, len(ends)):
-            total = -inf
-            for a, _, w in ends[b]:
-                x = alpha[a] + w
-                if total == -inf:
-                    total = x
-                elif x > total:
-                    total = x + log1p(exp(total - x))
-                elif x > -inf:
-                    total += log1p(exp(x - total))
-            alpha[b] = total
-        return alpha
+                    x = alpha[a] + hit[1]
+                    here.append((a, hit[0], x))
+                    if total == -inf:
+                        total = x
+                    elif x > total:
+                        total = x + log1p(exp(total - x))
+                    elif x > -inf:
+                        total += log1p(exp(x - total))
+            alpha.append(total)
+            ends.append(here)
+            live.append(on)
+        self.word = word
+        return alpha[-1]
 
     def log10(self, word: bytes, arc: float = 0.0, enter: float = 1.0) -> float:
         """Marginal log10 weight of a word, its mark in front: its own arc, and the paths over pieces."""
-        paths = log(enter) + self.forward(self.edges(MARK + word))[-1]
+        paths = log(enter) + self.forward(word)
         if arc <= 0.0:
             return paths / LOG10
         return (log(arc) + log1p(exp(min(paths - log(arc), 700.0)))) / LOG10
 
-    def expect(self, word: bytes, into: np.ndarray) -> None:
+    def expect(self, word: bytes, into) -> None:
         """Adds the expected uses of each piece in a word."""
-        ends = self.edges(MARK + word)
-        alpha = self.forward(ends)
-        n = len(ends) - 1
+        self.forward(word)
+        alpha, ends = self.alpha, self.ends
+        n = len(alpha) - 1
         share = [0.0] * n + [1.0]                       # expected segmentations through each position
         for b in range(n, 0, -1):
             here = share[b]
             if here > 0.0:
-                for a, i, w in ends[b]:
-                    part = here * exp(alpha[a] + w - alpha[b])
-                    share[a] += part
-                    into[i] += part
+                if len(ends[b]) == 1:
+                    a, i, _ = ends[b][0]
+                    share[a] += here
+                    into[i] += here
+                else:
+                    top = alpha[b]
+                    for a, i, x in ends[b]:
+                        part = here * exp(x - top)
+                        share[a] += part
+                        into[i] += part
 
 
 def _binary(col: pa.Array) -> list[bytes | None]:
@@ -148,11 +166,11 @@ def _count_batches(batches):
 
 
 def _expect_batches(batches, names, weights):
-    lattice, into = Lattice(names.value, weights), np.zeros(len(names.value))
+    lattice, into = Lattice(names.value, weights), [0.0] * len(names.value)
     for b in batches:
         for word in b.column(0).to_pylist():
             lattice.expect(word, into)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(into), dtype=np.int32)), pa.array(into)], names=["piece", "uses"])
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(into), dtype=np.int32)), pa.array(into, pa.float64())], names=["piece", "uses"])
 
 
 def _score_batches(batches, names, weights, rates):
@@ -238,7 +256,7 @@ def score(docs: DataFrame, model_path: str, rounds: int = ROUNDS) -> DataFrame:
     prepare_python(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
     counts = materialize(rows.select("text", held_out().alias("held")).mapInArrow(_count_batches, "word binary, c long")
-                         .groupBy("word").agg(F.sum("c").alias("c")), "counts")
+                         .groupBy("word").agg(F.sum("c").alias("c")).sortWithinPartitions("word"), "counts")
     n_train = docs.select(held_out().alias("h")).where("not h").count()
     seen = [F.count(F.when(x, 1)) for x in (F.col("c") > 0, F.col("c") == 1, F.col("c") == 2)]
     total, n_words, once, twice = counts.agg(F.sum("c"), *seen).first()
