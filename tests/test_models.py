@@ -143,3 +143,20 @@ def test_top_factor_in_pass_equals_long_table(spark):
     ref = {r["loyalty_number"]: r["top_risk_factor"] for r in EX.top_factor(values).collect()}
     got = {r["loyalty_number"]: r["top_risk_factor"] for r in TS.add_top_factor(model, df, FEATS).collect()}
     assert got == ref
+
+
+def test_trials_table_searches_the_whole_space(spark, monkeypatch):
+    from conftest import SF_SMALL
+
+    from churnlens import schemas as S
+    from churnlens.operators import train as TR
+    from churnlens.plans import all_queries
+    fitted = []
+    # every trial is counted, none fitted: the whole search takes long
+    monkeypatch.setattr(TR, "fit_gbt", lambda train, p, **kw: fitted.append(p))
+    monkeypatch.setattr(TR, "validation_f1", lambda *a: (0.5, 0.5))
+    rows = all_queries()["trials_table"](spark, SF_SMALL).collect()
+    assert len(rows) == len(fitted) == S.SEARCH_TRIALS == 30
+    assert sorted(r["params"] for r in rows) == sorted(str(sorted(p.items())) for p in TR.random_trials())
+    for name in ("n_estimators", "max_depth"):
+        assert {p[name] for p in fitted} == set(S.SEARCH_SPACE[name])
