@@ -342,3 +342,16 @@ def test_toxicity_does_not_depend_on_the_order_of_rows(spark):
         docs = spark.createDataFrame(order, "doc_id long, text string").repartition(len(order) % 5 + 2)
         return sorted(tuple(r) for r in toxicity.score(docs, labels).select("doc_id", "__p_toxic").collect())
     assert run(rows) == run(rows[::-1]) == run(rows[100:] + rows[:100])
+
+
+@pytest.mark.parametrize("attrs", ['style="overflow:hidden"', 'title="a hidden gem"', 'data-hidden="false"', "data-id=sidebar",
+                                   'title="class=menu"', "data-role='navigation'", 'alt="" x-class="ads"'])
+def test_values_and_other_names_are_no_attributes(attrs):
+    text = "The body of the article stands here. " * 5
+    assert linedist.main_text(f"<body><div {attrs}><p>{text}</p></div></body>") == text.strip()
+
+
+@pytest.mark.parametrize("attrs", ["hidden", "HIDDEN=''", "class=sidebar", 'title="x" CLASS="a menu"', "aria-hidden = 'true'", "a=b id='nav'/"])
+def test_hidden_and_side_elements_are_left_out(attrs):
+    text = "The body of the article stands here. " * 5
+    assert linedist.main_text(f"<body><p>{text}</p><div {attrs}><p>{text} aside</p></div></body>") == text.strip()
