@@ -25,7 +25,7 @@ WINDOW, SURGE = 3, 86
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption
 figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td
 tfoot th thead tr ul""".split())
-RAW = "script|style|noscript|template|svg|math|textarea|select|iframe|object|canvas|audio|video|head|title"
+RAW = "script|style|noscript|template|svg|math|textarea|select|iframe|object|canvas|audio|video|title"
 SKIP = frozenset("nav aside footer form button menu dialog fieldset".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())

@@ -355,3 +355,10 @@ def test_values_and_other_names_are_no_attributes(attrs):
 def test_hidden_and_side_elements_are_left_out(attrs):
     text = "The body of the article stands here. " * 5
     assert linedist.main_text(f"<body><p>{text}</p><div {attrs}><p>{text} aside</p></div></body>") == text.strip()
+
+
+@pytest.mark.parametrize("head", ["<head><title>x</title><body>", "<head><meta charset=utf-8><style>p {}</style><title>x</title></head><body>",
+                                  "<HEAD><title>x</title><script>var a = '<p>no</p>';</script><BODY class=page>"])
+def test_a_head_without_its_end_tag_hides_no_page(head):
+    text = "The body of the article stands here. " * 5
+    assert linedist.main_text(f"<html>{head}<article><p>{text}</p></article></body></html>") == text.strip()
