@@ -27,6 +27,7 @@ figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu n
 tfoot th thead tr ul""".split())
 RAW = "script|style|noscript|template|svg|math|textarea|select|iframe|object|canvas|audio|video|title"
 SKIP = frozenset("nav aside footer form button menu dialog fieldset".split())
+CONTAINERS = frozenset("body center div section table td th".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 SIDE_NAMES = re.compile(r"""(?:^|[\s_-])(?:ads?|adv|advert\w*|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notices?|alert|popup|modal
@@ -55,19 +56,36 @@ def _aside(name: str, attrs: str, in_article: bool) -> bool:
     return False
 
 
-def lines(html: str) -> list[tuple[str, int, bool]]:
-    """The page's lines: text, length outside links, whether it stands in an article element."""
+def _nest(open_: list[tuple[str, int]], end: str, name: str, number: int) -> None:
+    """Keeps the list of open containers, names and numbers, at a tag of a block."""
+    if name in ("td", "th", "tr") and any(n == "table" for n, _ in open_):     # cells need no end tag
+        while open_[-1][0] != "table":
+            open_.pop()
+    if not end and name in CONTAINERS:
+        open_.append((name, number))
+    elif end and any(n == name for n, _ in open_):
+        while open_.pop()[0] != name:
+            pass
+
+
+def lines(html: str) -> list[tuple[str, int, bool, frozenset[int]]]:
+    """The page's lines: text, length outside links, whether it stands in an article element, its parents.
+
+    A paragraph's parent is the container around it; text right in a container is either a piece of that
+    one or, if the container is a paragraph itself, of the one around.
+    """
     html = _NOT_TEXT.sub(" ", html)
-    out: list[tuple[str, int, bool]] = []
+    out: list[tuple[str, int, bool, frozenset[int]]] = []
     text: list[str] = []
     state = {"own": 0, "article": 0, "link": 0}
-    gap = [("", 0, False)] * WINDOW
+    open_, leaf = [("", -1)], False
+    gap = [("", 0, False, frozenset())] * WINDOW
 
     def flush() -> None:
         line = " ".join(unescape("".join(text)).split())
         text.clear()
         if line:
-            out.append((line, state["own"], state["article"] > 0))
+            out.append((line, state["own"], state["article"] > 0, frozenset(n for _, n in open_[-1 if leaf else -2:])))
         state["own"] = 0
 
     skip, depth, at = "", 0, 0
@@ -78,6 +96,7 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
             text.append(part)
             state["own"] += 0 if state["link"] else len(part.strip())
         at = m.end()
+        own_end = False
         if skip:
             if name == skip:
                 depth += -1 if end else not attrs.endswith("/")
@@ -86,7 +105,7 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
             elif skip == "p" and name in BLOCKS:
                 skip = ""
             if depth == 0:
-                skip = ""
+                skip, own_end = "", True
             if skip or name in SKIP and end:
                 continue
         if not end and name not in VOID and _aside(name, attrs, state["article"] > 0):
@@ -103,6 +122,9 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
                 out.extend(gap)
         elif name in BLOCKS:
             flush()
+            if not own_end:
+                _nest(open_, end, name, m.start())
+                leaf = not end and name not in CONTAINERS
         elif name == "br":
             text.append(" ")
         elif name == "a":
@@ -115,14 +137,19 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
 
 
 def main_text(html: str | None) -> str:
-    """The lines between surge and dive points, joined by a blank line."""
+    """The lines between surge and dive points, joined by a blank line.
+
+    Of a page that marks its article all lines in there count, as the body is known; a page of links alone
+    counts as marked by any line there.  In other pages a run of lines that stays below the threshold goes
+    on with a body before it, as far as its lines share a parent with the lines kept there.
+    """
     rows = lines(html or "")
-    if any(inside and n for _, n, inside in rows):          # the page marks its article: other lines are empty
-        rows = [r if r[2] else ("", 0, False) for r in rows]
-    size = [n for _, n, _ in rows]
+    if any(inside and n for _, n, inside, _ in rows) or not any(n for _, n, _, _ in rows):
+        return "\n\n".join(t for t, _, inside, _ in rows if inside and t)
+    size = [n for _, n, _, _ in rows]
     block = [sum(size[i:i + WINDOW]) for i in range(len(rows))]
     need = min(SURGE, max(block, default=0))
-    kept, i = [], 0
+    kept, parents, i = [], frozenset(), 0
     while i < len(rows):
         if not block[i]:
             i += 1
@@ -130,8 +157,12 @@ def main_text(html: str | None) -> str:
         dive = i
         while dive < len(rows) and block[dive]:
             dive += 1
-        if max(block[i:dive]) >= need:
-            kept += [t for t, _, _ in rows[i:dive] if t]
+        run = [r for r in rows[i:dive] if r[0]]
+        if max(block[i:dive]) < need:
+            run = [r for r in run if r[3] & parents]
+        if run:
+            kept += [t for t, _, _, _ in run]
+            parents = frozenset().union(*(r[3] for r in run))
         i = dive
     return "\n\n".join(kept)
 

@@ -362,3 +362,20 @@ def test_hidden_and_side_elements_are_left_out(attrs):
 def test_a_head_without_its_end_tag_hides_no_page(head):
     text = "The body of the article stands here. " * 5
     assert linedist.main_text(f"<html>{head}<article><p>{text}</p></article></body></html>") == text.strip()
+
+
+def test_short_lines_of_an_article_stay():
+    body, short, link = "word " * 59 + "words", "The short end of it", "<p><a href=x>See the rest</a></p>"
+    aside = "<aside>Buy this</aside>"
+    # no article element: a short run after the body and in the same parent, not one elsewhere
+    page = f"<body><div><p>{body}</p>{aside}<p>{short}.</p><ul><li>One</ul>{aside}<p>{short}</p></div><nav>Menu</nav><div><p>Legal note</p></div></body>"
+    assert linedist.main_text(page) == "\n\n".join([body, short + ".", "One", short])
+    cells = f"<table><tr><td><p>{body}</p>{aside}<p>{short}</p><td><form>x</form><p>Other cell</p></table>"
+    assert linedist.main_text(cells) == f"{body}\n\n{short}"
+    # within an article links are text, wherever they stand
+    assert linedist.main_text(f"<article><p>{body}</p>{link}</article>") == f"{body}\n\nSee the rest"
+    got = linedist.main_text(f"<main><p>{body}</p>{link * 4}<p>{short}</p></main><p>{body}</p>")
+    assert got == "\n\n".join([body, *["See the rest"] * 4, short])
+    assert linedist.main_text(f"<nav>x</nav><main>{link}</main>") == "See the rest"
+    # an article of links alone doesn't hide the body beside it
+    assert linedist.main_text(f"<div><p>{body}</p></div><article>{link}</article>") == body
