@@ -56,20 +56,24 @@ def _cell_batches(batches, pivots: np.ndarray):
             names=["vec_id", "v", "cell", "gap"])
 
 
-def _need_batches(batches, pivots: np.ndarray, near: list[list[float]], k: int):
-    """For each query group and data cell the distance that a vector must have to matter to a query."""
+def _need_batches(batches, pivots: np.ndarray, near: list[list[tuple[float, int]]], k: int):
+    """For each query group and data cell the distance that a vector must have to matter to a query.
+
+    ``near``: for each cell the smallest distances, each of another id, and those ids.
+    """
     least = np.full((len(pivots), len(pivots)), np.inf)
     seen = np.zeros(len(pivots), bool)
     owner = np.concatenate([np.full(len(e), j) for j, e in enumerate(near)]).astype(int)
-    gaps = np.concatenate([np.array(e, float) for e in near])
+    gaps, ids = (np.array([e[i] for c in near for e in c], t) for i, t in enumerate((np.float64, np.int64)))
     for b in batches:
         q = _matrix(b.column(1), pivots.shape[1]).astype(np.float64)
         if not len(q):
             continue
         cell, norm, dot = b.column(2).to_numpy(), np.sqrt((q ** 2).sum(axis=1)), q @ pivots.T
-        sure = np.sort(dot[:, owner] - norm[:, None] * gaps, axis=1)[:, ::-1]
-        # the (k+1)-th, as the query may be one of the vectors counted; -inf: fewer vectors than that
-        floor = sure[:, k] if sure.shape[1] > k else np.full(len(q), -np.inf)
+        sure = dot[:, owner] - norm[:, None] * gaps
+        sure[b.column(0).to_numpy()[:, None] == ids] = -np.inf               # a query never meets its own id
+        # the k-th; -inf: fewer vectors than that
+        floor = np.sort(sure, axis=1)[:, -k] if sure.shape[1] >= k else np.full(len(q), -np.inf)
         with np.errstate(divide="ignore", invalid="ignore"):
             need = (floor[:, None] - dot) / norm[:, None]
         need = np.where(np.isfinite(need), need - 1e-6 * (1 + np.abs(need)), -np.inf)
@@ -128,13 +132,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     kind = "vec_id long, v array<long>, cell int, gap double"
     data = materialize(vectors.mapInArrow(celled, kind), "cells")
     asked = materialize(queries.dropDuplicates(["vec_id", "v"]).mapInArrow(celled, kind), "asked")
-    low = Window.partitionBy("cell").orderBy("gap")
-    # the k+1 smallest distances of each cell: first within salted parts, so a large cell is not one task
-    parts = (data.select("cell", "gap", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("salt"))
-             .withColumn("r", F.row_number().over(Window.partitionBy("cell", "salt").orderBy("gap"))).where(f"r <= {k + 1}"))
-    near: list[list[float]] = [[] for _ in chosen]
-    for r in parts.withColumn("r", F.row_number().over(low)).where(f"r <= {k + 1}").select("cell", "gap").collect():
-        near[r["cell"]].append(r["gap"])
+    low = Window.partitionBy("cell").orderBy("gap", "vec_id")
+    # the smallest distances of k+1 ids in each cell, so k are left without the query's own, however many vectors
+    # share an id: first within salted parts, so a large cell is not one task
+    parts = (data.groupBy("cell", "vec_id").agg(F.min("gap").alias("gap"))
+             .withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
+             .withColumn("r", F.row_number().over(Window.partitionBy("cell", "salt").orderBy("gap", "vec_id"))).where(f"r <= {k + 1}"))
+    near: list[list[tuple[float, int]]] = [[] for _ in chosen]
+    for r in parts.withColumn("r", F.row_number().over(low)).where(f"r <= {k + 1}").select("cell", "gap", "vec_id").collect():
+        near[r["cell"]].append((r["gap"], r["vec_id"]))
     need = (asked.mapInArrow(partial(_need_batches, pivots=pivots, near=near, k=k), "grp int, cell int, need double")
             .groupBy("grp", "cell").agg(F.min("need").alias("need")))
     need = materialize(need, "need")                                     # at most PIVOTS x PIVOTS rows

@@ -379,3 +379,17 @@ def test_short_lines_of_an_article_stay():
     assert linedist.main_text(f"<nav>x</nav><main>{link}</main>") == "See the rest"
     # an article of links alone doesn't hide the body beside it
     assert linedist.main_text(f"<div><p>{body}</p></div><article>{link}</article>") == body
+
+
+def test_voronoi_with_many_vectors_of_one_id(spark):
+    rng = random.Random(4)
+    rows = [(0, [1000 + i, 3]) for i in range(12)] + [(i, [10 + i, -i]) for i in range(1, 8)]
+    rows += [(100 + i % 5, [rng.randint(-500, 500), rng.randint(-500, 500)]) for i in range(60)]
+    v = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    for data in (v.where("vec_id < 100"), v):
+        got = Counter(tuple(r) for r in voronoi.top_k(data, data, 5).select("query_id", "vec_id", "score").collect())
+        have, exp = [tuple(r) for r in data.collect()], Counter()
+        for q in {i for i, _ in have}:
+            met = sorted((-sum(a * b for a, b in zip(x, y)), j) for i, x in have if i == q for j, y in have if j != q)
+            exp.update((q, j, -s) for s, j in met[:5])
+        assert got == exp
