@@ -8,35 +8,54 @@ maxima of every one of the columns prune shards.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .ranking import global_rank
 
 
-def _ordinal(df: DataFrame, name: str) -> Column:
-    """A column as a number in the column's own order (strings: their first seven bytes)."""
-    kind = df.schema[name].dataType
-    if isinstance(kind, T.StringType):
-        head = F.substring(F.col(name).cast("binary"), 1, 7)
-        return F.conv(F.rpad(F.hex(head), 14, "0"), 16, 10).cast("double")
-    return F.col(name).cast("double")
+#: Distinct strings in order whose rows one task counts up.
+RUN = 65_536
+
+
+def _string_cuts(df: DataFrame, name: str, cells: int) -> list[str]:
+    """The least strings at or below which lie 1, 2, ... ``cells``-ths of the rows that are not null.
+
+    Distinct values are counted, put in order by their whole length, and their counts added up in runs
+    of values; only the cuts reach the driver.
+    """
+    counts = df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("v")).agg(F.count("*").alias("n"))
+    ranked = global_rank(counts, ["v"]).withColumn("part", F.expr(f"rank div {RUN}"))
+    sums = ranked.groupBy("part").agg(F.sum("n").alias("s"))
+    offsets = sums.select("part", (F.sum("s").over(Window.orderBy("part")) - F.col("s")).alias("before"),
+                          F.sum("s").over(Window.partitionBy()).alias("rows"))
+    upto = ranked.join(F.broadcast(offsets), "part").withColumn(
+        "upto", F.col("before") + F.sum("n").over(Window.partitionBy("part").orderBy("rank")))
+    passed = lambda at: F.least(F.expr(f"({at}) * {cells} div rows"), F.lit(cells - 1))
+    return sorted((r["v"] for r in upto.where(passed("upto") > passed("upto - n")).select("v").collect()), key=str.encode)
 
 
 def quantise(df: DataFrame, dims: list[str], bits: int, accuracy: int = 10_000) -> DataFrame:
     """Adds ``x0..``: for each dimension the number of its quantile cuts at or below the value.
 
-    The cuts come from one aggregate over all rows; nulls and NaN go to cell 0.
+    The cuts of numbers come from one aggregate over all rows, those of strings from the counts of whole
+    values; nulls and NaN go to cell 0.
     """
     share = [i / (1 << bits) for i in range(1, 1 << bits)]
-    df = df.withColumns({f"__o{i}": _ordinal(df, d) for i, d in enumerate(dims)})
-    cuts = df.agg(*[F.percentile_approx(F.when(~F.isnan(f"__o{i}"), F.col(f"__o{i}")), share, accuracy).alias(f"c{i}")
-                    for i in range(len(dims))]).first()
+    text = [isinstance(df.schema[d].dataType, T.StringType) for d in dims]
+    cuts = {i: _string_cuts(df, d, 1 << bits) for i, d in enumerate(dims) if text[i]}
+    df = df.withColumns({f"__o{i}": F.col(d) if text[i] else F.col(d).cast("double") for i, d in enumerate(dims)})
+    numbers = [i for i in range(len(dims)) if not text[i]]
+    if numbers:
+        found = df.agg(*[F.percentile_approx(F.when(~F.isnan(f"__o{i}"), F.col(f"__o{i}")), share, accuracy).alias(f"c{i}")
+                         for i in numbers]).first()
+        cuts |= {i: sorted({float(c) for c in found[f"c{i}"] or []}) for i in numbers}
     def cell(i: int) -> Column:
-        at = F.array(*[F.lit(float(c)) for c in sorted(set(cuts[i] or []))]) if cuts[i] else F.array().cast("array<double>")
+        at = F.array(*map(F.lit, cuts[i])) if cuts[i] else F.array().cast("array<string>" if text[i] else "array<double>")
         below = F.size(F.filter(at, lambda c: c <= F.col(f"__o{i}")))
-        return F.when(F.col(f"__o{i}").isNull() | F.isnan(f"__o{i}"), 0).otherwise(below).cast("int")
+        none = F.col(f"__o{i}").isNull()
+        return F.when(none if text[i] else none | F.isnan(f"__o{i}"), 0).otherwise(below).cast("int")
     return df.withColumns({f"x{i}": cell(i) for i in range(len(dims))}).drop(*[f"__o{i}" for i in range(len(dims))])
 
 

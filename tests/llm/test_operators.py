@@ -393,3 +393,14 @@ def test_voronoi_with_many_vectors_of_one_id(spark):
             met = sorted((-sum(a * b for a, b in zip(x, y)), j) for i, x in have if i == q for j, y in have if j != q)
             exp.update((q, j, -s) for s, j in met[:5])
         assert got == exp
+
+
+def test_strings_are_quantised_by_their_whole_value(spark):
+    names = sorted(["https://example.org/%03d" % i for i in range(40)] + ["crawl-2024-01", "crawl-2024-02", "", "é", "zebra"], key=str.encode)
+    rows = [(n, float(i)) for i, n in enumerate(names) for _ in range(1 + i % 3)] + [(None, None)] * 2
+    df = spark.createDataFrame(rows, "s string, place double")
+    got = hilbert.quantise(df, ["s", "place"], 3).collect()
+    # a string's cell is that of its place in the order
+    assert all(r["x0"] == r["x1"] for r in got) and {r["x0"] for r in got if r["s"]} == set(range(8))
+    assert all(r["x0"] == 0 for r in got if r["s"] is None)
+    assert hilbert.quantise(df.limit(0), ["s"], 3).count() == 0
