@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import status_label
+from ..operators import explain as EX
 from ..operators import retention as RT
 from ..operators import scoring as SC
 from ..operators import segments as SG
@@ -15,7 +16,7 @@ from ..session import ensure_checkpoint_dir
 from ..sources import readers, sinks
 from . import tables as TB
 from .catalog import query
-from .catalog_scoring import linear_attr, scored
+from .catalog_scoring import linear_attr, linear_rows, scored
 
 R = TB.round_doubles
 
@@ -117,6 +118,23 @@ def q_customer_view(spark, d):
         status_label("churn").alias("actual_outcome")))
 
 
+@query("customer_report")
+def q_customer_report(spark, d):
+    """SC4 in full — the customer view's row with that customer's factors (EX2), texts (EX3), waterfall (EX4)
+    and recommendations (RE1), each as an array in its order."""
+    view = q_customer_view(spark, d)
+    key = F.broadcast(view.select("loyalty_number"))                       # one row
+    rows = linear_rows(spark, d).join(key, "loyalty_number", "left_semi")
+    parts = {"factors": (R(EX.top_of(rows)), "rank"), "explanations": (R(EX.explanations_of(rows)), "rank"),
+             "waterfall": (R(EX.waterfall_of(rows)), "position"),
+             "recommendations": (R(RT.recommendations(scored(spark, d).join(key, "loyalty_number", "left_semi"))), "rank")}
+    for name, (part, order) in parts.items():
+        rest = [c for c in part.columns if c not in ("loyalty_number", order)]
+        part = part.groupBy("loyalty_number").agg(F.sort_array(F.collect_list(F.struct(order, *rest))).alias(name))
+        view = view.join(part, "loyalty_number", "left")
+    return view
+
+
 @query("showcase_ids")
 def q_showcase_ids(spark, d):
     """SA2 / SE2 — top 5 customers by CLV ∪ up to 5 seeded churned customers."""

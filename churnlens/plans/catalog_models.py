@@ -87,17 +87,27 @@ def q_bulk_scoring(spark, d):
                     "top_risk_factor"))
 
 
-@query("trials_table")
-def q_trials_table(spark, d):
-    """ML7 — random search: every trial over the full space, four at a time."""
+def _search(spark, d, trials):
     m = SP.assign_split(model_matrix(TB.feature_store(spark, d)))
     train = m.where(F.col("split") == "train")
     valid = m.where(F.col("split") == "validation")
     resampled = TR.with_weight(RS.oversample(train), SP.class_weights(train))
-    table, _ = TR.search(resampled, valid, TR.random_trials(), parallelism=4)
+    table, _ = TR.search(resampled, valid, trials, parallelism=4)
     return table
 
 
+@query("trials_table")
+def q_trials_table(spark, d):
+    """ML7 — random search: every trial over the full space, four at a time."""
+    return _search(spark, d, TR.random_trials())
+
+
+@query("grid_trials")
+def q_grid_trials(spark, d):
+    """ML8 — grid search over the whole fallback grid, four trials at a time."""
+    return _search(spark, d, TR.grid_trials())
+
+
 @query("gbt_threshold_sweep")
 def q_gbt_threshold_sweep(spark, d):
     return EV.threshold_sweep(AR.scored_split(spark, d, "gbt"))

@@ -160,3 +160,23 @@ def test_trials_table_searches_the_whole_space(spark, monkeypatch):
     assert sorted(r["params"] for r in rows) == sorted(str(sorted(p.items())) for p in TR.random_trials())
     for name in ("n_estimators", "max_depth"):
         assert {p[name] for p in fitted} == set(S.SEARCH_SPACE[name])
+
+
+def test_grid_trials_and_customer_report_are_plans(spark, monkeypatch):
+    from conftest import SF_SMALL
+
+    from churnlens.operators import train as TR
+    from churnlens.plans import all_queries
+    monkeypatch.setattr(TR, "fit_gbt", lambda train, p, **kw: None)
+    monkeypatch.setattr(TR, "validation_f1", lambda *a: (0.5, 0.5))
+    plans = all_queries()
+    rows = plans["grid_trials"](spark, SF_SMALL).collect()
+    assert sorted(r["params"] for r in rows) == sorted(str(sorted(p.items())) for p in TR.grid_trials())
+    one, = plans["customer_report"](spark, SF_SMALL).collect()
+    view, = plans["customer_view"](spark, SF_SMALL).collect()
+    assert tuple(one)[:len(view)] == tuple(view)
+    for name, plan, order in (("factors", "linear_top_factors", "rank"), ("explanations", "factor_explanations", "rank"),
+                              ("waterfall", "waterfall_rows", "position"), ("recommendations", "recommendations", "rank")):
+        rows = plans[plan](spark, SF_SMALL).where(F.col("loyalty_number") == view["loyalty_number"]).orderBy(order).collect()
+        got = [x.asDict() for x in one[name] or []]
+        assert got == [{k: r[k] for k in r.asDict() if k != "loyalty_number"} for r in rows]
