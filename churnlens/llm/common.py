@@ -33,6 +33,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that :func:`materialize` wrote, once what was made of them is itself written."""
+    for t in tables:
+        files = t.inputFiles()
+        if files:
+            jvm = t.sparkSession._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def text_key(col: str = "text") -> Column:
     """64-bit digest of a text (null as empty): with the id it names one row's content."""
     return F.xxhash64(F.coalesce(F.col(col), F.lit("")))

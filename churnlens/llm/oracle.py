@@ -22,3 +22,30 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """,
 }
+
+
+def _clustering(k: int = 16, rounds: int = 3, dims: int = 64, scale: int = 64, seed: int = 1) -> str:
+    """One pair of table expressions per round: every vector against every centroid, then exact floors of means."""
+    out = f"""
+WITH e AS (SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) = {dims}
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (SELECT CAST(row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), v) - 1 AS INTEGER) AS c, v FROM e
+  ORDER BY sha256('{seed}:' || vec_id), v LIMIT {k}),"""
+    for r in range(rounds + 1):
+        out += f"""
+a{r} AS (SELECT i, vec_id, e.v, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT i, vec_id, e.v, c.c,
+    CAST(list_sum(list_transform(list_zip(e.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM e, c{r} c) e GROUP BY ALL),"""
+        if r < rounds:
+            out += f"""
+m{r} AS (SELECT c, list(x ORDER BY j) AS v FROM (SELECT c, j, CAST(floor(sum(x) / count(*)) AS BIGINT) AS x
+    FROM (SELECT c, unnest(v) AS x, unnest(range({dims})) AS j FROM a{r}) GROUP BY c, j) GROUP BY c),
+c{r + 1} AS (SELECT c{r}.c, coalesce(m{r}.v, c{r}.v) AS v FROM c{r} LEFT JOIN m{r} USING (c)),"""
+    return out + f"""
+t AS (SELECT c, CAST(sum(d) AS BIGINT) AS s FROM a{rounds} GROUP BY c)
+SELECT vec_id, a.c AS cluster, d AS distance, s AS cluster_inertia, (SELECT CAST(sum(s) AS BIGINT) FROM t) AS inertia,
+  sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN t USING (c) JOIN c{rounds} c USING (c)"""
+
+
+ORACLE["op11_shallot_clustering"] = _clustering()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, hilbert, importance, lattice, linedist, rlz, simhash, toxicity, voronoi
+from . import bpe, decontam, hilbert, importance, lattice, linedist, rlz, shallot, simhash, toxicity, voronoi
 from .common import table
 
 QUERIES = {}
@@ -86,3 +86,11 @@ def op9_voronoi_topk(spark, sf_dir):
 @query
 def op10_lattice_lm(spark, sf_dir):
     return lattice.score(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+@query
+def op11_shallot_clustering(spark, sf_dir):
+    vectors = shallot.quantise(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", dims=64, scale=64)
+    out = shallot.cluster(vectors, k=16, rounds=3, dims=64, seed=1)
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia",
+                      shallot.centroid_digest().alias("centroid_sha256"))
