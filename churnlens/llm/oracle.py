@@ -20,6 +20,33 @@ s AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_sum(list_transform(list_z
   FROM e q JOIN e d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""",
+    "op12_columnwise_bwt": """
+WITH d AS (SELECT row_number() OVER () AS i, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT i, unnest(range(len(h) // 2)) AS pos FROM d),
+s AS (SELECT i, pos, CASE WHEN 2 * pos + 400 <= len(h) THEN md5(substr(h, 2 * pos + 1, 400)) END AS w FROM p JOIN d USING (i)),
+r AS (SELECT i, pos, w IS NOT NULL AND count(*) OVER (PARTITION BY w) > 1 AS again FROM s),
+c AS (SELECT i, pos, coalesce(pos - max(CASE WHEN again THEN pos END) OVER (PARTITION BY i ORDER BY pos) < 200, false) AS gone FROM r),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY i ORDER BY pos), false) AS opens FROM c),
+k AS (SELECT i, count_if(gone) AS n_removed, count_if(opens) AS n_spans,
+    string_agg(CASE WHEN NOT gone THEN substr(h, 2 * pos + 1, 2) END, '' ORDER BY pos) AS kept FROM e JOIN d USING (i) GROUP BY i)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN k USING (i)
+""",
+    "op13_balltree_search": """
+WITH dt AS (SELECT i, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x{0}-\\x{2F}\\x{3A}-\\x{40}\\x{5B}-\\x{60}\\x{7B}-\\x{7F}]+')) AS t
+  FROM (SELECT row_number() OVER () AS i, doc_id, text FROM documents)),
+it AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\\x{0}-\\x{2F}\\x{3A}-\\x{40}\\x{5B}-\\x{60}\\x{7B}-\\x{7F}]+')) AS t FROM benchmark) GROUP BY ALL),
+tf AS (SELECT i, doc_id, t, count(*) AS tf FROM dt GROUP BY ALL),
+len AS (SELECT i, sum(tf)::BIGINT AS n FROM tf GROUP BY i),
+whole AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM len),
+df AS (SELECT t, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, whole GROUP BY t, docs),
+s AS (SELECT item_id, i, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // total)))) AS BIGINT) AS score
+  FROM it JOIN tf USING (t) JOIN df USING (t) JOIN len USING (i), whole GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 20
 """,
 }
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, hilbert, importance, lattice, linedist, rlz, shallot, simhash, toxicity, voronoi
+from . import balltree, bpe, columnwise, decontam, hilbert, importance, lattice, linedist, rlz, shallot, simhash, toxicity, voronoi
 from .common import table
 
 QUERIES = {}
@@ -94,3 +94,14 @@ def op11_shallot_clustering(spark, sf_dir):
     out = shallot.cluster(vectors, k=16, rounds=3, dims=64, seed=1)
     return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia",
                       shallot.centroid_digest().alias("centroid_sha256"))
+
+
+@query
+def op12_columnwise_bwt(spark, sf_dir):
+    cut = columnwise.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), window=200)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op13_balltree_search(spark, sf_dir):
+    return balltree.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
