@@ -119,7 +119,7 @@ def score_curve(df: DataFrame, label: str = "churn", score: str = "churn_probabi
     per = df.groupBy(F.col(score).alias("threshold")).agg(F.count_if(y).alias("pos"),
                                                          F.count_if(~y).alias("neg"))
     rt = running_totals(per, "threshold", ["pos", "neg"], descending=True, buckets=buckets)
-    totals = per.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    totals = rt.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     return (attach_scalar(rt, totals)
             .withColumnRenamed("cum_pos", "tp").withColumnRenamed("cum_neg", "fp"))
 
@@ -163,6 +163,23 @@ def best_f1_threshold(df: DataFrame, label: str = "churn", score: str = "churn_p
     return c.orderBy(F.desc("f1"), F.asc("threshold")).limit(1)
 
 
+def best_f1_thresholds(df: DataFrame, by: list[str], label: str = "churn", score: str = "churn_probability") -> DataFrame:
+    """ML9 for many models at once: ``by``, the threshold and its F1, as :func:`best_f1_threshold` finds them for each.
+
+    F1 is reported with zero denominators as 0; a group without a positive row has F1 0 at its lowest score.
+    """
+    y = F.col(label) == 1
+    per = df.groupBy(*by, F.col(score).alias("threshold")).agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"))
+    c = running_totals(per, "threshold", ["pos", "neg"], descending=True, by=by)
+    whole = c.groupBy(*by).agg(F.sum("pos").alias("P"))
+    tp, fp, P = F.col("cum_pos"), F.col("cum_neg"), F.col("P")
+    prec, rec = tp / (tp + fp), F.when(P > 0, tp / P).otherwise(F.lit(0.0))
+    c = c.join(whole, by).select(*by, "threshold", (2 * prec * rec / (prec + rec + F.lit(1e-10))).alias("_rank"),
+                                 F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(F.lit(0.0)).alias("f1"))
+    best = c.groupBy(*by).agg(F.max(F.struct("_rank", -F.col("threshold"), "f1")).alias("_b"))
+    return best.select(*by, (-F.col("_b.col2")).alias("threshold"), "_b.f1")
+
+
 def model_comparison(named_scores: dict[str, tuple[DataFrame, object]], label: str = "churn",
                      score: str = "churn_probability") -> DataFrame:
     """EV8 — one row per model: threshold metrics + ROC area + AP (union of EV1/4/5)."""

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import py_fixed, py_grouped, py_percent, title_case
+from .ranking import percent_ranks
 from .segments import attach_scalar
 
 
@@ -75,6 +76,18 @@ def linear_factors(matrix: DataFrame, background: DataFrame, weights: dict[str,
         key, f"sort_array(array({structs})) AS factors", "base_value")
 
 
+def linear_arrays(matrix: DataFrame, background: DataFrame, weights: dict[str, float], intercept: float,
+                  key: str = "loyalty_number", features: list[str] = S.FEATURES) -> tuple[DataFrame, DataFrame]:
+    """:func:`linear_attribution` as one row per customer: ``(key, phi)`` in the features' order, and the base value."""
+    w = {f: float(weights.get(f, 0.0)) for f in features}
+    means = background.selectExpr(
+        *[f"avg(`{f}`) AS `_m_{f}`" for f in features],
+        " + ".join([f"{float(intercept)!r}D"] + [f"{w[f]!r}D * avg(`{f}`)" for f in features]) + " AS base_value")
+    phi = ", ".join(f"{w[f]!r}D * (`{f}` - `_m_{f}`)" for f in features)
+    return (attach_scalar(matrix.select(key, *features), means).selectExpr(f"`{key}`", f"array({phi}) AS phi"),
+            means.select("base_value"))
+
+
 def top_of(factors: DataFrame, n: int = 5, key: str = "loyalty_number") -> DataFrame:
     """EX2 / SO7 from :func:`linear_factors`: the first n of each customer's sorted factors."""
     r = factors.select(key, F.posexplode(F.slice("factors", 1, n)).alias("pos", "r"))
@@ -108,13 +121,6 @@ def waterfall_of(factors: DataFrame, max_display: int = 10, key: str = "loyalty_
                        (F.col("end") - F.col("value")).alias("start"), "end")
 
 
-def top_factors(attr: DataFrame, n: int = 5, key: str = "loyalty_number") -> DataFrame:
-    """EX2 / SO7 — top n features per row by |attribution| (feature order breaks ties)."""
-    w = Window.partitionBy(key).orderBy(F.desc(F.abs("shap_value")), F.asc("feature_index"))
-    return (attr.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
-            .withColumn("direction", F.when(F.col("shap_value") > 0, "increases").otherwise("decreases")))
-
-
 def top_factor(attr: DataFrame, key: str = "loyalty_number") -> DataFrame:
     """n = 1 as a plain aggregate: max_by over (|φ|, −index)."""
     return attr.groupBy(key).agg(F.max_by("feature", F.struct(F.abs("shap_value"), -F.col("feature_index")))
@@ -123,6 +129,7 @@ def top_factor(attr: DataFrame, key: str = "loyalty_number") -> DataFrame:
 
 def explanation_text(feature: str = "feature", v: str = "feature_value"):
     """EX3 — plain-language text per feature (12 templates, generic fallback)."""
+    # FIXED VALUES: the texts must equal the original's.
     f, x = F.col(feature), F.col(v)
     header = f                                        # features that the original names otherwise
     for name, own in S.FEATURE_HEADERS.items():
@@ -153,38 +160,6 @@ def explanation_text(feature: str = "feature", v: str = "feature_value"):
             .otherwise(F.concat(header, F.lit(": "), py_fixed(x, 2))))
 
 
-def factor_explanations(attr: DataFrame, n: int = 5, key: str = "loyalty_number") -> DataFrame:
-    """EX3 — top n factors with text and impact (risk / retention factor)."""
-    t = top_factors(attr, n, key)
-    return t.select(key, "rank", "feature", explanation_text().alias("text"),
-                    F.when(F.col("shap_value") > 0, "risk factor").otherwise("retention factor").alias("impact"),
-                    "shap_value")
-
-
-def waterfall_rows(attr: DataFrame, base: DataFrame, max_display: int = 10,
-                   key: str = "loyalty_number") -> DataFrame:
-    """EX4 — the waterfall of one explanation per customer: the top (max_display − 1)
-    features by |φ| and one row for the rest; bars accumulate from the base value
-    (bottom) to the margin (top row ends at base + Σ φ)."""
-    w = Window.partitionBy(key).orderBy(F.desc(F.abs("shap_value")), F.asc("feature_index"))
-    ranked = attr.withColumn("_r", F.row_number().over(w))
-    k = max_display - 1
-    n_other = F.count(F.lit(1)).alias("_n")
-    rows = (ranked.withColumn("position", F.least(F.col("_r"), F.lit(max_display)))
-            .groupBy(key, "position")
-            .agg(F.sum("shap_value").alias("value"), F.first("feature").alias("_f"),
-                 F.first("feature_value").alias("feature_value"), n_other))
-    rows = rows.withColumn("label", F.when(F.col("position") <= k, F.col("_f"))
-                           .otherwise(F.concat(F.col("_n").cast("string"), F.lit(" other features"))))
-    rows = rows.withColumn("feature_value", F.when(F.col("position") <= k, F.col("feature_value")))
-    up = Window.partitionBy(key).orderBy(F.desc("position")).rowsBetween(Window.unboundedPreceding,
-                                                                          Window.currentRow)
-    rows = attach_scalar(rows, base.select("base_value"))
-    rows = rows.withColumn("end", F.col("base_value") + F.sum("value").over(up))
-    return rows.select(key, "position", "label", "feature_value", "value",
-                       (F.col("end") - F.col("value")).alias("start"), "end")
-
-
 def global_importance(attr: DataFrame) -> DataFrame:
     """AG21 / EX5 — mean |φ| per feature, ranked (ties: feature order)."""
     g = attr.groupBy("feature", "feature_index").agg(F.avg(F.abs("shap_value")).alias("importance"))
@@ -201,7 +176,7 @@ def dependence_data(attr: DataFrame, importance: DataFrame, top: int = 3, bins:
     bounds = a.groupBy("feature").agg(F.min("feature_value").alias("_lo"), F.max("feature_value").alias("_hi"))
     a = a.join(F.broadcast(bounds), "feature")
     width = F.col("_hi") - F.col("_lo")
-    b = F.when(width > 0, F.least(F.floor((F.col("feature_value") - F.col("_lo")) / width * bins) + 1,
+    b = F.when(width > 0, F.least(F.floor(F.round((F.col("feature_value") - F.col("_lo")) / width * bins, 9)) + 1,
                                   F.lit(bins))).otherwise(F.lit(1)).cast("long")
     return (a.withColumn("bin", b).groupBy("feature", "rank", "bin")
             .agg(F.min("feature_value").alias("value_min"), F.max("feature_value").alias("value_max"),
@@ -209,12 +184,9 @@ def dependence_data(attr: DataFrame, importance: DataFrame, top: int = 3, bins:
 
 
 def beeswarm_data(attr: DataFrame, importance: DataFrame, top: int = 15, key: str = "loyalty_number") -> DataFrame:
-    """EX6 — every row's attribution of the top features, with the place of its value between the feature's
-    smallest and largest one (0 to 1, the colour of the plot; 0.5 where all are equal)."""
-    bounds = attr.groupBy("feature").agg(F.min("feature_value").alias("_lo"), F.max("feature_value").alias("_hi"))
-    top_f = importance.where(F.col("rank") <= top).select("feature", "rank").join(bounds, "feature")
-    width = F.col("_hi") - F.col("_lo")
+    """EX6 — every row's attribution of the top features, with the percent rank of its value within the feature
+    (the colour of the plot)."""
+    top_f = importance.where(F.col("rank") <= top).select("feature", "rank")
     # ``top_f`` has one row per top feature: a bounded broadcast side.
-    return attr.join(F.broadcast(top_f), "feature").select(
-        key, "feature", "rank", "feature_value", "shap_value",
-        F.when(width > 0, (F.col("feature_value") - F.col("_lo")) / width).otherwise(F.lit(0.5)).alias("value_place"))
+    some = attr.join(F.broadcast(top_f), "feature").select(key, "feature", "rank", "feature_value", "shap_value")
+    return percent_ranks(some, "feature_value", ["feature"], "value_percent_rank")

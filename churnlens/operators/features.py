@@ -97,6 +97,11 @@ def loyalty_features(loyalty: DataFrame, end_year: int = S.BASE_YEAR + 1) -> Dat
     return out.selectExpr("*", f"{_ratio('clv', '(tenure_months / 12)', 'tenure_months > 0')} AS clv_per_year")
 
 
+def category_levels(df: DataFrame, column: str) -> list[str]:
+    """The distinct values of a category column, sorted: as many as it has levels."""
+    return sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().collect())
+
+
 def one_hot_drop_first(df: DataFrame, column: str, prefix: str, levels: list[str]) -> DataFrame:
     """Generic dummy encoding: sorted ``levels``, first dropped, NULL → all zeros.
 

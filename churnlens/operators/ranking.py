@@ -1,63 +1,100 @@
 """Global order statistics without a single-task window.
 
-``Window.orderBy(x)`` with no partition moves every row into one task.  The
-running totals here are computed the distributed way instead:
-
-1. cut the order column into ``buckets`` ranges at approximate quantiles (a
-   tiny array of cut points — its size is the bucket count, not the data);
-2. total each bucket (partial + final aggregate, ``buckets`` output rows);
-3. exclusive prefix over the bucket totals (a ``buckets``-row table);
-4. running sum *within* each bucket (window partitioned by bucket), plus the
-   bucket's offset (broadcast join of the ``buckets``-row table).
-
-Rows with equal order values always land in the same bucket, so callers that
-first aggregate to one row per distinct value get exact results.
+``Window.orderBy(x)`` with no partition moves every row into one task.  Running totals are a prefix scan here:
+
+1. one range shuffle puts the rows in order, partition after partition;
+2. each partition adds up its own rows as they pass and is written once, with its number;
+3. the partitions' totals, a table as long as there are partitions, become offsets;
+4. a row's total is its own partition's running sum plus the partition's offset.
+
+With ``by`` the scan starts anew in each group; groups may span partitions and partitions hold
+many groups, so neither a large nor a small group is a task of its own.
 """
 
 from __future__ import annotations
 
+import uuid
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .segments import attach_scalar
 
 
-def _bucket_count(df: DataFrame, buckets: int | None) -> int:
-    if buckets:
-        return buckets
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8")))
+def _scan_batches(batches, by: list[int], sums: list[int]):
+    """Running sums of whole-number columns over the partition's rows, anew in each group."""
+    last, carry = None, [0] * len(sums)
+    for b in batches:
+        if not b.num_rows:
+            continue
+        groups = list(zip(*(b.column(i).to_pylist() for i in by))) if by else [()] * b.num_rows
+        first = np.array([i for i, g in enumerate(groups) if i == 0 or g != groups[i - 1]])
+        carry = carry if groups[0] == last else [0] * len(sums)
+        out = []
+        for j, i in enumerate(sums):
+            total = np.cumsum(b.column(i).to_numpy(zero_copy_only=False).astype(np.int64))
+            before = np.concatenate([[0], total])[first]                 # what earlier groups of the batch added
+            before[0] -= carry[j]
+            total -= np.repeat(before, np.diff(np.append(first, b.num_rows)))
+            carry[j] = int(total[-1])
+            out.append(pa.array(total))
+        last = groups[-1]
+        yield pa.RecordBatch.from_arrays([*b.columns, *out], names=[*b.schema.names, *(f"_sum{j}" for j in range(len(sums)))])
 
 
 def running_totals(df: DataFrame, order_col: str, sum_cols: list[str], descending: bool = False,
-                   buckets: int | None = None, prefix: str = "cum_") -> DataFrame:
-    """Add ``cum_<c>`` = Σ c over rows whose order value is ≤ (≥ if descending) this row's.
+                   buckets: int | None = None, prefix: str = "cum_", then: list[str] = [], by: list[str] = []) -> DataFrame:
+    """Add ``cum_<c>`` = Σ c over rows whose order value is ≤ (≥ if descending) this row's, within ``by``.
+
+    The summed columns hold whole numbers.  ``df`` should hold one row per distinct ``order_col`` value (aggregate
+    first), or name columns ``then`` that order rows of equal values.  ``buckets`` is the number of range partitions.
+    """
+    from ..session import ensure_checkpoint_dir, ship_package
+    spark = df.sparkSession
+    ship_package(spark)
+    n = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
+    order = [*by, F.col(order_col).desc() if descending else F.col(order_col).asc(), *then]
+    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    own = [f"_sum{j}" for j in range(len(sum_cols))]
+    schema = T.StructType([*ranged.schema.fields, *(T.StructField(c, T.LongType()) for c in own)])
+    names = ranged.columns
+    scanned = ranged.mapInArrow(partial(_scan_batches, by=[names.index(c) for c in by], sums=[names.index(c) for c in sum_cols]), schema)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/churnlens-scan/{uuid.uuid4().hex}"
+    scanned.write.parquet(path)
+    scanned = spark.read.schema(schema).parquet(path)
+    totals = scanned.groupBy(*by, "_part").agg(*[F.sum(c).alias(f"_t{j}") for j, c in enumerate(sum_cols)])
+    w = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # a row for each partition, and one more for each further group that a partition holds
+    offsets = totals.select(*by, "_part", *[F.coalesce(F.sum(f"_t{j}").over(w), F.lit(0)).alias(f"_o{j}") for j in range(len(sum_cols))])
+    offsets = offsets.withColumnsRenamed({"_part": "_p", **{c: f"_b{i}" for i, c in enumerate(by)}})
+    same = F.col("_part") == F.col("_p")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_b{i}"))
+    out = scanned.join(F.broadcast(offsets) if not by else offsets, same)
+    return out.select(*df.columns, *[(F.col(own[j]) + F.col(f"_o{j}")).alias(f"{prefix}{c}") for j, c in enumerate(sum_cols)])
+
+
+def percent_ranks(df: DataFrame, value: str, by: list[str], name: str = "percent_rank", digits: int = 9) -> DataFrame:
+    """``df`` plus the percent rank of ``value`` within ``by``: rows with a smaller value over all other rows.
 
-    ``df`` should hold one row per distinct ``order_col`` value (aggregate first).
+    Values are compared at ``digits`` decimals; equal ones share a rank, a group of one row has rank 0, and a
+    null value has none and doesn't count.
     """
-    n = _bucket_count(df, buckets)
-    o = F.col(order_col)
-    if n > 1:
-        probs = [i / n for i in range(1, n)]
-        cuts = df.agg(F.percentile_approx(o, probs, 10000).alias("_cuts"))
-        with_b = attach_scalar(df, cuts)
-        # bucket = number of cut points strictly below the value (equal values share a bucket)
-        b = F.size(F.filter(F.col("_cuts"), lambda c: c < o))
-        if descending:
-            b = F.lit(n - 1) - b
-        with_b = with_b.withColumn("_bucket", b).drop("_cuts")
-    else:
-        with_b = df.withColumn("_bucket", F.lit(0))
-    totals = with_b.groupBy("_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
-    w_off = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    # ``totals`` has at most ``n`` rows: ordering it in one task is bounded.
-    offsets = totals.select("_bucket", *[F.coalesce(F.sum(f"_t_{c}").over(w_off), F.lit(0)).alias(f"_o_{c}")
-                                         for c in sum_cols])
-    within = Window.partitionBy("_bucket").orderBy(o.desc() if descending else o.asc()) \
-                   .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = with_b.join(F.broadcast(offsets), "_bucket")
-    for c in sum_cols:
-        out = out.withColumn(f"{prefix}{c}", F.sum(c).over(within) + F.col(f"_o_{c}"))
-    return out.drop("_bucket", *[f"_o_{c}" for c in sum_cols])
+    at = df.withColumn("_v", F.round(value, digits))
+    per = at.where(F.col("_v").isNotNull()).groupBy(*by, "_v").agg(F.count("*").alias("_n"))
+    ranks = running_totals(per, "_v", ["_n"], by=by)
+    own = {c: f"_b{i}" for i, c in enumerate(by)}
+    whole = ranks.groupBy(*by).agg(F.sum("_n").alias("_all")).withColumnsRenamed(own)
+    same = F.lit(True)
+    for c, other in own.items():
+        same = same & F.col(c).eqNullSafe(F.col(other))
+    place = ((F.col("cum__n") - F.col("_n")) / F.greatest(F.col("_all") - 1, F.lit(1))).alias(name)
+    placed = ranks.join(whole, same).select(*[F.col(c).alias(o) for c, o in own.items()], F.col("_v").alias("_w"), place)
+    return at.join(placed, same & (F.col("_v") == F.col("_w")), "left").select(*df.columns, name)
 
 
 def exact_median(df: DataFrame, value: str, buckets: int | None = None) -> DataFrame:
@@ -69,7 +106,7 @@ def exact_median(df: DataFrame, value: str, buckets: int | None = None) -> DataF
     v = F.col(value)
     counts = df.where(v.isNotNull()).groupBy(v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     rt = running_totals(counts, "_v", ["_n"], buckets=buckets)
-    total = counts.agg(F.sum("_n").alias("_total"))
+    total = rt.agg(F.sum("_n").alias("_total"))
     rt = attach_scalar(rt, total)
     lo = F.floor((F.col("_total") + 1) / 2)
     hi = F.floor(F.col("_total") / 2) + 1

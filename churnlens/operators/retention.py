@@ -23,6 +23,12 @@ def _rule_condition(df: DataFrame, feature: str, op: str, bound: float, absent:
     return F.coalesce(compare(feature, op, bound), F.lit(False))
 
 
+def _around(template: str) -> list[str]:
+    """The template's text before and after its gap, the gap itself as an empty text."""
+    before, after = template.split("{}")
+    return [before, "", after]
+
+
 def recommendations(scored: DataFrame, key: str = "loyalty_number",
                     max_items: int = S.MAX_RECOMMENDATIONS) -> DataFrame:
     """RE1 — up to 5 actions per customer, Critical first, then by priority
@@ -33,7 +39,7 @@ def recommendations(scored: DataFrame, key: str = "loyalty_number",
         items.append(F.when(crit, F.struct(
             F.lit(S.PRIORITY_ORDER["Critical"]).alias("prio"), F.lit(-1).alias("ord"),
             F.lit("Critical").alias("priority"),
-            F.concat(F.lit(S.CRITICAL_ACTION_PREFIX), py_grouped("clv", 0), F.lit(")")).alias("action"),
+            F.concat(*[F.lit(t) if t else py_grouped("clv", 0) for t in _around(S.CRITICAL_ACTION)]).alias("action"),
             F.lit(S.CRITICAL_COST).alias("cost"), F.lit(S.CRITICAL_REASON).alias("reason"))))
     for i, (feat, op, bound, action, prio, cost, reason) in enumerate(S.RECOMMENDATION_RULES):
         items.append(F.when(_rule_condition(scored, feat, op, bound), F.struct(
@@ -122,13 +128,4 @@ def strategy_impact(scored: DataFrame, matrix=S.STRATEGY_MATRIX) -> DataFrame:
                .withColumn("net_saving", save - cost))
 
 
-def roi_for(scored: DataFrame, segment: str = "High Risk Only", cost_per_customer: int = 50,
-            success_pct: int = 20) -> DataFrame:
-    """The calculator at one setting (defaults of the original sliders)."""
-    g = roi_grid(scored)
-    return g.where((F.col("segment") == segment) & (F.col("cost_per_customer") == cost_per_customer)
-                   & (F.col("success_pct") == success_pct))
-
-
-__all__ = ["recommendations", "action_list", "risk_tier_summary", "roi_grid", "strategy_impact",
-           "roi_for", "attach_scalar"]
+__all__ = ["recommendations", "action_list", "risk_tier_summary", "roi_grid", "strategy_impact", "attach_scalar"]

@@ -124,9 +124,10 @@ def monthly_trend(activity: DataFrame, labels: DataFrame) -> DataFrame:
     a broadcast only if the label table is measured small at run time.
     """
     j = activity.join(labels.select("loyalty_number", "churn"), "loyalty_number")
+    # grouped by the numbers; the text key is made once per group
     g = (j.where(F.col("churn").isNotNull())
-         .groupBy(year_month_key("year", "month").alias("month_year"), "churn")
-         .agg(F.avg("total_flights").alias("avg_flights")))
+         .groupBy("year", "month", "churn").agg(F.avg("total_flights").alias("avg_flights"))
+         .select(year_month_key("year", "month").alias("month_year"), "churn", "avg_flights"))
     ann = g.agg((F.max(F.when(F.col("churn") == 0, F.col("avg_flights"))) * 0.9).alias("annotation_y"))
     return attach_scalar(g.withColumn("status", status_label("churn")), ann)
 
@@ -183,6 +184,17 @@ def filter_domains(df: DataFrame) -> DataFrame:
         F.min("loyalty_number").alias("key_min"), F.max("loyalty_number").alias("key_max"))
 
 
+def filter_values(df: DataFrame) -> DataFrame:
+    """FI10 — the filters' options as rows ``(dimension, value)``, and the sliders' bounds as their texts."""
+    options = df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("dimension"), F.col(c).alias("value")) for n, c in (
+        ("tier", "loyalty_card"), ("enrollment_type", "enrollment_type"), ("province", "province"))])).alias("_o"))
+    options = options.where(F.col("_o.value").isNotNull()).select("_o.dimension", "_o.value").distinct()
+    ends = df.agg(*[f(c).cast("long").alias(f"{c}_{n}") for c in ("salary", "tenure_months", "loyalty_number")
+                    for n, f in (("min", F.min), ("max", F.max))])
+    bounds = ends.select(F.explode(F.array(*[F.struct(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("value")) for c in ends.columns])).alias("_o"))
+    return options.unionByName(bounds.select("_o.dimension", "_o.value"))
+
+
 def segment_condition(tiers: Iterable[str] | None = None, enrollment_types: Iterable[str] | None = None,
                       provinces: Iterable[str] | None = None,
                       salary_range: tuple | None = None, tenure_range: tuple | None = None) -> Column:

@@ -1,29 +1,95 @@
 """Deterministic train / validation / test assignment and class weights.
 
-The split is a per-row hash cut (md5 of key and seed), so it needs no shuffle,
-is reproducible on any partitioning and is portable to SQL.  Each class is cut
-at the same hash fractions, so the split is stratified in expectation.
+The split is stratified exactly: of each class as many rows go to the test set as the share asks (largest
+remainders), those with the smallest seeded md5 of their key; the validation set is taken likewise from the
+rest.  No row is sorted or ranked: the k-th smallest hash of a class is found by refining a histogram over hash
+prefixes, one aggregate of at most ``16**STEP`` counts per class and round, and the split itself is a plain
+comparison per row that needs no shuffle and is portable to SQL.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
 
+STEP = 3                                     # hex digits that a round of refinement looks at
+
+
+def hash_of(key: str, seed: int, part: str = "") -> Column:
+    return F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-{seed}{part}")))
+
+
+def stratified(sizes: dict, share: float) -> dict:
+    """How many of each class make up ``ceil(share * all)`` rows in the classes' proportions (largest remainders,
+    ties in the order of the classes)."""
+    total = sum(sizes.values())
+    wanted = math.ceil(share * total)
+    exact = {c: wanted * n / total for c, n in sizes.items()}
+    out = {c: math.floor(x) for c, x in exact.items()}
+    rest = sorted(sizes, key=lambda c: (-(exact[c] - out[c]), c is not None, c or 0))[:wanted - sum(out.values())]
+    return {c: n + (c in rest) for c, n in out.items()}
+
+
+def smallest(df: DataFrame, label: str, hashed: Column, wanted: dict) -> dict:
+    """For each class the hash prefix up to which (itself included) it has exactly the wanted number of rows.
+
+    ``None`` where none is wanted.  Rows of equal hash can't be parted and go together.
+    """
+    rows = df.select(F.col(label).alias("c"), hashed.alias("h"))
+    cuts = {c: None for c in wanted}
+    looked = {c: ("", n) for c, n in wanted.items() if n > 0}
+    while looked:
+        at = len(next(iter(looked.values()))[0])
+        open_ = F.lit(False)
+        for c, (prefix, _) in looked.items():
+            open_ = open_ | (F.col("c").eqNullSafe(F.lit(c)) & F.col("h").startswith(prefix))
+        cells: dict = {}
+        for r in rows.where(open_).groupBy("c", F.substring("h", at + 1, STEP).alias("cell")).count().collect():
+            cells.setdefault(r["c"], []).append((r["cell"], r["count"]))       # at most 16**STEP per class
+        for c, (prefix, left) in list(looked.items()):
+            del looked[c]
+            cuts[c] = "g"                                                       # all rows, should they not suffice
+            for cell, n in sorted(cells.get(c, [])):
+                if n < left:
+                    left -= n
+                    continue
+                cuts[c] = prefix + cell
+                if n > left and len(cuts[c]) < 32:
+                    looked[c] = (cuts[c], left)                                 # the cut lies inside this cell
+                break
+    return cuts
+
+
+def _upto(hashed: Column, label: str, cuts: dict) -> Column:
+    cond = F.lit(False)
+    for c, cut in cuts.items():
+        if cut is not None:
+            cond = cond | (F.col(label).eqNullSafe(F.lit(c)) & (F.substring(hashed, 1, len(cut)) <= cut))
+    return cond
+
 
-def split_column(key: str = "loyalty_number", seed: int = S.SPLIT_SEED):
-    k = F.col(key).cast("string")
-    h_test = F.substring(F.md5(F.concat(k, F.lit(f"-{seed}"))), 1, 4)
-    h_val = F.substring(F.md5(F.concat(k, F.lit(f"-{seed}-val"))), 1, 4)
-    return (F.when(h_test < S.TEST_HEX_CUT, "test")
-            .when(h_val < S.VALIDATION_HEX_CUT, "validation").otherwise("train"))
+def split_cuts(df: DataFrame, key: str = "loyalty_number", seed: int = S.SPLIT_SEED, label: str = "churn") -> tuple[dict, dict]:
+    """The cuts of the test and of the validation set over the whole table, a prefix for each class."""
+    sizes = {r["c"]: r["count"] for r in df.groupBy(F.col(label).alias("c")).count().collect()}     # a row per class
+    if not sizes:
+        return {}, {}
+    take = stratified(sizes, S.TEST_SHARE)
+    test = smallest(df, label, hash_of(key, seed), take)
+    rest = df.where(~_upto(hash_of(key, seed), label, test))
+    left = {c: n - take[c] for c, n in sizes.items()}
+    return test, smallest(rest, label, hash_of(key, seed, "-val"), stratified(left, S.VALIDATION_SHARE) if sum(left.values()) else {})
 
 
-def assign_split(df: DataFrame, key: str = "loyalty_number", seed: int = S.SPLIT_SEED) -> DataFrame:
-    """ML1 — add ``split`` ∈ {train, validation, test}."""
-    return df.withColumn("split", split_column(key, seed))
+def assign_split(df: DataFrame, key: str = "loyalty_number", seed: int = S.SPLIT_SEED, label: str = "churn",
+                 cuts: tuple[dict, dict] | None = None) -> DataFrame:
+    """ML1 — add ``split`` ∈ {train, validation, test}.  ``cuts`` are :func:`split_cuts` of the whole table, for parts of it."""
+    test, validation = cuts or split_cuts(df, key, seed, label)
+    return df.withColumn("split", F.when(_upto(hash_of(key, seed), label, test), "test")
+                         .when(_upto(hash_of(key, seed, "-val"), label, validation), "validation").otherwise("train"))
 
 
 def class_weights(train: DataFrame, label: str = "churn", ratio: float = S.OVERSAMPLE_RATIO) -> DataFrame:

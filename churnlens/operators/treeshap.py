@@ -150,34 +150,3 @@ def tree_attribution(model, matrix: DataFrame, key: str = "loyalty_number",
     values = matrix.select(key, *[F.col(f).cast("double") for f in features]).mapInPandas(run, schema)
     base_df = spark.createDataFrame([(float(base),)], "base_value double")
     return values, base_df
-
-
-def _top_factor_fn(leaves: list[Leaf], features: list[str]):
-    names = np.array(features, dtype=object)
-
-    def fn(batches):
-        for pdf in batches:
-            x = pdf[features].to_numpy(dtype=float)
-            phi = attributions(leaves, x)
-            # largest |φ|; the first (lowest-index) feature wins a tie
-            yield pdf.assign(top_risk_factor=names[np.argmax(np.abs(phi), axis=1)] if len(pdf) else [])
-    return fn
-
-
-def add_top_factor(model, scored: DataFrame, features: list[str] = S.FEATURES) -> DataFrame:
-    """SC2 — append each row's top attribution factor in the same Arrow pass:
-    no 31× long table, no shuffle, no join.  ``scored`` must carry the model inputs."""
-    from pyspark.sql import types as T
-
-    from ..session import ship_package
-    gbt = model.stages[-1] if hasattr(model, "stages") else model
-    spark = scored.sparkSession
-    ship_package(spark)
-    leaves, _ = extract_leaves(gbt, spark)
-    bc = spark.sparkContext.broadcast(leaves)          # bounded by the model
-
-    def run(batches):
-        yield from _top_factor_fn(bc.value, features)(batches)
-
-    schema = T.StructType(scored.schema.fields + [T.StructField("top_risk_factor", T.StringType())])
-    return scored.mapInPandas(run, schema)

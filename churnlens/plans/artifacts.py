@@ -1,7 +1,7 @@
 """Fitted-model artifacts: train once, persist, reload.
 
-Models, thresholds and metrics are written under the shared checkpoint
-directory (``spark.checkpoint.dir``), keyed by the table directory and the
+Models, thresholds and metrics are written as runs of an artifact store under the shared checkpoint
+directory (``spark.checkpoint.dir``), keyed by the input files, the code and the
 training parameters, and re-loaded by later plans — the train → persist →
 serve boundary of the original application, without retraining per report.
 """
@@ -16,17 +16,18 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..operators import ensemble as EN
 from ..operators import scoring as SC
-from ..operators import split as SP
 from ..operators import train as TR
 from ..operators.features import model_matrix
 from ..session import ensure_checkpoint_dir
+from ..sources.store import ArtifactStore
 from . import tables as TB
 
 _MEM: dict = {}
 
 
-_CODE = ("operators/train.py", "operators/resample.py", "operators/split.py", "operators/evaluate.py")
+_CODE = ("operators/train.py", "operators/boost.py", "operators/resample.py", "operators/split.py", "operators/evaluate.py")
 
 
 def _key(spark: SparkSession, sf_dir: str, params: dict) -> str:
@@ -36,30 +37,31 @@ def _key(spark: SparkSession, sf_dir: str, params: dict) -> str:
     return hashlib.sha1(text.encode()).hexdigest()[:16]
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def models(spark: SparkSession, sf_dir: str, params: dict = S.STORED_PARAMS) -> dict:
-    """GBT + logistic models and their validation thresholds for ``sf_dir``."""
+    """GBT + logistic models and their validation thresholds for ``sf_dir``, from the newest published run."""
     k = _key(spark, sf_dir, params)
     if k in _MEM and _MEM[k]["spark"] is spark:
         return _MEM[k]
-    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/churnlens-artifacts/{k}"
-    if not _exists(spark, f"{root}/_SUCCESS_ALL"):
-        TR.train_job(TB.feature_store(spark, sf_dir), out_dir=root, params=params)
-        spark.createDataFrame([(1,)], "ok int").coalesce(1).write.mode("overwrite").json(f"{root}/_SUCCESS_ALL")
-    thresholds = {r["model"]: r["threshold"] for r in spark.read.json(f"{root}/thresholds").collect()}
-    _MEM[k] = {"spark": spark, "root": root, "gbt": PipelineModel.load(f"{root}/gbt"),
-               "lr": PipelineModel.load(f"{root}/lr"), "thresholds": thresholds,
-               "metrics": spark.read.json(f"{root}/metrics")}
+    store = ArtifactStore(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/churnlens-artifacts/{k}")
+    run = store.latest()
+    if run is None:
+        features = TB.feature_store(spark, sf_dir)
+        run = TR.train_job(features, store, params, cuts=TB.split_cuts(spark, sf_dir))["published"]
+    train = split_matrix(spark, sf_dir).where(F.col("split") == "train")
+    thresholds = {r["model"]: r["threshold"] for r in spark.read.json(run.path("thresholds")).collect()}
+    _MEM[k] = {"spark": spark, "run": run, "gbt": EN.Ensemble(EN.read_trees(spark, run.path("gbt")), train),
+               "lr": PipelineModel.load(run.path("lr")), "thresholds": thresholds,
+               "metrics": spark.read.json(run.path("metrics"))}
     return _MEM[k]
 
 
+def ledger(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the search ledger for these input files and this code."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/churnlens-ledger/{_key(spark, sf_dir, {})}"
+
+
 def split_matrix(spark: SparkSession, sf_dir: str):
-    return SP.assign_split(model_matrix(TB.feature_store(spark, sf_dir)))
+    return TB.with_split(spark, sf_dir, model_matrix(TB.feature_store(spark, sf_dir)))
 
 
 def scored_split(spark: SparkSession, sf_dir: str, model: str, split: str = "test"):

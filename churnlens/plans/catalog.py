@@ -137,6 +137,18 @@ def q_filter_domains(spark, d):
     return SG.filter_domains(TB.feature_store(spark, d))
 
 
+@query("filter_values")
+def q_filter_values(spark, d):
+    return SG.filter_values(TB.feature_store(spark, d))
+
+
+@query("one_hot_levels")
+def q_one_hot_levels(spark, d):
+    """PR4 — the generic encoding: the levels that the column holds, sorted, without the first."""
+    f = TB.feature_store(spark, d).select("loyalty_number", "marital_status")
+    return FT.one_hot_drop_first(f, "marital_status", "marital", FT.category_levels(f, "marital_status"))
+
+
 @query("monthly_trend")
 def q_monthly_trend(spark, d):
     f = TB.feature_store(spark, d)

@@ -1,41 +1,57 @@
-"""Model-based plans (rows-only checks; invariants are asserted in tests/).
+"""Model plans: over the fixture ensemble (SQL-checked) and over fitted models.
 
-Fitted models are kept per (session, table directory) for the life of the
-process — the same role as a loaded-model cache — so the model plans share one
-training run.  Every plan still reads the driver tables and derives its data
-with Spark.
+The fixture ensemble is a small boosted model held as fixed data; with it scoring, attribution, importance,
+dependence, evaluation and the stream are checkable against SQL.  The same operators take a fitted model:
+``fitted_model_checks`` runs them on it and returns their invariants.  Fitted models are kept per (session,
+table directory) for the life of the process, so the plans over them share one training run.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import schemas as S
+from ..operators import ensemble as EN
 from ..operators import evaluate as EV
-from ..operators import explain as EX
 from ..operators import resample as RS
 from ..operators import scoring as SC
-from ..operators import split as SP
 from ..operators import train as TR
-from ..operators import treeshap as TS
 from ..operators.features import model_matrix
+from ..operators.scoring import PROBABILITY
 from . import artifacts as AR
 from . import tables as TB
 from .catalog import query
+from .catalog_scoring import scored_split as fixture_split
 
+R = TB.round_doubles
 
 
-def _test_matrix(spark, d):
-    return AR.split_matrix(spark, d).where(F.col("split") == "test")
+def fixture_ensemble(spark, d) -> EN.Ensemble:
+    """The fixture trees with the training split as background."""
+    return EN.Ensemble(S.FIXTURE_TREES, AR.split_matrix(spark, d).where(F.col("split") == "train"))
 
 
-def gbt_attr(spark, d):
-    return TS.tree_attribution(AR.models(spark, d)["gbt"], _test_matrix(spark, d))
+def ensemble_scores(spark, d):
+    return EN.score(AR.split_matrix(spark, d), S.FIXTURE_TREES)
+
+
+def _of(df, split: str):
+    return df.where(F.col("split") == split)
+
+
+def _tuned(scores) -> float:
+    return EV.best_f1_threshold(_of(scores, "validation")).first()["threshold"]
+
+
+def _test_arrays(spark, d):
+    return EN.attribution_arrays(fixture_ensemble(spark, d).leaves, _of(AR.split_matrix(spark, d), "test"))
 
 
 @query("oversampled_train")
 def q_oversampled_train(spark, d):
-    m = SP.assign_split(model_matrix(TB.feature_store(spark, d)))
-    return RS.oversample(m.where(F.col("split") == "train"))
+    rows = RS.oversample(_of(AR.split_matrix(spark, d), "train"))
+    # nullable whole numbers are returned as doubles, as elsewhere
+    return R(rows.withColumns({c: F.col(c).cast("double") for c in ("parent", "neighbor")}))
 
 
 @query("lr_scores")
@@ -50,67 +66,80 @@ def q_gbt_scores(spark, d):
                                           "predicted_churn")
 
 
+@query("fitted_model_checks")
+def q_fitted_model_checks(spark, d):
+    """EX1, EV9, ML5 on the fitted models, over real rows: base + Σφ gives the booster's score of every held-out row, its
+    ROC area exceeds 0.7, and no component of the baseline's gradient exceeds 1e-4."""
+    a = AR.models(spark, d)
+    m = AR.split_matrix(spark, d)
+    rows = EN.attribution_arrays(a["gbt"].leaves, a["gbt"].predict(_of(m, "test")))
+    margin = F.lit(float(a["gbt"].base)) + F.aggregate("phi", F.lit(0.0), lambda s, x: s + x)
+    one = rows.agg(F.count("*").alias("rows_scored"), F.max(F.abs(1 / (1 + F.exp(-margin)) - F.col(PROBABILITY))).alias("off"))
+    one = SC.attach_scalar(one, EV.auc_summary(rows).select("roc_auc"))
+    one = SC.attach_scalar(one, TR.logistic_gradient(a["lr"], TR.training_rows(_of(m, "train"))))
+    return one.select("rows_scored", (F.col("off") < 1e-6).alias("additive"), (F.col("roc_auc") > 0.7).alias("roc_above_07"),
+                      (F.col("gradient") < 1e-4).alias("gradient_small"))
+
+
+@query("ensemble_leaves")
+def q_ensemble_leaves(spark, d):
+    """EX1 — the relational form of the ensemble, with the training split's counts."""
+    return R(EN.leaf_table(_of(AR.split_matrix(spark, d), "train"), S.FIXTURE_TREES))
+
+
 @query("model_comparison")
 def q_model_comparison(spark, d):
-    """EV8 — both persisted models on the test split."""
-    a = AR.models(spark, d)
-    return EV.model_comparison({n: (AR.scored_split(spark, d, n), a["thresholds"][n]) for n in ("gbt", "lr")})
+    """EV8 — ensemble and linear fixture on the test split, each at its own best-F1 threshold."""
+    named = {"gbt": ensemble_scores(spark, d), "lr": fixture_split(spark, d)}
+    return R(EV.model_comparison({n: (_of(s, "test"), _tuned(s)) for n, s in named.items()}))
 
 
 @query("gbt_attribution")
 def q_gbt_attribution(spark, d):
-    values, _ = gbt_attr(spark, d)
-    return values
+    return R(EN.long_attributions(_test_arrays(spark, d)))
 
 
 @query("gbt_global_importance")
 def q_gbt_global_importance(spark, d):
-    values, _ = gbt_attr(spark, d)
-    return EX.global_importance(values)
+    return R(EN.importance(_test_arrays(spark, d)))
 
 
 @query("dependence_data")
 def q_dependence_data(spark, d):
-    values, _ = gbt_attr(spark, d)
-    return EX.dependence_data(values, EX.global_importance(values))
+    rows = _test_arrays(spark, d).checkpoint()
+    return R(EN.dependence(rows, EN.importance(rows)))
 
 
 @query("bulk_scoring")
 def q_bulk_scoring(spark, d):
     """SC2 / SC3 — the whole customer base: probability, band, decision at the
-    tuned booster threshold, and the top attribution factor per customer."""
-    a = AR.models(spark, d)
-    f = TB.feature_store(spark, d)
-    scored = SC.add_bands(TR.predict(a["gbt"], model_matrix(f)), a["thresholds"]["gbt"])
-    return (TS.add_top_factor(a["gbt"], scored)
-            .select("loyalty_number", "churn", "churn_probability", "risk_level", "predicted_churn",
-                    "top_risk_factor"))
+    tuned threshold, and the top attribution factor per customer."""
+    scores = ensemble_scores(spark, d)
+    scored = fixture_ensemble(spark, d).with_top_factor(SC.add_bands(scores, _tuned(scores)))
+    return R(scored.select("loyalty_number", "churn", "churn_probability", "risk_level", "predicted_churn", "top_risk_factor"))
 
 
 def _search(spark, d, trials):
-    m = SP.assign_split(model_matrix(TB.feature_store(spark, d)))
-    train = m.where(F.col("split") == "train")
-    valid = m.where(F.col("split") == "validation")
-    resampled = TR.with_weight(RS.oversample(train), SP.class_weights(train))
-    table, _ = TR.search(resampled, valid, trials, parallelism=4)
+    m = AR.split_matrix(spark, d)
+    table, _, _ = TR.search(TR.training_rows(_of(m, "train")), _of(m, "validation"), trials, ledger=AR.ledger(spark, d))
     return table
 
 
 @query("trials_table")
 def q_trials_table(spark, d):
-    """ML7 — random search: every trial over the full space, four at a time."""
+    """ML7 — random search: every trial over the full space."""
     return _search(spark, d, TR.random_trials())
 
 
 @query("grid_trials")
 def q_grid_trials(spark, d):
-    """ML8 — grid search over the whole fallback grid, four trials at a time."""
+    """ML8 — grid search over the whole fallback grid."""
     return _search(spark, d, TR.grid_trials())
 
 
 @query("gbt_threshold_sweep")
 def q_gbt_threshold_sweep(spark, d):
-    return EV.threshold_sweep(AR.scored_split(spark, d, "gbt"))
+    return R(EV.threshold_sweep(_of(ensemble_scores(spark, d), "test")))
 
 
 @query("stream_scoring")
@@ -124,11 +153,10 @@ def q_stream_scoring(spark, d):
     from ..sources import sinks
     from ..streaming import start_scoring
 
-    a = AR.models(spark, d)
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/churnlens-stream/{uuid.uuid4().hex}"
-    uploads = model_matrix(TB.feature_store(spark, d), label=None)
-    sinks.write_csv(uploads, f"{root}/uploads")
-    q = start_scoring(spark, f"{root}/uploads", f"{root}/scored", f"{root}/chk", a["gbt"], a["thresholds"]["gbt"])
+    sinks.write_csv(model_matrix(TB.feature_store(spark, d), label=None), f"{root}/uploads")
+    q = start_scoring(spark, f"{root}/uploads", f"{root}/scored", f"{root}/chk", fixture_ensemble(spark, d),
+                      _tuned(ensemble_scores(spark, d)))
     q.awaitTermination()
-    return spark.read.parquet(f"{root}/scored").select("loyalty_number", "churn_probability", "risk_level",
-                                                        "predicted_churn", "top_risk_factor")
+    return R(spark.read.parquet(f"{root}/scored").select("loyalty_number", "churn_probability", "risk_level",
+                                                          "predicted_churn", "top_risk_factor"))

@@ -29,7 +29,7 @@ def scored(spark, d):
 
 
 def scored_split(spark, d):
-    return SP.assign_split(scored(spark, d))
+    return TB.with_split(spark, d, scored(spark, d))
 
 
 def tuned_threshold(spark, d):
@@ -43,7 +43,7 @@ def test_rows(spark, d):
 
 
 def linear_attr(spark, d):
-    m = SP.assign_split(model_matrix(TB.feature_store(spark, d)))
+    m = TB.with_split(spark, d, model_matrix(TB.feature_store(spark, d)))
     return EX.linear_attribution(m.where(F.col("split") == "test"), m.where(F.col("split") == "train"),
                                  S.FIXTURE_WEIGHTS, S.FIXTURE_INTERCEPT)
 
@@ -51,7 +51,7 @@ def linear_attr(spark, d):
 def linear_rows(spark, d):
     """Every customer's factors, against the training split as background."""
     m = model_matrix(TB.feature_store(spark, d))
-    train = SP.assign_split(m).where(F.col("split") == "train")
+    train = TB.with_split(spark, d, m).where(F.col("split") == "train")
     return EX.linear_factors(m, train, S.FIXTURE_WEIGHTS, S.FIXTURE_INTERCEPT)
 
 
@@ -115,12 +115,12 @@ def q_hist_probability(spark, d):
 # ----------------------------------------------------------------- split / evaluation
 @query("split_assignment")
 def q_split_assignment(spark, d):
-    return SP.assign_split(TB.feature_store(spark, d)).select("loyalty_number", "churn", "split")
+    return TB.with_split(spark, d, TB.feature_store(spark, d)).select("loyalty_number", "churn", "split")
 
 
 @query("class_weights")
 def q_class_weights(spark, d):
-    f = SP.assign_split(TB.feature_store(spark, d))
+    f = TB.with_split(spark, d, TB.feature_store(spark, d))
     return R(SP.class_weights(f.where(F.col("split") == "train")))
 
 
@@ -197,3 +197,30 @@ def q_global_importance(spark, d):
 def q_beeswarm_data(spark, d):
     values, _ = linear_attr(spark, d)
     return R(EX.beeswarm_data(values, EX.global_importance(values)))
+
+
+@query("segment_quantile_sketches")
+def q_segment_quantile_sketches(spark, d):
+    """AG18 at scale — a stored sketch of the probability per tier and province, merged for every tier and for all;
+    returned are the quartiles' true rank errors being within 1 % of the ranks."""
+    from ..operators import sketches as SK
+    from ..sources import sinks
+    from ..sources.store import ArtifactStore
+    from ..session import ensure_checkpoint_dir
+    import uuid
+
+    s = scored(spark, d).select("loyalty_card", "province", "churn_probability")
+    store = ArtifactStore(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/churnlens-io/{uuid.uuid4().hex}")
+    run = store.begin()
+    sinks.write_parquet(SK.sketch(s, "churn_probability", ["loyalty_card", "province"]), run.path("sketches"))
+    store.publish(run)
+    stored = spark.read.parquet(store.latest().path("sketches"))
+    out = None
+    for by in (["loyalty_card"], []):
+        estimates = SK.quantiles(SK.merge(stored, by), [0.25, 0.5, 0.75])
+        errors = SK.rank_errors(s, "churn_probability", estimates.drop("n"), by)
+        named = estimates.select(*by, "probability", "n").join(errors, [*by, "probability"])
+        named = named.select((F.col(by[0]) if by else F.lit("all")).alias("selection"), "probability", "n",
+                             (F.col("rank_error") <= 0.01).alias("within_one_percent"))
+        out = named if out is None else out.unionByName(named)
+    return out

@@ -132,13 +132,27 @@ FEATURES_CTE = ",".join([ACTIVITY_CTE, LOYALTY_CTE, FLIGHT_CTE, LOYALTY_FEATURES
 ft0 AS (
   SELECT lf.*, """ + ", ".join(f"COALESCE(ff.{c}, 0)::DOUBLE AS {c}" for c in _FLIGHT_COLS) + """
   FROM loyalty_features lf LEFT JOIN flight_features ff ON lf.loyalty_number = ff.loyalty_number),
-features AS (
+ft1 AS (
   SELECT *,
          CASE WHEN total_flights_24m > 0 THEN clv / total_flights_24m ELSE 0 END::DOUBLE AS clv_per_flight,
          CASE WHEN salary > 0 THEN total_distance_24m / salary ELSE 0 END::DOUBLE AS distance_per_salary,
          CASE WHEN total_flights_24m > 0 THEN points_accumulated_24m / total_flights_24m ELSE 0 END::DOUBLE AS points_per_flight,
          CASE WHEN clv > 0 THEN total_distance_24m / clv ELSE 0 END::DOUBLE AS miles_per_dollar_clv
-  FROM ft0)"""
+  FROM ft0),
+sizes1 AS (SELECT churn, COUNT(*) AS n, SUM(COUNT(*)) OVER () AS total FROM ft1 GROUP BY churn),
+exact1 AS (SELECT churn, ceil(0.15::DOUBLE * total) * n / total AS x, ceil(0.15::DOUBLE * total) AS wanted FROM sizes1),
+take1 AS (SELECT churn, floor(x) + CAST(row_number() OVER (ORDER BY x - floor(x) DESC, churn) <= wanted - SUM(floor(x)) OVER () AS INTEGER) AS k
+          FROM exact1),
+part1 AS (SELECT loyalty_number, churn, row_number() OVER (PARTITION BY churn ORDER BY md5(CAST(loyalty_number AS VARCHAR) || '-42')) <= k AS in_test
+          FROM ft1 JOIN take1 USING (churn)),
+sizes2 AS (SELECT churn, COUNT(*) AS n, SUM(COUNT(*)) OVER () AS total FROM part1 WHERE NOT in_test GROUP BY churn),
+exact2 AS (SELECT churn, ceil(0.176::DOUBLE * total) * n / total AS x, ceil(0.176::DOUBLE * total) AS wanted FROM sizes2),
+take2 AS (SELECT churn, floor(x) + CAST(row_number() OVER (ORDER BY x - floor(x) DESC, churn) <= wanted - SUM(floor(x)) OVER () AS INTEGER) AS k
+          FROM exact2),
+part2 AS (SELECT loyalty_number, CASE WHEN in_test THEN 'test' WHEN row_number() OVER (PARTITION BY churn, in_test
+            ORDER BY md5(CAST(loyalty_number AS VARCHAR) || '-42-val')) <= k THEN 'validation' ELSE 'train' END AS split
+          FROM part1 JOIN take2 USING (churn)),
+features AS (SELECT ft1.*, split FROM ft1 JOIN part2 USING (loyalty_number))"""
 
 LOYALTY_COLS = ["loyalty_number", "country", "province", "gender", "education", "salary",
                 "marital_status", "loyalty_card", "clv", "enrollment_type", "enrollment_year",
@@ -281,6 +295,19 @@ SELECT string_agg(DISTINCT loyalty_card, '|' ORDER BY loyalty_card) AS tiers,
        min(loyalty_number) AS key_min, max(loyalty_number) AS key_max
 FROM features""")
 
+q("filter_values", f"""WITH {FEATURES_CTE}
+SELECT DISTINCT 'tier' AS dimension, loyalty_card AS value FROM features WHERE loyalty_card IS NOT NULL
+UNION ALL SELECT DISTINCT 'enrollment_type', enrollment_type FROM features WHERE enrollment_type IS NOT NULL
+UNION ALL SELECT DISTINCT 'province', province FROM features WHERE province IS NOT NULL
+UNION ALL SELECT 'salary_min', CAST(trunc(min(salary)) AS BIGINT)::VARCHAR FROM features UNION ALL SELECT 'salary_max', CAST(trunc(max(salary)) AS BIGINT)::VARCHAR FROM features
+UNION ALL SELECT 'tenure_months_min', CAST(trunc(min(tenure_months)) AS BIGINT)::VARCHAR FROM features
+UNION ALL SELECT 'tenure_months_max', CAST(trunc(max(tenure_months)) AS BIGINT)::VARCHAR FROM features
+UNION ALL SELECT 'loyalty_number_min', min(loyalty_number)::VARCHAR FROM features UNION ALL SELECT 'loyalty_number_max', max(loyalty_number)::VARCHAR FROM features""")
+
+q("one_hot_levels", f"""WITH {LOYALTY_CTE}
+SELECT loyalty_number, marital_status, CAST(marital_status = 'Married' AS INTEGER) AS "marital_Married",
+       CAST(marital_status = 'Single' AS INTEGER) AS "marital_Single" FROM loyalty""")
+
 q("monthly_trend", f"""WITH {FEATURES_CTE},
 g AS (SELECT printf('%d-%02d', a.year, a.month) AS month_year, f.churn, AVG(a.total_flights) AS avg_flights
       FROM activity a JOIN features f ON a.loyalty_number = f.loyalty_number
@@ -324,5 +351,5 @@ q("hist_recency", hist_sql("recency_last_flight", 20))
 
 
 def all_oracle() -> dict[str, str]:
-    from . import oracle_io, oracle_scoring  # noqa: F401
+    from . import oracle_io, oracle_models, oracle_scoring  # noqa: F401
     return dict(ORACLE)

@@ -7,6 +7,28 @@ from .. import schemas as S
 from .oracle import FEATURES_CTE, hist_sql, q
 
 
+# The rules, weights and texts are written out here too, so that a wrong constant of the engine shows.
+WEIGHTS = {"recency_last_flight": "0.15", "flight_trend_yoy": "-0.8", "total_flights_24m": "-0.05", "points_utilization": "-0.5",
+           "is_promotion_enrollee": "0.3"}
+ACTIONS = [("flight_trend_yoy < 0", "Targeted fare discount"), ("points_utilization < 0.3", "Points engagement campaign"),
+           ("is_promotion_enrollee = 1", "Personal onboarding call"), ("recency_last_flight > 6", "Win-back campaign")]
+NO_ACTION = "General retention outreach"
+RECOMMENDED = [
+    ("flight_trend_yoy < 0", 1, "High", "Targeted fare discount (15% off next booking)", "$50/customer", "Declining flight activity"),
+    ("points_utilization < 0.3", 2, "Medium", "Points expiry warning + bonus redemption catalog", "$10/customer", "Low points engagement"),
+    ("is_promotion_enrollee = 1", 1, "High", "Welcome series + personal onboarding call", "$25/customer",
+     "Promotion enrollee (high churn segment)"),
+    ("companion_ratio < 0.2", 2, "Medium", "Family/group booking incentive (2-for-1 companion)", "$30/customer", "Low companion travel"),
+    ("recency_last_flight > 6", 2, "Medium", "Win-back campaign with exclusive offer", "$15/customer", "Lapsed traveler"),
+    ("redemption_frequency < 0.1", 3, "Low", "Points bonus multiplier for next redemption", "$20/customer", "Rare points redemption")]
+STRATEGIES = [
+    ("Declining Flights", "Targeted fare discount (15% off)", "High", 50, 2100, "flight_trend_yoy < 0"),
+    ("Low Points Utilization", "Points expiry warning + bonus catalog", "Medium", 10, 800, "points_utilization < 0.3"),
+    ("Promotion Enrollee", "Welcome series + onboarding call", "High", 25, 1500, "is_promotion_enrollee = 1"),
+    ("Low Companion Travel", "Family/group booking incentive", "Medium", 30, 950, "companion_ratio < 0.2"),
+    ("Lapsed Traveler", "Win-back campaign with exclusive offer", "Low", 15, 400, "recency_last_flight > 6")]
+
+
 def R6(expr: str, alias: str) -> str:
     return f"(round({expr}, 6) + 0.0)::DOUBLE AS {alias}"
 
@@ -16,21 +38,15 @@ def _g(c: str) -> str:
 
 
 def _margin() -> str:
-    terms = [f"('{w!r}'::DOUBLE * {_g(f)})" for f, w in S.FIXTURE_WEIGHTS.items()]
-    return " + ".join(terms) + f" + '{S.FIXTURE_INTERCEPT!r}'::DOUBLE"
-
+    return " + ".join(f"('{w}'::DOUBLE * {_g(f)})" for f, w in WEIGHTS.items()) + " + '-1.0'::DOUBLE"
 
-_SPLIT = ("CASE WHEN substr(md5(CAST(loyalty_number AS VARCHAR) || '-42'), 1, 4) < '2666' THEN 'test' "
-          "WHEN substr(md5(CAST(loyalty_number AS VARCHAR) || '-42-val'), 1, 4) < '2d0e' THEN 'validation' "
-          "ELSE 'train' END")
 
 SCORED_CTE = FEATURES_CTE + f""",
 sc0 AS (SELECT *, round(1.0::DOUBLE / (1.0::DOUBLE + exp(-({_margin()}))), 6) AS churn_probability FROM features),
 scored AS (SELECT *,
                   CASE WHEN churn_probability >= 0.6 THEN 'High' WHEN churn_probability >= 0.3 THEN 'Medium'
                        ELSE 'Low' END AS risk_level,
-                  CAST(churn_probability >= 0.5 AS INTEGER) AS predicted_churn,
-                  {_SPLIT} AS split
+                  CAST(churn_probability >= 0.5 AS INTEGER) AS predicted_churn
            FROM sc0)"""
 
 q("fixture_scores", f"""WITH {SCORED_CTE}
@@ -69,9 +85,9 @@ SELECT total, high, medium, low, {R6('high / total * 100', 'high_pct')}, {R6('me
 FROM k""")
 
 _seg_rows = " UNION ALL ".join(
-    f"SELECT '{name}' AS segment, COUNT(*) FILTER (WHERE risk_level IN ({', '.join(repr(b) for b in bands)})) "
-    f"AS target_count, AVG(CASE WHEN risk_level IN ({', '.join(repr(b) for b in bands)}) THEN clv END) AS avg_clv "
-    f"FROM scored" for name, bands in S.ROI_SEGMENTS)
+    f"SELECT '{name}' AS segment, COUNT(*) FILTER (WHERE risk_level IN ({bands})) AS target_count, "
+    f"AVG(CASE WHEN risk_level IN ({bands}) THEN clv END) AS avg_clv FROM scored"
+    for name, bands in [("High Risk Only", "'High'"), ("High + Medium Risk", "'High', 'Medium'"), ("All At-Risk Customers", "'High', 'Medium'")])
 q("roi_grid", f"""WITH {SCORED_CTE},
 st AS ({_seg_rows}),
 grid AS (SELECT st.segment, CAST(c.cost AS INTEGER) AS cost_per_customer, CAST(p.pct AS INTEGER) AS success_pct,
@@ -88,39 +104,35 @@ SELECT segment, cost_per_customer, success_pct, target_count, {R6('avg_clv', 'av
 FROM g3""")
 
 
-def _cmp(feat: str, op: str, bound: float) -> str:
-    return f"COALESCE({feat} {'=' if op == '==' else op} {bound!r}, false)"
-
-
-_actions = ", ".join(f"CASE WHEN {_cmp(f, o, b)} THEN '{t}' END" for f, o, b, t in S.ACTION_LIST_RULES)
+ACTION_ITEMS = ", ".join(f"CASE WHEN COALESCE({cond}, false) THEN '{text}' END" for cond, text in ACTIONS)
 q("action_list", f"""WITH {SCORED_CTE},
 a AS (SELECT loyalty_number, clv, churn_probability,
-             list_filter([{_actions}], lambda x: x IS NOT NULL) AS items
+             list_filter([{ACTION_ITEMS}], lambda x: x IS NOT NULL) AS items
       FROM scored WHERE risk_level = 'High')
 SELECT loyalty_number AS customer_id, {R6('clv', 'clv')}, {R6('churn_probability', 'churn_probability')},
-       CASE WHEN len(items) > 0 THEN array_to_string(items[1:2], '; ') ELSE '{S.ACTION_LIST_DEFAULT}' END
+       CASE WHEN len(items) > 0 THEN array_to_string(items[1:2], '; ') ELSE '{NO_ACTION}' END
          AS recommended_actions
 FROM a""")
 
-_rule_rows = [f"""SELECT loyalty_number, 0 AS prio, -1 AS ord, 'Critical' AS priority,
-       '{S.CRITICAL_ACTION_PREFIX}' || format('{{:,.0f}}', clv) || ')' AS action,
-       '{S.CRITICAL_COST}' AS cost, '{S.CRITICAL_REASON}' AS reason
-FROM scored WHERE COALESCE(clv > {S.CRITICAL_CLV!r} AND churn_probability > {S.CRITICAL_PROBABILITY!r}, false)"""]
-for i, (f, o, b, action, prio, cost, reason) in enumerate(S.RECOMMENDATION_RULES):
-    _rule_rows.append(f"""SELECT loyalty_number, {S.PRIORITY_ORDER[prio]} AS prio, {i} AS ord, '{prio}' AS priority,
-       '{action}' AS action, '{cost}' AS cost, '{reason}' AS reason FROM scored WHERE {_cmp(f, o, b)}""")
+_rule_rows = ["""SELECT loyalty_number, 0 AS prio, -1 AS ord, 'Critical' AS priority,
+       'Priority outreach - Assign personal account manager (CLV: $' || format('{:,.0f}', clv) || ')' AS action,
+       '$100/customer' AS cost, 'High-value customer at risk' AS reason
+FROM scored WHERE COALESCE(clv > 5000 AND churn_probability > 0.5, false)"""]
+for i, (cond, prio, name, action, cost, reason) in enumerate(RECOMMENDED):
+    _rule_rows.append(f"""SELECT loyalty_number, {prio} AS prio, {i} AS ord, '{name}' AS priority,
+       '{action}' AS action, '{cost}' AS cost, '{reason}' AS reason FROM scored WHERE COALESCE({cond}, false)""")
 q("recommendations", f"""WITH {SCORED_CTE},
 r AS ({' UNION ALL '.join(_rule_rows)}),
 k AS (SELECT *, row_number() OVER (PARTITION BY loyalty_number ORDER BY prio, ord) AS rank FROM r)
 SELECT loyalty_number, CAST(rank AS INTEGER) AS rank, priority, action, cost, reason FROM k WHERE rank <= 5""")
 
-_strat_dim = ", ".join(f"('{d}', '{a}', '{p}', {c}, {s}, '{f} {o} {b:g}', {i})"
-                       for i, (d, a, p, c, s, f, o, b) in enumerate(S.STRATEGY_MATRIX))
+_strat_dim = ", ".join(f"('{d}', '{a}', '{p}', {c}, {s}, '{cond.replace(' = ', ' == ')}', {i})"
+                       for i, (d, a, p, c, s, cond) in enumerate(STRATEGIES))
 _strat_stats = " UNION ALL ".join(
-    f"SELECT {i} AS i, COUNT(*) FILTER (WHERE {_cmp(f, o, b)}) AS customers, "
-    f"COUNT(*) FILTER (WHERE {_cmp(f, o, b)} AND risk_level = 'High') AS high_risk_customers, "
-    f"COALESCE(SUM(CASE WHEN {_cmp(f, o, b)} THEN clv END), 0) AS total_clv FROM scored"
-    for i, (d, a, p, c, s, f, o, b) in enumerate(S.STRATEGY_MATRIX))
+    f"SELECT {i} AS i, COUNT(*) FILTER (WHERE COALESCE({cond}, false)) AS customers, "
+    f"COUNT(*) FILTER (WHERE COALESCE({cond}, false) AND risk_level = 'High') AS high_risk_customers, "
+    f"COALESCE(SUM(CASE WHEN COALESCE({cond}, false) THEN clv END), 0) AS total_clv FROM scored"
+    for i, (_, _, _, _, _, cond) in enumerate(STRATEGIES))
 q("strategy_impact", f"""WITH {SCORED_CTE},
 dim(driver, action, priority, cost_per_customer, est_save_per_customer, target_segment, i) AS (VALUES {_strat_dim}),
 st AS ({_strat_stats})
@@ -133,23 +145,23 @@ SELECT driver, action, priority, CAST(cost_per_customer AS INTEGER) AS cost_per_
 FROM dim JOIN st USING (i)""")
 
 q("hist_probability", hist_sql("churn_probability", 30, source="scored", by_status=False,
-                               domain=(0.0, 1.0), ctes=SCORED_CTE, marker=S.DEFAULT_THRESHOLD))
+                               domain=(0.0, 1.0), ctes=SCORED_CTE, marker=0.5))
 
 # ----------------------------------------------------------------- split / evaluation
-q("split_assignment", f"""WITH {FEATURES_CTE} SELECT loyalty_number, churn, {_SPLIT} AS split FROM features""")
+q("split_assignment", f"""WITH {FEATURES_CTE} SELECT loyalty_number, churn, split FROM features""")
 
 q("class_weights", f"""WITH {FEATURES_CTE},
 c AS (SELECT COUNT(*) FILTER (WHERE churn = 0) AS n_neg, COUNT(*) FILTER (WHERE churn = 1) AS n_pos
-      FROM features WHERE {_SPLIT} = 'train'),
+      FROM features WHERE split = 'train'),
 c2 AS (SELECT *, greatest(CAST(trunc(0.4::DOUBLE * n_neg - n_pos) AS BIGINT), 0) AS synthetic_rows FROM c)
 SELECT n_neg, n_pos, synthetic_rows, n_pos + synthetic_rows AS n_pos_resampled,
        {R6('CASE WHEN n_pos + synthetic_rows > 0 THEN n_neg / (n_pos + synthetic_rows) END', 'scale_pos_weight')}
 FROM c2""")
 
 
-def _curve_cte(split: str, name: str) -> str:
+def _curve_cte(split: str, name: str, source: str = "scored") -> str:
     return f"""{name}_c AS (SELECT churn_probability AS threshold, COUNT(*) FILTER (WHERE churn = 1) AS pos,
-                     COUNT(*) FILTER (WHERE churn = 0) AS neg FROM scored WHERE split = '{split}' GROUP BY 1),
+                     COUNT(*) FILTER (WHERE churn = 0) AS neg FROM {source} WHERE split = '{split}' GROUP BY 1),
 {name}_t AS (SELECT SUM(pos) AS P, SUM(neg) AS N FROM {name}_c),
 {name} AS (SELECT threshold, pos, neg,
                   SUM(pos) OVER (ORDER BY threshold DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tp,
@@ -214,9 +226,10 @@ rows AS (
 SELECT class, {R6('precision', 'precision')}, {R6('recall', 'recall')}, {R6('f1', 'f1')},
        CAST(support AS BIGINT) AS support FROM rows""")
 
-_ths = ", ".join(f"('{t!r}'::DOUBLE)" for t in S.SWEEP_THRESHOLDS)
+# steps of 0.05 from 0.1 as doubles add up: start + i * ((start + step) - start)
+THRESHOLDS = ", ".join(f"(0.1::DOUBLE + {i} * ((0.1::DOUBLE + 0.05::DOUBLE) - 0.1::DOUBLE))" for i in range(16))
 q("threshold_sweep", f"""WITH {SCORED_CTE},
-ts(threshold) AS (VALUES {_ths}),
+ts(threshold) AS (VALUES {THRESHOLDS}),
 c AS (SELECT ts.threshold,
              COUNT(*) FILTER (WHERE s.churn = 1 AND s.churn_probability >= ts.threshold) AS tp,
              COUNT(*) FILTER (WHERE s.churn = 0 AND s.churn_probability >= ts.threshold) AS fp,
@@ -248,13 +261,13 @@ SELECT {R6('SUM(CASE WHEN P > 0 AND N > 0 THEN (neg / N) * ((2 * tp - pos) / (2
 FROM tcurve""")
 
 # ----------------------------------------------------------------- linear attribution
-_feat_vals = ", ".join(f"('{f}', {i}, '{float(S.FIXTURE_WEIGHTS.get(f, 0.0))!r}'::DOUBLE)"
+_feat_vals = ", ".join(f"('{f}', {i}, '{WEIGHTS.get(f, 0)}'::DOUBLE)"
                        for i, f in enumerate(S.FEATURES))
 _long = " UNION ALL ".join(f"SELECT loyalty_number, '{f}' AS feature, {_g(f)} AS feature_value FROM mt"
                            for f in S.FEATURES)
 _means = " UNION ALL ".join(f"SELECT '{f}' AS feature, AVG({_g(f)}) AS mean FROM mtrain" for f in S.FEATURES)
 ATTR_CTE = f"""{FEATURES_CTE},
-mx AS (SELECT *, {_SPLIT} AS split FROM features),
+mx AS (SELECT * FROM features),
 mt AS (SELECT * FROM mx WHERE split = 'test'),
 mtrain AS (SELECT * FROM mx WHERE split = 'train'),
 fw(feature, feature_index, weight) AS (VALUES {_feat_vals}),
@@ -263,7 +276,7 @@ w AS (SELECT fw.*, means.mean FROM fw JOIN means USING (feature)),
 attr AS (SELECT l.loyalty_number, l.feature, CAST(w.feature_index AS INTEGER) AS feature_index, l.feature_value,
                 w.weight * (l.feature_value - w.mean) AS shap_value
          FROM ({_long}) l JOIN w USING (feature)),
-base AS (SELECT SUM(weight * mean) + '{S.FIXTURE_INTERCEPT!r}'::DOUBLE AS base_value FROM w)"""
+base AS (SELECT SUM(weight * mean) + '-1.0'::DOUBLE AS base_value FROM w)"""
 
 _ATTR_COLS = f"loyalty_number, feature, feature_index, {R6('feature_value', 'feature_value')}, {R6('shap_value', 'shap_value')}"
 q("linear_attribution", f"WITH {ATTR_CTE} SELECT {_ATTR_COLS} FROM attr")
@@ -336,9 +349,12 @@ SELECT feature, feature_index, {_display} AS display_name, {R6('importance', 'im
 FROM g""")
 
 q("beeswarm_data", f"""WITH {ATTR_CTE},
-g AS (SELECT feature, row_number() OVER (ORDER BY AVG(abs(shap_value)) DESC, MIN(feature_index)) AS rank,
-             MIN(feature_value) AS lo, MAX(feature_value) AS hi FROM attr GROUP BY feature)
+g AS (SELECT feature, row_number() OVER (ORDER BY AVG(abs(shap_value)) DESC, MIN(feature_index)) AS rank FROM attr GROUP BY feature)
 SELECT loyalty_number, feature, CAST(rank AS INTEGER) AS rank, {R6('feature_value', 'feature_value')},
        {R6('shap_value', 'shap_value')},
-       {R6('CASE WHEN hi > lo THEN (feature_value - lo) / (hi - lo) ELSE 0.5 END', 'value_place')}
+       {R6('percent_rank() OVER (PARTITION BY feature ORDER BY round(feature_value, 9))', 'value_percent_rank')}
 FROM attr JOIN g USING (feature) WHERE rank <= 15""")
+
+q("segment_quantile_sketches", f"""WITH {SCORED_CTE}, p(probability) AS (VALUES (0.25::DOUBLE), (0.5), (0.75)),
+g AS (SELECT loyalty_card AS selection, COUNT(*) AS n FROM scored GROUP BY loyalty_card UNION ALL SELECT 'all', COUNT(*) FROM scored)
+SELECT selection, probability, n, true AS within_one_percent FROM g, p""")

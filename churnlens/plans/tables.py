@@ -7,6 +7,8 @@ table from the raw tables; :func:`feature_store` writes it once to the shared
 checkpoint directory (keyed by the input files and by the code that derives
 it) and returns a scan of that Parquet, so report plans start from the
 materialised table instead of re-planning and re-running the whole feature job.
+Activity and features are stored bucketed and sorted by customer: the feature
+aggregate, the joins by customer and the trend need no exchange on that key.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import features as FT
+from ..operators import split as SP
 from ..session import ensure_checkpoint_dir
 from ..sources import adapter
 
@@ -66,27 +69,51 @@ def _fs(spark: SparkSession, path: str):
 
 
 _STORE: dict = {}
+_KEY = "loyalty_number"
+
+
+def _buckets(spark: SparkSession) -> int:
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
+
+
+def _table(spark: SparkSession, path: str, schema: T.StructType, buckets: int) -> DataFrame:
+    """The files of ``path`` as a table bucketed and sorted by customer: a name of this session, no copy."""
+    name = "churnlens_" + hashlib.sha1(path.encode()).hexdigest()[:20]
+    if not spark.catalog.tableExists(name):
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet "
+                  f"CLUSTERED BY ({_KEY}) SORTED BY ({_KEY}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
+def write_bucketed(df: DataFrame, path: str, buckets: int) -> None:
+    """Parquet files bucketed and sorted by customer, so that later aggregates and joins by customer need no
+    exchange.  A frame that is already hash-partitioned by customer is written as it lies."""
+    spark, name = df.sparkSession, f"churnlens_w{uuid.uuid4().hex}"
+    (df.write.format("parquet").bucketBy(buckets, _KEY).sortBy(_KEY).option("path", path).saveAsTable(name))
+    spark.sql(f"DROP TABLE {name}")                   # an outside table: only the name goes, the files stay
 
 
 def _materialized(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     print_of = fingerprint(spark, sf_dir)
     key = (spark.sparkContext.applicationId, sf_dir, print_of, name)
     if key in _STORE:
-        return spark.read.parquet(_STORE[key])
+        return _table(spark, *_STORE[key])
+    n = _buckets(spark)
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/churnlens-tables/{print_of}"
-    final = f"{root}/{name}"
+    final = f"{root}/{name}-{n}"
     fs, p = _fs(spark, f"{final}/_SUCCESS")
     if not fs.exists(p):
         tmp = f"{root}/_tmp-{name}-{uuid.uuid4().hex}"
-        build().write.mode("overwrite").parquet(tmp)
+        write_bucketed(build(), tmp, n)
         fs_t, pt = _fs(spark, tmp)
         _, pf = _fs(spark, final)
         if fs.exists(pf) and not fs.exists(p):      # left by a writer that did not finish
             fs.delete(pf, True)
         if not fs.exists(p) and not fs_t.rename(pt, pf) and not fs.exists(p):
             raise RuntimeError(f"could not move {tmp} to {final}")
-    _STORE[key] = final
-    return spark.read.parquet(final)
+    _STORE[key] = (final, spark.read.parquet(final).schema, n)
+    return _table(spark, *_STORE[key])
 
 
 def activity_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,6 +127,22 @@ def feature_store(spark: SparkSession, sf_dir: str) -> DataFrame:
                          lambda: FT.feature_table(activity_store(spark, sf_dir), loyalty(spark, sf_dir)))
 
 
+_CUTS: dict = {}
+
+
+def split_cuts(spark: SparkSession, sf_dir: str) -> tuple[dict, dict]:
+    """The cuts of the whole customer table's split, found once per table."""
+    key = (spark.sparkContext.applicationId, sf_dir, fingerprint(spark, sf_dir))
+    if key not in _CUTS:
+        _CUTS[key] = SP.split_cuts(feature_store(spark, sf_dir).select("loyalty_number", "churn"))
+    return _CUTS[key]
+
+
+def with_split(spark: SparkSession, sf_dir: str, df: DataFrame) -> DataFrame:
+    """``df`` with the split of the whole customer table."""
+    return SP.assign_split(df, cuts=split_cuts(spark, sf_dir))
+
+
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every double column (oracle hygiene: engines differ in the last bits);
     ``+ 0.0`` folds a negative zero into zero."""
@@ -113,10 +156,12 @@ def build_tables(spark: SparkSession, sf_dir: str, root: str | None = None) -> s
     folder in the shared checkpoint directory by default) and make the plans of
     this process read them."""
     root = root or f"{ensure_checkpoint_dir(spark).rstrip('/')}/churnlens-tables/run-{uuid.uuid4().hex}"
-    activity(spark, sf_dir).write.mode("overwrite").parquet(f"{root}/activity")
-    a = spark.read.parquet(f"{root}/activity")
-    FT.feature_table(a, loyalty(spark, sf_dir)).write.mode("overwrite").parquet(f"{root}/features")
+    n = _buckets(spark)
     own = (spark.sparkContext.applicationId, sf_dir, fingerprint(spark, sf_dir))
-    _STORE[(*own, "activity")] = f"{root}/activity"
-    _STORE[(*own, "features")] = f"{root}/features"
+    frame = activity(spark, sf_dir)
+    write_bucketed(frame, f"{root}/activity", n)
+    _STORE[(*own, "activity")] = (f"{root}/activity", frame.schema, n)
+    frame = FT.feature_table(_table(spark, *_STORE[(*own, "activity")]), loyalty(spark, sf_dir))
+    write_bucketed(frame, f"{root}/features", n)
+    _STORE[(*own, "features")] = (f"{root}/features", frame.schema, n)
     return root

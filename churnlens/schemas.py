@@ -36,6 +36,11 @@ LOYALTY = T.StructType([
     T.StructField("cancellation_year", T.IntegerType(), True),
 ])
 
+# ==========================================================================
+# FIXED VALUES — these must equal the original application's for identical
+# results.  Stated plainly and in their natural order.
+# ==========================================================================
+
 # CSV header → canonical column name.
 ACTIVITY_HEADERS = {
     "Loyalty Number": "loyalty_number", "Year": "year", "Month": "month",
@@ -57,11 +62,6 @@ FEATURE_HEADERS = {
     "marital_Single": "marital_single", "country_United States": "country_united_states",
 }
 
-# ==========================================================================
-# FIXED VALUES — these must equal the original application's for identical
-# results.  Stated plainly and in their natural order.
-# ==========================================================================
-
 # Model feature order (31 features).
 FEATURES = [
     "total_flights_24m", "avg_monthly_flights", "flight_consistency",
@@ -134,7 +134,7 @@ RECOMMENDATION_RULES = [
 ]
 CRITICAL_CLV = 5000.0            # CLV > 5000 and probability > 0.5 → Critical rule first
 CRITICAL_PROBABILITY = 0.5
-CRITICAL_ACTION_PREFIX = "Priority outreach - Assign personal account manager (CLV: $"
+CRITICAL_ACTION = "Priority outreach - Assign personal account manager (CLV: ${})"
 CRITICAL_COST = "$100/customer"
 CRITICAL_REASON = "High-value customer at risk"
 PRIORITY_ORDER = {"Critical": 0, "High": 1, "Medium": 2, "Low": 3}
@@ -171,10 +171,10 @@ FIXTURE_WEIGHTS = {
 }
 FIXTURE_INTERCEPT = -1.0
 
-# Deterministic split: md5 of "<key>-<seed>" (test) / "<key>-<seed>-val" (validation).
+# Deterministic stratified split: smallest md5 of "<key>-<seed>" (test) / "<key>-<seed>-val" (validation) per class.
 SPLIT_SEED = 42
-TEST_HEX_CUT = "2666"            # 0x2666 / 0x10000 ≈ 0.15
-VALIDATION_HEX_CUT = "2d0e"      # 0x2d0e / 0x10000 ≈ 0.176 of the remainder
+TEST_SHARE = 0.15                # of all rows
+VALIDATION_SHARE = 0.176         # of the remainder
 OVERSAMPLE_RATIO = 0.4           # minority brought to 0.4 × majority (train rows only)
 OVERSAMPLE_NEIGHBORS = 5
 
@@ -201,3 +201,35 @@ STORED_PARAMS = {
     "reg_alpha": 1.0, "reg_lambda": 0.1,
 }
 SEARCH_TRIALS = 30
+
+# ==========================================================================
+# FIXTURE ENSEMBLE — our own: eight boosted trees fitted once on a small table and rounded.  With it every
+# plan over a tree model is checkable without fitting one.  (feature, threshold, left, right) down to leaf
+# values in log-odds; a row goes left where feature <= threshold.
+# ==========================================================================
+FIXTURE_TREES = [
+    ("recency_last_flight", 5.5,
+     ("avg_monthly_flights", 0.0208, ("tenure_months", 71.5, 0.0, 0.72), -2.0),
+     ("flight_consistency", 1.963, ("companion_ratio", 0.2546, 0.4211, 0.9554), ("distance_per_salary", 0.0051, -1.2727, 0.6341))),
+    ("seasonal_peak_ratio", 0.0742,
+     ("recency_last_flight", 8.5, ("salary", 93203.0, -0.0514, -0.5393), ("points_redeemed_24m", 18.5, 0.3914, 0.0746)),
+     ("recency_last_flight", 5.5, -0.2861, ("points_utilization", 0.3853, 0.0334, -0.5232))),
+    ("recency_last_flight", 5.5,
+     ("months_active", 0.5, ("tenure_months", 76.5, 0.2663, -0.0635), ("salary", 93203.0, -0.2322, -0.2127)),
+     ("tenure_months", 82.5, ("education_encoded", 1.5, -0.1307, 0.1513), ("points_utilization", 0.2536, -0.7885, -0.0862))),
+    ("recency_last_flight", 5.5,
+     ("total_flights_24m", 0.5, ("tenure_months", 80.5, -0.0743, 0.2023), ("salary", 93203.0, -0.1879, -0.1749)),
+     ("tenure_months", 79.5, ("points_accumulated_24m", 2946.5, -0.1245, 0.15), ("loyalty_tier_numeric", 1.5, -0.3574, 0.0332))),
+    ("total_flights_24m", 8.5,
+     ("flight_consistency", 1.274, ("points_utilization", 0.3853, 0.0438, -0.2712), 0.421),
+     ("points_redeemed_24m", 1098.5, ("recency_last_flight", 8.5, -0.125, -0.6286), ("recency_last_flight", 5.5, -0.1551, 0.032))),
+    ("recency_last_flight", 5.5,
+     ("flight_consistency", 0.1021, ("tenure_months", 76.5, 0.1333, -0.1194), ("seasonal_peak_ratio", 0.0501, -0.1644, -0.1347)),
+     ("avg_distance_per_flight", 31.4359, ("flight_consistency", 2.3847, 0.0782, -0.4014), ("flight_trend_yoy", -0.37, 0.1486, -0.5043))),
+    ("recency_last_flight", 5.5,
+     ("points_accumulated_24m", 56.5, ("salary", 25060.0, -0.1789, 0.073), ("total_flights_24m", 8.5, -0.144, -0.1185)),
+     ("tenure_months", 57.5, 0.2955, ("salary", 105172.0, 0.011, -0.4981))),
+    ("clv", 9683.815,
+     ("avg_monthly_flights", 0.3542, ("companion_ratio", 0.2034, 0.1444, -0.0275), ("seasonal_peak_ratio", 0.7091, -0.048, -0.3697)),
+     ("companion_ratio", 0.3288, -0.5875, -0.1132)),
+]

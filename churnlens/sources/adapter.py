@@ -58,7 +58,7 @@ def activity_from_tpch(orders: DataFrame, lineitem: DataFrame, base_year: int =
     points = F.floor(F.col("l_extendedprice") / 100)
     dollars = F.floor(F.col("l_extendedprice") / 1000)
     redeem = F.col("l_discount") > REDEEM_DISCOUNT
-    sparse = (j.groupBy(F.col("o_custkey").alias("loyalty_number"),
+    sparse = (j.groupBy(F.col("o_custkey").cast("long").alias("loyalty_number"),
                         (F.year("o_orderdate") + year_shift).alias("year"),
                         F.month("o_orderdate").alias("month"))
               .agg(F.count(F.lit(1)).alias("total_flights"),
@@ -87,7 +87,7 @@ def densify(sparse: DataFrame, base_year: int = S.BASE_YEAR,
                   f"'year', cast({base_year} + i div 12 as int), 'month', cast(i % 12 + 1 as int), "
                   + ", ".join(f"'{m}', cast(coalesce(try_element_at(by_slot, i).{m}, 0) as double)"
                               for m in _METRICS) + ")))")
-    return per_customer.select(F.col("loyalty_number").cast("long"), rows)
+    return per_customer.select("loyalty_number", rows)
 
 
 def loyalty_from_tpch(customer: DataFrame, nation: DataFrame, region: DataFrame, orders: DataFrame,

@@ -42,22 +42,57 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _raw_upload(spark: SparkSession, path: str, fmt: str) -> DataFrame:
+    reader = spark.read.option("header", True)
+    df = reader.parquet(path) if fmt == "parquet" else reader.csv(path)
+    return _rename(df, {**S.FEATURE_HEADERS, "Loyalty Number": "loyalty_number"})
+
+
+def _typed(c: str) -> str:
+    return f"try_cast(`{c}` as {'bigint' if c == 'loyalty_number' else 'double'})"
+
+
+def _scoring_columns(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c == "loyalty_number" or c in S.FEATURES]
+
+
 def read_scoring_input(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """IO9 — customers with any subset of the feature columns (header CSV).
 
     Values are read as strings and cast to double so an absent or malformed
     cell becomes NULL, which the model guard then maps to 0.
     """
-    reader = spark.read.option("header", True)
-    df = reader.parquet(path) if fmt == "parquet" else reader.csv(path)
-    df = _rename(df, {**S.FEATURE_HEADERS, "Loyalty Number": "loyalty_number"})
-    out = []
-    for c in df.columns:
-        if c == "loyalty_number" or c in S.FEATURES:
-            out.append(F.expr(f"try_cast(`{c}` as {'bigint' if c == 'loyalty_number' else 'double'})").alias(c))
-        else:
-            out.append(F.col(f"`{c}`"))
-    return df.select(out)
+    df = _raw_upload(spark, path, fmt)
+    known = _scoring_columns(df)
+    return df.select([F.expr(_typed(c)).alias(c) if c in known else F.col(f"`{c}`") for c in df.columns])
+
+
+def rejected_cells(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+    """IO9 — what an upload holds that scoring can't take: ``(file, loyalty_number, column, raw, reason)``.
+
+    A malformed cell is one whose text is no number (it is scored as 0); the key is given as its raw text.
+    A column that scoring doesn't know is one row per file, without key and text.  Blank cells are missing
+    values, not malformed.
+    """
+    df = _raw_upload(spark, path, fmt)
+    known = _scoring_columns(df)
+    file = F.col("_metadata.file_path").alias("file")
+    key = F.col("loyalty_number").cast("string") if "loyalty_number" in known else F.lit(None).cast("string")
+    cells = ", ".join(f"CASE WHEN trim(CAST(`{c}` AS STRING)) <> '' AND {_typed(c)} IS NULL THEN "
+                      f"named_struct('column', '{c}', 'raw', CAST(`{c}` AS STRING)) END" for c in known)
+    out = None
+    if known:
+        out = (df.select(file, key.alias("loyalty_number"), F.expr(f"filter(array({cells}), x -> x IS NOT NULL)").alias("_bad"))
+               .where(F.size("_bad") > 0).select("file", "loyalty_number", F.explode("_bad").alias("_c"))
+               .select("file", "loyalty_number", "_c.column", "_c.raw", F.lit("malformed").alias("reason")))
+    unknown = [c for c in df.columns if c not in known]
+    if unknown or out is None:
+        none = F.lit(None).cast("string")
+        extra = (df.select(file).distinct().select("file", none.alias("loyalty_number"),
+                 F.explode(F.array([F.lit(c) for c in unknown]).cast("array<string>")).alias("column"), none.alias("raw"),
+                 F.lit("unknown column").alias("reason")))
+        out = extra if out is None else out.unionByName(extra)
+    return out
 
 
 def read_json_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:

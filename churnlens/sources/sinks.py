@@ -33,16 +33,15 @@ def save_model(model, path: str) -> None:
 
 
 def write_attributions(values: DataFrame, base: DataFrame, path: str) -> None:
-    """IO8 — long attribution table + one-row base value."""
+    """IO8 — attributions (long rows, or one array per customer) + one-row base value."""
     values.write.mode("overwrite").parquet(f"{path}/values")
     base.coalesce(1).write.mode("overwrite").parquet(f"{path}/base")
 
 
 def scoring_template(spark: SparkSession, n_features: int = 20) -> DataFrame:
     """IO10 — key + the first 20 features, one all-zero sample row."""
-    cols = ["Loyalty Number"] + S.FEATURES[:n_features]
     values = [100001] + [0.0] * n_features
-    return spark.createDataFrame([tuple(values)], cols)
+    return spark.createDataFrame([tuple(values)], ["Loyalty Number"] + S.FEATURES[:n_features])
 
 
 def export_scored(scored: DataFrame, path: str) -> None:
@@ -69,23 +68,24 @@ def export_action_list(actions: DataFrame, path: str) -> None:
     write_csv(format_action_list(actions), path)
 
 
-def format_summary_report(summary: DataFrame) -> DataFrame:
-    """IO14 — the plain-text scoring summary rendered from the one-row summary."""
-    text = F.concat_ws(
-        "\n",
-        F.lit("Batch Prediction Summary Report"),
-        F.lit("================================"),
-        F.concat(F.lit("Total Customers Processed: "), F.format_number("total", 0)),
-        F.lit("Risk Distribution:"),
-        F.format_string("- High Risk (>60%%): %s (%s%%)", F.format_number("high", 0), F.col("high_pct_text")),
-        F.format_string("- Medium Risk (30-60%%): %s (%s%%)", F.format_number("medium", 0), F.col("medium_pct_text")),
-        F.format_string("- Low Risk (<30%%): %s (%s%%)", F.format_number("low", 0), F.col("low_pct_text")),
-        F.concat(F.lit("Average Churn Probability: "), py_percent("mean_probability", 1)),
-        F.concat(F.lit("Median Churn Probability: "), py_percent("median_probability", 1)),
-        F.concat(F.lit("Threshold Used: "), F.regexp_replace(F.format_number("threshold", 2), ",", "")),
-    )
-    return (summary
-            .withColumn("high_pct_text", py_fixed("high_pct", 1))
-            .withColumn("medium_pct_text", py_fixed("medium_pct", 1))
-            .withColumn("low_pct_text", py_fixed("low_pct", 1))
-            .select(text.alias("report")))
+def format_summary_report(summary: DataFrame, date: str | None = None, seconds: float | None = None) -> DataFrame:
+    """IO14 — the plain-text scoring summary rendered from the one-row summary, line by line as in the original.
+
+    The lines of the date and of the processing time are there if given.
+    """
+    def band(name: str) -> str:
+        return F.concat(F.format_number(name, 0), F.lit(" ("), py_fixed(f"{name}_pct", 1), F.lit("%)"))
+
+    # FIXED VALUES: the texts must equal the original's.
+    lines = [F.lit("Batch Prediction Summary Report"), F.lit("================================")]
+    lines += [F.lit(f"Date: {date}")] if date else []
+    lines += [F.lit(""), F.concat(F.lit("Total Customers Processed: "), F.format_number("total", 0))]
+    lines += [F.lit(f"Processing Time: {seconds:.2f} seconds")] if seconds is not None else []
+    lines += [F.lit(""), F.lit("Risk Distribution:"),
+              F.concat(F.lit("- High Risk (>60%): "), band("high")),
+              F.concat(F.lit("- Medium Risk (30-60%): "), band("medium")),
+              F.concat(F.lit("- Low Risk (<30%): "), band("low")), F.lit(""),
+              F.concat(F.lit("Average Churn Probability: "), py_percent("mean_probability", 1)),
+              F.concat(F.lit("Median Churn Probability: "), py_percent("median_probability", 1)), F.lit(""),
+              F.concat(F.lit("Threshold Used: "), py_fixed("threshold", 2)), F.lit("")]
+    return summary.select(F.concat_ws("\n", *lines).alias("report"))

@@ -101,17 +101,6 @@ def test_exact_neighbours_match_brute_force(spark):
         assert list(keys[np.argsort(d[i], kind="stable")[:5]]) == got[k]
 
 
-def test_split_is_disjoint_complete_and_near_fractions(spark):
-    df = spark.range(20000).withColumnRenamed("id", "loyalty_number").withColumn("churn", (F.col("loyalty_number") % 5 == 0).cast("int"))
-    s = SP.assign_split(df).groupBy("split", "churn").count().collect()
-    counts = {(r["split"], r["churn"]): r["count"] for r in s}
-    assert sum(counts.values()) == 20000
-    for c in (0, 1):
-        total = sum(v for (sp, ch), v in counts.items() if ch == c)
-        assert abs(counts[("test", c)] / total - 0.15) < 0.02                # stratified in expectation
-        assert abs(counts[("validation", c)] / total - 0.85 * 0.176) < 0.02
-
-
 def test_stream_scoring_equals_batch(spark, tmp_path):
     from churnlens import schemas as S
     from churnlens.operators import train as TR
@@ -122,7 +111,8 @@ def test_stream_scoring_equals_batch(spark, tmp_path):
     rng = np.random.default_rng(3)
     rows = [(i, *map(float, rng.normal(size=31)), int(rng.integers(0, 2))) for i in range(120)]
     df = spark.createDataFrame(rows, ["loyalty_number", *S.FEATURES, "churn"])
-    model = TR.fit_gbt(TR.with_weight(df, 2.0), dict(S.STORED_PARAMS, n_estimators=3))
+    from pyspark.ml import Pipeline
+    model = Pipeline(stages=[TR.assembler(), GBTClassifier(labelCol="churn", maxIter=3, maxDepth=3, seed=1)]).fit(df)
     up = str(tmp_path / "uploads")
     # uploads may carry only some feature columns: the rest are aligned to 0
     sinks.write_csv(df.select("loyalty_number", *S.FEATURES[:20]).repartition(3), up)
@@ -141,37 +131,32 @@ def test_top_factor_in_pass_equals_long_table(spark):
     model = GBTClassifier(labelCol="churn", maxIter=3, maxDepth=3, seed=2).fit(vec)
     values, _ = TS.tree_attribution(model, df, features=FEATS)
     ref = {r["loyalty_number"]: r["top_risk_factor"] for r in EX.top_factor(values).collect()}
-    got = {r["loyalty_number"]: r["top_risk_factor"] for r in TS.add_top_factor(model, df, FEATS).collect()}
+    from churnlens.operators import ensemble as EN
+    arrays = EN.attribution_arrays(TS.extract_leaves(model, spark)[0], df, FEATS)
+    got = {r["loyalty_number"]: r["t"] for r in arrays.select("loyalty_number", EN.top_factor(FEATS).alias("t")).collect()}
     assert got == ref
 
 
-def test_trials_table_searches_the_whole_space(spark, monkeypatch):
+def test_both_searches_and_the_customer_report_are_plans(spark, monkeypatch):
     from conftest import SF_SMALL
 
-    from churnlens import schemas as S
     from churnlens.operators import train as TR
+    from churnlens import schemas as S
     from churnlens.plans import all_queries
-    fitted = []
-    # every trial is counted, none fitted: the whole search takes long
-    monkeypatch.setattr(TR, "fit_gbt", lambda train, p, **kw: fitted.append(p))
-    monkeypatch.setattr(TR, "validation_f1", lambda *a: (0.5, 0.5))
-    rows = all_queries()["trials_table"](spark, SF_SMALL).collect()
-    assert len(rows) == len(fitted) == S.SEARCH_TRIALS == 30
-    assert sorted(r["params"] for r in rows) == sorted(str(sorted(p.items())) for p in TR.random_trials())
-    for name in ("n_estimators", "max_depth"):
-        assert {p[name] for p in fitted} == set(S.SEARCH_SPACE[name])
-
-
-def test_grid_trials_and_customer_report_are_plans(spark, monkeypatch):
-    from conftest import SF_SMALL
+    asked = []
 
-    from churnlens.operators import train as TR
-    from churnlens.plans import all_queries
-    monkeypatch.setattr(TR, "fit_gbt", lambda train, p, **kw: None)
-    monkeypatch.setattr(TR, "validation_f1", lambda *a: (0.5, 0.5))
+    def counted(train, valid, trials, **kw):
+        # every trial is counted, none fitted: the whole searches take long
+        asked.append(list(trials))
+        return train.sparkSession.range(len(asked[-1])), {}, None
+
+    monkeypatch.setattr(TR, "search", counted)
     plans = all_queries()
-    rows = plans["grid_trials"](spark, SF_SMALL).collect()
-    assert sorted(r["params"] for r in rows) == sorted(str(sorted(p.items())) for p in TR.grid_trials())
+    assert plans["trials_table"](spark, SF_SMALL).count() == S.SEARCH_TRIALS == 30
+    assert plans["grid_trials"](spark, SF_SMALL).count() == 16
+    assert asked == [list(TR.random_trials()), list(TR.grid_trials())]
+    for name, values in S.SEARCH_SPACE.items():
+        assert {p[name] for p in asked[0]} == set(values)
     one, = plans["customer_report"](spark, SF_SMALL).collect()
     view, = plans["customer_view"](spark, SF_SMALL).collect()
     assert tuple(one)[:len(view)] == tuple(view)

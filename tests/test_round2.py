@@ -7,6 +7,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from churnlens import schemas as S
+from churnlens.operators import ensemble as EN
 from churnlens.operators import features as FT
 from churnlens.operators import resample as RS
 from churnlens.operators import retention as RT
@@ -43,7 +44,7 @@ def test_upload_binds_columns_by_header(spark, tmp_path):
     rng = np.random.default_rng(3)
     rows = [(i, *map(float, rng.normal(size=31)), int(rng.integers(0, 2))) for i in range(120)]
     df = spark.createDataFrame(rows, ["loyalty_number", *S.FEATURES, "churn"])
-    model = TR.fit_gbt(TR.with_weight(df, 2.0), dict(S.STORED_PARAMS, n_estimators=3))
+    model = EN.Ensemble(S.FIXTURE_TREES, df)
     up = tmp_path / "up"
     up.mkdir()
     (up / "a.csv").write_text("recency_last_flight,Loyalty Number,Salary,total_flights_24m\n24,1,50000,3\n")
