@@ -32,7 +32,7 @@ from .common import discard, materialize, prepare_python
 #: Bytes of a gram, and starts of a text that are sampled at once (places fit the low 20 bits of a hash).
 GRAM, CHUNK = 32, 1 << 19
 #: Different reads of one gram in a construction at most, and reads that a task puts into one.
-MAX_READS, TASK_READS = 8192, 16384
+MAX_READS, TASK_READS = 1024, 16384
 _BASE = 0x9E3779B97F4A7C15
 _LOW = np.uint64((1 << 20) - 1)
 
