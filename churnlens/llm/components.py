@@ -19,14 +19,15 @@ def _both(e: DataFrame) -> DataFrame:
 
 def _large_star(e: DataFrame) -> DataFrame:
     b = _both(e)
-    low = b.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # stored before the join: both sides are then plain exchanges, and a hub's rows can be split
+    low = materialize(b.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
     return (b.where(F.col("v") > F.col("u")).join(low, "u")
             .select(F.col("v").alias("u"), F.col("m").alias("v")))
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     d = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = d.groupBy("u").agg(F.min("v").alias("m"))
+    low = materialize(d.groupBy("u").agg(F.min("v").alias("m")), "low")
     j = d.join(low, "u")
     return (j.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(low.select("u", F.col("m").alias("v"))))
@@ -49,7 +50,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     for _ in range(max_rounds):
         if state[0] == 0:
             break
-        e = materialize(_small_star(_large_star(e)).where("u <> v").distinct(), "star")
+        large = materialize(_large_star(e), "large")
+        e = materialize(_small_star(large).where("u <> v").distinct(), "star")
         after = _state(e)
         if after == state:
             break
