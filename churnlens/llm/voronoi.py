@@ -52,8 +52,8 @@ def _cell_batches(batches, pivots: np.ndarray):
         gap = _gap(m.astype(np.float64), pivots)
         cell = gap.argmin(axis=1) if len(m) else np.empty(0, np.int64)
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(1), pa.array(cell, pa.int32()), pa.array(gap[np.arange(len(m)), cell], pa.float64())],
-            names=["vec_id", "v", "cell", "gap"])
+            [b.column(0), b.column(1), pa.array(cell, pa.int32()), pa.array(gap[np.arange(len(m)), cell], pa.float64()), b.column(2)],
+            names=["vec_id", "v", "cell", "gap", "n"])
 
 
 def _need_batches(batches, pivots: np.ndarray, near: list[list[tuple[float, int]]], k: int):
@@ -86,10 +86,11 @@ def _need_batches(batches, pivots: np.ndarray, near: list[list[tuple[float, int]
 
 def _solve(key, queries: pa.Table, data: pa.Table, k: int, width: int) -> pa.Table:
     """The best k of one block of data for one block of queries; all that tie with the k-th are kept."""
-    out_q, out_v, out_s = [], [], []
+    out_q, out_v, out_s, out_n = [], [], [], []
     if len(queries) and len(data):
         q, y = (_matrix(t.column("v").combine_chunks(), width) for t in (queries, data))
         q_id, y_id = (t.column("vec_id").to_numpy() for t in (queries, data))
+        copies = data.column("n").to_numpy()
         # doubles are exact below 2**53 and multiply much faster
         exact = float(np.abs(q).max(initial=0)) * float(np.abs(y).max(initial=0)) * width < 2 ** 53
         for a in range(0, len(q), 128):
@@ -107,8 +108,9 @@ def _solve(key, queries: pa.Table, data: pa.Table, k: int, width: int) -> pa.Tab
                 out_q.append(np.full(len(at), q_id[a + i]))
                 out_v.append(y_id[at])
                 out_s.append(row)
+                out_n.append(copies[at])
     cat = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
-    return pa.table({"query_id": cat(out_q), "vec_id": cat(out_v), "score": cat(out_s)})
+    return pa.table({"query_id": cat(out_q), "vec_id": cat(out_v), "score": cat(out_s), "n": cat(out_n)})
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
@@ -116,11 +118,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
     Both tables are ``(vec_id, v array<long>)``; a query never meets a row of its own id.  Ties go to the
     smaller id.  Vectors shorter than the longest count as filled up with zeros; a query with fewer than k
-    others gets them all; rows that repeat an id and vector count once.  Scores beyond 64 bits wrap around.
+    others gets them all.  Every row of ``vectors`` is a candidate: rows that repeat an id and vector are solved once
+    and take as many ranks as they are.  Queries that repeat an id and vector count once.  Scores beyond 64
+    bits wrap around.
     """
     spark = vectors.sparkSession
     prepare_python(spark)
-    vectors = materialize(vectors.dropDuplicates(["vec_id", "v"]), "vectors")
+    vectors = materialize(vectors.groupBy("vec_id", "v").agg(F.count("*").alias("n")), "vectors")
     width = vectors.agg(F.max(F.size("v"))).first()[0] or 1
     chosen = vectors.groupBy("v").agg(F.min("vec_id").alias("i")).orderBy(F.xxhash64("i"), "i").limit(PIVOTS).collect()
     if not chosen:
@@ -129,9 +133,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     for i, r in enumerate(chosen):
         pivots[i, :len(r["v"])] = r["v"]
     celled = partial(_cell_batches, pivots=pivots)
-    kind = "vec_id long, v array<long>, cell int, gap double"
+    kind = "vec_id long, v array<long>, cell int, gap double, n long"
     data = materialize(vectors.mapInArrow(celled, kind), "cells")
-    asked = materialize(queries.dropDuplicates(["vec_id", "v"]).mapInArrow(celled, kind), "asked")
+    asked = materialize(queries.select("vec_id", "v").distinct().withColumn("n", F.lit(1).cast("long")).mapInArrow(celled, kind), "asked")
     low = Window.partitionBy("cell").orderBy("gap", "vec_id")
     # the smallest distances of k+1 ids in each cell, so k are left without the query's own, however many vectors
     # share an id: first within salted parts, so a large cell is not one task
@@ -151,14 +155,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         "grp", F.ceil(F.col("n_data") / DATA_BLOCK).cast("int").alias("d_blocks"),
         F.ceil(F.col("n_query") / QUERY_BLOCK).cast("int").alias("q_blocks")), "blocks")   # at most PIVOTS rows
     left = (asked.withColumnRenamed("cell", "grp").join(F.broadcast(blocks), "grp")
-            .select("grp", F.pmod(F.xxhash64("vec_id"), F.col("q_blocks")).alias("qb"),
+            .select("grp", F.pmod(F.xxhash64("vec_id", "v"), F.col("q_blocks")).alias("qb"),
                     F.explode(F.sequence(F.lit(0).cast("long"), F.col("d_blocks").cast("long") - 1)).alias("db"), "vec_id", "v"))
     right = (sent.join(F.broadcast(blocks), "grp")
              .select("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_blocks").cast("long") - 1)).alias("qb"),
-                     F.pmod(F.xxhash64("vec_id"), F.col("d_blocks")).alias("db"), "vec_id", "v"))
+                     F.pmod(F.xxhash64("vec_id", "v"), F.col("d_blocks")).alias("db"), "vec_id", "v", "n"))
     keys = ["grp", "qb", "db"]
     solved = (left.groupBy(*keys).cogroup(right.groupBy(*keys))
-              .applyInArrow(partial(_solve, k=k, width=width), "query_id long, vec_id long, score long"))
+              .applyInArrow(partial(_solve, k=k, width=width), "query_id long, vec_id long, score long, n long"))
+    solved = solved.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least("n", F.lit(k).cast("long")))))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return (solved.withColumn("rank", F.row_number().over(w)).where(f"rank <= {k}")
             .select("query_id", "rank", "vec_id", "score"))

@@ -404,3 +404,10 @@ def test_strings_are_quantised_by_their_whole_value(spark):
     assert all(r["x0"] == r["x1"] for r in got) and {r["x0"] for r in got if r["s"]} == set(range(8))
     assert all(r["x0"] == 0 for r in got if r["s"] is None)
     assert hilbert.quantise(df.limit(0), ["s"], 3).count() == 0
+
+
+def test_voronoi_every_row_is_a_candidate(spark):
+    rows = [(1, [3])] * 3 + [(2, [2])] * 2 + [(3, [1]), (50, [1]), (50, [1])]
+    v = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    got = voronoi.top_k(v, v.where("vec_id = 50"), 5).orderBy("rank").collect()
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in got] == [(1, 1, 3), (2, 1, 3), (3, 1, 3), (4, 2, 2), (5, 2, 2)]
