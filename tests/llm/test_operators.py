@@ -280,11 +280,11 @@ def test_voronoi_top_k(spark):
              (550, [0.0] * 6, "c"), (551, [], "c"), (7, rows[7][1], "c")]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<float>, cell string")
     v = voronoi.quantise(d, "vec_id", "embedding")
-    data = {r["vec_id"]: np.array(list(r["v"]) + [0] * (6 - len(r["v"]))) for r in v.collect()}
+    data = [(r["vec_id"], np.array(list(r["v"]) + [0] * (6 - len(r["v"])))) for r in v.collect()]      # every row is a candidate
     got = voronoi.top_k(v, v.where("vec_id % 50 = 0"), 5).orderBy("query_id", "rank").collect()
     want = []
-    for q in sorted(i for i in data if i % 50 == 0):
-        best = sorted((-int(data[q] @ y), i) for i, y in data.items() if i != q)[:5]
+    for q, x in sorted((i, y) for i, y in data if i % 50 == 0):
+        best = sorted((-int(x @ y), i) for i, y in data if i != q)[:5]
         want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
     assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got] == want
     assert voronoi.top_k(v.limit(0), v.limit(0)).count() == 0
