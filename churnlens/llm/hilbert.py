@@ -96,14 +96,17 @@ def assign_shards(rows: DataFrame, dims: list[str], n_shards: int, ties: list[st
 
     Law of rows: shard sizes differ by one at most.  Rows of one cell follow ``ties``; wholly equal rows
     are interchangeable.  With fewer rows than shards the last shards stay empty; an empty table gives
-    an empty table.  Null dimensions sort into cell 0.
+    an empty table.  Null dimensions sort into cell 0.  All columns of ``rows`` are kept, but for those named
+    ``curve``, ``shard`` or ``slot``, whose place the new ones take.
     """
-    cells = hilbert_index(quantise(rows, dims, bits), len(dims), bits)
-    r = global_rank(cells, ["curve", *ties])
+    own = {c: f"__own{i}" for i, c in enumerate(rows.columns)}
+    cells = hilbert_index(quantise(rows.withColumnsRenamed(own), [own[d] for d in dims], bits), len(dims), bits)
+    r = global_rank(cells, ["curve", *(own[t] for t in ties)])
     shard = F.expr(f"(rank * {n_shards}) div total")
     first = F.expr(f"(shard * total + {n_shards - 1}) div {n_shards}")
     return (r.withColumn("shard", shard).withColumn("slot", F.col("rank") - first)
-            .withColumn("shard", F.col("shard").cast("int")).drop("rank", "total"))
+            .select(*[F.col(o).alias(c) for c, o in own.items() if c not in ("curve", "shard", "slot")],
+                    "curve", F.col("shard").cast("int").alias("shard"), "slot"))
 
 
 def zone_map(sharded: DataFrame, dims: list[str]) -> DataFrame:

@@ -139,6 +139,53 @@ def test_hilbert_shards(spark, docs, empty):
     assert hilbert.assign_shards(empty.select("doc_id", "source", "n_chars"), ["source", "n_chars"], 5, ["doc_id"]).count() == 0
 
 
+def _cells(values, bits):
+    """Number of quantile cuts at or below each value; the cuts by sorting whole columns."""
+    some = sorted((v for v in values if v is not None), key=lambda v: v.encode() if isinstance(v, str) else v)
+    n, parts = len(some), 1 << bits
+    cuts = sorted({some[max(math.ceil(i * n / parts), 1) - 1] for i in range(1, parts)}) if n else []
+    return [0 if v is None else sum(c <= v for c in cuts) for v in values]
+
+
+def _curve(point, bits):
+    """Hilbert index by Skilling's transform, one point at a time."""
+    x, n = list(point), len(point)
+    q = 1 << (bits - 1)
+    while q > 1:
+        for i in range(n):
+            if x[i] & q:
+                x[0] ^= q - 1
+            else:
+                t = (x[0] ^ x[i]) & (q - 1)
+                x[0] ^= t
+                x[i] ^= t
+        q >>= 1
+    for i in range(1, n):
+        x[i] ^= x[i - 1]
+    t, q = 0, 1 << (bits - 1)
+    while q > 1:
+        t ^= (q - 1) if x[n - 1] & q else 0
+        q >>= 1
+    x = [v ^ t for v in x]
+    return sum((x[i] >> b & 1) << (b * n + n - 1 - i) for b in range(bits) for i in range(n))
+
+
+def test_hilbert_shards_equal_a_plain_version_and_keep_all_columns(spark):
+    rng = random.Random(12)
+    rows = [(i, rng.choice([None, "a", "b", "Zé", "crawl-1", "crawl-2"]), rng.choice([None, *range(40)]), i % 7, "r", "t", "x", "v", "s") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, n_chars long, rank int, total string, x0 string, part string, v string, slot string")
+    got = hilbert.assign_shards(df, ["source", "n_chars"], 7, ["doc_id"], bits=3)
+    assert got.columns == [*(c for c in df.columns if c != "slot"), "curve", "shard", "slot"]
+    curve = [_curve(p, 3) for p in zip(_cells([r[1] for r in rows], 3), _cells([r[2] for r in rows], 3))]
+    order = sorted(range(300), key=lambda i: (curve[i], i))
+    want = {}
+    for place, i in enumerate(order):
+        shard = place * 7 // 300
+        want[i] = (curve[i], shard, place - -(-shard * 300 // 7))
+    assert {r["doc_id"]: (r["curve"], r["shard"], r["slot"]) for r in got.collect()} == want
+    assert all(r["rank"] == r["doc_id"] % 7 and r["total"] == "r" and r["x0"] == "t" for r in got.collect())
+
+
 def test_hilbert_curve_steps_to_neighbours(spark):
     cells = spark.range(8 ** 3).selectExpr("CAST(id % 8 AS int) x0", "CAST(id div 8 % 8 AS int) x1", "CAST(id div 64 AS int) x2",
                                            "id % 8 a", "id div 8 % 8 b", "id div 64 c")
@@ -411,3 +458,58 @@ def test_voronoi_every_row_is_a_candidate(spark):
     v = spark.createDataFrame(rows, "vec_id long, v array<long>")
     got = voronoi.top_k(v, v.where("vec_id = 50"), 5).orderBy("rank").collect()
     assert [(r["rank"], r["vec_id"], r["score"]) for r in got] == [(1, 1, 3), (2, 1, 3), (3, 1, 3), (4, 2, 2), (5, 2, 2)]
+
+
+def test_spans_beside_columns_of_the_same_names(spark):
+    words = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, words, "a", 1, "k", "t"), (2, "x " + words, "b", 2, "l", "u")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string, n_words int, kept_text string, __own string")
+    cut = rlz.remove_spans(df)
+    assert cut.columns == ["doc_id", "text", "spans", "__own", "n_words", "n_removed", "kept_text"]
+    assert [(r["spans"], r["__own"], r["n_words"], r["n_removed"]) for r in cut.orderBy("doc_id").collect()] == [("a", "t", 80, 0), ("b", "u", 81, 80)]
+    left = rlz.drop_repeats(df).orderBy("doc_id").collect()
+    assert [tuple(r) for r in left] == [rows[0], (2, "x", "b", 2, "l", "u")]
+
+
+def test_bodies_equal_a_plain_reading_of_the_distribution():
+    rng = random.Random(3)
+    for _ in range(300):
+        size = [rng.choice([0, 0, 0, 5, 40, 200]) for _ in range(rng.randint(0, 30))]
+        length = lambda i: sum(size[i:i + linedist.WINDOW]) if 0 <= i < len(size) else 0  # noqa: B023, E731
+        surges = [i for i in range(len(size)) if length(i) and not length(i - 1)]
+        want = []
+        for a in surges:
+            b = next((j for j in range(a, len(size)) if not length(j)), len(size))
+            want.append((a, b, max(length(j) for j in range(a, b))))
+        assert linedist.bodies(size) == want
+        kept = {i for a, b, _ in want for i in range(a, b)}
+        assert all((i in kept) == any(size[i:i + linedist.WINDOW]) for i in range(len(size)))
+
+
+def test_article_text_is_kept_whatever_it_is_named():
+    body = "A paragraph of reading text that is long enough to pass the threshold of a body, by some margin, for sure."
+    link = '<a href="/x">another page</a> <a href="/y">and one more</a>'
+    page = lambda inner: f"<nav>menu</nav><article>{inner}</article><div class='ad'>buy</div>"
+    for inner, want in (
+            (f'<h2 id="social-history">Head</h2><p>{body}</p>', f"Head\n\n{body}"),
+            (f'<section id="related-work"><h3>Work</h3><p>{body}</p></section>', f"Work\n\n{body}"),
+            (f'<h2 id="alert">T</h2><p class="foot">{body}</p>', f"T\n\n{body}"),
+            (f"<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> hold.</p><p>{body}</p>", f"Let x=1 hold.\n\n{body}"),
+            (f"<p>{body}</p><object data=a><p>tail", f"{body}\n\ntail"),
+            (f"<p>{body}</p><video><p>tail", f"{body}\n\ntail"),
+            (f'<p>{body}</p><div class="related">{link}</div><p>tail</p>', f"{body}\n\ntail"),
+            (f'<div class="recommendations"><p>{body}</p><div>{link}</div></div><p>tail</p>', f"{body}\n\nanother page and one more\n\ntail"),
+            (f'<p>{body}</p><div class="comments"><p>{body}</p></div>', body),
+            (f"<p>{body}</p><noscript>turn it on</noscript><script>var a = '<p>'", body)):
+        assert linedist.main_text(page(inner).removesuffix("<div class='ad'>buy</div>")) == want, inner
+    # the same marks outside an article
+    assert linedist.main_text(f'<div class="social">{link}</div><p>{body}</p>') == body
+
+
+def test_the_distribution_decides_on_marked_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
+    for r in pages:
+        rows = linedist.lines(r["html"])
+        size, marked = linedist.weights(rows)
+        text = [rows[i][0] for a, b, _ in linedist.bodies(size) for i in range(a, b) if rows[i][2] and rows[i][0]]
+        assert marked and linedist.main_text(r["html"]) == "\n\n".join(text) != ""
