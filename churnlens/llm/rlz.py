@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import materialize, prepare_python, text_key
 
 GRAM = 8
+#: Columns that the cut adds.
+NEW = ("n_words", "n_removed", "kept_text")
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -182,28 +184,33 @@ def remove_spans(docs: DataFrame, window: int = 50) -> DataFrame:
 
     Windows are judged on the input.  A null text has no words.  Rows with a null id are neither changed
     nor a source; rows that repeat an id are parts of one document: no source for each other.  An empty
-    table gives an empty table; a text of fewer words than the window is kept.
+    table gives an empty table; a text of fewer words than the window is kept.  All columns of ``docs`` are kept,
+    but for those named as the new ones, whose place these take.
     """
     per = (spans(docs, window).groupBy("doc_id", "key").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
            .withColumnsRenamed({"doc_id": "__id", "key": "__key"}))
     per = materialize(per, "spans")
-    own = text_key().bitwiseAND(F.lit(0xFFFFFFFF))
-    joined = (docs.withColumn("__own", own).join(per, (F.col("doc_id").cast("long") == F.col("__id")) & (F.col("__own") == F.col("__key")), "left")
-              .select(*docs.columns, "spans"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    names = {c: f"__u{i}" for i, c in enumerate(docs.columns) if c not in NEW and c != "text"}
+    rows = docs.select(*[F.col(f"`{c}`").alias(u) for c, u in names.items()], "text", F.col("doc_id").cast("long").alias("__doc"),
+                       text_key().bitwiseAND(F.lit(0xFFFFFFFF)).alias("__own"))
+    joined = (rows.join(per, (F.col("__doc") == F.col("__id")) & (F.col("__own") == F.col("__key")), "left")
+              .select(*names.values(), "text", "spans"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in joined.schema.fields if f.name != "spans")
     prepare_python(docs.sparkSession)
-    return joined.mapInArrow(_cut_batches, f"{kinds}, n_words long, n_removed long, kept_text string")
+    cut = joined.mapInArrow(_cut_batches, f"{kinds}, n_words long, n_removed long, kept_text string")
+    return cut.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns if c not in NEW], *NEW)
 
 
 def drop_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     """``docs`` with the duplicate spans cut out of ``text`` and ``n_chars`` counted anew where it changed.
 
-    Documents without a duplicate span keep their text as it is.
+    Documents without a duplicate span keep their text as it is; all other columns stay, whatever their names.
     """
-    cut = remove_spans(docs, window)
+    aside = {c: f"__aside{i}" for i, c in enumerate(NEW) if c in docs.columns}
+    cut = remove_spans(docs.withColumnsRenamed(aside), window)
     changed = F.col("n_removed") > 0
     cut = cut.withColumn("text", F.when(changed, F.col("kept_text")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         cut = cut.withColumn("n_chars", F.when(changed, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return cut.select(*docs.columns)
+    return cut.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
