@@ -3,7 +3,8 @@
 Markup is stripped so that each block of a page is a line; places that hold no reading text (menus, forms,
 adverts and the like) become runs of empty lines.  The text lengths of sliding windows of lines form the
 page's distribution; where it surges from zero a body starts, where it dives to zero it ends, and the
-lines between are kept if the peak between them is high enough.
+lines between are kept if the peak between them is high enough.  Marks are evidence in it: where a page marks its
+article, a line in there weighs its whole length and a threshold more, and a line outside nothing.
 """
 
 from __future__ import annotations
@@ -25,35 +26,46 @@ WINDOW, SURGE = 3, 86
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption
 figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td
 tfoot th thead tr ul""".split())
-RAW = "script|style|noscript|template|svg|math|textarea|select|iframe|object|canvas|audio|video|title"
+RAW = "script|style|textarea|title"
+EMBEDDED = "noscript|template|svg|select|iframe|object|canvas|audio|video"
+NAMED = frozenset("div section ul ol dl table figure details center td li".split())
 SKIP = frozenset("nav aside footer form button menu dialog fieldset".split())
 CONTAINERS = frozenset("body center div section table td th".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 SIDE_NAMES = re.compile(r"""(?:^|[\s_-])(?:ads?|adv|advert\w*|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notices?|alert|popup|modal
 |overlay|sidebar|sidenav|widgets?|nav|navbar|navigation|menus?|breadcrumbs?|footer|foot|masthead|topbar|toolbar|comments?|commentlist
-|disqus|respond|replies|share|sharing|social|related|recommend\w*|newsletter|subscribe|subscription|signup|login|pagination|pager
+|disqus|respond|replies|share|sharing|newsletter|subscribe|subscription|signup|login|pagination|pager
 )(?:$|[\s_-])""", re.X | re.I)
+DOUBTFUL_NAMES = re.compile(r"(?:^|[\s_-])(?:social|related|recommend\w*)(?:$|[\s_-])", re.I)
 # ---- end of fixed values ----
 
-_NOT_TEXT = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>", re.S | re.I)
+_IN_TAG = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
+#: What holds no text; only raw text runs to the page's end when its end tag is missing.
+_NOT_TEXT = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b{_IN_TAG}>.*?(?:</\1\s*>|\Z)|<({EMBEDDED})\b{_IN_TAG}>.*?</\2\s*>|<[!?][^>]*>", re.S | re.I)
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
 _ATTR = re.compile(r"""([^\s/>=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")        # one whole attribute after the other
 
 
-def _aside(name: str, attrs: str, in_article: bool) -> bool:
-    """Whether an element holds no reading text."""
+def _aside(name: str, attrs: str, in_article: bool) -> bool | None:
+    """Whether an element holds no reading text; None: if it is made of links.
+
+    Names of classes and ids count on containers alone: headings, paragraphs and inline elements are named after
+    what they say.
+    """
     if name in SKIP or name == "header" and not in_article:
         return True
     if not attrs or name in ("html", "body", "article", "main"):
         return False
+    doubt = False
     for key, value in _ATTR.findall(attrs):
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in SIDE_ROLES:
             return True
-        if key in ("class", "id") and (SIDE_NAMES.search(value) or not in_article and re.search(r"(?:^|[\s_-])header(?:$|[\s_-])", value)):
+        if key in ("class", "id") and name in NAMED and (SIDE_NAMES.search(value) or not in_article and re.search(r"(?:^|[\s_-])header(?:$|[\s_-])", value)):
             return True
-    return False
+        doubt = doubt or key in ("class", "id") and name in NAMED and bool(DOUBTFUL_NAMES.search(value))
+    return None if doubt else False
 
 
 def _nest(open_: list[tuple[str, int]], end: str, name: str, number: int) -> None:
@@ -68,6 +80,13 @@ def _nest(open_: list[tuple[str, int]], end: str, name: str, number: int) -> Non
             pass
 
 
+def _settle(out: list, start: int, gap: list, in_article: bool) -> None:
+    """Drops the lines of a doubtful container if more of their text stands in links than outside."""
+    whole, own = sum(len(r[0]) for r in out[start:]), sum(r[1] for r in out[start:])
+    if 2 * own < whole:
+        out[start:] = [] if in_article else gap
+
+
 def lines(html: str) -> list[tuple[str, int, bool, frozenset[int]]]:
     """The page's lines: text, length outside links, whether it stands in an article element, its parents.
 
@@ -89,6 +108,7 @@ def lines(html: str) -> list[tuple[str, int, bool, frozenset[int]]]:
         state["own"] = 0
 
     skip, depth, at = "", 0, 0
+    doubts: list[list] = []                       # open doubtful containers: name, depth of that name, first line
     for m in _TAG.finditer(html):
         end, name, attrs = m.group(1), m.group(2).lower(), m.group(3)
         if not skip and m.start() > at:
@@ -108,8 +128,19 @@ def lines(html: str) -> list[tuple[str, int, bool, frozenset[int]]]:
                 skip, own_end = "", True
             if skip or name in SKIP and end:
                 continue
-        if not end and name not in VOID and _aside(name, attrs, state["article"] > 0):
+        aside = not end and name not in VOID and _aside(name, attrs, state["article"] > 0)
+        for d in doubts:
+            d[1] += (name == d[0] and not own_end) * (-1 if end else 1)
+        while doubts and doubts[-1][1] == 0:
+            flush()
+            _settle(out, doubts.pop()[2], gap, state["article"] > 0)
+        if aside is None:
             flush()
+            doubts.append([name, 1, len(out)])
+        if aside:
+            flush()
+            for d in doubts:
+                d[1] -= name == d[0]
             if not state["article"] and (name in SKIP or name == "header"):   # an advert amid the text doesn't end it
                 out.extend(gap)
             skip, depth = name, 1
@@ -133,37 +164,55 @@ def lines(html: str) -> list[tuple[str, int, bool, frozenset[int]]]:
         text.append(html[at:])
         state["own"] += 0 if state["link"] else len(html[at:].strip())
     flush()
+    while doubts:
+        _settle(out, doubts.pop()[2], gap, state["article"] > 0)
+    return out
+
+
+def weights(rows: list[tuple[str, int, bool, frozenset[int]]]) -> tuple[list[int], bool]:
+    """What each line adds to the distribution, and whether the page marks its article.
+
+    That is its length outside links.  In a page that marks its article (by any text there outside links, or by any at all
+    in a page of links alone) it is the whole length and a threshold more for a line in there, and nothing for others.
+    """
+    marked = any(inside and n for _, n, inside, _ in rows) or not any(n for _, n, _, _ in rows)
+    if marked:
+        return [len(t) + SURGE if inside and t else 0 for t, _, inside, _ in rows], True
+    return [n for _, n, _, _ in rows], False
+
+
+def bodies(size: list[int]) -> list[tuple[int, int, int]]:
+    """Surge and dive point and peak of every run of windows that aren't empty."""
+    block = [sum(size[i:i + WINDOW]) for i in range(len(size))]
+    out, i = [], 0
+    while i < len(block):
+        dive = i
+        while dive < len(block) and block[dive]:
+            dive += 1
+        if dive > i:
+            out.append((i, dive, max(block[i:dive])))
+        i = dive + 1
     return out
 
 
 def main_text(html: str | None) -> str:
     """The lines between surge and dive points, joined by a blank line.
 
-    Of a page that marks its article all lines in there count, as the body is known; a page of links alone
-    counts as marked by any line there.  In other pages a run of lines that stays below the threshold goes
-    on with a body before it, as far as its lines share a parent with the lines kept there.
+    A run of lines that stays below the threshold goes on with a body before it, as far as its lines share a parent
+    with the lines kept there.
     """
     rows = lines(html or "")
-    if any(inside and n for _, n, inside, _ in rows) or not any(n for _, n, _, _ in rows):
-        return "\n\n".join(t for t, _, inside, _ in rows if inside and t)
-    size = [n for _, n, _, _ in rows]
-    block = [sum(size[i:i + WINDOW]) for i in range(len(rows))]
-    need = min(SURGE, max(block, default=0))
-    kept, parents, i = [], frozenset(), 0
-    while i < len(rows):
-        if not block[i]:
-            i += 1
-            continue
-        dive = i
-        while dive < len(rows) and block[dive]:
-            dive += 1
-        run = [r for r in rows[i:dive] if r[0]]
-        if max(block[i:dive]) < need:
+    size, marked = weights(rows)
+    found = bodies(size)
+    need = min(SURGE, max((peak for _, _, peak in found), default=0))
+    kept, parents = [], frozenset()
+    for surge, dive, peak in found:
+        run = [r for r in rows[surge:dive] if r[0] and (r[2] or not marked)]
+        if peak < need:
             run = [r for r in run if r[3] & parents]
         if run:
-            kept += [t for t, _, _, _ in run]
+            kept += [r[0] for r in run]
             parents = frozenset().union(*(r[3] for r in run))
-        i = dive
     return "\n\n".join(kept)
 
 
