@@ -22,8 +22,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .segments import attach_scalar
-
 
 def _scan_batches(batches, by: list[int], sums: list[int]):
     """Running sums of whole-number columns over the partition's rows, anew in each group."""
@@ -97,20 +95,43 @@ def percent_ranks(df: DataFrame, value: str, by: list[str], name: str = "percent
     return at.join(placed, same & (F.col("_v") == F.col("_w")), "left").select(*df.columns, name)
 
 
-def exact_median(df: DataFrame, value: str, buckets: int | None = None) -> DataFrame:
-    """Exact median (mean of the two middle values for an even count), one row.
+#: Cells that a round of refinement counts.
+CELLS = 4096
+
+
+def order_statistics(df: DataFrame, value: str, ranks) -> list[float]:
+    """The values at some ranks (from 1; ``ranks`` is a function of the number of values), nulls left out.
 
-    Values are first reduced to (value, count) pairs, then located by rank
-    through :func:`running_totals` — no task ever holds all values.
+    No value is moved: each round counts the values of at most one range per rank in ``CELLS`` equal cells, with
+    the cells' least and greatest value, and goes on inside the cell that holds the rank, until that is one value.
     """
-    v = F.col(value)
-    counts = df.where(v.isNotNull()).groupBy(v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    rt = running_totals(counts, "_v", ["_n"], buckets=buckets)
-    total = rt.agg(F.sum("_n").alias("_total"))
-    rt = attach_scalar(rt, total)
-    lo = F.floor((F.col("_total") + 1) / 2)
-    hi = F.floor(F.col("_total") / 2) + 1
-    start = F.col("cum__n") - F.col("_n")
-    return rt.agg(((F.max(F.when((start < lo) & (lo <= F.col("cum__n")), F.col("_v")))
-                    + F.max(F.when((start < hi) & (hi <= F.col("cum__n")), F.col("_v")))) / 2)
-                  .alias("median"))
+    v = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
+    n, low, high = v.agg(F.count("v"), F.min("v"), F.max("v")).first()
+    asked = ranks(n) if n else []
+    at = {r: (low, high, 0) for r in asked}                              # least, greatest, values below
+    while any(a < b for a, b, _ in at.values()):
+        spans = sorted({(a, b) for a, b, _ in at.values() if a < b})
+        cell = F.lit(None).cast("int")
+        for i, (a, b) in enumerate(spans):
+            inside = (F.col("v") >= F.lit(a)) & (F.col("v") <= F.lit(b))
+            # halves, so that the width of a range can't overflow
+            part = (F.col("v") / 2 - F.lit(a / 2)) / F.lit(b / 2 - a / 2)
+            cell = F.when(inside, F.least((part * CELLS).cast("int"), F.lit(CELLS - 1)) + i * CELLS).otherwise(cell)
+        counted = (v.select("v", cell.alias("c")).where(F.col("c").isNotNull()).groupBy("c")
+                   .agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).collect())     # at most CELLS a range
+        for r, (a, b, below) in at.items():
+            if a < b:
+                first = spans.index((a, b)) * CELLS
+                for c in sorted((c for c in counted if first <= c["c"] < first + CELLS), key=lambda c: c["c"]):
+                    if below + c["n"] >= r:
+                        at[r] = (c["a"], c["b"], below)
+                        break
+                    below += c["n"]
+    return [at[r][0] for r in asked]
+
+
+def exact_median(df: DataFrame, value: str) -> DataFrame:
+    """Exact median (mean of the two middle values for an even count), one row; null without values."""
+    found = order_statistics(df, value, lambda n: sorted({(n + 1) // 2, n // 2 + 1}))
+    median = (found[0] + found[-1]) / 2 if found else None
+    return df.sparkSession.range(1).select(F.lit(median).cast("double").alias("median"))

@@ -34,22 +34,28 @@ def stratified(sizes: dict, share: float) -> dict:
     return {c: n + (c in rest) for c, n in out.items()}
 
 
-def smallest(df: DataFrame, label: str, hashed: Column, wanted: dict) -> dict:
+def _cells(rows: DataFrame, at: int) -> dict:
+    """Per class the rows by the hash digits behind the first ``at``: at most ``16**STEP`` counts each."""
+    cells: dict = {}
+    for r in rows.groupBy("c", F.substring("h", at + 1, STEP).alias("cell")).count().collect():
+        cells.setdefault(r["c"], []).append((r["cell"], r["count"]))
+    return cells
+
+
+def smallest(rows: DataFrame, wanted: dict, first: dict | None = None) -> dict:
     """For each class the hash prefix up to which (itself included) it has exactly the wanted number of rows.
 
-    ``None`` where none is wanted.  Rows of equal hash can't be parted and go together.
+    ``rows`` are classes ``c`` and hashes ``h``, ``first`` the counts of the first digits if known.  ``None`` where no
+    row is wanted.  Rows of equal hash can't be parted and go together.
     """
-    rows = df.select(F.col(label).alias("c"), hashed.alias("h"))
     cuts = {c: None for c in wanted}
     looked = {c: ("", n) for c, n in wanted.items() if n > 0}
     while looked:
-        at = len(next(iter(looked.values()))[0])
         open_ = F.lit(False)
         for c, (prefix, _) in looked.items():
             open_ = open_ | (F.col("c").eqNullSafe(F.lit(c)) & F.col("h").startswith(prefix))
-        cells: dict = {}
-        for r in rows.where(open_).groupBy("c", F.substring("h", at + 1, STEP).alias("cell")).count().collect():
-            cells.setdefault(r["c"], []).append((r["cell"], r["count"]))       # at most 16**STEP per class
+        cells = first or _cells(rows.where(open_), len(next(iter(looked.values()))[0]))
+        first = None
         for c, (prefix, left) in list(looked.items()):
             del looked[c]
             cuts[c] = "g"                                                       # all rows, should they not suffice
@@ -74,14 +80,16 @@ def _upto(hashed: Column, label: str, cuts: dict) -> Column:
 
 def split_cuts(df: DataFrame, key: str = "loyalty_number", seed: int = S.SPLIT_SEED, label: str = "churn") -> tuple[dict, dict]:
     """The cuts of the test and of the validation set over the whole table, a prefix for each class."""
-    sizes = {r["c"]: r["count"] for r in df.groupBy(F.col(label).alias("c")).count().collect()}     # a row per class
+    rows = df.select(F.col(label).alias("c"), hash_of(key, seed).alias("h"), hash_of(key, seed, "-val").alias("h2"))
+    first = _cells(rows, 0)
+    sizes = {c: sum(n for _, n in cells) for c, cells in first.items()}         # a number per class
     if not sizes:
         return {}, {}
     take = stratified(sizes, S.TEST_SHARE)
-    test = smallest(df, label, hash_of(key, seed), take)
-    rest = df.where(~_upto(hash_of(key, seed), label, test))
+    test = smallest(rows, take, first)
+    rest = rows.where(~_upto(F.col("h"), "c", test)).select("c", F.col("h2").alias("h"))
     left = {c: n - take[c] for c, n in sizes.items()}
-    return test, smallest(rest, label, hash_of(key, seed, "-val"), stratified(left, S.VALIDATION_SHARE) if sum(left.values()) else {})
+    return test, smallest(rest, stratified(left, S.VALIDATION_SHARE) if sum(left.values()) else {})
 
 
 def assign_split(df: DataFrame, key: str = "loyalty_number", seed: int = S.SPLIT_SEED, label: str = "churn",

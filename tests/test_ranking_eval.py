@@ -31,7 +31,19 @@ def test_running_totals_match_cumsum(spark):
 @given(st.lists(st.integers(-50, 50), min_size=1, max_size=40))
 def test_exact_median(spark, xs):
     df = spark.createDataFrame([(float(x),) for x in xs], "x double")
-    assert RK.exact_median(df, "x", buckets=3).first()["median"] == float(np.median(xs))
+    assert RK.exact_median(df, "x").first()["median"] == float(np.median(xs))
+
+
+def test_order_statistics_refine_to_the_exact_values(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    xs = np.concatenate([rng.lognormal(0, 12, 400), -rng.lognormal(0, 12, 200), [0.0] * 60, [1e300, -1e300, 5e-324]])
+    df = spark.createDataFrame([(float(x),) for x in xs] + [(None,)], "x double").repartition(3)
+    ordered = sorted(xs)
+    for cells in (2, 16, 4096):
+        monkeypatch.setattr(RK, "CELLS", cells)
+        wanted = [1, 7, 300, 331, 332, 500, len(xs)] if cells > 2 else [332]
+        assert RK.order_statistics(df, "x", lambda n: wanted) == [ordered[r - 1] for r in wanted]
+    assert RK.exact_median(df.limit(0), "x").first()["median"] is None
 
 
 def test_auc_ap_and_best_threshold_brute_force(spark):
