@@ -76,9 +76,13 @@ def _buckets(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
 
 
+def _name(path: str) -> str:
+    return "churnlens_" + hashlib.sha1(path.encode()).hexdigest()[:20]
+
+
 def _table(spark: SparkSession, path: str, schema: T.StructType, buckets: int) -> DataFrame:
     """The files of ``path`` as a table bucketed and sorted by customer: a name of this session, no copy."""
-    name = "churnlens_" + hashlib.sha1(path.encode()).hexdigest()[:20]
+    name = _name(path)
     if not spark.catalog.tableExists(name):
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
         spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet "
@@ -88,10 +92,9 @@ def _table(spark: SparkSession, path: str, schema: T.StructType, buckets: int) -
 
 def write_bucketed(df: DataFrame, path: str, buckets: int) -> None:
     """Parquet files bucketed and sorted by customer, so that later aggregates and joins by customer need no
-    exchange.  A frame that is already hash-partitioned by customer is written as it lies."""
-    spark, name = df.sparkSession, f"churnlens_w{uuid.uuid4().hex}"
-    (df.write.format("parquet").bucketBy(buckets, _KEY).sortBy(_KEY).option("path", path).saveAsTable(name))
-    spark.sql(f"DROP TABLE {name}")                   # an outside table: only the name goes, the files stay
+    exchange.  A frame that is already hash-partitioned by customer is written as it lies.  The files are a
+    table of this session under :func:`_name`."""
+    df.write.format("parquet").bucketBy(buckets, _KEY).sortBy(_KEY).option("path", path).saveAsTable(_name(path))
 
 
 def _materialized(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
@@ -106,6 +109,7 @@ def _materialized(spark: SparkSession, sf_dir: str, name: str, build) -> DataFra
     if not fs.exists(p):
         tmp = f"{root}/_tmp-{name}-{uuid.uuid4().hex}"
         write_bucketed(build(), tmp, n)
+        spark.sql(f"DROP TABLE {_name(tmp)}")         # an outside table: only the name goes, the files stay
         fs_t, pt = _fs(spark, tmp)
         _, pf = _fs(spark, final)
         if fs.exists(pf) and not fs.exists(p):      # left by a writer that did not finish

@@ -29,7 +29,7 @@ def _rows(spark, n=300):
 
 def test_base_value_counts_rows_not_weights(spark):
     df = _rows(spark)
-    vec = VectorAssembler(inputCols=FEATS, outputCol="features").transform(df)
+    vec = VectorAssembler(inputCols=FEATS, outputCol="features").transform(df).coalesce(1).cache()
     model = GBTClassifier(labelCol="churn", weightCol="weight", maxIter=1, maxDepth=2, seed=4).fit(vec)
     values, base = TS.tree_attribution(model, df, features=FEATS)
     # with one tree and covers by rows, the base is the mean margin of the training rows
