@@ -1,6 +1,7 @@
 """Distributed order statistics and evaluation against brute force."""
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -15,7 +16,9 @@ def _labels_scores(seed, n=300):
     return y, s
 
 
-def test_running_totals_match_cumsum(spark):
+@pytest.mark.parametrize("one_task", [0, 100_000])
+def test_running_totals_match_cumsum(spark, monkeypatch, one_task):
+    monkeypatch.setattr(RK, "ONE_TASK", one_task)
     rng = np.random.default_rng(1)
     vals = rng.permutation(500).astype(float)
     w = rng.integers(1, 5, 500)
