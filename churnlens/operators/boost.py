@@ -7,6 +7,9 @@ two things: for large tree nodes it adds up gradient histograms per partition an
 finds the split; the rows of nodes with at most ``SMALL`` rows are brought together, and a task finds all
 splits below at once.  What reaches the driver is bounded by models, leaves, features and bins, never by rows.
 
+Of a table of at most ``WHOLE`` rows every fit gets a copy of the binned rows by one shuffle and grows all its trees in a
+task of its own, by the same steps and to the same trees: a pass per level costs more there than its sums.
+
 The objective is weighted log loss with Newton steps.  All nine parameters of the search space have their
 meaning: trees, depth (-1: none), learning rate, leaves (the best splits of a level first), rows per leaf, shares of rows
 and features per tree, and the L1 and L2 penalties of a leaf.  Gradients are summed as whole numbers, rows are drawn
@@ -36,6 +39,7 @@ from .resample import md5_number
 BINS = 32                                    # of a feature
 ROWS = 50_000                                # of a block, about
 SMALL = 1 << 15                              # rows of a node that is finished in one task
+WHOLE = 1 << 20                              # rows of a table whose fits are a task each, of some 100 bytes a row
 _UNIT = float(1 << 24)                       # gradients are whole multiples of 1 / _UNIT
 _MIN_HESSIAN = 1e-3
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -55,11 +59,11 @@ class Tree:
         return tuple(np.array(x) for x in (self.feature, self.cut, self.left, self.right, self.value)), max(self.depth)
 
 
-def leaf_of(arrays, depth: int, x: np.ndarray) -> np.ndarray:
-    """The node at which every row of binned features ends."""
+def leaf_of(arrays, depth: int, x: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+    """The node at which every row (or those numbered ``at``) of binned features ends."""
     feature, cut, left, right, _ = arrays
-    node = np.zeros(len(x), np.int64)
-    at = np.arange(len(x))
+    at = np.arange(len(x)) if at is None else at
+    node = np.zeros(len(at), np.int64)
     for _ in range(depth):
         f = feature[node]
         split = f >= 0
@@ -86,7 +90,7 @@ def _worked_in(block: dict, done: list, snaps: list) -> dict:
     margins, kept = block["margins"].copy(), dict(block["kept"])
     for step, model, what in sorted([*((i, m, t) for i, m, t in done), *((i, m, s) for i, m, s in snaps)], key=lambda x: x[0]):
         if isinstance(what, int):
-            kept[model, what] = margins[model][~block["train"]]
+            kept[model, what] = margins[model][block["trained"]:].copy()
         else:
             margins[model] += what[0][4][leaf_of(*what, block["x"])]
     return {**block, "margins": margins, "kept": kept}
@@ -104,11 +108,13 @@ class Split:
 
 
 def _sums(x: np.ndarray, at: np.ndarray, g: np.ndarray, h: np.ndarray, nodes: int) -> np.ndarray:
-    """Sums of gradient, hessian and rows by node, feature and bin."""
-    k = x.shape[1]
-    cell, size = ((at[:, None] * k + np.arange(k)) * BINS + x).ravel(), nodes * k * BINS
-    return np.stack([np.bincount(cell, np.repeat(g, k), size), np.bincount(cell, np.repeat(h, k), size),
-                     np.bincount(cell, minlength=size)]).astype(np.int64).reshape(3, nodes, k, BINS)
+    """Sums of gradient, hessian and rows by node, feature and bin; ``x`` has a row for each feature."""
+    out, first, size = np.empty((3, nodes, len(x), BINS), np.int64), at * BINS, nodes * BINS
+    for j, column in enumerate(x):
+        cell = first + column
+        for i, weights in enumerate((g, h, None)):
+            out[i, :, j] = np.bincount(cell, weights, size).reshape(nodes, BINS)
+    return out
 
 
 def best_splits(sums: np.ndarray, features: np.ndarray, params: dict) -> tuple[list, np.ndarray]:
@@ -138,11 +144,11 @@ def finished(x: np.ndarray, g: np.ndarray, h: np.ndarray, features: np.ndarray,
     """All splits of one node and below, level by level: ``(split or False, own sums)``; ``depth`` is the node's."""
     least, limit = params.get("min_child_samples", 20), params.get("max_depth", -1)
     place = {f: i for i, f in enumerate(features.tolist())}
-    top, root, at = [None], None, np.zeros(len(x), np.int64)
+    top, root, at = [None], None, np.zeros(len(g), np.int64)
     parents: list[tuple[list, int]] = [(top, 0)]
     while parents:
         live = np.flatnonzero(at >= 0)
-        x, g, h, at = x[live], g[live], h[live], at[live]
+        x, g, h, at = x[:, live], g[live], h[live], at[live]
         found, own = best_splits(_sums(x, at, g, h, len(parents)), features, params)
         root = own[0] if root is None else root
         coming, number = [], np.full((len(parents), 2), -1)
@@ -157,25 +163,38 @@ def finished(x: np.ndarray, g: np.ndarray, h: np.ndarray, features: np.ndarray,
                     split.below[s] = False
         column = np.array([place[s.feature] if s else 0 for s in found])
         cut = np.array([s.cut if s else 0 for s in found])
-        at = number[at, (x[np.arange(len(x)), column[at]] > cut[at]).astype(int)]
+        at = number[at, (x[column[at], np.arange(len(at))] > cut[at]).astype(int)]
         parents = coming
     return top[0], tuple(root)
 
 
+def _derivatives(y: np.ndarray, w: np.ndarray, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients and hessians in whole units."""
+    p = 1 / (1 + np.exp(-margin))
+    return np.rint(w * (p - y) * _UNIT), np.rint(w * p * (1 - p) * _UNIT)
+
+
+def _columns(x: np.ndarray, features: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """A tree's features of some rows, a row for each feature."""
+    out = np.empty((len(features), len(use)), np.uint8)
+    for column, f in zip(out, features.tolist()):
+        np.take(x[:, f], use, out=column)
+    return out
+
+
 def _gradients(block: dict, order: tuple):
     """The rows of one model's wanted nodes: which, of what node, gradients and hessians in whole units."""
     model, pending, tree, nodes, features, seed, params, small = order
-    train = block["train"]
-    x, y, w = block["x"][train], block["y"][train], block["w"][train]
-    margin = block["margins"][model][train]
-    for arrays in pending:
-        margin = margin + arrays[0][4][leaf_of(*arrays, x)]
+    n = block["trained"]
+    use = np.flatnonzero(drawn(block["rows"][:n], seed, params.get("subsample", 1.0)))
     place = np.full(len(tree[0][0]), -1)
     place[nodes] = np.arange(len(nodes))
-    at = place[leaf_of(*tree, x)]
-    use = np.flatnonzero((at >= 0) & drawn(block["rows"][train], seed, params.get("subsample", 1.0)))
-    p = 1 / (1 + np.exp(-margin[use]))
-    return x[use][:, features], at[use], np.rint(w[use] * (p - y[use]) * _UNIT), np.rint(w[use] * p * (1 - p) * _UNIT)
+    at = place[leaf_of(*tree, block["x"], use)]
+    use, at = use[at >= 0], at[at >= 0]
+    margin = block["margins"][model][use]
+    for arrays in pending:
+        margin = margin + arrays[0][4][leaf_of(*arrays, block["x"], use)]
+    return _columns(block["x"], features, use), at, *_derivatives(block["y"][use], block["w"][use], margin)
 
 
 def _answers(block: dict, orders: list):
@@ -189,11 +208,11 @@ def _answers(block: dict, orders: list):
             number[large] = np.arange(len(large))
             own = number[at]
             use = own >= 0
-            yield (model, -1), _sums(x[use], own[use], g[use], h[use], len(large))
+            yield (model, -1), _sums(x[:, use], own[use], g[use], h[use], len(large))
         for i in np.flatnonzero(small):
             use = at == i
             if use.any():
-                yield (model, int(nodes[i])), [(x[use], g[use], h[use])]
+                yield (model, int(nodes[i])), [(x[:, use], g[use], h[use])]
 
 
 def _solved(item, orders: dict):
@@ -202,7 +221,7 @@ def _solved(item, orders: dict):
     if node < 0:
         return item
     features, params, depths = orders[model]
-    x, g, h = (np.concatenate([part[i] for part in what]) for i in range(3))
+    x, g, h = (np.concatenate([part[i] for part in what], axis=-1) for i in range(3))
     return (model, node), finished(x, g, h, features, params, depths[node])
 
 
@@ -289,20 +308,78 @@ def nested(tree: Tree, cuts: list[list[float]], features: list[str]):
     return walk(0)
 
 
+def _grow_tree(fit: Fit, x: np.ndarray, g: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Grows the tree that ``fit`` is at, from all its rows; returns the node at which each row ends.
+
+    Of two children the smaller is added up, the other is what is left of their parent.
+    """
+    tree, column = fit.tree, np.zeros(fit.width, np.int64)
+    column[fit.features] = np.arange(len(fit.features))
+    node, known, kin = np.zeros(len(g), np.int64), {}, {}
+    while True:
+        wanted, n = fit.wanted(), np.bincount(node, minlength=len(tree.value))
+        counted = sorted({min(m, kin[m][1], key=lambda c: (n[c], c)) if m in kin else m for m in wanted})
+        place = np.full(len(tree.value), -1)
+        place[counted] = np.arange(len(counted))
+        at = place[node]
+        use = np.flatnonzero(at >= 0)
+        if len(use) < len(at):
+            found = _sums(x[:, use], at[use], g[use], h[use], len(counted))
+        else:
+            found = _sums(x, at, g, h, len(counted))
+        sums = {m: found[:, i] for i, m in enumerate(counted)}
+        for m in wanted:
+            if m not in sums:
+                parent, other = kin[m]
+                sums[m] = known[parent] - sums[other]
+        for m, split, own in zip(wanted, *best_splits(np.stack([sums[m] for m in wanted], axis=1), fit.features, fit.p)):
+            fit.told(m, split, own)
+        complete, known, kin = fit.grow(), sums, {}
+        feature, cut, left, right, _ = tree.arrays()[0]
+        go = np.flatnonzero(feature[node] >= 0)
+        at = node[go]
+        node[go] = np.where(x[column[feature[at]], go] <= cut[at], left[at], right[at])
+        if complete:
+            return node
+        for m in wanted:
+            if feature[m] >= 0:
+                kin[tree.left[m]], kin[tree.right[m]] = (m, tree.right[m]), (m, tree.left[m])
+
+
+def _grow_fit(index: int, parts, jobs: list, width: int, start: float):
+    """All trees of one fit from a table's packed rows, and the other rows' margins at the sizes asked."""
+    model, params, seed, sizes = jobs[index]
+    fit = Fit(params, width, seed)
+    block = _block([part for _, part in parts], 1, width, start)
+    x, y, w, n, margin, kept = block["x"], block["y"], block["w"], block["trained"], block["margins"][0], {}
+    while not fit.done:
+        taken = drawn(block["rows"][:n], fit.rows_seed, params.get("subsample", 1.0))
+        use, rest = np.flatnonzero(taken), np.flatnonzero(np.append(~taken, np.ones(len(y) - n, bool)))
+        ends = _grow_tree(fit, _columns(x, fit.features, use), *_derivatives(y[use], w[use], margin[use]))
+        arrays = fit.close().arrays()
+        margin[use] += arrays[0][4][ends]
+        margin[rest] += arrays[0][4][leaf_of(*arrays, x, rest)]
+        if len(fit.trees) in sizes:
+            kept[model, len(fit.trees)] = margin[n:].copy()
+    yield {"model": model, "trees": fit.trees, "y": y[n:], "trained": 0, "kept": kept}
+
+
 def _packed(batches, cuts: list[np.ndarray], width: int):
     for b in batches:
         if b.num_rows:
             values = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-            x = np.stack([np.searchsorted(c, values[:, j], side="left") for j, c in enumerate(cuts)], axis=1).astype(np.uint8)
+            x = np.stack([np.searchsorted(c, values[:, j], side="left") for j, c in enumerate(cuts)]).astype(np.uint8)
             cols = [x, b.column(1).to_numpy().astype(np.float64), b.column(2).to_numpy().astype(np.float64),
                     b.column(3).to_numpy().astype(np.uint64), b.column(4).to_numpy(zero_copy_only=False).astype(bool)]
             yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in cols], names=["x", "y", "w", "rows", "train"])
 
 
-def _block(r, models: int, width: int, start: float) -> dict:
-    y = np.frombuffer(r["y"])
-    return {"x": np.frombuffer(r["x"], np.uint8).reshape(-1, width), "y": y, "w": np.frombuffer(r["w"]),
-            "rows": np.frombuffer(r["rows"], np.uint64), "train": np.frombuffer(r["train"], bool),
+def _block(parts: list, models: int, width: int, start: float) -> dict:
+    """Packed rows as arrays, the ``trained`` ones first; the features lie column by column."""
+    x, y, w, rows, train = (np.concatenate([np.frombuffer(r[i], kind).reshape(shape) for r in parts], axis=-1) for i, (kind, shape) in
+                            enumerate(((np.uint8, (width, -1)), (float, -1), (float, -1), (np.uint64, -1), (bool, -1))))
+    order = np.argsort(~train, kind="stable")
+    return {"x": x[:, order].T, "y": y[order], "w": w[order], "rows": rows[order], "trained": int(train.sum()),
             "margins": np.full((models, len(y)), start), "kept": {}}
 
 
@@ -341,8 +418,17 @@ class Session:
         packed = rows.repartition(parts).mapInArrow(partial(_packed, cuts=self.cuts, width=len(features)),
                                                     "x binary, y binary, w binary, rows binary, train binary")
         models, width, start = len(self.fits), len(features), self.start
-        self.blocks = packed.rdd.map(lambda r: _block(r, models, width, start)).persist(StorageLevel.MEMORY_AND_DISK)
-        self.blocks.count()
+        self.whole = self.n <= WHOLE
+        if self.whole:
+            # a copy of the rows for each fit, those with the most trees and leaves first
+            size = lambda f: f.rounds * min(f.p.get("num_leaves", 31), 1 << min(f.p.get("max_depth", -1) % 32, 31))
+            jobs = [(m, f.p, seed, self.sizes[self.names[m]]) for m, f in sorted(enumerate(self.fits), key=lambda x: -size(x[1]))]
+            copies = packed.rdd.flatMap(lambda r: [(i, tuple(r)) for i in range(models)]).partitionBy(models, lambda i: i)
+            grow = partial(_grow_fit, jobs=jobs, width=width, start=start)
+            self.blocks = copies.mapPartitionsWithIndex(grow).persist(StorageLevel.MEMORY_AND_DISK)
+        else:
+            self.blocks = packed.rdd.map(lambda r: _block([tuple(r)], models, width, start)).persist(StorageLevel.MEMORY_AND_DISK)
+            self.blocks.count()
         self.pending: list[list] = [[] for _ in self.fits]               # trees that the blocks' margins lack
         self.snaps: list[tuple[int, int, int]] = []
         self.order: list[tuple[int, int, tuple]] = []
@@ -383,6 +469,13 @@ class Session:
                     reached.append((m, len(fit.trees)))
         return reached
 
+    def grow_whole(self) -> list[tuple[int, int]]:
+        """All trees of all fits, each in a task; returns the (model, size) that are reached."""
+        for m, trees in self.blocks.map(lambda b: (b["model"], b["trees"])).collect():          # as large as the models
+            self.fits[m].trees = trees
+        self.passes += 1
+        return [(m, n) for m, name in enumerate(self.names) for n in sorted(self.sizes[name])]
+
     def work_in(self) -> None:
         """New blocks with all finished trees in their margins, kept apart from what they were made of."""
         done, snaps, old = self.order, self.snaps, self.blocks
@@ -405,7 +498,7 @@ class Session:
         wanted = set(reached)
 
         def rows(b):
-            y = b["y"][~b["train"]]
+            y = b["y"][b["trained"]:]
             for (m, n), margin in b["kept"].items():
                 if (m, n) in wanted:
                     for v, s in zip(y.tolist(), (1 / (1 + np.exp(-margin))).tolist()):
@@ -432,6 +525,10 @@ def fit_all(train: DataFrame, valid: DataFrame | None, sets: list[dict], on_scor
     """
     session = Session(train, valid, sets, label, key, features, seed, every)
     reached: list[tuple[int, int]] = []
+    if session.whole:
+        reached = session.grow_whole()
+        if on_scores:
+            on_scores(session, session.scores(reached, label, score))
     while any(not f.done for f in session.fits):
         reached += session.one_pass()
         last = all(f.done for f in session.fits)

@@ -148,3 +148,30 @@ def test_node_table_round_trip(spark, train, tmp_path):
     trees = _fit(train)
     EN.write_trees(spark, trees, str(tmp_path / "trees"))
     assert EN.read_trees(spark, str(tmp_path / "trees")) == trees
+
+
+def test_a_small_table_needs_one_pass_and_gets_the_trees_of_the_levels(train):
+    valid = train.where("loyalty_number % 5 = 0")
+    sets = [{**BASE, "n_estimators": n, "subsample": 0.7, "colsample_bytree": 0.75} for n in (2, 6)]
+    sets += [{**BASE, "max_depth": -1, "num_leaves": 5, "n_estimators": 12}, {**BASE, "reg_alpha": 1.0, "min_child_samples": 40}]
+
+    def run():
+        scores = []
+        session = BO.fit_all(train, valid, sets, lambda s, rows: scores.extend(map(tuple, rows.collect())), features=FEATS, every=3)
+        session.close()
+        return session.passes, [session.trees(p) for p in sets], sorted(scores)
+
+    passes, trees, scores = run()
+    assert passes == 1 and len(scores) == 4 * valid.count()
+    rows, small, whole = BO.ROWS, BO.SMALL, BO.WHOLE
+    try:
+        BO.ROWS = 100
+        assert run() == (1, trees, scores)                              # several blocks become one copy
+        BO.WHOLE = 0
+        for BO.SMALL in (0, 40, 200, small):                            # nodes in histograms, some or all
+            levels, same, also = run()
+            assert levels >= 12 and same == trees
+            assert [r[:3] for r in also] == [r[:3] for r in scores]
+            assert np.allclose([r[3] for r in also], [r[3] for r in scores], rtol=0, atol=1e-12)
+    finally:
+        BO.ROWS, BO.SMALL, BO.WHOLE = rows, small, whole
