@@ -175,3 +175,17 @@ def test_a_small_table_needs_one_pass_and_gets_the_trees_of_the_levels(train):
             assert np.allclose([r[3] for r in also], [r[3] for r in scores], rtol=0, atol=1e-12)
     finally:
         BO.ROWS, BO.SMALL, BO.WHOLE = rows, small, whole
+
+
+def test_a_partition_is_one_block_whatever_the_batches(spark, train, monkeypatch):
+    monkeypatch.setattr(BO, "WHOLE", 0)
+    monkeypatch.setattr(BO, "ROWS", 4000)                               # 600 rows: three blocks, if there are as many cores
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        session = BO.Session(train, None, [BASE], "churn", "loyalty_number", FEATS, 1, 8)
+        sizes = session.blocks.map(lambda b: len(b["y"])).collect()
+        session.close()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sum(sizes) == 600 and len(sizes) == min(3, spark.sparkContext.defaultParallelism)
