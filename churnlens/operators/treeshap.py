@@ -62,14 +62,27 @@ def leaf_contributions(value: float, z: np.ndarray, o: np.ndarray) -> np.ndarray
     return phi
 
 
+def _patterns(leaf: Leaf, x: np.ndarray) -> np.ndarray:
+    """Which of the leaf's features each row satisfies, as bits from the first feature on."""
+    code = np.zeros(len(x), np.int64)
+    for j, (f, low, high) in enumerate(zip(leaf.features, leaf.lo, leaf.hi)):
+        code |= ((x[:, f] > low) & (x[:, f] <= high)).astype(np.int64) << j
+    return code
+
+
 def attributions(leaves: list[Leaf], x: np.ndarray) -> np.ndarray:
     """Contributions (rows, features) of all leaves."""
-    phi = np.zeros_like(x)
+    x, phi = np.asfortranarray(x), np.zeros(x.shape, order="F")
     for leaf in leaves:
-        xs = x[:, leaf.features]
-        o = ((xs > leaf.lo) & (xs <= leaf.hi)).astype(float)
-        pattern, row = np.unique(o, axis=0, return_inverse=True)      # few patterns, whatever the rows
-        phi[:, leaf.features] += leaf_contributions(leaf.value, leaf.share, pattern)[row.ravel()]
+        m, code = len(leaf.features), _patterns(leaf, x)
+        if 1 << m <= max(64, len(x)):
+            pattern = np.arange(1 << m)                               # few patterns, whatever the rows
+        else:
+            pattern, code = np.unique(code, return_inverse=True)
+        o = (pattern[:, None] >> np.arange(m) & 1).astype(float)
+        values = leaf_contributions(leaf.value, leaf.share, o)
+        for j, f in enumerate(leaf.features):
+            phi[:, f] += values[:, j][code]
     return phi
 
 

@@ -129,3 +129,27 @@ def test_fitted_and_fixed_scorers_stand_in_for_each_other(spark):
     fitted = EN.Fitted(model, spark)
     scored = EN.attribution_arrays(fitted.leaves, fitted.predict(df)).withColumn("m", fitted.base + F.aggregate("phi", F.lit(0.0), lambda s, x: s + x))
     assert all(abs(1 / (1 + math.exp(-r["m"])) - r["churn_probability"]) < 1e-6 for r in scored.collect())
+
+
+def test_patterns_of_a_leaf_are_bits_and_need_no_sort(monkeypatch):
+    from churnlens.operators import treeshap as TS
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, 9))
+    x[0, :] = np.nan
+
+    def games(m, n):
+        return [TS.Leaf(np.sort(rng.choice(9, m, replace=False)), rng.normal(size=m) - 1.5, rng.normal(size=m) + 1.5, rng.random(m),
+                        float(rng.normal())) for _ in range(n)]
+
+    leaves = [*games(1, 3), *games(3, 5), *games(8, 2)]                 # 256 patterns are more than the rows
+    want = np.zeros_like(x)
+    for leaf in leaves:
+        xs = x[:, leaf.features]
+        want[:, leaf.features] += TS.leaf_contributions(leaf.value, leaf.share, ((xs > leaf.lo) & (xs <= leaf.hi)).astype(float))
+    assert np.allclose(TS.attributions(leaves, x), want, rtol=0, atol=1e-12)
+
+    def unique(*a, axis=None, **kw):
+        raise AssertionError("rows of few patterns are sorted")
+
+    monkeypatch.setattr(TS.np, "unique", unique)
+    TS.attributions(leaves[:8], x)
