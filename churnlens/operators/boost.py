@@ -355,11 +355,18 @@ def _grow_tree(fit: Fit, x: np.ndarray, g: np.ndarray, h: np.ndarray) -> np.ndar
                 kin[tree.left[m]], kin[tree.right[m]] = (m, tree.right[m]), (m, tree.left[m])
 
 
-def _grow_fit(index: int, parts, jobs: list, width: int, start: float):
-    """All trees of one fit from a table's packed rows, and the other rows' margins at the sizes asked."""
-    model, params, seed, sizes = jobs[index]
+def _grow_fits(copies, jobs: list, width: int, start: float):
+    """The fits whose copies of the rows are in a partition: one, or none where there are more partitions."""
+    parts: dict[int, list] = {}
+    for i, part in copies:
+        parts.setdefault(i, []).append(part)
+    for i in sorted(parts):
+        yield _grow_fit(_block(parts.pop(i), 1, width, start), *jobs[i], width)
+
+
+def _grow_fit(block: dict, model: int, params: dict, seed: int, sizes: set[int], width: int) -> dict:
+    """All trees of one fit from a table's rows, and the other rows' margins at the sizes asked."""
     fit = Fit(params, width, seed)
-    block = _block([part for _, part in parts], 1, width, start)
     x, y, w, n, margin, kept = block["x"], block["y"], block["w"], block["trained"], block["margins"][0], {}
     while not fit.done:
         taken = drawn(block["rows"][:n], fit.rows_seed, params.get("subsample", 1.0))
@@ -370,7 +377,7 @@ def _grow_fit(index: int, parts, jobs: list, width: int, start: float):
         margin[rest] += arrays[0][4][leaf_of(*arrays, x, rest)]
         if len(fit.trees) in sizes:
             kept[model, len(fit.trees)] = margin[n:].copy()
-    yield {"model": model, "trees": fit.trees, "y": y[n:], "trained": 0, "kept": kept}
+    return {"model": model, "trees": fit.trees, "y": y[n:], "trained": 0, "kept": kept}
 
 
 def _packed(batches, cuts: list[np.ndarray], width: int):
@@ -442,8 +449,8 @@ class Session:
             size = lambda f: f.rounds * min(f.p.get("num_leaves", 31), 1 << min(f.p.get("max_depth", -1) % 32, 31))
             jobs = [(m, f.p, seed, self.sizes[self.names[m]]) for m, f in sorted(enumerate(self.fits), key=lambda x: -size(x[1]))]
             copies = packed.rdd.flatMap(lambda r: [(i, tuple(r)) for i in range(models)]).partitionBy(models, lambda i: i)
-            grow = partial(_grow_fit, jobs=jobs, width=width, start=start)
-            self.blocks = copies.mapPartitionsWithIndex(grow).persist(StorageLevel.MEMORY_AND_DISK)
+            grow = partial(_grow_fits, jobs=jobs, width=width, start=start)
+            self.blocks = copies.mapPartitions(grow).persist(StorageLevel.MEMORY_AND_DISK)
         else:
             self.blocks = packed.rdd.mapPartitions(partial(_blocks, models=models, width=width, start=start)).persist(StorageLevel.MEMORY_AND_DISK)
             self.blocks.count()

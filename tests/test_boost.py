@@ -189,3 +189,15 @@ def test_a_partition_is_one_block_whatever_the_batches(spark, train, monkeypatch
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert sum(sizes) == 600 and len(sizes) == min(3, spark.sparkContext.defaultParallelism)
+
+
+def test_more_partitions_than_fits_change_nothing(train, monkeypatch):
+    from pyspark import RDD
+    real = RDD.partitionBy
+    sets = [BASE, {**BASE, "max_depth": 2}]
+    want = [_fit(train, **p) for p in sets]
+    for n in (1, 7):
+        monkeypatch.setattr(RDD, "partitionBy", lambda self, _, f: real(self, n, f))    # noqa: B023
+        session = BO.fit_all(train, None, sets, features=FEATS)
+        session.close()
+        assert [session.trees(p) for p in sets] == want
