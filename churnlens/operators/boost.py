@@ -38,8 +38,10 @@ from .resample import md5_number
 
 BINS = 32                                    # of a feature
 ROWS = 200_000                               # of a block, at most about
+JOINT = BINS * BINS                          # cells of several features together
+PART = 1 << 15                               # rows that are added up at a time, which fit a core's cache
 SMALL = 1 << 15                              # rows of a node that is finished in one task
-WHOLE = 1 << 20                              # rows of a table whose fits are a task each, of some 100 bytes a row
+WHOLE = 1 << 20                              # rows of a table whose fits are a task each, of some 200 bytes a row
 _UNIT = float(1 << 24)                       # gradients are whole multiples of 1 / _UNIT
 _MIN_HESSIAN = 1e-3
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -79,10 +81,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def drawn(rows: np.ndarray, seed: int, share: float) -> np.ndarray:
-    """Which rows a tree is grown on, by a hash of each row's number and the tree's seed."""
-    if share >= 1:
-        return np.ones(len(rows), bool)
-    return _mix(_mix(rows) ^ np.uint64(seed)) < np.uint64(int(share * float(1 << 53)) << 11)
+    """Which rows a tree is grown on, by a hash of each row's mixed number and the tree's seed."""
+    out = np.ones(len(rows), bool)
+    for i in range(0, len(rows) if share < 1 else 0, PART):
+        out[i:i + PART] = _mix(rows[i:i + PART] ^ np.uint64(seed)) < np.uint64(int(share * float(1 << 53)) << 11)
+    return out
 
 
 def _worked_in(block: dict, done: list, snaps: list) -> dict:
@@ -112,12 +115,14 @@ def _sums(x: np.ndarray, at: np.ndarray, g: np.ndarray, h: np.ndarray, nodes: in
 
     Many rows are added up by the bins of two features at once, whose sums are the bins' of either.
     """
-    out, first = np.empty((3, nodes, len(x), BINS), np.int64), at * BINS
+    out, first, pairs = np.empty((3, nodes, len(x), BINS), np.int64), at * BINS, at * BINS * BINS
     paired = len(x) - len(x) % 2 if len(at) > 2 * nodes * BINS * BINS else 0
     for j in range(0, paired, 2):
-        cell = first + x[j]
-        cell *= BINS
-        cell += x[j + 1]
+        both = x[j].astype(np.uint16)
+        both *= BINS
+        both += x[j + 1]
+        cell = both.astype(np.int64)
+        cell += pairs
         for i, weights in enumerate((g, h, None)):
             both = np.bincount(cell, weights, nodes * BINS * BINS).reshape(nodes, BINS, BINS)
             out[i, :, j], out[i, :, j + 1] = both.sum(axis=2), both.sum(axis=1)
@@ -180,9 +185,14 @@ def finished(x: np.ndarray, g: np.ndarray, h: np.ndarray, features: np.ndarray,
 
 
 def _derivatives(y: np.ndarray, w: np.ndarray, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Gradients and hessians in whole units."""
-    p = 1 / (1 + np.exp(-margin))
-    return np.rint(w * (p - y) * _UNIT), np.rint(w * p * (1 - p) * _UNIT)
+    """Gradients and hessians in whole units, ``PART`` rows at a time."""
+    g, h = np.empty(len(y)), np.empty(len(y))
+    for i in range(0, len(y), PART):
+        part = slice(i, i + PART)
+        p = 1 / (1 + np.exp(-margin[part]))
+        np.rint(w[part] * (p - y[part]) * _UNIT, out=g[part])
+        np.rint(w[part] * p * (1 - p) * _UNIT, out=h[part])
+    return g, h
 
 
 def _columns(x: np.ndarray, features: np.ndarray, use: np.ndarray) -> np.ndarray:
@@ -319,40 +329,96 @@ def nested(tree: Tree, cuts: list[list[float]], features: list[str]):
     return walk(0)
 
 
-def _grow_tree(fit: Fit, x: np.ndarray, g: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Grows the tree that ``fit`` is at, from all its rows; returns the node at which each row ends.
+def _joined(x: np.ndarray) -> list[tuple[list[int], list[int], np.ndarray]]:
+    """Features in groups whose bins together make at most ``JOINT`` cells: which, their bins, and each row's cell.
+
+    Two features of ``BINS`` bins are a group, or many of few bins; a row is then added up once for all of them.
+    """
+    bins = (x.max(axis=0).astype(int) + 1).tolist() if len(x) else [1] * x.shape[1]
+    groups: list[list[int]] = []
+    for f in sorted(range(len(bins)), key=lambda f: (-bins[f], f)):
+        group = next((c for c in groups if math.prod(bins[i] for i in c) * bins[f] <= JOINT), None)
+        groups.append([f]) if group is None else group.append(f)
+    out = []
+    for group in groups:
+        cell = np.zeros(len(x), np.uint16)
+        for f in group:
+            cell *= bins[f]
+            cell += x[:, f]
+        out.append((group, [bins[f] for f in group], cell))
+    return out
+
+
+def _added(columns: list, use: np.ndarray, at: np.ndarray, g: np.ndarray, h: np.ndarray, size: int) -> np.ndarray:
+    """Sums of gradient, hessian and rows by column and cell, ``PART`` rows at a time; ``at`` is where a row's cells begin.
+
+    Where whole numbers leave room for it, the rows of a part are counted in its hessians' sum, as a unit larger than all of them.
+    """
+    out, step = np.zeros((len(columns), 3, size)), max(PART, 2 * size)
+    for i in range(0, len(use), step):
+        rows, first = use[i:i + step], at[i:i + step]
+        gs, hs = g.take(rows), h.take(rows)
+        unit = 2.0 ** math.frexp(float(hs.sum()))[1]
+        counted = unit * (len(rows) + 1) < 2.0 ** 53
+        if counted:
+            hs += unit
+        for column, sums in zip(columns, out):
+            cell = column.take(rows).astype(np.int64)
+            cell += first
+            sums[0] += np.bincount(cell, gs, size)
+            of_h = np.bincount(cell, hs, size)
+            n = np.floor(of_h * (1 / unit)) if counted else np.bincount(cell, minlength=size)
+            sums[1] += of_h - n * unit if counted else of_h
+            sums[2] += n
+    return out
+
+
+def _node_sums(x: np.ndarray, groups: list, rows: list[np.ndarray], features: np.ndarray, g: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Sums of gradient, hessian and rows by node, feature and bin, from the numbers of each node's rows."""
+    nodes, use, place = len(rows), np.concatenate(rows), {f: i for i, f in enumerate(features.tolist())}
+    joint = len(use) > 4 * nodes * JOINT
+    at = np.repeat(np.arange(nodes) * (JOINT if joint else BINS), [len(r) for r in rows])
+    if not joint:
+        found = _added([x[:, f] for f in place], use, at, g, h, nodes * BINS)
+        return found.reshape(len(place), 3, nodes, BINS).transpose(1, 2, 0, 3).astype(np.int64)
+    out, groups = np.zeros((3, nodes, len(place), BINS), np.int64), [c for c in groups if any(f in place for f in c[0])]
+    for (group, bins, _), sums in zip(groups, _added([c[2] for c in groups], use, at, g, h, nodes * JOINT)):
+        sums = sums.reshape(3, nodes, JOINT)[:, :, :math.prod(bins)]
+        for i, f in enumerate(group):
+            if f in place:
+                by = sums.reshape(3, nodes, math.prod(bins[:i]), bins[i], -1)
+                out[:, :, place[f], :bins[i]] = by.sum(axis=4).sum(axis=2)
+    return out
+
+
+def _grow_tree(fit: Fit, x: np.ndarray, groups: list, g: np.ndarray, h: np.ndarray, use: np.ndarray, rest: np.ndarray) -> dict[int, tuple]:
+    """Grows the tree that ``fit`` is at, from the rows numbered ``use``; returns the leaves' rows, of these and of the ``rest``.
 
     Of two children the smaller is added up, the other is what is left of their parent.
     """
-    tree, column = fit.tree, np.zeros(fit.width, np.int64)
-    column[fit.features] = np.arange(len(fit.features))
-    node, known, kin = np.zeros(len(g), np.int64), {}, {}
+    tree, rows, known, kin = fit.tree, {0: (use, rest)}, {}, {}
     while True:
-        wanted, n = fit.wanted(), np.bincount(node, minlength=len(tree.value))
-        counted = sorted({min(m, kin[m][1], key=lambda c: (n[c], c)) if m in kin else m for m in wanted})
-        place = np.full(len(tree.value), -1)
-        place[counted] = np.arange(len(counted))
-        at = place[node]
-        use = np.flatnonzero(at >= 0)
-        part = (np.take(x, use, axis=1), at[use], g[use], h[use]) if len(use) < len(at) else (x, at, g, h)
-        found = _sums(*part, len(counted))
+        wanted = fit.wanted()
+        counted = sorted({min(m, kin[m][1], key=lambda c: (len(rows[c][0]), c)) if m in kin else m for m in wanted})
+        found = _node_sums(x, groups, [rows[m][0] for m in counted], fit.features, g, h)
         sums = {m: found[:, i] for i, m in enumerate(counted)}
         for m in wanted:
             if m not in sums:
                 parent, other = kin[m]
                 sums[m] = known[parent] - sums[other]
-        for m, split, own in zip(wanted, *best_splits(np.stack([sums[m] for m in wanted], axis=1), fit.features, fit.p)):
-            fit.told(m, split, own)
+        for i in range(0, len(wanted), 8):                              # arrays of a size that a core's cache holds
+            some = wanted[i:i + 8]
+            for m, split, own in zip(some, *best_splits(np.stack([sums[m] for m in some], axis=1), fit.features, fit.p)):
+                fit.told(m, split, own)
         complete, known, kin = fit.grow(), sums, {}
-        feature, cut, left, right, _ = tree.arrays()[0]
-        go = np.flatnonzero(feature[node] >= 0)
-        at = node[go]
-        node[go] = np.where(x[column[feature[at]], go] <= cut[at], left[at], right[at])
-        if complete:
-            return node
         for m in wanted:
-            if feature[m] >= 0:
-                kin[tree.left[m]], kin[tree.right[m]] = (m, tree.right[m]), (m, tree.left[m])
+            if tree.feature[m] >= 0:
+                column, left, right = x[:, tree.feature[m]], tree.left[m], tree.right[m]
+                parts = [(at, column.take(at) <= tree.cut[m]) for at in rows.pop(m)]
+                rows[left], rows[right] = (tuple(at.take(np.flatnonzero(down == side)) for at, down in parts) for side in (True, False))
+                kin[left], kin[right] = (m, right), (m, left)
+        if complete:
+            return rows
 
 
 def _grow_fits(copies, jobs: list, width: int, start: float):
@@ -368,13 +434,15 @@ def _grow_fit(block: dict, model: int, params: dict, seed: int, sizes: set[int],
     """All trees of one fit from a table's rows, and the other rows' margins at the sizes asked."""
     fit = Fit(params, width, seed)
     x, y, w, n, margin, kept = block["x"], block["y"], block["w"], block["trained"], block["margins"][0], {}
+    groups = _joined(x)
     while not fit.done:
         taken = drawn(block["rows"][:n], fit.rows_seed, params.get("subsample", 1.0))
         use, rest = np.flatnonzero(taken), np.flatnonzero(np.append(~taken, np.ones(len(y) - n, bool)))
-        ends = _grow_tree(fit, _columns(x, fit.features, use), *_derivatives(y[use], w[use], margin[use]))
-        arrays = fit.close().arrays()
-        margin[use] += arrays[0][4][ends]
-        margin[rest] += arrays[0][4][leaf_of(*arrays, x, rest)]
+        ends = _grow_tree(fit, x, groups, *_derivatives(y[:n], w[:n], margin[:n]), use, rest)
+        tree = fit.close()
+        for leaf, parts in ends.items():
+            for at in parts:
+                margin[at] += tree.value[leaf]
         if len(fit.trees) in sizes:
             kept[model, len(fit.trees)] = margin[n:].copy()
     return {"model": model, "trees": fit.trees, "y": y[n:], "trained": 0, "kept": kept}
@@ -395,7 +463,7 @@ def _block(parts: list, models: int, width: int, start: float) -> dict:
     x, y, w, rows, train = (np.concatenate([np.frombuffer(r[i], kind).reshape(shape) for r in parts], axis=-1) for i, (kind, shape) in
                             enumerate(((np.uint8, (width, -1)), (float, -1), (float, -1), (np.uint64, -1), (bool, -1))))
     order = np.argsort(~train, kind="stable")
-    return {"x": x[:, order].T, "y": y[order], "w": w[order], "rows": rows[order], "trained": int(train.sum()),
+    return {"x": x[:, order].T, "y": y[order], "w": w[order], "rows": _mix(rows[order]), "trained": int(train.sum()),
             "margins": np.full((models, len(y)), start), "kept": {}}
 
 

@@ -201,3 +201,26 @@ def test_more_partitions_than_fits_change_nothing(train, monkeypatch):
         session = BO.fit_all(train, None, sets, features=FEATS)
         session.close()
         assert [session.trees(p) for p in sets] == want
+
+
+@pytest.mark.parametrize("weight", [1.0, 1e3])
+def test_rows_are_added_up_once_for_several_features(weight, monkeypatch):
+    rng = np.random.default_rng(5)
+    bins = [32, 32, 2, 2, 5, 1, 32, 3]
+    x = np.stack([rng.integers(0, b, 30_000) for b in bins]).astype(np.uint8).T
+    x[0] = [b - 1 for b in bins]
+    g, h = np.rint(rng.normal(size=len(x)) * weight * BO._UNIT), np.rint(rng.random(len(x)) * weight * BO._UNIT)
+    groups = BO._joined(x)
+    assert sorted(f for fs, _, _ in groups for f in fs) == list(range(8)) and len(groups) == 3
+    features, calls, real = np.array([0, 2, 3, 4, 6, 7]), [], BO._added
+    monkeypatch.setattr(BO, "_added", lambda columns, *rest: calls.append(len(columns)) or real(columns, *rest))
+    for sizes in ([30_000], [9_000, 0, 12_000], [40] * 9):              # many rows a node, or few
+        at = np.split(rng.permutation(len(x))[:sum(sizes)], np.cumsum(sizes)[:-1])
+        got = BO._node_sums(x, groups, at, features, g, h)
+        for i, rows in enumerate(at):
+            for j, f in enumerate(features):
+                for k, values in enumerate((g, h, np.ones(len(x)))):
+                    want = np.zeros(BO.BINS, np.int64)
+                    np.add.at(want, x[rows, f], values[rows].astype(np.int64))
+                    assert (got[k, i, j] == want).all()
+    assert calls == [3, 3, 6]
