@@ -3,9 +3,9 @@
 A search fits dozens of models on the same rows.  Here they advance together: a pass over the rows serves every
 model at once, each at its own round and level, so the passes of a search are those of its longest fit and not
 the sum of all.  Rows are packed once into blocks of binned features.  As in PLANET (Panda et al., 2009), a pass does
-two things: for large tree nodes it adds up gradient histograms per partition and reduces them to the driver, which
-finds the split; the rows of nodes with at most ``SMALL`` rows are brought together, and a task finds all
-splits below at once.  What reaches the driver is bounded by models, leaves, features and bins, never by rows.
+two things: for large tree nodes it adds up gradient histograms per partition and reduces them to the driver (without a
+shuffle, where those of all partitions are few), which finds the split; the rows of nodes with at most ``SMALL`` rows are
+brought together, and a task finds all splits below at once.  What reaches the driver is bounded by models, leaves, features and bins, never by rows.
 
 Of a table of at most ``WHOLE`` rows every fit gets a copy of the binned rows by one shuffle and grows all its trees in a
 task of its own, by the same steps and to the same trees: a pass per level costs more there than its sums.
@@ -15,7 +15,7 @@ meaning: trees, depth (-1: none), learning rate, leaves (the best splits of a le
 and features per tree, and the L1 and L2 penalties of a leaf.  Gradients are summed as whole numbers, rows are drawn
 by a hash of their key and features by the fit's own seed: a fit gives the same trees on any partitioning and in
 any company.  Margins are part of the blocks; trees that are done are worked into them every few passes, and
-the new blocks are checkpointed, which cuts the lineage.
+every ``KEEP``-th time the new blocks are checkpointed, which cuts the lineage.
 
 A tree is the nested tuples of ``operators.ensemble``.
 """
@@ -37,10 +37,14 @@ from .. import schemas as S
 from .resample import md5_number
 
 BINS = 32                                    # of a feature
-ROWS = 200_000                               # of a block, at most about
+ROWS = 200_000                               # of a block, a twentieth of it at least if there are cores to spare
+FULL = 1 << 20                               # rows of a block, at most about
 JOINT = BINS * BINS                          # cells of several features together
 PART = 1 << 15                               # rows that are added up at a time, which fit a core's cache
 SMALL = 1 << 15                              # rows of a node that is finished in one task
+FEW = 64                                     # nodes of a tree that are looked at one after the other
+DIRECT = 1 << 25                             # bytes of all blocks' histograms that are added up without a shuffle
+KEEP = 8                                     # renewals of the blocks until they are checkpointed
 WHOLE = 1 << 20                              # rows of a table whose fits are a task each, of some 200 bytes a row
 _UNIT = float(1 << 24)                       # gradients are whole multiples of 1 / _UNIT
 _MIN_HESSIAN = 1e-3
@@ -64,6 +68,13 @@ class Tree:
 def leaf_of(arrays, depth: int, x: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
     """The node at which every row (or those numbered ``at``) of binned features ends."""
     feature, cut, left, right, _ = arrays
+    if len(feature) <= FEW:
+        node = np.zeros(len(x), np.uint8)
+        for m in np.flatnonzero(feature >= 0).tolist():                 # parents come before their children
+            here, down = node == m, x[:, feature[m]] <= int(cut[m])
+            node += (here & down).view(np.uint8) * np.uint8(left[m] - m)
+            node += (here & ~down).view(np.uint8) * np.uint8(right[m] - m)
+        return (node if at is None else node.take(at)).astype(np.int64)
     at = np.arange(len(x)) if at is None else at
     node = np.zeros(len(at), np.int64)
     for _ in range(depth):
@@ -195,45 +206,28 @@ def _derivatives(y: np.ndarray, w: np.ndarray, margin: np.ndarray) -> tuple[np.n
     return g, h
 
 
-def _columns(x: np.ndarray, features: np.ndarray, use: np.ndarray) -> np.ndarray:
-    """A tree's features of some rows, a row for each feature."""
-    out = np.empty((len(features), len(use)), np.uint8)
-    for column, f in zip(out, features.tolist()):
-        np.take(x[:, f], use, out=column)
-    return out
-
-
-def _gradients(block: dict, order: tuple):
-    """The rows of one model's wanted nodes: which, of what node, gradients and hessians in whole units."""
-    model, pending, tree, nodes, features, seed, params, small = order
-    n = block["trained"]
-    use = np.flatnonzero(drawn(block["rows"][:n], seed, params.get("subsample", 1.0)))
-    place = np.full(len(tree[0][0]), -1)
-    place[nodes] = np.arange(len(nodes))
-    at = place[leaf_of(*tree, block["x"], use)]
-    use, at = use[at >= 0], at[at >= 0]
-    margin = block["margins"][model][use]
-    for arrays in pending:
-        margin = margin + arrays[0][4][leaf_of(*arrays, block["x"], use)]
-    return _columns(block["x"], features, use), at, *_derivatives(block["y"][use], block["w"][use], margin)
-
-
 def _answers(block: dict, orders: list):
     """For large nodes ``((model, -1), histograms)``, for each small one ``((model, node), its rows)``."""
-    for order in orders:
-        model, _, _, nodes, _, _, _, small = order
-        x, at, g, h = _gradients(block, order)
-        large = np.flatnonzero(~small)
-        if len(large):
-            number = np.full(len(nodes), -1)
-            number[large] = np.arange(len(large))
-            own = number[at]
-            use = own >= 0
-            yield (model, -1), _sums(x[:, use], own[use], g[use], h[use], len(large))
-        for i in np.flatnonzero(small):
-            use = at == i
-            if use.any():
-                yield (model, int(nodes[i])), [(x[:, use], g[use], h[use])]
+    x = block["x"][:block["trained"]]
+    for model, pending, tree, nodes, features, seed, params, small in orders:
+        place = np.full(len(tree[0][0]), -1)
+        place[nodes] = np.arange(len(nodes))
+        use = np.flatnonzero(drawn(block["rows"][:len(x)], seed, params.get("subsample", 1.0)))
+        at = place.take(leaf_of(*tree, x, use))
+        rows = [use[at == i] for i in range(len(nodes))]
+        use = np.concatenate(rows)
+        margin = block["margins"][model][use]
+        for arrays in pending:
+            margin += arrays[0][4].take(leaf_of(*arrays, x, use))
+        g, h = np.zeros((2, len(x)))
+        g[use], h[use] = _derivatives(block["y"][use], block["w"][use], margin)
+        large = np.flatnonzero(~small).tolist()
+        if large:
+            yield (model, -1), _node_sums(x, _joined(x, features), [rows[i] for i in large], features, g, h)
+        for i in np.flatnonzero(small).tolist():
+            at = rows[i]
+            if len(at):
+                yield (model, int(nodes[i])), [(np.stack([x[:, f].take(at) for f in features]), g[at], h[at])]
 
 
 def _solved(item, orders: dict):
@@ -329,14 +323,14 @@ def nested(tree: Tree, cuts: list[list[float]], features: list[str]):
     return walk(0)
 
 
-def _joined(x: np.ndarray) -> list[tuple[list[int], list[int], np.ndarray]]:
-    """Features in groups whose bins together make at most ``JOINT`` cells: which, their bins, and each row's cell.
+def _joined(x: np.ndarray, features: np.ndarray | None = None) -> list[tuple[list[int], list[int], np.ndarray]]:
+    """Features (or those numbered) in groups whose bins together make at most ``JOINT`` cells: which, their bins, and each row's cell.
 
     Two features of ``BINS`` bins are a group, or many of few bins; a row is then added up once for all of them.
     """
-    bins = (x.max(axis=0).astype(int) + 1).tolist() if len(x) else [1] * x.shape[1]
+    bins = [int(column.max()) + 1 if len(x) else 1 for column in x.T]
     groups: list[list[int]] = []
-    for f in sorted(range(len(bins)), key=lambda f: (-bins[f], f)):
+    for f in sorted(range(len(bins)) if features is None else features.tolist(), key=lambda f: (-bins[f], f)):
         group = next((c for c in groups if math.prod(bins[i] for i in c) * bins[f] <= JOINT), None)
         groups.append([f]) if group is None else group.append(f)
     out = []
@@ -344,7 +338,7 @@ def _joined(x: np.ndarray) -> list[tuple[list[int], list[int], np.ndarray]]:
         cell = np.zeros(len(x), np.uint16)
         for f in group:
             cell *= bins[f]
-            cell += x[:, f]
+            cell += x[:, f].astype(np.uint16)
         out.append((group, [bins[f] for f in group], cell))
     return out
 
@@ -463,7 +457,7 @@ def _block(parts: list, models: int, width: int, start: float) -> dict:
     x, y, w, rows, train = (np.concatenate([np.frombuffer(r[i], kind).reshape(shape) for r in parts], axis=-1) for i, (kind, shape) in
                             enumerate(((np.uint8, (width, -1)), (float, -1), (float, -1), (np.uint64, -1), (bool, -1))))
     order = np.argsort(~train, kind="stable")
-    return {"x": x[:, order].T, "y": y[order], "w": w[order], "rows": _mix(rows[order]), "trained": int(train.sum()),
+    return {"x": x.take(order, axis=1).T, "y": y[order], "w": w[order], "rows": _mix(rows[order]), "trained": int(train.sum()),
             "margins": np.full((models, len(y)), start), "kept": {}}
 
 
@@ -505,8 +499,8 @@ class Session:
             rows = rows.unionByName(valid.select(*columns, F.lit(0.0).alias("w"), number, F.lit(False).alias("train")))
         self.n = rows.count()
         self.parallel = self.spark.sparkContext.defaultParallelism
-        # a block for each core, or several: a task costs more than the sums of some ten thousand rows
-        parts = -(-self.n // ROWS)
+        # a block for each core, several only of large tables: a task costs more than the sums of some ten thousand rows
+        parts = -(-self.n // FULL)
         parts = -(-parts // self.parallel) * self.parallel if parts > self.parallel else min(self.parallel, -(-20 * self.n // ROWS))
         packed = rows.repartition(max(1, parts)).mapInArrow(partial(_packed, cuts=self.cuts, width=len(features)),
                                                     "x binary, y binary, w binary, rows binary, train binary")
@@ -525,33 +519,62 @@ class Session:
         self.pending: list[list] = [[] for _ in self.fits]               # trees that the blocks' margins lack
         self.snaps: list[tuple[int, int, int]] = []
         self.order: list[tuple[int, int, tuple]] = []
+        self.sums: list[dict[int, np.ndarray]] = [{} for _ in self.fits]   # histograms of the last pass, by node
         self.steps = 0
         self.passes = 0
+        self.renewed = 0
+        self.checkpointed = None
+
+    def _asked(self, m: int) -> tuple[np.ndarray, np.ndarray, dict[int, tuple[int, int]]]:
+        """A model's nodes whose rows are asked for, which of them are small, and the others, each as parent and sibling.
+
+        Of two large children the smaller is added up, the other is what is left of their parent.  A node whose children can't
+        be split has no use for its rows in one place.
+        """
+        f, tree, left = self.fits[m], self.fits[m].tree, {}
+        limit, wanted = f.p.get("max_depth", -1), set(f.wanted())
+        small = {n: f.rows.get(n, self.n) <= SMALL and (limit < 0 or tree.depth[n] + 1 < limit) for n in wanted}
+        for parent in self.sums[m]:
+            pair = sorted((tree.left[parent], tree.right[parent]), key=lambda n: (f.rows.get(n, 0), n))
+            if wanted.issuperset(pair) and not any(small[n] for n in pair):
+                left[pair[1]] = parent, pair[0]
+        nodes = sorted(wanted - set(left))
+        return np.array(nodes), np.array([small[n] for n in nodes]), left
 
     def one_pass(self) -> list[tuple[int, int]]:
         """Every model goes on by a level at least; returns the (model, size) that are reached."""
-        orders = []
+        orders, lefts = [], {}
         for m, f in enumerate(self.fits):
             if not f.done:
-                nodes = np.array(f.wanted())
-                small = np.array([f.rows.get(n, self.n) <= SMALL for n in nodes.tolist()])
+                nodes, small, lefts[m] = self._asked(m)
                 orders.append((m, self.pending[m], f.tree.arrays(), nodes, f.features, f.rows_seed, f.p, small))
-        about = {o[0]: (o[4], o[6], self.fits[o[0]].tree.depth) for o in orders}
-        keys = sum(int(o[7].sum()) + 1 for o in orders)
-        answers = (self.blocks.flatMap(lambda b: _answers(b, orders))
-                   .reduceByKey(lambda a, b: a + b, numPartitions=max(1, min(self.parallel, -(-keys // 8))))
-                   .map(lambda x: _solved(x, about)).collect())         # histograms and splits: as large as the models
+        answers = self.blocks.flatMap(lambda b: _answers(b, orders))
+        size = sum(int((~o[7]).sum()) * len(o[4]) * BINS * 24 for o in orders)
+        if size * self.blocks.getNumPartitions() <= DIRECT and not any(o[7].any() for o in orders):
+            got: dict[tuple[int, int], np.ndarray] = {}
+            for key, sums in answers.collect():                          # histograms, as large as the models, of each block
+                got[key] = got[key] + sums if key in got else sums
+        else:
+            about = {o[0]: (o[4], o[6], self.fits[o[0]].tree.depth) for o in orders}
+            keys = sum(int(o[7].sum()) + 1 for o in orders)
+            got = dict(answers.reduceByKey(lambda a, b: a + b, numPartitions=max(1, min(self.parallel, -(-keys // 8))))
+                       .map(lambda x: _solved(x, about)).collect())      # histograms and splits: as large as the models
         self.passes += 1
-        got = dict(answers)
         reached = []
         for m, _, _, nodes, features, _, params, small in orders:
             fit = self.fits[m]
             if (m, -1) in got:
-                for node, split, own in zip(nodes[~small].tolist(), *best_splits(got[m, -1], features, params)):
+                sums = {n: got[m, -1][:, i] for i, n in enumerate(nodes[~small].tolist())}
+                sums.update({n: self.sums[m][parent] - sums[other] for n, (parent, other) in lefts[m].items()})
+                for node, split, own in zip(sums, *best_splits(np.stack(list(sums.values()), axis=1), features, params)):
                     fit.told(node, split, own)
+                self.sums[m] = sums
+            else:
+                self.sums[m] = {}
             for node in nodes[small].tolist():
                 fit.told(node, *got.get((m, node), (False, (0.0, 0.0, 0))))
             if fit.grow():
+                self.sums[m] = {}
                 arrays = fit.close().arrays()
                 self.pending[m].append(arrays)
                 self.steps += 1
@@ -570,18 +593,22 @@ class Session:
         return [(m, n) for m, name in enumerate(self.names) for n in sorted(self.sizes[name])]
 
     def work_in(self) -> None:
-        """New blocks with all finished trees in their margins, kept apart from what they were made of."""
+        """New blocks with all finished trees in their margins, from time to time kept apart from what they were made of."""
         done, snaps, old = self.order, self.snaps, self.blocks
         fresh = old.map(lambda b: _worked_in(b, done, snaps)).persist(StorageLevel.MEMORY_AND_DISK)
-        fresh.checkpoint()
+        self.renewed += 1
+        if self.renewed % KEEP == 0:
+            fresh.checkpoint()
         fresh.count()
         self.blocks, self.order, self.snaps = fresh, [], []
         self.pending = [[] for _ in self.fits]
         old.unpersist()
-        self._drop_checkpoint(old)
+        if self.renewed % KEEP == 0:
+            self._drop_checkpoint(self.checkpointed)
+            self.checkpointed = fresh
 
     def _drop_checkpoint(self, rdd) -> None:
-        path = rdd.getCheckpointFile()
+        path = rdd.getCheckpointFile() if rdd is not None else None
         if path:
             p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
@@ -601,7 +628,7 @@ class Session:
 
     def close(self) -> None:
         self.blocks.unpersist()
-        self._drop_checkpoint(self.blocks)
+        self._drop_checkpoint(self.checkpointed)
 
     def trees(self, params: dict) -> list:
         """The trees of one parameter set; the first is the constant log-odds of the training rows."""
@@ -636,6 +663,6 @@ def fit_all(train: DataFrame, valid: DataFrame | None, sets: list[dict], on_scor
 
 def fit(train: DataFrame, params: dict, **kw) -> list:
     """The trees of one parameter set (nested tuples, the first a constant)."""
-    session = fit_all(train, None, [params], **kw)
+    session = fit_all(train, None, [params], **{"every": 32, **kw})          # no scores to wait for
     session.close()
     return session.trees(params)

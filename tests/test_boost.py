@@ -224,3 +224,64 @@ def test_rows_are_added_up_once_for_several_features(weight, monkeypatch):
                     np.add.at(want, x[rows, f], values[rows].astype(np.int64))
                     assert (got[k, i, j] == want).all()
     assert calls == [3, 3, 6]
+
+
+def _levels(train, monkeypatch, **kw):
+    monkeypatch.setattr(BO, "WHOLE", 0)
+    monkeypatch.setattr(BO, "SMALL", 0)                                 # all nodes in histograms
+    return BO.Session(train, None, [{**BASE, **kw}], "churn", "loyalty_number", FEATS, 1, 8)
+
+
+def test_features_of_a_block_lie_column_by_column(train, monkeypatch):
+    session = _levels(train, monkeypatch)
+    assert all(session.blocks.map(lambda b: b["x"].flags.f_contiguous).collect())
+    session.close()
+
+
+def test_few_histograms_need_no_shuffle(train, monkeypatch):
+    from pyspark import RDD
+    want = _fit(train, n_estimators=5, subsample=0.7)
+    _levels(train, monkeypatch).close()
+    keys = []
+    real = RDD.reduceByKey
+    monkeypatch.setattr(RDD, "reduceByKey", lambda *a, **kw: keys.append(1) or real(*a, **kw))
+    assert _fit(train, n_estimators=5, subsample=0.7) == want and not keys
+    monkeypatch.setattr(BO, "DIRECT", 0)
+    assert _fit(train, n_estimators=5, subsample=0.7) == want and len(keys) == 15
+
+
+def test_the_smaller_of_two_children_is_asked_for(train, monkeypatch):
+    session = _levels(train, monkeypatch, max_depth=3)
+    session.one_pass()
+    fit = session.fits[0]
+    nodes, small, left = session._asked(0)
+    assert fit.wanted() == [1, 2] and len(nodes) == 1 and list(left) == [3 - nodes[0]] and left[3 - nodes[0]] == (0, nodes[0])
+    assert fit.rows[nodes[0]] <= fit.rows[3 - nodes[0]] and not small.any()
+    monkeypatch.setattr(BO, "SMALL", 600)
+    assert session._asked(0)[1].all() and len(session._asked(0)[0]) == 2   # their children's splits are found with theirs
+    session.one_pass()
+    session.close()
+
+
+def test_blocks_are_checkpointed_now_and_then(train, monkeypatch):
+    want = _fit(train, n_estimators=4)
+    _levels(train, monkeypatch).close()
+    for keep, times in ((1, 12), (5, 2), (50, 0)):
+        monkeypatch.setattr(BO, "KEEP", keep)
+        dropped, real = [], BO.Session._drop_checkpoint
+        monkeypatch.setattr(BO.Session, "_drop_checkpoint", lambda self, rdd: dropped.append(rdd is not None) or real(self, rdd))  # noqa: B023
+        assert BO.fit(train, {**BASE, "n_estimators": 4}, features=FEATS, every=1) == want
+        monkeypatch.setattr(BO.Session, "_drop_checkpoint", real)
+        assert sum(dropped) == times
+
+
+def test_leaves_of_small_and_large_trees(monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 32, (500, 4)).astype(np.uint8)
+    feature, cut, left, right = (np.array(a) for a in ([2, 0, -1, 3, -1, -1, -1], [9, 20, 0, 4, 0, 0, 0], [1, 3, 0, 5, 0, 0, 0], [2, 4, 0, 6, 0, 0, 0]))
+    arrays = feature, cut, left, right, np.zeros(7)
+    at = rng.permutation(500)[:90]
+    few = BO.leaf_of(arrays, 3, x), BO.leaf_of(arrays, 3, x, at)
+    monkeypatch.setattr(BO, "FEW", 0)
+    assert (few[0] == BO.leaf_of(arrays, 3, x)).all() and (few[1] == BO.leaf_of(arrays, 3, x, at)).all()
+    assert set(few[0].tolist()) == {2, 4, 5, 6}
