@@ -6,7 +6,8 @@ Steps, all distributed:
    go to the cell of their nearest pivot; a cell knows its radius, the largest distance from its pivot.  Every
    point is first solved against its own cell, which bounds the distance of its k-th neighbour from above.  By the triangle
    inequality a cell whose distance from the point, less its radius, exceeds that bound holds no neighbour; only the
-   other cells get a copy of the point.  A cell is met in blocks of at most ``block_rows`` points, so no
+   other cells get a copy of the point, and return what lies within the bound.  Which pairs may count is told by a matrix
+   product with room for its rounding; these alone are measured.  A cell is met in blocks of at most ``block_rows`` points, so no
    task sees more than two blocks; the k best of all blocks are the k nearest, ties by key.
 2. **Exact number of children per row.**  Rows are ranked by a seeded md5 (distributed running totals); row r gets
    ``floor((r+1)·n/m) − floor(r·n/m)`` children, which sums to exactly n.
@@ -46,20 +47,30 @@ def _matrix(col: pa.Array) -> np.ndarray:
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances of all rows of ``a`` and ``b`` by differences, a few rows at a time."""
-    out = np.empty((len(a), len(b)))
-    step = max(1, (1 << 20) // max(1, b.size))
-    for i in range(0, len(a), step):
-        out[i:i + step] = np.sqrt(((a[i:i + step, None, :] - b[None, :, :]) ** 2).sum(axis=2))
+    """Euclidean distances of the rows of ``a`` and ``b``, pair by pair, by differences."""
+    out = np.empty(len(a))
+    for i in range(0, len(a), 1 << 14):
+        out[i:i + (1 << 14)] = np.sqrt(((a[i:i + (1 << 14)] - b[i:i + (1 << 14)]) ** 2).sum(axis=1))
     return out
 
 
+def _squares(a: np.ndarray, b: np.ndarray):
+    """For some rows of ``a`` at a time: their number, squared distances of all rows of ``b`` by a product, and how far these may be off."""
+    step, middle = max(1, (1 << 20) // max(1, len(b))), b.mean(axis=0)
+    b = b - middle
+    own = (b * b).sum(axis=1)
+    for i in range(0, len(a), step):
+        part = a[i:i + step] - middle
+        size = (part * part).sum(axis=1)[:, None] + own
+        yield np.arange(i, i + len(part)), size - 2 * (part @ b.T), size * _SLACK
+
+
 def _cell_batches(batches, pivots: np.ndarray):
     for b in batches:
         if b.num_rows:
-            gap = _distance(_matrix(b.column(1)), pivots)
-            cell = gap.argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int32()), pa.array(gap[np.arange(len(gap)), cell])],
+            x = _matrix(b.column(1))
+            cell = np.concatenate([square.argmin(axis=1) for _, square, _ in _squares(x, pivots)])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int32()), pa.array(_distance(x, pivots[cell]))],
                                              names=["point", "x", "cell", "gap"])
 
 
@@ -70,33 +81,50 @@ def _visit_batches(batches, pivots: np.ndarray, cells: dict[int, tuple[float, in
     for b in batches:
         if not b.num_rows:
             continue
-        gap = _distance(_matrix(b.column(1)), pivots[number])
         reach = b.column(3).fill_null(np.inf).to_numpy(zero_copy_only=False)
-        may = (gap - radius) * (1 - _SLACK) <= reach[:, None] * (1 + _SLACK)
-        may &= b.column(2).to_numpy()[:, None] != number
-        row, at = np.nonzero(may)
+        home = b.column(2).to_numpy()
+        found = []
+        for rows, square, off in _squares(_matrix(b.column(1)), pivots[number]):
+            gap = np.sqrt(np.maximum(square - off, 0))
+            beyond = (gap - radius) * (1 - _SLACK) > reach[rows, None] * (1 + _SLACK)
+            row, at = np.nonzero(~beyond & (home[rows, None] != number))
+            found.append((rows[row], at))
+        row, at = (np.concatenate(part) for part in zip(*found))
         times = blocks[at].astype(np.int64)
         row, cell = np.repeat(row, times), np.repeat(number[at], times)
         block = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)),
-                                          pa.array(cell, pa.int32()), pa.array(block, pa.int32())], names=["point", "x", "cell", "block"])
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(cell, pa.int32()),
+                                          pa.array(block, pa.int32()), b.column(3).take(pa.array(row))], names=["point", "x", "cell", "block", "reach"])
 
 
 def _solve(key, asked: pa.Table, held: pa.Table, k: int) -> pa.Table:
-    """The k nearest points of one block for each asking point, ties by number; a point is not its own neighbour."""
-    out = ([], [], [])
+    """The k nearest points of one block for each asking point, ties by number; a point is not its own neighbour.
+
+    Points beyond an asking point's reach are left out.  Products tell which pairs may count; these alone are measured.
+    """
+    out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
     if len(asked) and len(held):
         q, x = _matrix(asked.column("q_x").combine_chunks()), _matrix(held.column("x").combine_chunks())
         q_id, x_id = asked.column("q_point").to_numpy(), held.column("point").to_numpy()
-        for i, row in enumerate(_distance(q, x)):
-            at = np.flatnonzero(x_id != q_id[i])
-            if len(at) > k:
-                at = at[row[at] <= np.partition(row[at], k - 1)[k - 1]]
-            at = at[np.lexsort((x_id[at], row[at]))][:k]
-            for o, v in zip(out, (np.full(len(at), q_id[i]), x_id[at], row[at])):
-                o.append(v)
-    cat = lambda v, kind: np.concatenate(v) if v else np.empty(0, kind)
-    return pa.table({"point": cat(out[0], np.int64), "near": cat(out[1], np.int64), "dist": cat(out[2], np.float64)})
+        reach = asked.column("q_reach").fill_null(np.inf).to_numpy()
+        for rows, square, off in _squares(q, x):
+            least = square - off
+            may = ~(least > (reach[rows, None] * (1 + _SLACK)) ** 2)
+            many = np.flatnonzero(may.sum(axis=1) > k + 1)
+            if len(many) and len(x) > k + 1:                            # the point itself may be one of k + 1
+                most = np.partition(square[many] + off[many], k, axis=1)[:, k]
+                may[many] &= ~(least[many] > most[:, None])
+            row, at = np.nonzero(may & (q_id[rows, None] != x_id))
+            row = rows[row]
+            dist = _distance(q[row], x[at])
+            near = ~(dist > reach[row])
+            row, at, dist = row[near], x_id[at[near]], dist[near]
+            order = np.lexsort((at, dist, row))
+            row, at, dist = row[order], at[order], dist[order]
+            first = np.flatnonzero(np.append(True, row[1:] != row[:-1])[:len(row)])
+            place = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
+            out.append((q_id[row[place < k]], at[place < k], dist[place < k]))
+    return pa.table(dict(zip(("point", "near", "dist"), (np.concatenate(part) for part in zip(*out)))))
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -116,7 +144,7 @@ def pivot_cells(points: DataFrame, pivots: int | None = None, seed: int = S.SPLI
 def nearest_points(points: DataFrame, k: int, block_rows: int = 2048, pivots: int | None = None,
                    seed: int = S.SPLIT_SEED) -> tuple[DataFrame, DataFrame]:
     """``(point, near, dist)`` of the k nearest other points of each point (fewer if there are not so many),
-    and the copies ``(point, x, cell, block)`` of points that were sent to other cells."""
+    and the copies ``(point, x, cell, block, reach)`` of points that were sent to other cells."""
     celled, at = pivot_cells(points, pivots, seed)
     celled = celled.checkpoint()
     cells = {r["cell"]: (r["radius"], math.ceil(r["n"] / block_rows))
@@ -130,16 +158,16 @@ def nearest_points(points: DataFrame, k: int, block_rows: int = 2048, pivots: in
         parts = asked.groupBy(*where).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("parts")).checkpoint()
         left = (asked.join(parts, where).withColumn("part", F.pmod(md5_number(F.col("point"), seed, "part"), F.col("parts")).cast("int")))
         right = held.join(parts, where).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        asks = left.select(*[F.col(c).alias(f"q_{c}") for c in ("point", "x", *where, "part")])
+        asks = left.select(*[F.col(c).alias(f"q_{c}") for c in ("point", "x", *where, "part", "reach")])
         return (asks.groupBy("q_cell", "q_block", "q_part")
                 .cogroup(right.select("point", "x", *where, "part").groupBy(*where, "part"))
                 .applyInArrow(partial(_solve, k=k), "point long, near long, dist double"))
 
-    own = celled.select("point", "x", "cell", F.explode(F.sequence(F.lit(0), count - 1)).alias("block"))
+    own = celled.select("point", "x", "cell", F.explode(F.sequence(F.lit(0), count - 1)).alias("block"), F.lit(None).cast("double").alias("reach"))
     own_best = _best(solve(own), k).drop("_r").checkpoint()
     bound = own_best.groupBy("point").agg(F.when(F.count("*") == k, F.max("dist")).alias("reach"))
     asking = celled.join(bound, "point", "left").select("point", "x", "cell", "reach")
-    sent = asking.mapInArrow(partial(_visit_batches, pivots=at, cells=cells), "point long, x array<double>, cell int, block int").checkpoint()
+    sent = asking.mapInArrow(partial(_visit_batches, pivots=at, cells=cells), "point long, x array<double>, cell int, block int, reach double").checkpoint()
     return _best(own_best.unionByName(solve(sent)), k).drop("_r"), sent
 
 

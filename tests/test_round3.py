@@ -201,3 +201,32 @@ def test_split_of_an_empty_table_and_of_null_labels(spark):
     some = spark.createDataFrame([(i, None if i % 2 else 1) for i in range(40)], "loyalty_number long, churn int")
     counts = {(r["churn"], r["split"]): r["count"] for r in SP.assign_split(some).groupBy("churn", "split").count().collect()}
     assert counts[None, "test"] == counts[1, "test"] == 3
+
+
+def test_only_pairs_within_reach_are_measured(monkeypatch):
+    import pyarrow as pa
+
+    from churnlens.operators import resample as RS
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(900, 5)), 1) * [1, 1, 1, 1, 1e5]
+    x[200:240] = x[:40]                                                 # equal points
+    ids = rng.permutation(900).astype(np.int64)
+    want = {}
+    for i in range(900):
+        d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        want[ids[i]] = [(int(ids[j]), float(d[j])) for j in np.lexsort((ids, d)) if j != i][:4]
+    pairs, real = [], RS._distance
+    monkeypatch.setattr(RS, "_distance", lambda a, b: pairs.append(len(a)) or real(a, b))
+    held = pa.table({"point": ids, "x": pa.array(x.tolist(), pa.list_(pa.float64()))})
+
+    def solve(reach):
+        asks = pa.table({"q_point": ids, "q_x": held["x"], "q_reach": pa.array(reach, pa.float64())})
+        got = {}
+        for r in RS._solve(None, asks, held, 4).to_pylist():
+            got.setdefault(r["point"], []).append((r["near"], r["dist"]))
+        return got
+
+    assert solve([None] * 900) == want
+    reach = [want[i][1][1] for i in ids]                                # that of the second neighbour: it counts, equal ones too
+    assert solve(reach) == {i: [n for n in near if n[1] <= near[1][1]] for i, near in want.items()}
+    assert sum(pairs) < 900 * 900 / 20
