@@ -7,8 +7,10 @@ two things: for large tree nodes it adds up gradient histograms per partition an
 shuffle, where those of all partitions are few), which finds the split; the rows of nodes with at most ``SMALL`` rows are
 brought together, and a task finds all splits below at once.  What reaches the driver is bounded by models, leaves, features and bins, never by rows.
 
-Of a table of at most ``WHOLE`` rows every fit gets a copy of the binned rows by one shuffle and grows all its trees in a
-task of its own, by the same steps and to the same trees: a pass per level costs more there than its sums.
+Of a table of at most ``WHOLE`` rows (``MANY`` times as many, where there are fits for half the cores) every fit gets a copy
+of the binned rows by one shuffle and grows all its trees in a task of its own, by the same steps and to the same trees: a pass
+per level costs more there than its sums.  A task's rows lie by the leaves of its first tree, since those of later nodes are
+then mostly near each other; gradient, hessian and count of a row are added up as one complex number.
 
 The objective is weighted log loss with Newton steps.  All nine parameters of the search space have their
 meaning: trees, depth (-1: none), learning rate, leaves (the best splits of a level first), rows per leaf, shares of rows
@@ -26,6 +28,7 @@ import json
 import math
 import random
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -41,11 +44,14 @@ ROWS = 200_000                               # of a block, a twentieth of it at
 FULL = 1 << 20                               # rows of a block, at most about
 JOINT = BINS * BINS                          # cells of several features together
 PART = 1 << 15                               # rows that are added up at a time, which fit a core's cache
+PIECE = 1 << 13                              # rows whose numbers fit it several times
 SMALL = 1 << 15                              # rows of a node that is finished in one task
 FEW = 64                                     # nodes of a tree that are looked at one after the other
 DIRECT = 1 << 25                             # bytes of all blocks' histograms that are added up without a shuffle
 KEEP = 8                                     # renewals of the blocks until they are checkpointed
-WHOLE = 1 << 20                              # rows of a table whose fits are a task each, of some 200 bytes a row
+CACHED = 1 << 18                             # rows whose order matters little to a task
+WHOLE = 1 << 20                              # rows of a table whose fits are a task each, of some 150 bytes a row
+MANY = 8                                     # times as many where there are fits for half the cores or more
 _UNIT = float(1 << 24)                       # gradients are whole multiples of 1 / _UNIT
 _MIN_HESSIAN = 1e-3
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -94,8 +100,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def drawn(rows: np.ndarray, seed: int, share: float) -> np.ndarray:
     """Which rows a tree is grown on, by a hash of each row's mixed number and the tree's seed."""
     out = np.ones(len(rows), bool)
-    for i in range(0, len(rows) if share < 1 else 0, PART):
-        out[i:i + PART] = _mix(rows[i:i + PART] ^ np.uint64(seed)) < np.uint64(int(share * float(1 << 53)) << 11)
+    for i in range(0, len(rows) if share < 1 else 0, PIECE):
+        out[i:i + PIECE] = _mix(rows[i:i + PIECE] ^ np.uint64(seed)) < np.uint64(int(share * float(1 << 53)) << 11)
     return out
 
 
@@ -196,10 +202,10 @@ def finished(x: np.ndarray, g: np.ndarray, h: np.ndarray, features: np.ndarray,
 
 
 def _derivatives(y: np.ndarray, w: np.ndarray, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Gradients and hessians in whole units, ``PART`` rows at a time."""
+    """Gradients and hessians in whole units, ``PIECE`` rows at a time."""
     g, h = np.empty(len(y)), np.empty(len(y))
-    for i in range(0, len(y), PART):
-        part = slice(i, i + PART)
+    for i in range(0, len(y), PIECE):
+        part = slice(i, i + PIECE)
         p = 1 / (1 + np.exp(-margin[part]))
         np.rint(w[part] * (p - y[part]) * _UNIT, out=g[part])
         np.rint(w[part] * p * (1 - p) * _UNIT, out=h[part])
@@ -323,8 +329,8 @@ def nested(tree: Tree, cuts: list[list[float]], features: list[str]):
     return walk(0)
 
 
-def _joined(x: np.ndarray, features: np.ndarray | None = None) -> list[tuple[list[int], list[int], np.ndarray]]:
-    """Features (or those numbered) in groups whose bins together make at most ``JOINT`` cells: which, their bins, and each row's cell.
+def _groups(x: np.ndarray, features: np.ndarray | None = None) -> list[tuple[list[int], list[int]]]:
+    """Features (or those numbered) in groups whose bins together make at most ``JOINT`` cells: which, and their bins.
 
     Two features of ``BINS`` bins are a group, or many of few bins; a row is then added up once for all of them.
     """
@@ -333,14 +339,20 @@ def _joined(x: np.ndarray, features: np.ndarray | None = None) -> list[tuple[lis
     for f in sorted(range(len(bins)) if features is None else features.tolist(), key=lambda f: (-bins[f], f)):
         group = next((c for c in groups if math.prod(bins[i] for i in c) * bins[f] <= JOINT), None)
         groups.append([f]) if group is None else group.append(f)
-    out = []
-    for group in groups:
-        cell = np.zeros(len(x), np.uint16)
-        for f in group:
-            cell *= bins[f]
-            cell += x[:, f].astype(np.uint16)
-        out.append((group, [bins[f] for f in group], cell))
-    return out
+    return [(group, [bins[f] for f in group]) for group in groups]
+
+
+def _cell(x: np.ndarray, group: list[int], bins: list[int]) -> np.ndarray:
+    cell = np.zeros(len(x), np.uint16)
+    for f, b in zip(group, bins):
+        cell *= b
+        cell += x[:, f].astype(np.uint16)
+    return cell
+
+
+def _joined(x: np.ndarray, features: np.ndarray | None = None) -> list[tuple[list[int], list[int], np.ndarray]]:
+    """The groups of features, and each row's cell in them."""
+    return [(group, bins, _cell(x, group, bins)) for group, bins in _groups(x, features)]
 
 
 def _added(columns: list, use: np.ndarray, at: np.ndarray, g: np.ndarray, h: np.ndarray, size: int) -> np.ndarray:
@@ -385,16 +397,131 @@ def _node_sums(x: np.ndarray, groups: list, rows: list[np.ndarray], features: np
     return out
 
 
-def _grow_tree(fit: Fit, x: np.ndarray, groups: list, g: np.ndarray, h: np.ndarray, use: np.ndarray, rest: np.ndarray) -> dict[int, tuple]:
-    """Grows the tree that ``fit`` is at, from the rows numbered ``use``; returns the leaves' rows, of these and of the ``rest``.
+def _cells(x: np.ndarray, groups: list) -> np.ndarray:
+    """Each row's cells in all groups, row by row: those of a node are then read in one go."""
+    out = np.empty((len(x), len(groups)), np.uint16)
+    for i in range(0, len(x), PART):
+        for j, (group, bins) in enumerate(groups):
+            out[i:i + PART, j] = _cell(x[i:i + PART], group, bins)
+    return out
+
+
+def _scattered(use: np.ndarray, cells_of, columns: int, size: int, gh: np.ndarray, unit: float, step: int) -> np.ndarray:
+    """Sums of gradient, hessian and rows by column and cell; ``cells_of`` gives the columns' cells of a slice of ``use``.
+
+    Gradient and hessian are the parts of one number, and a row counts as a ``unit`` in the second, larger than the hessians
+    of ``step`` rows: one addition does for all three.
+    """
+    out = np.zeros((3, columns, size))
+    for i in range(0, len(use), step):
+        both = np.zeros((columns, size), complex)
+        for k in range(i, min(i + step, len(use)), PIECE):
+            part = slice(k, min(k + PIECE, i + step))
+            weights = gh.take(use[part])
+            for sums, cell in zip(both, cells_of(part)):
+                np.add.at(sums, cell, weights)
+        n = both.imag * (1 / unit)
+        np.floor(n, out=n)
+        out[0] += both.real
+        out[2] += n
+        n *= -unit
+        n += both.imag
+        out[1] += n
+    return out.astype(np.int64)
+
+
+def _level_sums(x: np.ndarray, cells: np.ndarray, groups: list, rows: list[np.ndarray], features: np.ndarray, gh: np.ndarray, unit: float,
+                step: int) -> np.ndarray:
+    """As :func:`_node_sums`, from one pass over each node's rows; nodes of few rows are added up feature by feature, together."""
+    place = {f: i for i, f in enumerate(features.tolist())}
+    out, few = np.zeros((3, len(rows), len(place), BINS), np.int64), [len(r) <= 4 * JOINT for r in rows]
+    used = [(j, group, bins) for j, (group, bins) in enumerate(groups) if any(f in place for f in group)]
+    large = [i for i, small in enumerate(few) if not small]
+    for at in (large[i:i + 8] for i in range(0, len(large), 8)):
+        def cells_of(part, m):
+            some = np.ascontiguousarray(cells.take(rows[m][part], axis=0).T)
+            return (some[j].astype(np.int64) for j, _, _ in used)
+        found = np.stack([_scattered(rows[m], partial(cells_of, m=m), len(used), JOINT, gh, unit, step) for m in at], axis=1)
+        for k, (_, group, bins) in enumerate(used):
+            sums = found[:, :, k, :math.prod(bins)]
+            for i, f in enumerate(group):
+                if f in place:
+                    by = sums.reshape(3, len(at), math.prod(bins[:i]), bins[i], -1)
+                    out[:, at, place[f], :bins[i]] = by.sum(axis=4).sum(axis=2)
+    if any(few):
+        at = np.flatnonzero(few)
+        use = np.concatenate([rows[m] for m in at])
+        first = np.repeat(np.arange(len(at)) * BINS, [len(rows[m]) for m in at])
+        found = _scattered(use, lambda part: (x[:, f].take(use[part]) + first[part] for f in place), len(place), len(at) * BINS, gh, unit, step)
+        out[:, at] = found.reshape(3, len(place), len(at), BINS).swapaxes(1, 2)
+    return out
+
+
+class _Weights:
+    """Gradients and hessians of a fit's rows as :func:`_scattered` adds them up; the arrays are filled anew for each tree."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, w: np.ndarray, groups: list):
+        self.x, self.y, self.w, self.groups, self.cells = x, y, w, groups, _cells(x, groups)
+        bits = math.frexp(float(w.max(initial=0)) * _UNIT / 4 + 1)[1]  # a row's hessian is below 2^bits
+        self.step = 1 << min(14, max(0, 53 - bits) // 2)
+        self.unit = 2.0 ** bits * self.step
+        self.counted = self.step >= 1 << 8                              # else weights are too large to count rows beside them
+        self.gh = np.empty(len(y), complex)
+
+    def renew(self, margin: np.ndarray) -> None:
+        for i in range(0, len(self.y), PIECE):
+            part = slice(i, i + PIECE)
+            self.gh.real[part], h = _derivatives(self.y[part], self.w[part], margin[part])
+            self.gh.imag[part] = h + self.unit if self.counted else h
+
+    def reorder(self, order: np.ndarray) -> None:
+        """The features and labels are reordered already."""
+        self.w, self.cells = self.w.take(order), self.cells.take(order, axis=0)
+
+    def sums(self, rows: list[np.ndarray], features: np.ndarray) -> np.ndarray:
+        """As :func:`_node_sums`, from the numbers of each node's rows."""
+        if self.counted:
+            return _level_sums(self.x, self.cells, self.groups, rows, features, self.gh, self.unit, self.step)
+        return _node_sums(self.x, _joined(self.x, features), rows, features, self.gh.real.copy(), self.gh.imag.copy())
+
+
+def _parted(column: np.ndarray, cut: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows numbered ``at`` up to a cut and beyond it, two parts of one array."""
+    down, out = np.empty(len(at), bool), np.empty_like(at)
+    for i in range(0, len(at), PIECE):
+        np.less_equal(column.take(at[i:i + PIECE]), cut, out=down[i:i + PIECE])
+    n = np.count_nonzero(down)
+    ends = [0, n]
+    for i in range(0, len(at), PIECE):
+        some, here = at[i:i + PIECE], down[i:i + PIECE]
+        for side, which in enumerate((here, ~here)):
+            which = np.flatnonzero(which)
+            out[ends[side]:ends[side] + len(which)] = some.take(which)
+            ends[side] += len(which)
+    return out[:n], out[n:]
+
+
+def _numbers(flags: np.ndarray) -> np.ndarray:
+    """Which rows are flagged, as 32-bit numbers."""
+    out, n = np.empty(np.count_nonzero(flags), np.int32), 0
+    for i in range(0, len(flags), PIECE):
+        here = np.flatnonzero(flags[i:i + PIECE])
+        out[n:n + len(here)] = here
+        out[n:n + len(here)] += i
+        n += len(here)
+    return out
+
+
+def _grow_tree(fit: Fit, weights: _Weights, x: np.ndarray, rows: list[np.ndarray], ends: np.ndarray) -> None:
+    """Grows the tree that ``fit`` is at, from the first of two parts of the ``rows``, and notes in which leaf each row of both ends.
 
     Of two children the smaller is added up, the other is what is left of their parent.
     """
-    tree, rows, known, kin = fit.tree, {0: (use, rest)}, {}, {}
-    while True:
+    tree, rows, known, kin, complete = fit.tree, {0: rows}, {}, {}, False
+    while not complete:
         wanted = fit.wanted()
         counted = sorted({min(m, kin[m][1], key=lambda c: (len(rows[c][0]), c)) if m in kin else m for m in wanted})
-        found = _node_sums(x, groups, [rows[m][0] for m in counted], fit.features, g, h)
+        found = weights.sums([rows[m][0] for m in counted], fit.features)
         sums = {m: found[:, i] for i, m in enumerate(counted)}
         for m in wanted:
             if m not in sums:
@@ -406,13 +533,20 @@ def _grow_tree(fit: Fit, x: np.ndarray, groups: list, g: np.ndarray, h: np.ndarr
                 fit.told(m, split, own)
         complete, known, kin = fit.grow(), sums, {}
         for m in wanted:
-            if tree.feature[m] >= 0:
-                column, left, right = x[:, tree.feature[m]], tree.left[m], tree.right[m]
-                parts = [(at, column.take(at) <= tree.cut[m]) for at in rows.pop(m)]
-                rows[left], rows[right] = (tuple(at.take(np.flatnonzero(down == side)) for at, down in parts) for side in (True, False))
+            if tree.feature[m] < 0:
+                continue
+            column, cut, left, right = x[:, tree.feature[m]], tree.cut[m], tree.left[m], tree.right[m]
+            if complete:                                                # both children are leaves
+                for at in rows.pop(m):
+                    for i in range(0, len(at), PIECE):
+                        some = at[i:i + PIECE]
+                        ends[some] = np.where(column.take(some) <= cut, left, right)
+            else:
+                rows[left], rows[right] = zip(*(_parted(column, cut, at) for at in rows.pop(m)))
                 kin[left], kin[right] = (m, right), (m, left)
-        if complete:
-            return rows
+    for leaf, parts in rows.items():
+        for at in parts:
+            ends[at] = leaf
 
 
 def _grow_fits(copies, jobs: list, width: int, start: float):
@@ -427,18 +561,24 @@ def _grow_fits(copies, jobs: list, width: int, start: float):
 def _grow_fit(block: dict, model: int, params: dict, seed: int, sizes: set[int], width: int) -> dict:
     """All trees of one fit from a table's rows, and the other rows' margins at the sizes asked."""
     fit = Fit(params, width, seed)
-    x, y, w, n, margin, kept = block["x"], block["y"], block["w"], block["trained"], block["margins"][0], {}
-    groups = _joined(x)
+    x, y, n, margin, kept = block["x"], block["y"], block["trained"], block["margins"][0], {}
+    weights = _Weights(x[:n], y[:n], block["w"][:n], _groups(x[:n]))
+    ends, beside = np.empty(len(y), np.uint16 if fit.p.get("num_leaves", 31) < 1 << 15 else np.uint32), np.arange(n, len(y), dtype=np.int32)
     while not fit.done:
+        weights.renew(margin[:n])
         taken = drawn(block["rows"][:n], fit.rows_seed, params.get("subsample", 1.0))
-        use, rest = np.flatnonzero(taken), np.flatnonzero(np.append(~taken, np.ones(len(y) - n, bool)))
-        ends = _grow_tree(fit, x, groups, *_derivatives(y[:n], w[:n], margin[:n]), use, rest)
-        tree = fit.close()
-        for leaf, parts in ends.items():
-            for at in parts:
-                margin[at] += tree.value[leaf]
+        _grow_tree(fit, weights, x, [_numbers(taken), np.concatenate([_numbers(~taken), beside])], ends)
+        values = np.array(fit.close().value)
+        for i in range(0, len(y), PIECE):
+            margin[i:i + PIECE] += values.take(ends[i:i + PIECE])
         if len(fit.trees) in sizes:
             kept[model, len(fit.trees)] = margin[n:].copy()
+        if len(fit.trees) == 1 and n > CACHED and not fit.done:
+            # rows of a leaf side by side: most of those of a later tree's nodes then are, too
+            order = np.argsort(ends[:n], kind="stable")
+            for column in (*x[:n].T, y[:n], block["rows"][:n], margin[:n]):
+                column[:] = column.take(order)
+            weights.reorder(order)
     return {"model": model, "trees": fit.trees, "y": y[n:], "trained": 0, "kept": kept}
 
 
@@ -453,11 +593,19 @@ def _packed(batches, cuts: list[np.ndarray], width: int):
 
 
 def _block(parts: list, models: int, width: int, start: float) -> dict:
-    """Packed rows as arrays, the ``trained`` ones first; the features lie column by column."""
-    x, y, w, rows, train = (np.concatenate([np.frombuffer(r[i], kind).reshape(shape) for r in parts], axis=-1) for i, (kind, shape) in
-                            enumerate(((np.uint8, (width, -1)), (float, -1), (float, -1), (np.uint64, -1), (bool, -1))))
+    """Packed rows as arrays, the ``trained`` ones first; the features lie column by column.  The parts are used up."""
+    x, y, w, rows, train = ([r[i] for r in parts] for i in range(5))
+    parts.clear()
+
+    def joined(packed: list, kind, shape=(-1,)):
+        out = np.concatenate([np.frombuffer(p, kind).reshape(shape) for p in packed], axis=-1)
+        packed.clear()
+        return out
+
+    train = joined(train, bool)
     order = np.argsort(~train, kind="stable")
-    return {"x": x.take(order, axis=1).T, "y": y[order], "w": w[order], "rows": _mix(rows[order]), "trained": int(train.sum()),
+    y, w, rows = joined(y, float).take(order), joined(w, float).take(order), _mix(joined(rows, np.uint64).take(order))
+    return {"x": joined(x, np.uint8, (width, -1)).take(order, axis=1).T, "y": y, "w": w, "rows": rows, "trained": int(train.sum()),
             "margins": np.full((models, len(y)), start), "kept": {}}
 
 
@@ -473,8 +621,6 @@ class Session:
 
     def __init__(self, train: DataFrame, valid: DataFrame | None, sets: list[dict], label: str, key: str, features: list[str],
                  seed: int, every: int):
-        from functools import partial
-
         from ..session import ensure_checkpoint_dir, ship_package
         self.spark, self.features, self.every = train.sparkSession, features, every
         ensure_checkpoint_dir(self.spark)
@@ -505,10 +651,11 @@ class Session:
         packed = rows.repartition(max(1, parts)).mapInArrow(partial(_packed, cuts=self.cuts, width=len(features)),
                                                     "x binary, y binary, w binary, rows binary, train binary")
         models, width, start = len(self.fits), len(features), self.start
-        self.whole = self.n <= WHOLE
+        self.whole = self.n <= WHOLE * (MANY if 2 * models >= self.parallel else 1)
         if self.whole:
-            # a copy of the rows for each fit, those with the most trees and leaves first
-            size = lambda f: f.rounds * min(f.p.get("num_leaves", 31), 1 << min(f.p.get("max_depth", -1) % 32, 31))
+            # a copy of the rows for each fit, those with the most trees and levels first
+            levels = lambda p: min(math.log2(p.get("num_leaves", 31)), p.get("max_depth", -1) % 32)
+            size = lambda f: f.rounds * (3 + levels(f.p))
             jobs = [(m, f.p, seed, self.sizes[self.names[m]]) for m, f in sorted(enumerate(self.fits), key=lambda x: -size(x[1]))]
             copies = packed.rdd.flatMap(lambda r: [(i, tuple(r)) for i in range(models)]).partitionBy(models, lambda i: i)
             grow = partial(_grow_fits, jobs=jobs, width=width, start=start)
@@ -615,16 +762,24 @@ class Session:
 
     def scores(self, reached: list[tuple[int, int]], label: str, score: str) -> DataFrame:
         """``fit, n_trees, label, score`` of the validation rows at the given sizes, from the present blocks."""
-        wanted = set(reached)
+        wanted, schema = set(reached), f"model int, n_trees int, {label} int, {score} double"
 
-        def rows(b):
-            y = b["y"][b["trained"]:]
+        def packed(b):
+            y = b["y"][b["trained"]:].astype(np.int32)
             for (m, n), margin in b["kept"].items():
                 if (m, n) in wanted:
-                    for v, s in zip(y.tolist(), (1 / (1 + np.exp(-margin))).tolist()):
-                        yield (m, n, int(v), s)
-
-        return self.spark.createDataFrame(self.blocks.flatMap(rows), f"model int, n_trees int, {label} int, {score} double")
+                    for i in range(0, len(y), PART):
+                        yield m, n, y[i:i + PART].tobytes(), (1 / (1 + np.exp(-margin[i:i + PART]))).tobytes()
+
+        def opened(batches):
+            for batch in batches:
+                for m, n, y, s in zip(*(c.to_pylist() for c in batch.columns)):
+                    columns = [np.frombuffer(y, np.int32), np.frombuffer(s)]
+                    columns = [np.full(len(columns[0]), v, np.int32) for v in (m, n)] + columns
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["model", "n_trees", label, score])
+
+        rows = self.spark.createDataFrame(self.blocks.flatMap(packed), "model int, n_trees int, y binary, s binary", verifySchema=False)
+        return rows.mapInArrow(opened, schema)
 
     def close(self) -> None:
         self.blocks.unpersist()

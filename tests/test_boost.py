@@ -285,3 +285,70 @@ def test_leaves_of_small_and_large_trees(monkeypatch):
     monkeypatch.setattr(BO, "FEW", 0)
     assert (few[0] == BO.leaf_of(arrays, 3, x)).all() and (few[1] == BO.leaf_of(arrays, 3, x, at)).all()
     assert set(few[0].tolist()) == {2, 4, 5, 6}
+
+
+def test_many_fits_of_a_larger_table_are_a_task_each(train, monkeypatch):
+    sets = [{**BASE, "reg_lambda": float(i)} for i in range(-(-train.sparkSession.sparkContext.defaultParallelism // 2))]
+    want = [_fit(train, **p) for p in sets]
+    monkeypatch.setattr(BO, "WHOLE", 100)                               # of 600 rows
+    session = BO.fit_all(train, None, sets, features=FEATS)
+    session.close()
+    assert session.passes == 1 and [session.trees(p) for p in sets] == want
+    session = BO.fit_all(train, None, sets[:1], features=FEATS)
+    session.close()
+    assert session.trees(sets[0]) == want[0] and (session.passes > 1 or len(sets) == 1)
+    monkeypatch.setattr(BO, "WHOLE", 70)                                # too many rows for a task
+    session = BO.fit_all(train, None, sets, features=FEATS)
+    session.close()
+    assert session.passes > 1 and [session.trees(p) for p in sets] == want
+
+
+@pytest.mark.parametrize("weight", [1.0, 1e3, 1e5])
+def test_one_addition_does_for_gradient_hessian_and_count(weight):
+    rng = np.random.default_rng(6)
+    x = np.asfortranarray(np.stack([rng.integers(0, b, 40_000) for b in (32, 32, 3, 32, 1, 7)], axis=1).astype(np.uint8))
+    y, w, margin = (rng.random(len(x)) < 0.3).astype(float), np.where(rng.random(len(x)) < 0.3, weight, 1.0), rng.normal(size=len(x))
+    weights = BO._Weights(x, y, w, BO._groups(x))
+    weights.renew(margin)
+    g, h = BO._derivatives(y, w, margin)
+    features = np.array([0, 2, 3, 5])
+    rows = np.split(rng.permutation(len(x)).astype(np.int32)[:36_000], [17_000, 17_000, 17_900, 30_000])   # many, none, few
+    got = weights.sums(rows, features)
+    assert weights.counted == (weight < 1e5)
+    for i, at in enumerate(rows):
+        for j, f in enumerate(features):
+            for k, values in enumerate((g, h, np.ones(len(x)))):
+                want = np.zeros(BO.BINS, np.int64)
+                np.add.at(want, x[at, f], values[at].astype(np.int64))
+                assert (got[k, i, j] == want).all()
+
+
+def test_rows_of_a_leaf_side_by_side_change_nothing(train, monkeypatch):
+    valid = train.where("loyalty_number % 5 = 0")
+    sets = [{**BASE, "n_estimators": n, "subsample": 0.7, "colsample_bytree": 0.75} for n in (1, 6)]
+
+    def run():
+        scores = []
+        session = BO.fit_all(train, valid, sets, lambda s, rows: scores.extend(map(tuple, rows.collect())), features=FEATS)
+        session.close()
+        return session.trees(sets[1]), sorted(scores)
+
+    want = run()
+    moved, real = [], BO._Weights.reorder
+    monkeypatch.setattr(BO, "CACHED", 0)
+    assert run() == want
+    x, y = np.asfortranarray(np.arange(12, dtype=np.uint8).reshape(6, 2)), np.array([0, 1, 0, 1, 1, 0.0])
+    monkeypatch.setattr(BO._Weights, "reorder", lambda self, order: moved.append(len(order)) or real(self, order))
+    block = {"x": x, "y": y, "w": np.ones(6), "rows": np.arange(6).astype(np.uint64), "trained": 5, "margins": np.zeros((1, 6))}
+    BO._grow_fit(block, 0, {**BASE, "min_child_samples": 1}, 1, {3}, 2)
+    assert moved == [5]
+
+
+def test_rows_part_at_a_cut_in_their_order():
+    rng = np.random.default_rng(9)
+    column, at = rng.integers(0, 32, 50_000).astype(np.uint8), np.sort(rng.permutation(50_000)[:30_000]).astype(np.int32)
+    for cut in (0, 11, 31):
+        low, high = BO._parted(column, cut, at)
+        assert (low == at[column[at] <= cut]).all() and (high == at[column[at] > cut]).all()
+    flags = rng.random(50_000) < 0.4
+    assert (BO._numbers(flags) == np.flatnonzero(flags)).all()
